@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": lambda spark, d: substring_dedup.digest(documents(spark, d)),
+    "op10_near_dedup": lambda spark, d: near_dedup.digest(documents(spark, d)),
 }
 
 ORACLES: dict[str, str] = {}

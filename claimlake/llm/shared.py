@@ -1,33 +1,12 @@
-"""Where jobs keep tables that cut lineage, and how inputs are read."""
+"""How the queries of this subpackage read their tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import cut, shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="claimlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and return it without lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "documents", "shared_dir", "shared_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
