@@ -157,17 +157,25 @@ def _prefix_cells(hashes: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def _group_of(hashes: np.ndarray, at: np.ndarray, n: int, heavy: frozenset) -> np.ndarray:
-    """Group of each suffix: the shortest prefix whose cell is not heavy."""
-    cells = _prefix_cells(hashes, n)
-    group = np.full(len(at), -1, np.int64)
-    for level, cell in enumerate(cells):
-        open_ = group < 0
-        mine = cell[at]
-        last = level == len(cells) - 1
-        light = np.ones(len(at), bool) if last else ~np.isin(mine, np.fromiter(heavy, np.int64, len(heavy)))
-        group = np.where(open_ & light, mine, group)
-    return group
+def prefix_groups(counts: dict[int, int], most: int) -> np.ndarray:
+    """Group of each prefix cell, -1 where the prefix must be longer.
+
+    Neighbouring cells share a group until it holds ``most`` suffixes; a cell that alone holds
+    more is split by longer prefixes, except at the last level.
+    """
+    size = np.zeros(CELLS * len(LEVELS), np.int64)
+    size[list(counts)] = list(counts.values())
+    last = len(LEVELS) - 1
+    heavy = (size > most) & (np.arange(len(size)) < last * CELLS)
+    return np.where(heavy, -1, np.cumsum(np.where(heavy, 0, size)) // most)
+
+
+def _group_of(hashes: np.ndarray, at: np.ndarray, n: int, groups: np.ndarray) -> np.ndarray:
+    """Group of each suffix, by the shortest prefix that has one."""
+    out = np.full(len(at), -1, np.int64)
+    for cell in _prefix_cells(hashes, n):
+        out = np.where(out < 0, groups[cell[at]], out)
+    return out
 
 
 def _suffix_dtype(min_words: int) -> np.dtype:
@@ -219,13 +227,13 @@ def _local(part: _Part, marks: pa.Table, min_words: int, gram: int) -> tuple[np.
     return records, records["doc"] == least, keys
 
 
-def _suffix_step(table: pa.Table, marks: pa.Table, min_words: int, gram: int, heavy: frozenset) -> pa.Table:
+def _suffix_step(table: pa.Table, marks: pa.Table, min_words: int, gram: int, groups: np.ndarray) -> pa.Table:
     if not table.num_rows:
         return _BLOB.empty_table()
     part = _Part(table)
     records, waits, keys = _local(part, marks, min_words, gram)
     records = records[_first_in_key(keys, waits)]  # one for all equal windows of this part
-    group = _group_of(part.hashes, records["at"].astype(np.int64), min_words, heavy)
+    group = _group_of(part.hashes, records["at"].astype(np.int64), min_words, groups)
     return _pack(group, table.column("part")[0].as_py(), records)
 
 
@@ -336,10 +344,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gram = gram or max(1, min(6, min_words // 2))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = rows.select("text").mapInArrow(functools.partial(_count_cells, min_words=min_words), _COUNTS).groupBy("cell").agg(F.sum("n").alias("n"))
-    words_cell = CELLS * (len(LEVELS) + 1) - 1
-    big = {r.cell: r.n for r in counts.filter((F.col("n") > group_suffixes) | (F.col("cell") == words_cell)).collect()}  # at most CELLS * LEVELS rows
-    n_words = big.pop(words_cell, 0)
-    heavy = frozenset(big)
+    found = {r.cell: r.n for r in counts.collect()}  # at most CELLS * LEVELS + 1 rows, whatever the input
+    n_words = found.pop(CELLS * (len(LEVELS) + 1) - 1, 0)
+    groups = prefix_groups(found, group_suffixes)
     parts = max(1, -(-n_words // part_words))
     buckets = max(1, -(-n_words // (4 * part_words)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
@@ -347,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "to long, part long, data binary"
     anchors = docs_.applyInArrow(lambda t: _anchor_step(t, min_words, gram, buckets), schema)
     marks = anchors.groupBy("to").applyInArrow(_shared_step, schema)
-    suffixes = docs_.cogroup(marks.groupBy("to")).applyInArrow(lambda t, m: _suffix_step(t, m, min_words, gram, heavy), schema)
+    suffixes = docs_.cogroup(marks.groupBy("to")).applyInArrow(lambda t, m: _suffix_step(t, m, min_words, gram, groups), schema)
     verdicts = suffixes.groupBy("to").applyInArrow(lambda t: _tree_step(t, min_words), schema)
     both = marks.withColumn("kind", F.lit(0)).unionByName(verdicts.withColumn("kind", F.lit(1)))
     return docs_.cogroup(both.groupBy("to")).applyInArrow(lambda t, m: _final_step(t, m, min_words, gram), "id long, n_words long, n_removed long, kept binary, spans array<long>")
