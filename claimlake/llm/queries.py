@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, substring_dedup
+from . import fingerprints, mixing, near_dedup, substring_dedup, token_files
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": lambda spark, d: substring_dedup.digest(documents(spark, d)),
     "op3_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op6_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
+    "op7_token_files": lambda spark, d: token_files.digest(documents(spark, d)),
     "op10_near_dedup": lambda spark, d: near_dedup.digest(documents(spark, d)),
 }
 
