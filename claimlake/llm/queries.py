@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, substring_dedup, token_files
+from . import fingerprints, mixing, near_dedup, substring_dedup, token_files, toxicity
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": lambda spark, d: substring_dedup.digest(documents(spark, d)),
+    "op2_toxicity": lambda spark, d: toxicity.digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op3_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op6_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
     "op7_token_files": lambda spark, d: token_files.digest(documents(spark, d)),

@@ -15,6 +15,8 @@ import numpy as np
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TERM_GAP = np.ones(256, bool)  # all but letters, digits and bytes of other scripts
+_TERM_GAP[[*b"0123456789", *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = False
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -60,6 +62,7 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    prefixes: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -69,16 +72,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(texts: list[bytes], fold: bool = False, slice_bytes: int = 1 << 20) -> Words:
-    """Words of each text with 64-bit hashes; ``fold`` lower-cases A-Z for the hash."""
+def words_of(texts: list[bytes], fold: bool = False, slice_bytes: int = 1 << 20, terms: bool = False, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of each text with 64-bit hashes; ``fold`` lower-cases A-Z for the hash.
+
+    ``terms`` takes runs of letters and digits instead; ``prefixes`` adds hashes of each
+    word's first bytes, as many as given.
+    """
     raw = b" ".join(texts) + b" "
     buffer = np.frombuffer(raw, np.uint8)
-    inside = ~_SPACE[buffer]
+    inside = ~(_TERM_GAP if terms else _SPACE)[buffer]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text_start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
     first = np.searchsorted(starts, text_start)
     hashes = np.empty(len(starts), U64)
+    heads = np.empty((len(prefixes), len(starts)), U64)
     values = _byte_values(fold)
     at = 0
     while at < len(starts):
@@ -93,8 +101,10 @@ def words_of(texts: list[bytes], fold: bool = False, slice_bytes: int = 1 << 20)
             np.cumsum(values[buffer[origin:last]] * power[:size], out=sums[1:])
             s, e = starts[at:to] - origin, ends[at:to] - origin
             hashes[at:to] = mix((sums[e] - sums[s]) * inverse[s])
+            for k, size_ in enumerate(prefixes):
+                heads[k, at:to] = mix((sums[np.minimum(e, s + size_)] - sums[s]) * inverse[s] + U64(size_))
         at = to
-    return Words(buffer, starts, ends, hashes, first)
+    return Words(buffer, starts, ends, hashes, first, heads)
 
 
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
