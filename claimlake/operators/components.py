@@ -12,7 +12,8 @@ def _roots(parents: DataFrame) -> DataFrame:
     """Follow ``parent`` (never larger than ``id``) to its end, doubling the step each time."""
     while True:
         up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("up"))
-        jumped = cut(parents.join(up, "parent", "left").select("id", F.coalesce("up", "parent").alias("parent"), (F.col("up") < F.col("parent")).alias("moved")))
+        twice = up.select(F.col("parent").alias("up"), F.col("up").alias("top"))
+        jumped = cut(parents.join(up, "parent").join(twice, "up").select("id", F.col("top").alias("parent"), (F.col("top") < F.col("parent")).alias("moved")))
         parents = jumped.select("id", "parent")
         if jumped.filter("moved").isEmpty():
             return parents
