@@ -13,9 +13,10 @@ each path passes two large nodes, it is missed with a probability of about 1e-4.
 
 Candidates are confirmed on the full sets.  As only classes are asked for, a link inside
 a class already found adds nothing: each document is first confirmed against its
-smallest candidate, and then only candidates of different classes are.  Nodes that stay
-large (a dense group of near copies) are finished when all their documents have one
-class; what is left after all levels is compared exactly across classes.
+smallest candidate, and then only candidates of different classes are.  After each round
+of ``levels`` the nodes whose documents have one class are finished (a dense group of near
+copies).  When at most ``rest_pairs`` pairs of different classes are left in large nodes, or
+after all rounds, these are compared exactly; more rounds only make fewer of them.
 
 Documents with the same set are one from the start, so copies are never paired.
 """
@@ -155,14 +156,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, fold: bool, num: int, de
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int):
+    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, rest_pairs: int):
         self.num, self.den, self.small, self.trees, self.levels = num, den, small, trees, levels
+        self.rounds, self.rest_pairs = rounds, rest_pairs
         self.shingle, self.fold = shingle, fold
         self.texts_of = docs
         self.sketches = cut(docs.mapInArrow(functools.partial(_sketch, n=shingle, fold=fold), "id long, n long, key binary, tokens binary"))
         some = self.sketches.filter("n > 0 and id is not null")
         self.sets = cut(some.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-        self.edges: DataFrame | None = None
         self.classes: DataFrame | None = None
 
     def _with_tokens(self, rows: DataFrame, on: str = "id", suffix: str = "") -> DataFrame:
@@ -174,68 +175,76 @@ class _Join:
         found = self.classes.select(F.col("id").alias(on), F.col("component").alias(name))
         return rows.join(found, on, "left").withColumn(name, F.coalesce(name, on))
 
-    def _level(self, frontier: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        """Candidates of one level, the next level's nodes, and whether there are any."""
-        node = Window.partitionBy("node")
-        live = self._with_class(frontier).withColumns({"size": F.count("*").over(node), "first": F.min("id").over(node), "low": F.min("class").over(node), "high": F.max("class").over(node)})
-        live = cut(live.filter("size > 1 and low < high").select("node", "id", "class", "size", "first"))
+    def _level(self, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidates of one level and the next level's nodes."""
+        live = cut(self._open(frontier))
         members = self._with_tokens(live.filter(F.col("size") <= self.small)).groupBy("node").agg(F.collect_list(F.struct("id", "n", "class", "tokens")).alias("members"))
         pairs = members.select("members").mapInArrow(functools.partial(_small_pairs, num=self.num, den=self.den), "a long, b long")
-        large = live.filter(F.col("size") > self.small)
-        if large.isEmpty():
-            return cut(pairs.distinct()), frontier, False
-        large = self._with_tokens(large)
+        large = self._with_tokens(live.filter(F.col("size") > self.small))
         star = self._with_tokens(large.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")), "a", "_a")
         star = star.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long")
-        return cut(pairs.unionByName(star).distinct()), cut(large.select("node", "id", "tokens").mapInArrow(functools.partial(_branch, mean=self.den / self.num), "node long, id long").distinct()), True
+        children = large.select("node", "id", "tokens").mapInArrow(functools.partial(_branch, mean=self.den / self.num), "node long, id long")
+        return pairs.unionByName(star), children
+
+    def _open(self, frontier: DataFrame) -> DataFrame:
+        """Documents of the nodes that have several classes, with the node's size and smallest document."""
+        node = Window.partitionBy("node")
+        rows = self._with_class(frontier.distinct()).withColumns({"size": F.count("*").over(node), "first": F.min("id").over(node), "low": F.min("class").over(node), "high": F.max("class").over(node)})
+        return rows.filter("low < high").select("node", "id", "class", "size", "first")
 
-    def _confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+        a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        b = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
         return rows.mapInArrow(functools.partial(_confirm, n=self.shingle, fold=self.fold, num=self.num, den=self.den), "a long, b long")
 
     def _link(self, pairs: DataFrame) -> None:
         """Confirm candidates of different classes and merge classes."""
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = cut(self.texts_of.join(ends, "id", "left_semi").distinct())
-        first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-        self._merge(self._confirmed(first, texts))
-        rest = pairs.join(first, ["a", "b"], "left_anti")
-        rest = self._with_class(self._with_class(rest, "a", "class_a"), "b", "class_b").filter("class_a <> class_b").select("a", "b")
-        self._merge(self._confirmed(rest, texts))
-
-    def _merge(self, edges: DataFrame) -> None:
-        edges = cut(edges)
-        if not edges.isEmpty():
-            self.edges = edges if self.edges is None else self.edges.unionByName(edges)
-            self.classes = connected_components(self.edges, "a", "b")
+        first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")))
+        self._merge(self._confirmed(first))
+        rest = self._with_class(self._with_class(pairs.join(first, ["a", "b"], "left_anti"), "a", "class_a"), "b", "class_b")
+        self._merge(self._confirmed(rest.filter("class_a <> class_b").select("a", "b")))
+
+    def _merge(self, links: DataFrame) -> None:
+        """Classes after these links: components of the classes that they join."""
+        ends = self._with_class(self._with_class(links, "a", "class_a"), "b", "class_b")
+        joined = connected_components(ends, "class_a", "class_b")
+        if self.classes is None:
+            self.classes = joined
+            return
+        new = joined.select(F.col("id").alias("component"), F.col("component").alias("merged"))
+        moved = self.classes.join(new, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+        self.classes = cut(moved.unionByName(joined.join(self.classes, "id", "left_anti")))
 
     def run(self) -> DataFrame:
         frontier = self.sets.select("id", "tokens").mapInArrow(functools.partial(_roots, trees=self.trees), "node long, id long")
-        more, done = True, 0
-        while more and done < 4 * self.levels:
+        for turn in range(self.rounds):
             found = None
             for _ in range(self.levels):
-                pairs, frontier, more = self._level(frontier)
+                pairs, frontier = self._level(frontier)
                 found = pairs if found is None else found.unionByName(pairs)
-                done += 1
-                if not more:
-                    break
-            self._link(cut(found.distinct()))
-        if more:
-            self._rest(frontier)
+            pairs, frontier = cut(found.distinct()), cut(frontier.distinct())
+            if turn == 0:
+                ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(frontier.select("id")).distinct()
+                self.texts = cut(self.texts_of.join(ends, "id", "left_semi").distinct())
+            self._link(pairs)
+            left = cut(self._open(frontier))
+            if turn + 1 == self.rounds or self._work(left) <= self.rest_pairs:
+                break
+        self._rest(left)
         return self._result()
 
-    def _rest(self, frontier: DataFrame) -> None:
+    def _work(self, left: DataFrame) -> int:
+        """Pairs of different classes that remain."""
+        sizes = left.groupBy("node", "class").agg(F.count("*").alias("n")).groupBy("node").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        return int(sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
+
+    def _rest(self, left: DataFrame) -> None:
         """Exact: all pairs of different classes in the nodes that never became small."""
-        left = cut(self._with_tokens(self._with_class(frontier)))
-        x = left.select("node", *(F.col(c).alias(f"{c}_x") for c in ("id", "class", "n", "tokens")))
-        y = left.select("node", *(F.col(c).alias(f"{c}_y") for c in ("id", "class", "n", "tokens")))
-        rows = x.join(y, "node").filter("class_x < class_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "n_x", "n_y", "tokens_x", "tokens_y")
-        pairs = cut(rows.mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long").distinct())
-        if not pairs.isEmpty():
-            self._link(pairs)
+        x, y = (left.select("node", F.col("id").alias(f"id_{k}"), F.col("class").alias(f"class_{k}")) for k in "xy")
+        rows = x.join(y, "node").filter("class_x < class_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+        rows = self._with_tokens(self._with_tokens(rows, "a", "_a"), "b", "_b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+        self._link(cut(rows.mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long")))
 
     def _result(self) -> DataFrame:
         rows = self.sketches.select("id", "n", "key")
@@ -246,7 +255,7 @@ class _Join:
         return rows.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, rest_pairs: int = 200_000) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row.
 
     Rows are linked when ``threshold[1] * |A & B| >= threshold[0] * |A | B|`` over their sets of
@@ -255,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is null has a null component and is kept.  Rows with one id share its component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _Join(rows, shingle, fold, *threshold, small, trees, levels).run()
+    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, rest_pairs).run()
 
 
 def digest(docs: DataFrame) -> DataFrame:
