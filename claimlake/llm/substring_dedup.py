@@ -8,8 +8,8 @@ suffixes of two documents is a repeat, which stays in the document with the
 smallest id and is removed from the others.  Neighbouring windows merge to maximal
 repeats.
 
-A suffix carries blocks of word hashes (words 1, 2, 3-4, 5-8, ...; 32 bits each, 160
-bits for 13 words), so texts cross the network once: the exchange by ``part`` is
+A suffix carries blocks of word hashes (words 1, 2, 3-4, 5-8, ...; 128 bits in all for 13
+words), so texts cross the network once: the exchange by ``part`` is
 reused by all steps.  Only suffixes beside a word n-gram that two documents share
 can lie under a deep node; winnowing (Schleimer, Wilkerson & Aiken 2003) finds
 these n-grams first, without loss: every window holds at least one selected n-gram.
@@ -108,7 +108,7 @@ def _pack(to: np.ndarray, part: int, records: np.ndarray) -> pa.Table:
     return pa.table([pa.array(to[head], pa.int64()), pa.array([part] * len(head), pa.int64()), pa.array([records[a:b].tobytes() for a, b in zip(head, ends)], pa.binary())], schema=_BLOB)
 
 
-_GRAM = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+_GRAM = np.dtype([("hash", "<u4"), ("at", "<u4")])
 
 
 def _anchor_step(table: pa.Table, min_words: int, gram: int, buckets: int) -> pa.Table:
@@ -118,8 +118,8 @@ def _anchor_step(table: pa.Table, min_words: int, gram: int, buckets: int) -> pa
     _, least = _repeats(hashes, docs)
     own = _first_in_key(hashes, docs == least)  # the others repeat inside this part, as later steps see again
     records = np.empty(int(own.sum()), _GRAM)
-    records["hash"], records["doc"], records["at"] = hashes[own], docs[own], at[own]
-    return _pack((records["hash"] % U64(buckets)).astype(np.int64), table.column("part")[0].as_py() if table.num_rows else 0, records)
+    records["hash"], records["at"] = (hashes[own] >> U64(32)).astype(np.uint32), at[own]
+    return _pack((hashes[own] % U64(buckets)).astype(np.int64), table.column("part")[0].as_py() if table.num_rows else 0, records)
 
 
 def _unpack(table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +130,10 @@ def _unpack(table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_step(table: pa.Table) -> pa.Table:
-    """Selected n-grams of several documents, sent back to their parts."""
+    """Selected n-grams of several parts, sent back to them; 32 bits do, as the trees decide."""
     records, parts = _unpack(table, _GRAM)
-    many, _ = _repeats(records["hash"], records["doc"])
+    _, which, n = np.unique(records["hash"], return_inverse=True, return_counts=True)
+    many = n[which] > 1
     return _pack(parts[many], 0, records["at"][many].copy())
 
 
@@ -179,7 +180,13 @@ def _group_of(hashes: np.ndarray, at: np.ndarray, n: int, groups: np.ndarray) ->
 
 
 def _suffix_dtype(min_words: int) -> np.dtype:
-    return np.dtype([("key", "<u4", (len(_block_widths(min_words)),)), ("doc", "<i8"), ("at", "<u4")])
+    """Blocks of one word take 16 bits, as the group tells more of them; longer ones take 32."""
+    blocks = [(f"k{i}", "<u2" if width == 1 else "<u4") for i, width in enumerate(_block_widths(min_words))]
+    return np.dtype([*blocks, ("doc", "<i8"), ("at", "<u4")])
+
+
+def _blocks(records: np.ndarray) -> list[np.ndarray]:
+    return [records[name] for name in records.dtype.names[:-2]]
 
 
 def _suffixes(part: _Part, at: np.ndarray, min_words: int) -> np.ndarray:
@@ -187,7 +194,7 @@ def _suffixes(part: _Part, at: np.ndarray, min_words: int) -> np.ndarray:
     done = 0
     for k, width in enumerate(_block_widths(min_words)):
         runs = run_hashes(part.hashes, width)
-        records["key"][:, k] = (mix(runs[at + done]) >> U64(32)).astype(np.uint32)
+        records[f"k{k}"] = mix(runs[at + done]) >> U64(48 if width == 1 else 32)
         done += width
     records["doc"], records["at"] = part.doc[part.row[at]], at
     return records
@@ -196,8 +203,8 @@ def _suffixes(part: _Part, at: np.ndarray, min_words: int) -> np.ndarray:
 def _whole_key(records: np.ndarray) -> np.ndarray:
     """A 64-bit key of all blocks, to find equal windows inside one part."""
     out = np.zeros(len(records), U64)
-    for k in range(records["key"].shape[1]):
-        out = pair_hash(out, records["key"][:, k].astype(U64))
+    for block in _blocks(records):
+        out = pair_hash(out, block.astype(U64))
     return out
 
 
@@ -246,11 +253,16 @@ def _first_in_key(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def deep_nodes(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted suffixes of a group, and the number of the depth-``min_words`` node of each."""
-    keys = records["key"]
-    order = np.lexsort(tuple(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)))
-    keys = keys[order]
-    shared = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1) if len(keys) else np.zeros(0, int)
-    return order, np.concatenate([[0], np.cumsum(shared < keys.shape[1])]) if len(keys) else order
+    blocks = _blocks(records)
+    order = np.lexsort(blocks[::-1])
+    if not len(order):
+        return order, order
+    shared, open_ = np.zeros(len(order) - 1, int), np.ones(len(order) - 1, bool)
+    for block in blocks:
+        block = block[order]
+        open_ &= block[1:] == block[:-1]
+        shared += open_
+    return order, np.concatenate([[0], np.cumsum(shared < len(blocks))])
 
 
 def _tree_step(table: pa.Table, min_words: int) -> pa.Table:
