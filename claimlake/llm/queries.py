@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, substring_dedup, token_files, toxicity
+from . import fingerprints, mixing, near_dedup, sampled_pieces, substring_dedup, token_files, toxicity
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op6_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
     "op7_token_files": lambda spark, d: token_files.digest(documents(spark, d)),
+    "op9_sampled_pieces": lambda spark, d: sampled_pieces.encode(documents(spark, d)),
     "op10_near_dedup": lambda spark, d: near_dedup.digest(documents(spark, d)),
 }
 
