@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, sampled_pieces, substring_dedup, token_files, toxicity
+from . import fingerprints, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": lambda spark, d: substring_dedup.digest(documents(spark, d)),
     "op2_toxicity": lambda spark, d: toxicity.digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op3_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
+    "op4_line_dedup": lambda spark, d: line_dedup.digest(spark.read.parquet(f"{d}/pages.parquet")),
     "op6_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
     "op7_token_files": lambda spark, d: token_files.digest(documents(spark, d)),
+    "op8_pseudonyms": lambda spark, d: pseudonyms.digest(documents(spark, d)),
     "op9_sampled_pieces": lambda spark, d: sampled_pieces.encode(documents(spark, d)),
     "op10_near_dedup": lambda spark, d: near_dedup.digest(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_line_dedup": line_dedup.SQL}
