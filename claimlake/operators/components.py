@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 
 
+def _jump(parents: DataFrame) -> DataFrame:
+    up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("up"))
+    return parents.join(up, "parent").select("id", F.col("up").alias("parent"))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
-    """Follow ``parent`` (never larger than ``id``) to its end, doubling the step each time."""
+    """Follow ``parent`` (never larger than ``id``) to its end, four steps a round."""
     while True:
-        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("up"))
-        twice = up.select(F.col("parent").alias("up"), F.col("up").alias("top"))
-        jumped = cut(parents.join(up, "parent").join(twice, "up").select("id", F.col("top").alias("parent"), (F.col("top") < F.col("parent")).alias("moved")))
+        near = _jump(parents)
+        far = _jump(near).select("id", F.col("parent").alias("far"))
+        jumped = cut(near.join(far, "id").select("id", F.col("far").alias("parent"), (F.col("far") < F.col("parent")).alias("moved")))
         parents = jumped.select("id", "parent")
         if jumped.filter("moved").isEmpty():
             return parents
@@ -30,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     found = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("near")))
-        roots = _roots(cut(both.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("parent"))))
+        roots = _roots(both.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("parent")))
         if found is None:
             found = roots.select("id", F.col("parent").alias("component"))
         else:
