@@ -86,43 +86,61 @@ def _roots(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(_child(node, np.full(len(tokens), k), tokens[:, k])), batch.column(0)], names=["node", "id"])
 
 
-def _branch(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
-    """One or two coordinates of each node, as its name decides: ``mean`` of them on the mean."""
-    for batch in batches:
-        node = batch.column(0).to_numpy().view(U64)
-        tokens = _tokens(batch.column(2))
-        for turn in range(2):
-            x = mix(node + U64(turn + 1))
-            k = (x % U64(COORDINATES)).astype(np.int64)
-            goes = np.ones(len(x), bool) if turn == 0 else (x >> U64(40)) < U64(int((mean - 1) * 2**24))
-            child = _child(node, k + COORDINATES * turn, tokens[np.arange(len(k)), k])
-            yield pa.RecordBatch.from_arrays([pa.array(child[goes]), batch.column(1).filter(pa.array(goes))], names=["node", "id"])
-
-
 def _least_matches(num: int, den: int) -> int:
     """Tokens that must agree: 5.5 standard deviations below the threshold."""
     s = num / den
     return int(COORDINATES * s - 5.5 * (COORDINATES * s * (1 - s)) ** 0.5)
 
 
-def _small_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a small node whose tokens and sizes allow a link."""
-    least = _least_matches(num, den)
+_STEP = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
+
+
+def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) -> Iterator[pa.RecordBatch]:
+    """Candidates (kind 0: a, b) and children (kind 1: node, id) of nodes, from rows sorted by node and id.
+
+    Small nodes are compared exhaustively.  The smallest document of a large node is compared with its
+    others, which go to one or two children each, den / num of them on the mean.  Only the last node's rows
+    (or its smallest document) are held from batch to batch.
+    """
+    least, held = _least_matches(num, den), None
     for batch in batches:
-        left, right = [], []
-        for members in batch.column(0):
-            ids = members.values.field("id").to_numpy()
-            n = members.values.field("n").to_numpy()
-            cls = members.values.field("class").to_numpy()
-            tokens = _tokens(members.values.field("tokens"))
-            i, j = np.triu_indices(len(ids), 1)
-            ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (cls[i] != cls[j])
-            i, j = i[ok], j[ok]
-            ok = (tokens[i] == tokens[j]).sum(axis=1) >= least
-            left.append(np.minimum(ids[i[ok]], ids[j[ok]]))
-            right.append(np.maximum(ids[i[ok]], ids[j[ok]]))
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"])
+        new = pa.table({**{c: batch.column(c) for c in ("node", "id", "class", "n", "size", "tokens")}, "old": pa.array(np.zeros(batch.num_rows, bool))})
+        rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        node, ids, cls, n, size, old = (rows.column(c).to_numpy() for c in ("node", "id", "class", "n", "size", "old"))
+        tokens = _tokens(rows.column("tokens"))
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        run = np.repeat(start, np.diff(np.append(start, len(node))))
+        tail = start[-1]
+        whole = np.ones(len(node), bool)  # rows of nodes that are complete, or large
+        if size[tail] <= small and len(node) - tail < size[tail]:
+            whole[tail:] = False
+            held = rows.slice(tail)
+        elif size[tail] > small:
+            held = rows.slice(tail, 1).set_column(rows.schema.get_field_index("old"), "old", pa.array([True]))
+        else:
+            held = None
+        pairs = [(run, np.arange(len(node)), (size > small) & (run != np.arange(len(node))) & ~old)]
+        for d in range(1, min(small, len(node))):
+            pairs.append((np.arange(len(node) - d), np.arange(d, len(node)), (node[d:] == node[:-d]) & (size[d:] <= small) & whole[d:]))
+        for i, j, may in pairs:
+            i, j = i[may], j[may]
+            may = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (cls[i] != cls[j])
+            i, j = i[may], j[may]
+            may = (tokens[i] == tokens[j]).sum(axis=1) >= least
+            a, b = ids[i[may]], ids[j[may]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_STEP)
+        go = np.flatnonzero((size > small) & ~old)
+        name = node[go].view(U64)
+        for turn in range(2):
+            x = mix(name + U64(turn + 1))
+            k = (x % U64(COORDINATES)).astype(np.int64)
+            on = np.ones(len(x), bool) if turn == 0 else (x >> U64(40)) < U64(int((den / num - 1) * 2**24))
+            child = _child(name, k + COORDINATES * turn, tokens[go, k])[on]
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(child), np.int32)), pa.array(child), pa.array(ids[go][on])], schema=_STEP)
 
 
 def _allowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -177,20 +195,16 @@ class _Join:
 
     def _level(self, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidates of one level and the next level's nodes."""
-        live = cut(self._open(frontier))
-        members = self._with_tokens(live.filter(F.col("size") <= self.small)).groupBy("node").agg(F.collect_list(F.struct("id", "n", "class", "tokens")).alias("members"))
-        pairs = members.select("members").mapInArrow(functools.partial(_small_pairs, num=self.num, den=self.den), "a long, b long")
-        large = self._with_tokens(live.filter(F.col("size") > self.small))
-        star = self._with_tokens(large.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")), "a", "_a")
-        star = star.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long")
-        children = large.select("node", "id", "tokens").mapInArrow(functools.partial(_branch, mean=self.den / self.num), "node long, id long")
-        return pairs.unionByName(star), children
+        rows = self._with_tokens(self._open(frontier)).select("node", "id", "class", "n", "size", "tokens")
+        rows = rows.repartition("node").sortWithinPartitions("node", "id")
+        step = cut(rows.mapInArrow(functools.partial(_node_step, num=self.num, den=self.den, small=self.small), "kind int, x long, y long"))
+        return step.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), step.filter("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("id"))
 
     def _open(self, frontier: DataFrame) -> DataFrame:
-        """Documents of the nodes that have several classes, with the node's size and smallest document."""
+        """Documents of the nodes that have several classes, with the node's size."""
         node = Window.partitionBy("node")
-        rows = self._with_class(frontier.distinct()).withColumns({"size": F.count("*").over(node), "first": F.min("id").over(node), "low": F.min("class").over(node), "high": F.max("class").over(node)})
-        return rows.filter("low < high").select("node", "id", "class", "size", "first")
+        rows = self._with_class(frontier).withColumns({"size": F.count("*").over(node), "low": F.min("class").over(node), "high": F.max("class").over(node)})
+        return rows.filter("low < high").select("node", "id", "class", "size")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -223,15 +237,17 @@ class _Join:
             for _ in range(self.levels):
                 pairs, frontier = self._level(frontier)
                 found = pairs if found is None else found.unionByName(pairs)
-            pairs, frontier = cut(found.distinct()), cut(frontier.distinct())
+            pairs = cut(found.distinct())
             if turn == 0:
                 ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(frontier.select("id")).distinct()
                 self.texts = cut(self.texts_of.join(ends, "id", "left_semi").distinct())
             self._link(pairs)
             left = cut(self._open(frontier))
-            if turn + 1 == self.rounds or self._work(left) <= self.rest_pairs:
+            work = self._work(left)
+            if turn + 1 == self.rounds or work <= self.rest_pairs:
                 break
-        self._rest(left)
+        if work:
+            self._rest(left)
         return self._result()
 
     def _work(self, left: DataFrame) -> int:
@@ -244,7 +260,7 @@ class _Join:
         x, y = (left.select("node", F.col("id").alias(f"id_{k}"), F.col("class").alias(f"class_{k}")) for k in "xy")
         rows = x.join(y, "node").filter("class_x < class_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
         rows = self._with_tokens(self._with_tokens(rows, "a", "_a"), "b", "_b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
-        self._link(cut(rows.mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long")))
+        self._merge(self._confirmed(rows.mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long")))
 
     def _result(self) -> DataFrame:
         rows = self.sketches.select("id", "n", "key")
