@@ -91,8 +91,9 @@ def _selected(batches: Iterator[pa.RecordBatch], features: np.ndarray) -> Iterat
             order = np.argsort(doc, kind="stable")
             inner, place = (sentence - first[doc])[order], place[row, col][order]
             ends = np.searchsorted(doc[order], np.arange(len(block) + 1))
-            lists = [np.stack([inner[x:y], place[x:y]], axis=1).ravel() for x, y in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([toxic.slice(start, len(block)), pa.array(n_sentences, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["toxic", "n", "pairs"])
+            both = np.stack([inner, place], axis=1).astype("<i4")
+            lists = [both[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([toxic.slice(start, len(block)), pa.array(n_sentences, pa.int64()), pa.array(lists, pa.binary())], names=["toxic", "n", "pairs"])
 
 
 @dataclass
@@ -134,7 +135,7 @@ def fit(toxic: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray], n_f
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, n_features: int = 4096) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: int = 2048, least_log_ratio: float = 1.0) -> Model | None:
     """Fit to at most ``per_class`` labelled rows of each class that are not held out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
@@ -146,21 +147,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, n_features:
     counts = sample.mapInArrow(_counts, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     r1, r0 = (F.col("n1") + 0.5) / (sizes[1] + 1.0), (F.col("n0") + 0.5) / (sizes[0] + 1.0)
     strength = F.abs(F.log(r1 / r0)) * F.sqrt(F.col("n1") + F.col("n0"))
-    best = counts.filter("n1 + n0 >= 3").orderBy(strength.desc(), "feature").limit(n_features).select("feature").collect()
+    best = counts.filter((F.col("n1") + F.col("n0") >= 3) & (F.abs(F.log(r1 / r0)) >= least_log_ratio)).orderBy(strength.desc(), "feature").limit(n_features).select("feature").collect()
     if not best:
         return None
     features = np.sort(np.array([r.feature for r in best], np.int64))
-    rows = sample.mapInArrow(functools.partial(_selected, features=features), "toxic long, n long, pairs array<long>").toPandas()  # bounded by the sample
-    order = np.lexsort((rows.n.to_numpy(), rows.toxic.to_numpy()))
-    rows = rows.iloc[order]
-    weights, bias = fit(rows.toxic.to_numpy(), rows.n.to_numpy(), [np.asarray(p, np.int64) for p in rows.pairs], len(features))
+    rows = sample.mapInArrow(functools.partial(_selected, features=features), "toxic long, n long, pairs binary").toArrow()  # bounded by the sample
+    toxic, n, pairs = rows.column("toxic").to_numpy(), rows.column("n").to_numpy(), rows.column("pairs").to_pylist()
+    order = sorted(range(len(pairs)), key=lambda i: (toxic[i], n[i], pairs[i]))  # sums do not depend on how rows arrive
+    weights, bias = fit(toxic[order], n[order], [np.frombuffer(pairs[i], "<i4").astype(np.int64) for i in order], len(features))
     return Model(features, weights, bias)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model | None, sentences: bool) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model | None, sentences: bool, text_at: int, n_keep: int, name: str) -> Iterator[pa.RecordBatch]:
     table = model.table() if model else None
     for batch in batches:
-        for start, block in text_blocks(batch.column(batch.num_columns - 1).to_pylist()):
+        for start, block in text_blocks(batch.column(text_at).to_pylist()):
             b = bags(block)
             z = np.full(len(b.doc), model.bias if model else -np.inf)
             if model:
@@ -169,24 +170,29 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model | None, sentences: bo
                 code = np.unique(b.sentence[col] * BUCKETS + b.features[row, col])  # each feature once a sentence
                 z += np.bincount(code // BUCKETS, weights=table[code % BUCKETS], minlength=len(z))
             total = np.bincount(b.doc, weights=np.logaddexp(0, z), minlength=len(block))
-            columns = [batch.column(k).slice(start, len(block)) for k in range(batch.num_columns)]
+            columns = [batch.column(k).slice(start, len(block)) for k in range(n_keep)]
+            names = batch.schema.names[:n_keep]
             score = pa.array(np.abs(np.expm1(-total)), pa.float64())
             if not sentences:
-                yield pa.RecordBatch.from_arrays([*columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*columns, score], names=[*names, name])
                 continue
             found: list[list] = [[] for _ in block]
             raw = b.buffer.tobytes()
             for s in np.flatnonzero(z >= 0):
                 a, after = np.searchsorted(b.sentence, [s, s + 1])
                 found[b.doc[s]].append({"sentence": raw[b.starts[a] : b.ends[after - 1]].decode("utf-8", "replace"), "score": float(1 / (1 + np.exp(-z[s])))})
-            yield pa.RecordBatch.from_arrays([*columns[:-1], score, pa.array(found, pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())])))], names=[*batch.schema.names[:-1], "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*columns, score, pa.array(found, pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())])))], names=[*names, name, "offending"])
 
 
-def scored(docs: DataFrame, model: Model | None, keep: list[str], sentences: bool = False) -> DataFrame:
-    """``keep``, ``score`` and, if asked for, ``offending`` (sentences of at least one half) of each row."""
+def scored(docs: DataFrame, model: Model | None, keep: list[str], sentences: bool = False, name: str = "score") -> DataFrame:
+    """``keep``, the score as ``name`` and, if asked for, ``offending`` (sentences of at least one half) of each row."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    schema = ", ".join([*kept, "score double", *(["offending array<struct<sentence:string,score:double>>"] if sentences else [])])
-    return docs.select(*keep, F.col("text").alias("scored_text")).mapInArrow(functools.partial(_score, model=model, sentences=sentences), schema)
+    if "text" in keep:
+        rows, at = docs.select(*keep), keep.index("text")
+    else:
+        rows, at = docs.select(*keep, "text"), len(keep)
+    schema = ", ".join([*kept, f"`{name}` double", *(["offending array<struct<sentence:string,score:double>>"] if sentences else [])])
+    return rows.mapInArrow(functools.partial(_score, model=model, sentences=sentences, text_at=at, n_keep=len(keep), name=name), schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
