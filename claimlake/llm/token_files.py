@@ -294,7 +294,7 @@ def read_token_files(files: DataFrame, folder: str, width: str = "<u2") -> DataF
     """Read the files of ``write_token_files`` back by their indexes and check every record."""
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "name").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row for each file
-    return placed.select("name", "start").repartition("name").mapInArrow(lambda b: _read(b, folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("name", "start").repartition(max(1, min(10_000, files.count())), "name").mapInArrow(lambda b: _read(b, folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
