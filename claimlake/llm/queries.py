@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity
+from . import fingerprints, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity, vp_search
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": lambda spark, d: toxicity.digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op3_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op4_line_dedup": lambda spark, d: line_dedup.digest(spark.read.parquet(f"{d}/pages.parquet")),
+    "op5_vp_search": lambda spark, d: vp_search.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op6_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
     "op7_token_files": lambda spark, d: token_files.digest(documents(spark, d)),
     "op8_pseudonyms": lambda spark, d: pseudonyms.digest(documents(spark, d)),
