@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 from .words import U64, text_blocks, words_of
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 21
+BLOCK = 1 << 19  # bytes of text handled at a time
 PREFIXES = (4, 5, 6)
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -58,7 +59,7 @@ def bags(block: list[bytes]) -> Bags:
     doc = w.doc()
     mark = np.cumsum(_ENDS[w.buffer])[w.starts]
     new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])])
-    features = (np.concatenate([w.hashes[None], w.prefixes]) & U64(BUCKETS - 1)).astype(np.int64)
+    features = (np.concatenate([w.hashes[None], w.prefixes]) & U64(BUCKETS - 1)).astype(np.int32)
     return Bags(w.buffer, w.starts, w.ends, np.cumsum(new) - 1, doc[new], features)
 
 
@@ -66,10 +67,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that hold each feature, summed by task."""
     for batch in batches:
         toxic = batch.column(1).to_numpy()
-        for start, block in text_blocks(batch.column(0).to_pylist()):
+        for start, block in text_blocks(batch.column(0).to_pylist(), BLOCK):
             b = bags(block)
             doc = b.doc[b.sentence]
-            pairs = np.unique(np.concatenate([doc * BUCKETS + f for f in b.features]))
+            pairs = np.unique(np.concatenate([doc * BUCKETS + f.astype(np.int64) for f in b.features]))
             feature, label = pairs % BUCKETS, toxic[start + pairs // BUCKETS]
             found, which = np.unique(feature, return_inverse=True)
             n1 = np.bincount(which, weights=label, minlength=len(found)).astype(np.int64)
@@ -80,7 +81,7 @@ def _selected(batches: Iterator[pa.RecordBatch], features: np.ndarray) -> Iterat
     """For each document: label, number of sentences, and (sentence, place of the feature) pairs."""
     for batch in batches:
         toxic = batch.column(1)
-        for start, block in text_blocks(batch.column(0).to_pylist()):
+        for start, block in text_blocks(batch.column(0).to_pylist(), BLOCK):
             b = bags(block)
             place = np.searchsorted(features, b.features).clip(max=len(features) - 1)
             row, col = np.nonzero(features[place] == b.features)
@@ -161,13 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features:
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, sentences: bool, text_at: int, n_keep: int, name: str) -> Iterator[pa.RecordBatch]:
     table = model.table() if model else None
     for batch in batches:
-        for start, block in text_blocks(batch.column(text_at).to_pylist()):
+        for start, block in text_blocks(batch.column(text_at).to_pylist(), BLOCK):
             b = bags(block)
             z = np.full(len(b.doc), model.bias if model else -np.inf)
             if model:
                 hits = table[b.features]
                 row, col = np.nonzero(hits)
-                code = np.unique(b.sentence[col] * BUCKETS + b.features[row, col])  # each feature once a sentence
+                code = np.unique(b.sentence[col] * BUCKETS + b.features[row, col].astype(np.int64))  # each feature once a sentence
                 z += np.bincount(code // BUCKETS, weights=table[code % BUCKETS], minlength=len(z))
             total = np.bincount(b.doc, weights=np.logaddexp(0, z), minlength=len(block))
             columns = [batch.column(k).slice(start, len(block)) for k in range(n_keep)]
