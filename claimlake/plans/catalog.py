@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, metrics, relational, retrieval
+from ..operators import claims, duplicates, features, graph, metrics, relational, retrieval
 from ..operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,3 +447,34 @@ def q1_q2_o5_ocr_selection(t):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def t4_hourly_events(t):
     return t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@query()
+def k1_k13_x3_claim_features(t):
+    typed = claims.typed(claims.sentences(t("conversations").withColumn("post_id", F.concat_ws(":", "conv_id", "turn")), "post_id", "text"))
+    return features.claim_features(typed, claims.atoms(typed))
+
+
+@query()
+def k12_r2_queries(t):
+    return claims.queries(claims.typed(claims.sentences(t("benchmark").withColumn("post_id", F.col("item_id").cast("string")), "post_id", "text")))
+
+
+@query("SELECT l_orderkey AS post_id, count(*) AS evidence_count, count(DISTINCT l_suppkey) AS independent_source_count, count(*) FILTER (l_returnflag = 'A') AS supports_count, count(*) FILTER (l_returnflag = 'R') AS contradicts_count, round(count(*) FILTER (l_returnflag = 'A') / count(*), 4) AS supports_ratio, round(count(DISTINCT l_suppkey) / count(*), 4) AS source_diversity FROM lineitem GROUP BY l_orderkey")
+def x4_x6_relation_features(t):
+    relation = F.when(F.col("l_returnflag") == "A", "SUPPORTS").when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("NEUTRAL")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("post_id"), relation.alias("relation"), F.col("l_suppkey").alias("source"))
+    return features.relation_features(rows).select("post_id", "evidence_count", "independent_source_count", "supports_count", "contradicts_count", "supports_ratio", "source_diversity")
+
+
+@query("SELECT lang, count(*) AS domain_count, count(DISTINCT h) AS unique_domain_count FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1) AS lang, coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ''), 'unknown_domain') AS h FROM pages) GROUP BY lang")
+def x8_domain_features(t):
+    rows = t("pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)", 1).alias("lang"), "url")
+    return features.domain_features(rows, "lang").select("lang", "domain_count", "unique_domain_count")
+
+
+@query()
+def d3_j8_j9_canonical(t):
+    rows = t("benchmark").select(F.col("item_id").alias("ordinal"), "text", F.lit(None).cast("long").alias("image_hash"))
+    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("ordinal"), "text", F.lit(None).cast("long").alias("image_hash"))
+    return duplicates.canonicalise(rows.unionByName(turns))
