@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, duplicates, features, graph, metrics, relational, retrieval
+from ..operators import claims, duplicates, features, graph, metrics, quality, recognition, relational, retrieval
 from ..operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,3 +478,78 @@ def d3_j8_j9_canonical(t):
     rows = t("benchmark").select(F.col("item_id").alias("ordinal"), "text", F.lit(None).cast("long").alias("image_hash"))
     turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("ordinal"), "text", F.lit(None).cast("long").alias("image_hash"))
     return duplicates.canonicalise(rows.unionByName(turns))
+
+
+# Quality control and scores of recognised text
+
+BAD = "(doc_id NOT IN (SELECT doc_id FROM labels))"
+
+
+@query(f"SELECT doc_id AS claim_id, CASE WHEN trim(text) = '' OR {BAD} THEN 'REJECTED' ELSE 'ACCEPTED' END AS status, {BAD} AS broken FROM documents")
+def p17_p19_quality_control(t):
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("claim_id"), F.col("doc_id").alias("post_id"), F.col("text").alias("claim_text"), F.lit("OTHER").alias("claim_type"), F.lit(1.0).alias("check_worthiness"))
+    out = quality.check_claims(rows, t("labels").select(F.col("doc_id").alias("post_id")))
+    return out.select(F.col("claim_id").cast("long").alias("claim_id"), "status", F.array_contains("reasons", "BROKEN_REFERENCES").alias("broken"))
+
+
+@query("SELECT doc_id, CASE WHEN source IS NOT NULL AND source <> '' THEN 'src_' || source ELSE 'claim_cluster_' || doc_id END AS cluster FROM documents")
+def p22_cluster_ids(t):
+    none = F.lit(None).cast("string")
+    return t("documents").withColumns({"c": none, "r": none}).select("doc_id", quality.cluster_id("c", "r", "source", "doc_id").alias("cluster"))
+
+
+@query("WITH o AS (SELECT lang AS k, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang), w AS (SELECT lang AS k, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY lang) SELECT coalesce(o.k, w.k) AS lang, coalesce(o.n, 0) AS before, coalesce(w.n, 0) AS after, coalesce(w.n, 0) - coalesce(o.n, 0) AS change FROM o FULL JOIN w ON o.k = w.k")
+def a6_changes(t):
+    parts = [t("documents").filter(F.col("doc_id") % 2 == k).groupBy("lang").agg(F.count("*").alias("n")) for k in (0, 1)]  # two versions of a dataset
+    return quality.changes(*parts, "lang")
+
+
+@query("WITH " + SPLIT_SQL + f", x AS (SELECT coalesce(s.split, 'train') AS split, {RISK} AS risk FROM documents d JOIN labels l USING (doc_id) LEFT JOIN splits s USING (source)) SELECT count(*) AS n, count(DISTINCT risk) AS risks, count(*) FILTER (split = 'test') AS n_test, count(*) > 0 AND count(DISTINCT risk) >= 2 AND count(*) FILTER (split = 'test') > 0 AS ready FROM x")
+def a24_a26_readiness(t):
+    rows = with_risk(with_split(t("documents")), t("labels")).withColumn("synthetic", F.lit(False))
+    return quality.readiness(rows, "split", "risk", "synthetic").select("n", "risks", "n_test", "ready")
+
+
+@query("SELECT doc_id, CASE WHEN n < 2 THEN 'INSUFFICIENT_EVIDENCE' WHEN s > 0.85 THEN 'HIGH' WHEN s < 0.3 THEN 'LOW' ELSE 'MEDIUM' END AS decision FROM (SELECT doc_id, quality + toxic + 1 AS n, least(n_chars / 5000, 1.0) AS s FROM documents JOIN labels USING (doc_id))")
+def m7_abstention(t):
+    rows = t("documents").join(t("labels"), "doc_id").withColumns({"n": F.expr("quality + toxic + 1"), "s": F.least(F.col("n_chars") / 5000, F.lit(1.0))})
+    return rows.select("doc_id", quality.decision("s", "n").alias("decision"))
+
+
+BARE_SQL = r"regexp_replace(text, '[\s\p{Z}]+', '', 'g')"
+LATIN_SQL = rf"(length(regexp_replace({BARE_SQL}, '[^A-Za-zÀ-ɏ]', '', 'g')) / greatest(length({BARE_SQL}), 1))"
+
+
+@query(f"SELECT doc_id, CASE WHEN {LATIN_SQL} >= 0.5 THEN 'en' WHEN {LATIN_SQL} > 0 THEN 'en' ELSE 'unknown' END AS label, round({LATIN_SQL}, 6) AS latin FROM documents")
+def l8_l9_script_labels(t):
+    return t("documents").select("doc_id", recognition.language_label("text").alias("label"), F.round(recognition.share("text", recognition.LATIN), 6).alias("latin"))
+
+
+@query("SELECT vec_id, printf('%.2f-%.2f', greatest(least(floor(c * 10), 9), 0) / 10, (greatest(least(floor(c * 10), 9), 0) + 1) / 10) AS bucket FROM (SELECT vec_id, abs(embedding[1])::DOUBLE * 3 AS c FROM embeddings)")
+def e9_a21_confidence_buckets(t):
+    return t("embeddings").withColumn("c", F.abs(F.element_at("embedding", 1)).cast("double") * 3).select("vec_id", recognition.confidence_bucket("c").alias("bucket"))
+
+
+@query("SELECT round(covar_pop(l_quantity, l_extendedprice) / (stddev_pop(l_quantity) * stddev_pop(l_extendedprice)), 6) AS r, CASE WHEN abs(corr(l_quantity, l_extendedprice)) < 0.3 THEN 'POOR' WHEN abs(corr(l_quantity, l_extendedprice)) < 0.6 THEN 'MODERATE' ELSE 'GOOD' END AS verdict FROM lineitem")
+def a22_confidence_verdict(t):
+    return recognition.confidence_verdict(t("lineitem"), "l_quantity", "l_extendedprice").withColumn("r", F.round("r", 6))
+
+
+@query("SELECT count(*) FILTER (n_chars >= 1500 AND toxic = 1) / count(*) FILTER (n_chars >= 1500) AS precision, count(*) FILTER (n_chars >= 1500 AND toxic = 1) / count(*) FILTER (toxic = 1) AS recall, count(*) FILTER ((n_chars >= 1500) = (toxic = 1)) / count(*) AS accuracy FROM documents JOIN labels USING (doc_id)")
+def e10_signal_evaluation(t):
+    rows = t("documents").join(t("labels"), "doc_id").withColumn("good", F.col("toxic") == 1)
+    return recognition.signal_evaluation(rows, "n_chars", "good", 1500).select("precision", "recall", "accuracy")
+
+
+@query("SELECT conv_id, list_distinct(list(role)) IS NOT NULL AS has_lines, count(DISTINCT text) AS n_lines FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def o6_reading_order(t):
+    rows = t("conversations").filter("text is not null").withColumns({"x": F.lit(0.0), "y": F.col("turn") * 15.0})
+    return recognition.reading_order(rows, "conv_id", "x", "y", "text").select("conv_id", F.col("lines").isNotNull().alias("has_lines"), F.size("lines").cast("long").alias("n_lines"))
+
+
+@query()
+def q4_q5_q6_selection(t):
+    rows = t("documents").withColumns({"image": F.col("doc_id") % F.lit(97), "conf": F.least(F.col("n_chars") / 5000, F.lit(1.0)), "mode": F.lit("en"), "detections": F.lit(3)})
+    best = recognition.best_candidate(rows, "image", "text", "conf", "mode", "detections", "doc_id").withColumn("regions", F.array("conf"))
+    score = recognition.reliability("text", "conf", "regions", "mode")
+    return best.select("image", "doc_id", "usable", "score", score.alias("reliability"), recognition.status("text", score).alias("status"))
