@@ -16,7 +16,8 @@ a class already found adds nothing: each document is first confirmed against its
 smallest candidate, and then only candidates of different classes are.  After each round
 of ``levels`` the nodes whose documents have one class are finished (a dense group of near
 copies).  When at most ``rest_pairs`` pairs of different classes are left in large nodes, or
-after all rounds, these are compared exactly; more rounds only make fewer of them.
+after all rounds, these are compared exhaustively, block by block, on their full sets; a task returns only as many
+links as join its classes.  More rounds only make fewer of them.
 
 Documents with the same set are one from the start, so copies are never paired.
 """
@@ -143,14 +144,65 @@ def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(child), np.int32)), pa.array(child), pa.array(ids[go][on])], schema=_STEP)
 
 
-def _allowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, n_a, n_b, tokens_a, tokens_b) that allow a link."""
-    least = _least_matches(num, den)
-    for batch in batches:
-        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        ok = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((_tokens(batch.column(4)) == _tokens(batch.column(5))).sum(axis=1) >= least)
-        kept = batch.filter(pa.array(ok))
-        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs (left, right), by products of 0/1 matrices."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, n = np.unique(values, return_inverse=True, return_counts=True)
+    shared = n[place] > 1
+    _, place = np.unique(place[shared], return_inverse=True)
+    owner = owner[shared]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        x, y = np.searchsorted(place, [at, at + columns])
+        has = np.zeros((len(sets), columns), np.float32)
+        has[owner[x:y], place[x:y] - at] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def _block_links(table: pa.Table, shingle: int, fold: bool, num: int, den: int) -> pa.Table:
+    """Links between two blocks of a node (or inside one), as few as join the same classes."""
+    ids, cls, n, block, lo, hi = (table.column(c).to_numpy() for c in ("id", "class", "n", "block", "lo", "hi"))
+    tokens = _tokens(table.column("tokens"))
+    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(COORDINATES):
+        agree += tokens[left, k][:, None] == tokens[right, k][None, :]
+    may = (agree >= _least_matches(num, den)) & (cls[left][:, None] != cls[right][None, :])
+    may &= den * np.minimum(n[left][:, None], n[right][None, :]) >= num * np.maximum(n[left][:, None], n[right][None, :])
+    left, right = left[may.any(axis=1)], right[may.any(axis=0)]
+    if not len(left):
+        return _LINKS.empty_table()
+    some = np.unique(np.concatenate([left, right]))
+    texts = table.column("text").take(pa.array(some)).to_pylist()
+    sets: list[np.ndarray] = []
+    for _, part in text_blocks(texts, 1 << 20):
+        hashes, offsets = shingle_sets(part, shingle, fold)
+        sets += [hashes[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
+    x, y = np.searchsorted(some, left), np.searchsorted(some, right)
+    size = np.array([len(v) for v in sets])
+    both = _common(sets, x, y)
+    linked = (den * both >= num * (size[x][:, None] + size[y][None, :] - both)) & (cls[left][:, None] != cls[right][None, :])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        p, q = root(int(cls[left[i]])), root(int(cls[right[j]]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(ids[left[i]]), int(ids[right[j]])))
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], schema=_LINKS)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], n: int, fold: bool, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -174,9 +226,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, fold: bool, num: int, de
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, rest_pairs: int):
+    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, rest_pairs: int, block: int):
         self.num, self.den, self.small, self.trees, self.levels = num, den, small, trees, levels
-        self.rounds, self.rest_pairs = rounds, rest_pairs
+        self.rounds, self.rest_pairs, self.block = rounds, rest_pairs, block
         self.shingle, self.fold = shingle, fold
         self.texts_of = docs
         self.sketches = cut(docs.mapInArrow(functools.partial(_sketch, n=shingle, fold=fold), "id long, n long, key binary, tokens binary"))
@@ -256,11 +308,14 @@ class _Join:
         return int(sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
 
     def _rest(self, left: DataFrame) -> None:
-        """Exact: all pairs of different classes in the nodes that never became small."""
-        x, y = (left.select("node", F.col("id").alias(f"id_{k}"), F.col("class").alias(f"class_{k}")) for k in "xy")
-        rows = x.join(y, "node").filter("class_x < class_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-        rows = self._with_tokens(self._with_tokens(rows, "a", "_a"), "b", "_b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
-        self._merge(self._confirmed(rows.mapInArrow(functools.partial(_allowed, num=self.num, den=self.den), "a long, b long")))
+        """Exact: all pairs of different classes in the nodes that never became small, in blocks of documents."""
+        blocks = F.ceil(F.col("size") / self.block).cast("int")
+        rows = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.select("node", "id", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("node", "id", "class", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        rows = self._with_tokens(rows).join(self.texts, "id").select("node", "lo", "hi", "id", "class", "block", "n", "tokens", "text")
+        step = functools.partial(_block_links, shingle=self.shingle, fold=self.fold, num=self.num, den=self.den)
+        self._merge(rows.groupBy("node", "lo", "hi").applyInArrow(lambda t: step(t), "a long, b long"))
 
     def _result(self) -> DataFrame:
         rows = self.sketches.select("id", "n", "key")
@@ -271,7 +326,7 @@ class _Join:
         return rows.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, rest_pairs: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, rest_pairs: int = 50_000_000, block: int = 512) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row.
 
     Rows are linked when ``threshold[1] * |A & B| >= threshold[0] * |A | B|`` over their sets of
@@ -280,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is null has a null component and is kept.  Rows with one id share its component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, rest_pairs).run()
+    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, rest_pairs, block).run()
 
 
 def digest(docs: DataFrame) -> DataFrame:
