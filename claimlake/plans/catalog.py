@@ -437,11 +437,11 @@ def e11_cosine(t):
     return a.join(b, "vec_id").select("vec_id", F.round(metrics.cosine("p", "q"), 6).alias("cosine"))
 
 
-@query("SELECT doc_id, round(0.45 * least(n_chars / 5000, 1.0) + 0.25 * (lang = 'en')::INT + 0.15 * least(length(text) / 50, 1.0) + 0.15 * least(quality / 10, 1.0), 4)::DOUBLE AS score, text <> '' AND least(n_chars / 5000, 1.0) >= 0.60 AS usable FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id, round(0.45 * least(n_chars / 5000, 1.0) + 0.25 * (lang = 'en')::INT + 0.15 * least(length(text) / 50, 1.0) + 0.15 * least(quality / 10, 1.0), 6)::DOUBLE AS score, text <> '' AND least(n_chars / 5000, 1.0) >= 0.60 AS usable FROM documents JOIN labels USING (doc_id)")
 def q1_q2_o5_ocr_selection(t):
     conf = F.least(F.col("n_chars") / 5000, F.lit(1.0))
     score = 0.45 * conf + 0.25 * (F.col("lang") == "en").cast("int") + 0.15 * F.least(F.length("text") / 50, F.lit(1.0)) + 0.15 * F.least(F.col("quality") / 10, F.lit(1.0))
-    return t("documents").join(t("labels"), "doc_id").select("doc_id", F.round(score, 4).alias("score"), ((F.col("text") != "") & (conf >= 0.60)).alias("usable"))
+    return t("documents").join(t("labels"), "doc_id").select("doc_id", F.round(score, 6).alias("score"), ((F.col("text") != "") & (conf >= 0.60)).alias("usable"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
