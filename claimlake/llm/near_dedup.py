@@ -292,7 +292,7 @@ class _Join:
             pairs = cut(found.distinct())
             if turn == 0:
                 ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(frontier.select("id")).distinct()
-                self.texts = cut(self.texts_of.join(ends, "id", "left_semi").distinct())
+                self.texts = cut(self.texts_of.join(ends.hint("merge"), "id", "left_semi").distinct())  # ids grow with the corpus: never a broadcast
             self._link(pairs)
             left = cut(self._open(frontier))
             work = self._work(left)
