@@ -50,7 +50,7 @@ def test_substring_dedup_of_a_long_text_and_a_common_passage(spark):
     assert {r.id: r.n_removed for r in out} == {0: 0, 1000: 0, **{i: 20 for i in range(1, 300)}}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 4, "rounds": 2}])
+@pytest.mark.parametrize("options", [{}, {"small": 4, "rounds": 2, "block": 8}])
 def test_near_dedup_matches_brute_force(spark, options):
     rnd = random.Random(3)
     base = [[rnd.choice("abcdefgh") + str(rnd.randrange(300)) for _ in range(60)] for _ in range(6)]
