@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that most of their source's documents share."""
-    rows = line_dedup.drop_boilerplate(docs, "source", "text")
+    """Documents without the lines that over 5 % of their source's documents share, 5 documents at least."""
+    rows = line_dedup.drop_boilerplate(docs, "source", "text", ratio=0.05, least_pages=5)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

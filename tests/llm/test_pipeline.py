@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from claimlake.llm import mixing, toxicity
+from claimlake.llm import line_dedup, mixing, toxicity
 
 from . import brute
 
@@ -27,3 +27,21 @@ def test_pipeline_matches_plain_versions(spark):
     assert after.count() == mixing.with_copies(before).agg(F.sum("mix_copies")).first()[0]
     before, after = seen["piece sampling"]
     assert after.count() == before.count() and after.filter("not lossless").count() == 0
+
+
+def lines_of(out, key="doc_id"):
+    return {r[key]: r.text.split("\n") for r in out.collect()}
+
+
+def test_line_stage_drops_planted_lines_and_no_others(spark):
+    rows = [(i, f"own {i}\n" + ("planted\n" if i % 10 == 0 else "") + ("rare\n" if i < 6 else "") + f"end {i}", "en", "ab"[i % 2]) for i in range(400)]
+    rows += [(1000 + i, f"own {i}\n" + ("few" if i < 4 else f"end {i}"), "en", "small") for i in range(10)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r[0]: [x for x in r[1].split("\n") if x != "planted"] for r in rows}
+    assert lines_of(corpus_pipeline.drop_lines(spark, docs, SF)) == want
+
+
+def test_line_digest_drops_planted_lines_and_no_others(spark):
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<p>own {i}</p>" + ("<p>planted</p>" if i % 5 < 2 else "") + f"<p>end {i}</p>") for i in range(60)]
+    out = lines_of(line_dedup.digest(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all([x for x in out[i] if x] == [f"own {i}", f"end {i}"] for i in range(60))
