@@ -8,7 +8,8 @@ A host has at most (mean distinct lines per page) / ``ratio`` such lines, so its
 small whatever its number of pages; the lists of all hosts are broadcast only when they are few.
 Hot hosts and lines are summed before the exchange.
 
-Null texts stay null, null hosts are one host, repeated rows count as pages.
+Null texts stay null, null hosts are one host.  Repeated rows count as pages, or with ``once`` texts with
+the same lines count as one page of their host, so copies alone make no line boilerplate.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ def _names(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.when(bare(x) != "", F.struct(F.xxhash64(bare(x)).alias("h"), F.xxhash64(F.lit(7), bare(x)).alias("g"))))
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.3, least_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.3, least_pages: int = 3, once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_seen``, ``lines_dropped``."""
     key = F.coalesce(F.col(host_col), F.lit("\0"))
     names = pages.select(key.alias("line_host"), F.filter(F.array_distinct(_names(F.split(text_col, "\n"))), lambda x: x.isNotNull()).alias("names"))
+    if once:
+        names = names.distinct()
     totals = names.groupBy("line_host").agg(F.count("*").alias("total"))
     counts = names.select("line_host", F.explode("names").alias("name")).groupBy("line_host", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     frequent = counts.join(totals, "line_host").filter(F.col("n") > ratio * F.col("total"))

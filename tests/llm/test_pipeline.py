@@ -45,3 +45,11 @@ def test_line_digest_drops_planted_lines_and_no_others(spark):
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<p>own {i}</p>" + ("<p>planted</p>" if i % 5 < 2 else "") + f"<p>end {i}</p>") for i in range(60)]
     out = lines_of(line_dedup.digest(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert all([x for x in out[i] if x] == [f"own {i}", f"end {i}"] for i in range(60))
+
+
+def test_line_stage_keeps_the_text_of_copies(spark):
+    clean = "a clean text\nof three\n\nlines"
+    rows = [(i, clean if i % 3 == 0 else f"own {i}\nplanted\nend {i}", "en", "abc"[i % 2]) for i in range(120)] + [(500 + i, clean, "en", "c") for i in range(6)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = lines_of(corpus_pipeline.drop_lines(spark, docs, SF))
+    assert out == {r[0]: [x for x in r[1].split("\n") if x != "planted"] for r in rows}
