@@ -6,18 +6,17 @@ its documents to one child for each coordinate that the node selects, named by t
 document's token there, so documents of similarity s stay together with probability s
 for each coordinate.  Nodes of at most ``small`` documents are compared exhaustively by
 their tokens; from a larger node its smallest document is compared with all others, and
-the node branches on to 1 / threshold children on the mean, so pairs below the
-threshold part in the end.  ``trees`` independent trees, two root coordinates each, set
-the recall: a pair at 0.85 shares none of 12 roots with a probability of 1e-10; where
-each path passes two large nodes, it is missed with a probability of about 1e-4.
+the node branches on: in the first round to 1 / threshold children on the mean, then to more
+(``plan``), as a pair at the threshold would be lost with depth else.  There are ``trees`` independent
+trees, two root coordinates each, or more where the threshold asks for it: a pair at the threshold whose
+paths pass large nodes on all levels is missed with a probability of at most ``MISSED``, whatever the input's size.
 
 Candidates are confirmed on the full sets.  As only classes are asked for, a link inside
 a class already found adds nothing: each document is first confirmed against its
 smallest candidate, and then only candidates of different classes are.  After each round
 of ``levels`` the nodes whose documents have one class are finished (a dense group of near
-copies).  When at most ``rest_pairs`` pairs of different classes are left in large nodes, or
-after all rounds, these are compared exhaustively, block by block, on their full sets; a task returns only as many
-links as join its classes.  More rounds only make fewer of them.
+copies).  A large node with at most ``node_pairs`` pairs of different classes, and after all rounds every one,
+is compared exhaustively, block by block, on full sets; a task returns only as many links as join its classes.
 
 Documents with the same set are one from the start, so copies are never paired.
 """
@@ -25,6 +24,7 @@ Documents with the same set are one from the start, so copies are never paired.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,7 @@ from .shared import cut
 from .words import U64, mix, pair_hash, shingle_sets, text_blocks
 
 COORDINATES = 64
+MISSED = 0.005  # of isolated pairs at the threshold, at most
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
 _SHIFTS = mix(_SEEDS)
 
@@ -93,14 +94,36 @@ def _least_matches(num: int, den: int) -> int:
     return int(COORDINATES * s - 5.5 * (COORDINATES * s * (1 - s)) ** 0.5)
 
 
+def missed(threshold: float, trees: int, extra: list[float]) -> float:
+    """Share of pairs at the threshold that no tree keeps together, over levels with these chances of a second child."""
+    out = 0.0
+    for k in range(COORDINATES + 1):  # tokens that agree
+        s, stays = k / COORDINATES, 1.0
+        for e in reversed(extra):
+            stays = 1 - (1 - s * stays) * (1 - e * s * stays)
+        out += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * (1 - s * stays) ** (2 * trees)
+    return out
+
+
+def plan(threshold: float, trees: int, levels: int, rounds: int) -> tuple[int, list[float]]:
+    """Trees (these at least), and for each round a node's chance of a second child, that keep to ``MISSED``."""
+    first = min(1.0, 1 / threshold - 1)
+    for trees in range(trees, COORDINATES // 2 + 1):
+        for later in np.arange(first, 1.02, 0.02):
+            chances = [first] + [min(1.0, float(later))] * (rounds - 1)
+            if missed(threshold, trees, [e for e in chances for _ in range(levels)]) <= MISSED:
+                return trees, chances
+    return trees, [1.0] * rounds
+
+
 _STEP = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
 
-def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) -> Iterator[pa.RecordBatch]:
+def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int, second: float) -> Iterator[pa.RecordBatch]:
     """Candidates (kind 0: a, b) and children (kind 1: node, id) of nodes, from rows sorted by node and id.
 
     Small nodes are compared exhaustively.  The smallest document of a large node is compared with its
-    others, which go to one or two children each, den / num of them on the mean.  Only the last node's rows
+    others, which go to one or two children each, 1 + ``second`` of them on the mean.  Only the last node's rows
     (or its smallest document) are held from batch to batch.
     """
     least, held = _least_matches(num, den), None
@@ -138,7 +161,7 @@ def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int
         for turn in range(2):
             x = mix(name + U64(turn + 1))
             k = (x % U64(COORDINATES)).astype(np.int64)
-            on = np.ones(len(x), bool) if turn == 0 else (x >> U64(40)) < U64(int((den / num - 1) * 2**24))
+            on = np.ones(len(x), bool) if turn == 0 else (x >> U64(40)) < U64(int(second * 2**24))
             child = _child(name, k + COORDINATES * turn, tokens[go, k])[on]
             if len(child):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(child), np.int32)), pa.array(child), pa.array(ids[go][on])], schema=_STEP)
@@ -226,9 +249,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, fold: bool, num: int, de
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, rest_pairs: int, block: int):
-        self.num, self.den, self.small, self.trees, self.levels = num, den, small, trees, levels
-        self.rounds, self.rest_pairs, self.block = rounds, rest_pairs, block
+    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, node_pairs: int, block: int):
+        self.num, self.den, self.small, self.levels = num, den, small, levels
+        self.rounds, self.node_pairs, self.block = rounds, node_pairs, block
+        self.trees, self.second = plan(num / den, trees, levels, rounds)
         self.shingle, self.fold = shingle, fold
         self.texts_of = docs
         self.sketches = cut(docs.mapInArrow(functools.partial(_sketch, n=shingle, fold=fold), "id long, n long, key binary, tokens binary"))
@@ -245,11 +269,11 @@ class _Join:
         found = self.classes.select(F.col("id").alias(on), F.col("component").alias(name))
         return rows.join(found, on, "left").withColumn(name, F.coalesce(name, on))
 
-    def _level(self, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _level(self, frontier: DataFrame, second: float) -> tuple[DataFrame, DataFrame]:
         """Candidates of one level and the next level's nodes."""
         rows = self._with_tokens(self._open(frontier)).select("node", "id", "class", "n", "size", "tokens")
         rows = rows.repartition("node").sortWithinPartitions("node", "id")
-        step = cut(rows.mapInArrow(functools.partial(_node_step, num=self.num, den=self.den, small=self.small), "kind int, x long, y long"))
+        step = cut(rows.mapInArrow(functools.partial(_node_step, num=self.num, den=self.den, small=self.small, second=second), "kind int, x long, y long"))
         return step.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), step.filter("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("id"))
 
     def _open(self, frontier: DataFrame) -> DataFrame:
@@ -287,7 +311,7 @@ class _Join:
         for turn in range(self.rounds):
             found = None
             for _ in range(self.levels):
-                pairs, frontier = self._level(frontier)
+                pairs, frontier = self._level(frontier, self.second[turn])
                 found = pairs if found is None else found.unionByName(pairs)
             pairs = cut(found.distinct())
             if turn == 0:
@@ -295,20 +319,22 @@ class _Join:
                 self.texts = cut(self.texts_of.join(ends.hint("merge"), "id", "left_semi").distinct())  # ids grow with the corpus: never a broadcast
             self._link(pairs)
             left = cut(self._open(frontier))
-            work = self._work(left)
-            if turn + 1 == self.rounds or work <= self.rest_pairs:
+            work = cut(self._work(left))
+            done = work if turn + 1 == self.rounds else work.filter(F.col("pairs") <= self.node_pairs)
+            if not done.isEmpty():
+                self._rest(left.join(done.hint("merge"), "node", "left_semi"))
+            frontier = left.join(done.hint("merge"), "node", "left_anti").select("node", "id")
+            if frontier.isEmpty():
                 break
-        if work:
-            self._rest(left)
         return self._result()
 
-    def _work(self, left: DataFrame) -> int:
-        """Pairs of different classes that remain."""
-        sizes = left.groupBy("node", "class").agg(F.count("*").alias("n")).groupBy("node").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        return int(sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
+    def _work(self, left: DataFrame) -> DataFrame:
+        """``node, pairs``: pairs of different classes of each node."""
+        sizes = left.groupBy("node", "class").agg(F.count("*").alias("n"))
+        return sizes.groupBy("node").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
 
     def _rest(self, left: DataFrame) -> None:
-        """Exact: all pairs of different classes in the nodes that never became small, in blocks of documents."""
+        """Exact: all pairs of different classes in these large nodes, in blocks of documents."""
         blocks = F.ceil(F.col("size") / self.block).cast("int")
         rows = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         rows = rows.select("node", "id", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -326,7 +352,7 @@ class _Join:
         return rows.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, rest_pairs: int = 50_000_000, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, node_pairs: int = 5_000_000, block: int = 512) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row.
 
     Rows are linked when ``threshold[1] * |A & B| >= threshold[0] * |A | B|`` over their sets of
@@ -335,7 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is null has a null component and is kept.  Rows with one id share its component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, rest_pairs, block).run()
+    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, node_pairs, block).run()
 
 
 def digest(docs: DataFrame) -> DataFrame:

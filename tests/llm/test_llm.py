@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,47 @@ def test_near_dedup_matches_brute_force(spark, options):
     assert sorted(map(tuple, out.collect()), key=str) == brute.near_dedup(rows, 3, 85)
 
 
+def test_near_dedup_finishes_nodes_one_by_one(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(200):
+        w = [f"w{k}" for k in range(60)]
+        for _ in range(rnd.choice([1, 2, 5, 6])):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    for most in (0, 60, 2000):
+        out = near_dedup.near_duplicates(frame(spark, rows), shingle=3, threshold=(85, 100), small=3, rounds=3, levels=1, node_pairs=most, block=16)
+        assert sorted(map(tuple, out.collect()), key=str) == brute.near_dedup(rows, 3, 85)
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_near_dedup_keeps_threshold_pairs_together_at_any_depth(num):
+    """Isolated pairs at the threshold, whose nodes are all large: the share that no path keeps together."""
+    rng, pairs, levels = np.random.default_rng(1), 500, 12
+    trees, chances = near_dedup.plan(num / 100, 6, 3, 4)
+    fresh = lambda: rng.integers(0, 2**32, (pairs, near_dedup.COORDINATES)).astype(np.uint32)
+    a = fresh()
+    tokens = np.stack([a, np.where(rng.random(a.shape) < num / 100, a, fresh())], axis=1).reshape(2 * pairs, -1)
+    blobs = np.array([t.tobytes() for t in tokens], object)
+
+    def together(batches, columns):
+        node, ids = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in columns)
+        order = np.lexsort((ids, node))
+        node, ids = node[order], ids[order]
+        same = (node[1:] == node[:-1]) & (ids[1:] // 2 == ids[:-1] // 2) & (ids[1:] != ids[:-1])
+        hit = np.append(same, False) | np.append(False, same)
+        return node[hit], ids[hit]
+
+    start = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), pa.array(blobs.tolist(), pa.binary())], names=["id", "tokens"])
+    node, ids = together(list(near_dedup._roots(iter([start]), trees)), (0, 1))
+    for k in range(levels):
+        columns = [node, ids, ids, np.full(len(ids), 100), np.full(len(ids), 1_000_000)]
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs[ids].tolist(), pa.binary())], names=["node", "id", "class", "n", "size", "tokens"])
+        steps = near_dedup._node_step(iter([batch]), num, 100, 24, second=chances[k // 3])
+        node, ids = together([b.filter(pa.array(b.column("kind").to_numpy() == 1)) for b in steps], (1, 2))
+    assert 1 - len(np.unique(ids // 2)) / pairs <= 2 * near_dedup.MISSED
+
+
 def test_near_dedup_of_no_rows(spark):
     assert near_dedup.digest(empty(spark)).count() == 0
 
