@@ -1,15 +1,18 @@
 """Boilerplate lines by their frequency within a site, with DataFrame functions only.
 
 For each host, a line's ratio is the number of its pages that hold the line over all its pages.  Lines above
-``ratio`` on at least ``least_pages`` pages are dropped.  Lines are compared without
-white space at their ends, by 128 bits of hashes; blank lines are never counted and stay.
+``ratio`` on at least ``least_pages`` pages are dropped.  Lines are compared without blanks at their ends,
+other white space of a line counting as blanks, by 64 bits of hashes inside their host; blank lines are never counted and stay.
 
 A host has at most (mean distinct lines per page) / ``ratio`` such lines, so its list is
-small whatever its number of pages; the lists of all hosts are broadcast only when they are few.
+small whatever its number of pages.  The lists of all hosts are broadcast when they take under ``MOST_BROADCAST``
+bytes; else they are dealt to ``SALTS`` copies, over which the pages of a hot host are spread.
 Hot hosts and lines are summed before the exchange.
 
-Null texts stay null, null hosts are one host.  Repeated rows count as pages, or with ``once`` texts with
-the same lines count as one page of their host, so copies alone make no line boilerplate.
+Null texts stay null, null hosts are one host, an empty table gives an empty result.  Repeated rows count as pages, or with
+``once`` texts with the same lines count as one page of their host, so copies alone make no line boilerplate.
+Columns of the input keep their names and values, but for the text; one that is called ``lines_seen`` or ``lines_dropped``
+gives way to the operator's own, unless ``counts`` is false and none are added.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, unused
 
-SCRIPTS = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+SCRIPTS = r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)"
 BLOCKS = r"(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|aside|main|table|tr|td|th|h[1-6]|br|hr|title|head|body|html|blockquote|pre)\b[^>]*>"
 TAGS = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-MOST_BROADCAST = 50_000  # hosts with a list; with 100 lines each, 80 MB at most
+MOST_BROADCAST = 64 << 20  # bytes of all hosts' lists
+SALTS = 64
 
 
 def page_text(html: str) -> Column:
@@ -35,32 +39,50 @@ def host(url: str) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def _names(lines: Column) -> Column:
-    """128-bit names of lines; null for blank ones."""
-    bare = lambda x: F.trim(F.regexp_replace(x, r"[\x09-\x0D]", " "))
-    return F.transform(lines, lambda x: F.when(bare(x) != "", F.struct(F.xxhash64(bare(x)).alias("h"), F.xxhash64(F.lit(7), bare(x)).alias("g"))))
+def _plain(text: Column) -> Column:
+    """``text`` with blanks for other white space inside its lines, in one pass over the page."""
+    return F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.3, least_pages: int = 3, once: bool = False) -> DataFrame:
-    """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_seen``, ``lines_dropped``."""
-    key = F.coalesce(F.col(host_col), F.lit("\0"))
-    names = pages.select(key.alias("line_host"), F.filter(F.array_distinct(_names(F.split(text_col, "\n"))), lambda x: x.isNotNull()).alias("names"))
+def _names(text: Column) -> Column:
+    """Names of a text's lines in order; null for blank ones."""
+    return F.transform(F.split(_plain(text), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+
+
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, least_pages: int, once: bool) -> DataFrame:
+    """``host, names``: the boilerplate of each host that has any."""
+    pages = pages.select(F.coalesce(host, F.lit("\0")).alias("host"), F.array_compact(F.array_distinct(_names(text))).alias("names"))
     if once:
-        names = names.distinct()
-    totals = names.groupBy("line_host").agg(F.count("*").alias("total"))
-    counts = names.select("line_host", F.explode("names").alias("name")).groupBy("line_host", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    frequent = counts.join(totals, "line_host").filter(F.col("n") > ratio * F.col("total"))
-    lists = cut(frequent.groupBy("line_host").agg(F.collect_set("name").alias("boilerplate")))
-    if lists.count() <= MOST_BROADCAST:
+        pages = pages.distinct()
+    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    lines = pages.select("host", F.explode_outer("names").alias("name")).filter("name is not null")  # a plain explode would have the names worked out once more in a filter
+    counts = lines.groupBy("host", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    frequent = counts.join(totals, "host").filter(F.col("n") > ratio * F.col("total"))
+    return frequent.groupBy("host").agg(F.collect_set("name").alias("names"))
+
+
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.3, least_pages: int = 3, once: bool = False, counts: bool = True) -> DataFrame:
+    """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_seen``, ``lines_dropped`` if ``counts``."""
+    lists = cut(boilerplate(pages, F.col(f"`{host_col}`"), F.col(f"`{text_col}`"), ratio, least_pages, once))
+    host, salt, names, stays, seen, dropped = unused(pages, "host", "salt", "names", "stays", "seen", "dropped")
+    lists = lists.withColumnsRenamed({"host": host, "names": names})
+    rows, on = pages.withColumn(host, F.coalesce(F.col(f"`{host_col}`"), F.lit("\0"))), [host]
+    size = lists.agg(F.sum(8 * F.size(names) + F.octet_length(host) + 64)).first()[0] or 0
+    if size <= MOST_BROADCAST:
         lists = F.broadcast(lists)
-    rows = pages.withColumn("line_host", key).join(lists, "line_host", "left")
-    lines, named = F.split(text_col, "\n"), F.col("boilerplate")
-    pairs = F.arrays_zip(lines.alias("line"), _names(lines).alias("name"))
-    stays = F.filter(pairs, lambda x: x["name"].isNull() | ~F.array_contains(named, x["name"]))
-    kept = F.when(named.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda x: x["line"]), "\n"))
-    dropped = F.when(named.isNull(), 0).otherwise(F.size(lines) - F.size(stays))
-    out = rows.withColumns({"lines_seen": F.coalesce(F.size(lines), F.lit(0)), "lines_dropped": F.coalesce(dropped, F.lit(0)), text_col: kept})
-    return out.select(*pages.columns, "lines_seen", "lines_dropped")
+    else:
+        lists, on = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [host, salt]
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(f"`{text_col}`"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(lists, on, "left")
+    text, known = F.col(f"`{text_col}`"), F.col(names)
+    pairs = F.arrays_zip(F.split(text, "\n").alias("line"), _names(text).alias("name"))
+    rows = rows.withColumn(stays, F.when(known.isNotNull(), F.filter(pairs, lambda x: x["name"].isNull() | ~F.array_contains(known, x["name"]))))
+    kept = F.when(known.isNull(), text).otherwise(F.array_join(F.transform(stays, lambda x: x["line"]), "\n"))
+    n = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0))
+    columns = [kept.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in pages.columns if not (counts and c.lower() in ("lines_seen", "lines_dropped"))]
+    if counts:
+        columns += [n.alias("lines_seen"), F.when(known.isNull(), 0).otherwise(n - F.coalesce(F.size(stays), F.lit(0))).alias("lines_dropped")]
+    return rows.select(*columns)
 
 
 def digest(pages: DataFrame) -> DataFrame:
@@ -80,10 +102,10 @@ lines AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_
 bare AS (SELECT *, trim(regexp_replace(line, '[\x09-\x0D]', ' ', 'g')) AS name FROM lines),
 totals AS (SELECT host, count(*) AS total FROM texts GROUP BY host),
 counts AS (SELECT host, name, count(DISTINCT r) AS n FROM bare WHERE name <> '' GROUP BY host, name),
-frequent AS (SELECT c.host, c.name FROM counts c JOIN totals t USING (host) WHERE c.n >= 3 AND c.n > 0.3 * t.total),
-marked AS (SELECT b.*, f.name IS NOT NULL AS gone FROM bare b LEFT JOIN frequent f ON b.host = f.host AND b.name = f.name),
+frequent AS (SELECT c.host, c.name FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n >= 3 AND c.n > 0.3 * t.total),
+marked AS (SELECT b.*, f.name IS NOT NULL AS gone FROM bare b LEFT JOIN frequent f ON b.host IS NOT DISTINCT FROM f.host AND b.name = f.name),
 joined AS (
   SELECT r, count(*) AS lines_seen, count(*) FILTER (gone) AS lines_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM marked GROUP BY r)
-SELECT t.page_id, t.host, j.text, j.lines_seen, j.lines_dropped FROM texts t JOIN joined j USING (r)
+SELECT t.page_id, t.host, j.text, coalesce(j.lines_seen, 0) AS lines_seen, coalesce(j.lines_dropped, 0) AS lines_dropped FROM texts t LEFT JOIN joined j USING (r)
 """

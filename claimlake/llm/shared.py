@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import cut, shared_dir, shared_path
 
-__all__ = ["cut", "documents", "shared_dir", "shared_path"]
+__all__ = ["cut", "documents", "shared_dir", "shared_path", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores put before them as no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
