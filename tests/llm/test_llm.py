@@ -134,34 +134,73 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.with_copies(df.limit(0)).count() == 0
 
 
-def test_line_dedup_odd_rows(spark):
-    rows = [(i, "h" if i < 8 else None, None if i == 3 else f"common\nx{i}\n\n a ") for i in range(12)] + [(20, "z", ""), (21, "z", "only")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, host string, text string, line_host int")
-    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(df.drop("line_host"), "host", "text").collect()}
+@pytest.mark.parametrize("most", [line_dedup.MOST_BROADCAST, 0])
+def test_line_dedup_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
+    rows = [(i, "h" if i < 8 else None, None if i == 3 else f"common\t x\nx{i}\n\n a ") for i in range(12)] + [(20, "z", ""), (21, "z", "only"), (21, "z", "only")]
+    df = spark.createDataFrame([(*r, 1, "n", 5, "d") for r in rows], "doc_id long, host string, text string, line_host int, names string, lines_seen int, salt string")
+    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, "host", "text").collect()}
     assert out[0].text == "x0\n" and out[9].text == "x9\n" and out[3].text is None and out[20].text == "" and out[21].text == "only"
-    assert line_dedup.drop_boilerplate(df.drop("line_host").limit(0), "host", "text").count() == 0
-
-
-def test_vp_search_recall_and_odd_vectors(spark):
+    assert (out[0].lines_seen, out[0].lines_dropped, out[3].lines_seen, out[0].line_host, out[0].names, out[0].salt) == (4, 2, 0, 1, "n", "d")
+    plain = line_dedup.drop_boilerplate(df, "host", "text", counts=False)
+    assert plain.columns == df.columns and plain.count() == len(rows) and plain.first().lines_seen == 5
+    assert line_dedup.drop_boilerplate(df.limit(0), "host", "text").count() == 0
+
+
+def test_line_dedup_query_of_odd_pages_matches_sql(spark, tmp_path):
+    html = "<p>menu\tbar</p><SCRIPT>x</SCRIPT><style >y</style><!-- z --><b>own %d</b><script>open"
+    rows = [(i, None if i % 3 == 0 else "HTTP://u@Host.x:80/a", html % i) for i in range(12)] + [(20, "http://y", None), (21, "http://y", ""), (22, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    assert_same(line_dedup.digest(spark.read.parquet(f"{tmp_path}/pages")), line_dedup.SQL, con)
+
+
+def nearest(rows, k=20):
+    """Brute force with sums in the order of the components."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    out = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            s += x[:, j] * x[q, j]
+        out[int(ids[q])] = [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+    return out
+
+
+@pytest.mark.parametrize("shard_rows, block_rows, task_queries", [(300, 20, 16_384), (16, 7, 10), (4096, 512, 16_384)])
+def test_vp_search_recall_and_odd_vectors(spark, shard_rows, block_rows, task_queries):
     rng = np.random.default_rng(5)
-    vectors = rng.normal(size=(900, 16)).tolist()
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(900 + i, vectors[20]) for i in range(30)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (None, vectors[0]), (2060, [None] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    use = vp_search.usable(df, "vec_id", "embedding")
-    for factor, least in ((1.0, 1.0), (1.1, 0.9)):
-        got = vp_search.search(vp_search.build_index(use, shard_rows=300), use.filter("id % 20 = 0"), k=20, factor=factor, block_rows=20).collect()
-        found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
-        ids, x = np.array([r[0] for r in rows[:930]]), np.array([r[1] for r in rows[:930]])
-        hits = total = 0
-        for q in np.flatnonzero(ids % 20 == 0):
-            s = x @ x[q]
-            order = [i for i in np.lexsort((ids, -np.round(s, 9))) if i != q][:20]
-            mine = {found[(ids[q], k + 1)][0] for k in range(20)}
-            hits, total = hits + len(mine & {int(ids[i]) for i in order}), total + 20
-        assert hits / total >= least
+    centres = rng.normal(size=(9, 16)) * 3
+    vectors = (centres[rng.integers(0, 9, 900)] + rng.normal(size=(900, 16))).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(900 + i, vectors[20]) for i in range(30)]
+    odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (None, vectors[0]), (2060, [None] * 16), (2080, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + odd + [rows[40]], "vec_id long, embedding array<double>").repartition(5)
+    use, want = vp_search.usable(df, "vec_id", "embedding"), nearest(rows + [rows[40]])
+    for factor in (1.0, 1.1):
+        got = vp_search.search(vp_search.build_index(use, shard_rows), use.filter("id % 20 = 0"), 20, factor, block_rows, task_queries).orderBy("query_id", "rank").collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+            assert r["rank"] == len(found[r.query_id])
+        if factor == 1.0:
+            assert found == want  # scores and ties included
+        assert sum(len({i for i, _ in found[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
     assert vp_search.digest(df.limit(0)).count() == 0
 
 
+def test_vp_search_scores_do_not_depend_on_blocks():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 64))
+    x[300:400] = x[3]
+    tree = vp_search.Tree(np.arange(700), x, float(np.sqrt((x * x).sum(axis=1)).max()))
+    whole = tree.search(np.full(40, -1), x[:40], 30, 1.0)
+    for at in range(40):
+        one = tree.search(np.array([-1]), x[at : at + 1], 30, 1.0)
+        assert np.array_equal(one[0][0], whole[0][at]) and np.array_equal(one[1][0], whole[1][at])
+    assert whole[0][3].tolist() == [3, *range(300, 329)]
+
+
 def test_fingerprints(spark):
     a, b = ("a b c d e f g h " * 3).split(), "k l m n o p".split()
     x, y = fingerprints.sketches([" ".join(a), " ".join(a + b)])
