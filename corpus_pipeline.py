@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that over 5 % of their source's distinct texts share, 5 texts at least."""
-    rows = line_dedup.drop_boilerplate(docs, "source", "text", ratio=0.05, least_pages=5, once=True)
+    rows = line_dedup.drop_boilerplate(docs, "source", "text", ratio=0.05, least_pages=5, once=True, counts=False)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
