@@ -6,7 +6,9 @@ documents, different values different ones, and pseudonyms pass the same checks.
 they can be turned back.  Where a permuted value falls outside its format, it is permuted again
 (cycle walking), which stays a permutation.
 
-What does not pass its check stays.  Null texts stay null.
+All values are found in the text as given and replaced once: e-mail addresses first, then IBANs, then numbers that do not
+overlap these.  What does not pass its check stays.  Null texts stay null and have no kinds; empty texts and repeated rows are
+treated like any others.  Of kept columns, those called ``text`` or ``kinds`` give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,13 +33,13 @@ class Permutation:
 
     def __init__(self, key: bytes, domain: str, size: int):
         self.key, self.domain, self.size = key, domain.encode(), size
-        self.low = max(1, int(size**0.5))
-        while self.low * self.low < size:
-            self.low += 1
+        self.low = math.isqrt(max(1, size) - 1) + 1  # the least whose square holds the size
+        self.bytes = self.low.bit_length() // 8 + 1
 
     def _value(self, turn: int, x: int) -> int:
-        data = self.domain + turn.to_bytes(1, "big") + x.to_bytes(24, "big")
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=16).digest(), "big")
+        data = self.domain + b"\0" + turn.to_bytes(1, "big") + x.to_bytes(self.bytes, "big")
+        seed = hashlib.blake2b(data, key=self.key, digest_size=32).digest()
+        return int.from_bytes(hashlib.shake_256(seed).digest(self.bytes + 16), "big")
 
     def _once(self, x: int, turns: Iterator[int], sign: int) -> int:
         a, b = divmod(x, self.low)
@@ -81,6 +84,8 @@ def _like(pattern: str, digits: str) -> str:
 
 class Pseudonyms:
     def __init__(self, key: bytes, backward: bool = False):
+        if not 0 < len(key) <= 64:
+            raise ValueError("a key of 1 to 64 bytes is needed")
         self.key, self.backward = key, backward
         self._known: dict[tuple[str, str], str | None] = {}
 
@@ -126,27 +131,34 @@ class Pseudonyms:
         x = self._permuted("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _day(self, y: str, m: str, d: str) -> datetime.date | None:
+    def _day(self, y: str, m: str, d: str, domain: str = "date", fits: Callable[[datetime.date], bool] = lambda day: True) -> datetime.date | None:
+        """The date's pseudonym among those that fit, which the date itself must do."""
         try:
             day = datetime.date(int(y), int(m), int(d))
         except ValueError:
             return None
-        if not _FIRST_DAY <= day <= _LAST_DAY:
+        if not _FIRST_DAY <= day <= _LAST_DAY or not fits(day):
             return None
-        x = self._permuted("date", (_LAST_DAY - _FIRST_DAY).days + 1, (day - _FIRST_DAY).days)
-        return _FIRST_DAY + datetime.timedelta(x)
+        of = lambda x: _FIRST_DAY + datetime.timedelta(x)
+        return of(self._permuted(domain, (_LAST_DAY - _FIRST_DAY).days + 1, (day - _FIRST_DAY).days, lambda x: fits(of(x))))
 
     def date_iso(self, found: str) -> str | None:
         day = self._day(found[:4], found[5:7], found[8:10])
-        return day and _like(found, day.strftime("%Y%m%d").zfill(8))
+        return day and f"{day.year:04d}-{day.month:02d}-{day.day:02d}"
 
     def date_day_first(self, found: str) -> str | None:
-        d = re.split(r"[/.]", found)
-        day = self._day(d[2], d[1], d[0])
-        if day:
-            return _like("00" + found[len(d[0])] + "00" + found[len(d[0])] + "0000", day.strftime("%d%m%Y"))
-        day = self._day(d[2], d[0], d[1])  # month first
-        return day and _like("00" + found[len(d[0])] + "00" + found[len(d[0])] + "0000", day.strftime("%m%d%Y"))
+        """Day first, or month first where only that is a date; the pseudonym reads the same way and has as many digits."""
+        a, b, y = re.split(r"[/.]", found)
+        mark, bare = found[len(a)], len(a) == 1 or len(b) == 1
+        width = lambda n: len(str(n))
+        for name, d, m in (("day", a, b), ("month", b, a)):
+            like = lambda day, d=d, m=m: not bare or (width(day.day) == len(d) and width(day.month) == len(m))
+            fits = like if name == "day" else (lambda day, like=like: like(day) and day.day > 12)
+            day = self._day(y, m, d, "date" if name == "day" and not bare else f"date {name} {len(d)} {len(m)} {bare}", fits)
+            if day:
+                parts = [day.day, day.month] if name == "day" else [day.month, day.day]
+                return mark.join([*(str(x) if bare else f"{x:02d}" for x in parts), f"{day.year:04d}"])
+        return None
 
     def iban(self, found: str) -> str | None:
         bare = found.replace(" ", "")
@@ -168,8 +180,8 @@ class Pseudonyms:
         for c, r in zip(text, radix):
             x = x * r + (int(c) if r == 10 else ord(c.lower()) - 97 if r == 26 else 0)
             size *= r
-        if size == 1 or size.bit_length() > 190:
-            return text if size == 1 else self._mixed(domain, text[:30]) + self._mixed(domain, text[30:])
+        if size == 1:
+            return text
         x, out = self._permuted(f"{domain}:{''.join('d' if r == 10 else 'a' if r == 26 else c for c, r in zip(text, radix))}", size, x), []
         for c, r in zip(reversed(text), reversed(radix)):
             x, v = divmod(x, r)
@@ -197,23 +209,55 @@ NUMBERS = re.compile(
     r")(?![\w-]|\.\d)"
 )
 IBANS = re.compile(r"\b(?P<iban>[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))\b")
-EMAILS = re.compile(r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")
+#: A local part has at most 64 characters (RFC 5321).
+EMAILS = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")
+
+#: Characters of an IBAN by country (ISO 13616); spaced ones end there, other countries' where the groups do.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28,
+    HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LI=21, LT=20, LU=20, LV=21, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29,
+    RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+
+
+def _iban_end(found: str) -> int:
+    """Where a spaced IBAN ends in the groups found: at its country's length, if a group ends there."""
+    n, length = 0, IBAN_LENGTHS.get(found[:2])
+    for i, c in enumerate(found):
+        n += c != " "
+        if n == length and found[i + 1 : i + 2] in ("", " "):
+            return i + 1
+    return len(found)
+
+
+def values(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:
+    """``start, end, kind, pseudonym`` of the values to replace, in the text's order; none overlap."""
+    out: list[tuple[int, int, str, str]] = []
+    for pattern in (EMAILS, IBANS, NUMBERS):
+        if pattern is EMAILS and "@" not in text:
+            continue
+        taken, at = sorted(out), 0
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if m.lastgroup == "iban":
+                b = a + _iban_end(m.group())
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if at < len(taken) and taken[at][0] < b:
+                continue
+            new = names.of(m.lastgroup, text[a:b])
+            if new is not None:
+                out.append((a, b, m.lastgroup, new))
+    return sorted(out)
 
 
 def pseudonymised(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds replaced."""
-    kinds: list[str] = []
-
-    def put(m: re.Match) -> str:
-        new = names.of(m.lastgroup, m.group())
-        if new is None:
-            return m.group()
-        kinds.append(m.lastgroup)
-        return new
-
-    if "@" in text:
-        text = EMAILS.sub(put, text)
-    return NUMBERS.sub(put, IBANS.sub(put, text)), kinds
+    found, parts, done = values(text, names), [], 0
+    for a, b, _, new in found:
+        parts += [text[done:a], new]
+        done = b
+    return "".join([*parts, text[done:]]), [kind for _, _, kind, _ in found]
 
 
 def _apply(batches: Iterator[pa.RecordBatch], key: bytes, backward: bool) -> Iterator[pa.RecordBatch]:
@@ -227,13 +271,18 @@ def _apply(batches: Iterator[pa.RecordBatch], key: bytes, backward: bool) -> Ite
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "text", "kinds"])
 
 
-def pseudonymise(docs: DataFrame, keep: list[str], text_col: str = "text", key: bytes = b"change me", backward: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, keep: list[str], key: bytes, text_col: str = "text", backward: bool = False) -> DataFrame:
     """``keep``, ``text`` with pseudonyms and ``kinds`` replaced; ``backward`` restores with the same key."""
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    schema = ", ".join([*kept, "text string", "kinds array<string>"])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("found_text")).mapInArrow(functools.partial(_apply, key=key, backward=backward), schema)
+    Pseudonyms(key)
+    keep = [c for c in keep if c.lower() not in ("text", "kinds")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][:-1]
+    return rows.mapInArrow(functools.partial(_apply, key=key, backward=backward), ", ".join([*kept, "text string", "kinds array<string>"]))
+
+
+QUERY_KEY = b"of the registered query; users bring their own"
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Every document with pseudonyms."""
-    return pseudonymise(docs, ["doc_id"]).select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_sort("kinds").alias("kinds"), "text")
+    return pseudonymise(docs, ["doc_id"], QUERY_KEY).select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_sort("kinds").alias("kinds"), "text")
