@@ -9,10 +9,12 @@ last piece is drawn in proportion, so a segmentation is drawn with its share of
 Draws come from the row key, the place of the chunk in the text and the byte, so they do not depend on
 partitions.  No piece spans a space after another character, so the lattice falls apart into chunks
 (spaces, then other characters); each distinct chunk of a block is filtered once, all chunks of
-a length together, and every occurrence is drawn for itself.
+a length together, and every occurrence is drawn for itself.  A chunk of over ``LONG`` bytes is filtered by itself in
+windows, of which only the sums are kept (8 bytes for each byte); walking back, the edges are found once more.
 
 A space is put before each text, as SentencePiece does, and taken away on decoding.  A literal U+2581
-goes into bytes, so decoding gives back every text.  Null and empty texts have no pieces.
+goes into bytes, so decoding gives back every text.  Null and empty texts have no pieces.  Rows of one id with equal texts are
+drawn alike, and a null id draws as id 0.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .words import U64, mix, text_blocks
 
 LONG = 64  # bytes of a chunk beyond which it is filtered alone
+WINDOW = 4096  # bytes of a long chunk whose edges are held at a time
 _SCALE = 100.0  # weight for each byte, the same for all paths, against underflow
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = mix(np.arange(1, 257, dtype=U64)) | U64(1)
@@ -91,13 +94,13 @@ class Lattice:
         self.begin = np.concatenate([[0], np.cumsum(self.n_bytes)])[:-1]
         self.pool = np.frombuffer(b"".join(raw.get(i, b"") for i in range(n)), np.uint8)
 
-    def _edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight and piece of each (row, start, length - 1) of rows of bytes; weight 0 where there is none."""
+    def _matches(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``length, row, start, weight, piece`` of the edges of rows of bytes, by length; those of single bytes last."""
         m, n = data.shape
-        top = min(n, self.longest)
-        weight, piece = np.zeros((m, n, top)), np.zeros((m, n, top), np.int32)
         sums = _prefix_sums(data)
         _, inverse = _powers(1 << max(6, (n - 1).bit_length()))
+        lead = np.select([data < 0x80, data < 0xC0, data < 0xE0, data < 0xF0], [1, 0, 2, 3], 4)
+        bare = lead > 0  # characters that are no piece so far
         for length, (keys, ids, weights) in self.by_length.items():
             if length > n:
                 break
@@ -108,18 +111,85 @@ class Lattice:
             k = np.searchsorted(keys, h).clip(max=len(keys) - 1)
             ok = keys[k] == h
             row, at, k = row[ok], at[ok], k[ok]
-            weight[row, at, length - 1], piece[row, at, length - 1] = weights[k], ids[k]
-        lead = np.select([data < 0x80, data < 0xC0, data < 0xE0, data < 0xF0], [1, 0, 2, 3], 4)
-        for size in (1, 2, 3, 4):
-            row, at = np.nonzero(lead == size)
-            if size <= top:
-                bare = weight[row, at, size - 1] == 0
-                row, at = row[bare], at[bare]
-            for k in range(size):
-                weight[row, at + k, 0] = self.byte_weight
-                piece[row, at + k, 0] = self.byte_ids[data[row, at + k]]
+            whole = lead[row, at] == length
+            bare[row[whole], at[whole]] = False
+            yield length, row, at, weights[k], ids[k]
+        row, at = np.nonzero(bare)
+        size = lead[row, at]
+        for k in range(4):
+            r, x = row[size > k], at[size > k] + k
+            r, x = r[x < n], x[x < n]
+            yield 1, r, x, np.full(len(r), self.byte_weight), self.byte_ids[data[r, x]]
+
+    def _edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and piece of each (row, start, length - 1) of rows of bytes; weight 0 where there is none."""
+        m, n = data.shape
+        top = min(n, self.longest)
+        weight, piece = np.zeros((m, n, top)), np.zeros((m, n, top), np.int32)
+        for length, row, at, w, ids in self._matches(data):
+            weight[row, at, length - 1], piece[row, at, length - 1] = w, ids
         return weight, piece
 
+    def _ending(self, data: np.ndarray, a: int, b: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """Edges that end in (a, b], by end and length: where each end's begin in the lists, their starts, weights and pieces."""
+        low = max(0, a - self.longest - 4)
+        while low and 0x80 <= data[low] < 0xC0:
+            low -= 1
+        found = [(at + length, np.full(len(at), length), w, ids) for length, _, at, w, ids in self._matches(data[None, low:b])]
+        end, length, weight, piece = (np.concatenate(c) for c in zip(*found))
+        end = end + low
+        order = np.lexsort((length, end))
+        order = order[end[order] > a]
+        end = end[order]
+        first = np.searchsorted(end, np.arange(a + 1, b + 2))
+        return first.tolist(), (end - length[order]).tolist(), weight[order].tolist(), piece[order].tolist()
+
+    def _windows(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of about ``WINDOW`` bytes that end with a character."""
+        cuts = [0]
+        while cuts[-1] < len(data):
+            b = min(len(data), cuts[-1] + WINDOW)
+            while b < len(data) and 0x80 <= data[b] < 0xC0:
+                b += 1
+            cuts.append(b)
+        return list(zip(cuts[:-1], cuts[1:]))
+
+    def _long(self, data: np.ndarray, seed: int) -> np.ndarray:
+        """Pieces drawn for one long chunk."""
+        logs = np.full(len(data) + 1, -np.inf)
+        logs[0] = 0.0
+        for a, b in self._windows(data):
+            first, starts, weights, _ = self._ending(data, a, b)
+            low = max(0, a - self.longest)
+            base = logs[low : a + 1].max()
+            total = np.exp(logs[low : a + 1] - base).tolist()
+            for end in range(a + 1, b + 1):
+                x, y = first[end - a - 1], first[end - a]
+                t = sum(total[s - low] * w for s, w in zip(starts[x:y], weights[x:y]))
+                total.append(t)
+                if t and not 1e-60 < t < 1e60:
+                    logs[end] = np.log(t) + base
+                    recent = logs[max(low, end - self.longest) : end + 1]
+                    base = recent.max()
+                    total[-len(recent) :] = np.exp(recent - base).tolist()
+                elif t:
+                    logs[end] = np.log(t) + base
+        out, at = [], len(data)
+        for a, b in reversed(self._windows(data)):
+            if at <= a:
+                continue
+            first, starts, weights, pieces = self._ending(data, a, b)
+            while at > a:
+                x, y = first[at - a - 1], first[at - a]
+                share = logs[starts[x:y]] - logs[at]
+                share = np.cumsum(np.exp(share) * weights[x:y])
+                with np.errstate(over="ignore"):
+                    u = float(mix(np.array([seed + U64(at)], U64))[0] >> U64(11)) * 2.0**-53
+                k = x + min(int(np.searchsorted(share, u * share[-1], "right")), y - x - 1)
+                out.append(pieces[k])
+                at = starts[k]
+        return np.array(out[::-1], np.int64)
+
     def _shares(self, weight: np.ndarray) -> np.ndarray:
         """For each (row, end - 1): running shares of the last piece's lengths."""
         m, n, top = weight.shape
@@ -133,8 +203,6 @@ class Lattice:
             total[:, end] = parts[:, -1]
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[:, end - 1, :reach] = parts / parts[:, -1:]
-            if n > LONG and total[0, end] > 0:  # a single row, of which only ratios matter
-                total[:, max(0, end - top) : end + 1] /= total[0, end]
         return out
 
     def _draw(self, shares: np.ndarray, piece: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -177,7 +245,13 @@ class Lattice:
         edge = np.flatnonzero(np.diff(sizes[order])) + 1
         for who in np.split(order, edge):
             n = int(sizes[who[0]])
-            for part in np.array_split(who, -(-len(who) // 50_000)) if n <= LONG else who[:, None]:
+            if n > LONG:
+                for i in who:
+                    ids = self._long(data[starts[i] : starts[i] + n], seed[i])
+                    counts[i] = len(ids)
+                    found.append((np.array([i]), ids))
+                continue
+            for part in np.array_split(who, -(-len(who) // 50_000)):
                 rows = data[starts[part, None] + np.arange(n)]
                 _, one, row = np.unique(_prefix_sums(rows)[:, n], return_index=True, return_inverse=True)
                 weight, piece = self._edges(rows[one])
