@@ -3,20 +3,20 @@
 The corpus is a string of words.  Its suffixes are split by variable-length
 prefixes (1, 2, 4, ... words, as deep as a count of all suffixes demands) into
 groups that fit in a task's memory.  Each group's sorted suffixes with the depths
-shared by neighbours are its subtree; a node at depth ``min_words`` or deeper with
+shared by neighbours are its subtree (``Subtree``); a node at depth ``min_words`` or deeper with
 suffixes of two documents is a repeat, which stays in the document with the
-smallest id and is removed from the others.  Neighbouring windows merge to maximal
-repeats.
+smallest id and is removed from the others.  Suffixes are cut at that depth, as deeper nodes change nothing.
+Neighbouring windows merge to maximal repeats.
 
 A suffix carries blocks of word hashes (words 1, 2, 3-4, 5-8, ...; 128 bits in all for 13
-words), so texts cross the network once: the exchange by ``part`` is
+words, 64 bits for each block where there are fewer than five), so texts cross the network once: the exchange by ``part`` is
 reused by all steps.  Only suffixes beside a word n-gram that two documents share
 can lie under a deep node; winnowing (Schleimer, Wilkerson & Aiken 2003) finds
 these n-grams first, without loss: every window holds at least one selected n-gram.
 
-What many rows share is settled where it is first seen: inside a part only the
-smallest document's copy of a window enters a tree, the others are marked at
-once.  So one passage in a third of all rows adds one suffix per part.
+What many rows share is settled where it is first seen: a part has a subtree of its own suffixes, and of each of its deep
+nodes only one suffix of the smallest document goes on to the group's tree, the others are marked at
+once.  So one passage in a third of all rows adds one suffix per part, about 30 bytes for each ``part_words`` words.
 
 Nulls: a null text has no words; a row whose id is null keeps all its words and
 takes none from others.  Rows with the same id never remove each other's words.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, mix, pair_hash, run_hashes, text_blocks, words_of
+from .words import U64, mix, run_hashes, text_blocks, words_of
 
 LEVELS = (1, 2, 4, 8)
 CELLS = 1 << 14
@@ -179,10 +179,14 @@ def _group_of(hashes: np.ndarray, at: np.ndarray, n: int, groups: np.ndarray) ->
     return out
 
 
+def _block_bits(min_words: int) -> list[int]:
+    """With five blocks or more, those of one word take 16 bits, as the group tells more of them, and longer ones 32."""
+    widths = _block_widths(min_words)
+    return [64] * len(widths) if len(widths) < 5 else [16 if w == 1 else 32 for w in widths]
+
+
 def _suffix_dtype(min_words: int) -> np.dtype:
-    """Blocks of one word take 16 bits, as the group tells more of them; longer ones take 32."""
-    blocks = [(f"k{i}", "<u2" if width == 1 else "<u4") for i, width in enumerate(_block_widths(min_words))]
-    return np.dtype([*blocks, ("doc", "<i8"), ("at", "<u4")])
+    return np.dtype([*((f"k{i}", f"<u{bits // 8}") for i, bits in enumerate(_block_bits(min_words))), ("doc", "<i8"), ("at", "<u4")])
 
 
 def _blocks(records: np.ndarray) -> list[np.ndarray]:
@@ -192,20 +196,32 @@ def _blocks(records: np.ndarray) -> list[np.ndarray]:
 def _suffixes(part: _Part, at: np.ndarray, min_words: int) -> np.ndarray:
     records = np.empty(len(at), _suffix_dtype(min_words))
     done = 0
-    for k, width in enumerate(_block_widths(min_words)):
+    for k, (width, bits) in enumerate(zip(_block_widths(min_words), _block_bits(min_words))):
         runs = run_hashes(part.hashes, width)
-        records[f"k{k}"] = mix(runs[at + done]) >> U64(48 if width == 1 else 32)
+        records[f"k{k}"] = mix(runs[at + done]) >> U64(64 - bits)
         done += width
     records["doc"], records["at"] = part.doc[part.row[at]], at
     return records
 
 
-def _whole_key(records: np.ndarray) -> np.ndarray:
-    """A 64-bit key of all blocks, to find equal windows inside one part."""
-    out = np.zeros(len(records), U64)
-    for block in _blocks(records):
-        out = pair_hash(out, block.astype(U64))
-    return out
+class Subtree:
+    """The sorted suffixes of a group or part; ``depth`` words are shared by each and the next, as far as blocks tell."""
+
+    def __init__(self, records: np.ndarray, min_words: int):
+        blocks = _blocks(records)
+        self.order = np.lexsort(blocks[::-1])
+        self.depth = np.zeros(max(0, len(records) - 1), np.int64)
+        open_ = np.ones(len(self.depth), bool)
+        for block, width in zip(blocks, _block_widths(min_words)):
+            block = block[self.order]
+            open_ &= block[1:] == block[:-1]
+            self.depth += width * open_
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """The number of the node at ``depth`` words, or the leaf, over each suffix: a run of neighbours that share so many."""
+        out = np.zeros(len(self.order), np.int64)
+        out[self.order[1:]] = np.cumsum(self.depth < depth)
+        return out
 
 
 def _hot_windows(part: _Part, marks: pa.Table, min_words: int, gram: int) -> np.ndarray:
@@ -226,20 +242,20 @@ def _hot_windows(part: _Part, marks: pa.Table, min_words: int, gram: int) -> np.
 
 
 def _local(part: _Part, marks: pa.Table, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hot suffixes, whether each waits for the trees, and a key that equal windows share."""
+    """Hot suffixes, whether each waits for the group's tree, and its deep node in the part's own tree."""
     at = _hot_windows(part, marks, min_words, gram)
     records = _suffixes(part, at, min_words)
-    keys = _whole_key(records)
-    _, least = _repeats(keys, records["doc"])
-    return records, records["doc"] == least, keys
+    nodes = Subtree(records, min_words).nodes(min_words)
+    _, least = _repeats(nodes, records["doc"])
+    return records, records["doc"] == least, nodes
 
 
 def _suffix_step(table: pa.Table, marks: pa.Table, min_words: int, gram: int, groups: np.ndarray) -> pa.Table:
     if not table.num_rows:
         return _BLOB.empty_table()
     part = _Part(table)
-    records, waits, keys = _local(part, marks, min_words, gram)
-    records = records[_first_in_key(keys, waits)]  # one for all equal windows of this part
+    records, waits, nodes = _local(part, marks, min_words, gram)
+    records = records[_first_in_key(nodes, waits)]  # one for each deep node of this part
     group = _group_of(part.hashes, records["at"].astype(np.int64), min_words, groups)
     return _pack(group, table.column("part")[0].as_py(), records)
 
@@ -251,28 +267,11 @@ def _first_in_key(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return out
 
 
-def deep_nodes(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes of a group, and the number of the depth-``min_words`` node of each."""
-    blocks = _blocks(records)
-    order = np.lexsort(blocks[::-1])
-    if not len(order):
-        return order, order
-    shared, open_ = np.zeros(len(order) - 1, int), np.ones(len(order) - 1, bool)
-    for block in blocks:
-        block = block[order]
-        open_ &= block[1:] == block[:-1]
-        shared += open_
-    return order, np.concatenate([[0], np.cumsum(shared < len(blocks))])
-
-
 def _tree_step(table: pa.Table, min_words: int) -> pa.Table:
     """Suffixes under a deep node with a smaller document, sent back to their parts."""
     records, parts = _unpack(table, _suffix_dtype(min_words))
-    order, node = deep_nodes(records)
-    docs = records["doc"][order]
-    least = np.full(int(node[-1]) + 1 if len(node) else 0, _NONE)
-    np.minimum.at(least, node, docs)
-    repeat = order[docs > least[node]] if len(node) else order
+    _, least = _repeats(Subtree(records, min_words).nodes(min_words), records["doc"])
+    repeat = records["doc"] > least
     return _pack(parts[repeat], 0, records["at"][repeat].copy())
 
 
@@ -286,12 +285,11 @@ def _final_step(table: pa.Table, both: pa.Table, min_words: int, gram: int) -> p
     part = _Part(table)
     kinds = np.array(both.column("kind").to_pylist(), np.int64)
     marks, verdicts = both.filter(pa.array(kinds == 0)), both.filter(pa.array(kinds == 1))
-    records, waits, keys = _local(part, marks, min_words, gram)
+    records, waits, nodes = _local(part, marks, min_words, gram)
     gone = ~waits
     found = [np.frombuffer(b, "<u4") for b in verdicts.column("data").to_pylist()]
     if found:
-        at = records["at"]
-        gone |= np.isin(keys, keys[np.isin(at, np.concatenate(found))])
+        gone |= np.isin(nodes, nodes[np.isin(records["at"], np.concatenate(found))])
     step = np.zeros(len(part.hashes) + min_words + 1, np.int32)
     at = records["at"][gone].astype(np.int64)
     np.add.at(step, at, 1)

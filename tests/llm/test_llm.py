@@ -37,13 +37,26 @@ def test_substring_dedup_matches_brute_force(spark, options):
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.choice([0, 3, 9, 30])))) for i in range(60)]
     rows += rows[:5] + ODD
-    for window in (5, 13):
+    for window in (1, 5, 13):
         out = substring_dedup.remove_repeats(frame(spark, rows), min_words=window, **options).collect()
         assert sorted([(r.id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in out], key=str) == brute.substring_dedup(rows, window)
         assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])) == r.n_removed for r in out)
     assert substring_dedup.digest(empty(spark)).count() == 0
 
 
+def test_substring_dedup_finds_repeats_by_its_trees(monkeypatch):
+    """One part, so all repeats lie inside it: without the trees' nodes none is found."""
+    texts = [" ".join(f"{'ab'[i % 2]}{k}" for k in range(30)) for i in range(6)]
+    table = pa.table({"id": pa.array(range(6), pa.int64()), "text": texts, "part": pa.array([0] * 6, pa.int64())})
+    none = pa.table({"to": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "data": pa.array([], pa.binary()), "kind": pa.array([], pa.int32())})
+    removed = lambda: substring_dedup._final_step(table, none, 13, 6).column("n_removed").to_pylist()
+    assert removed() == [0, 0, 30, 30, 30, 30]
+    tree = substring_dedup.Subtree(substring_dedup._suffixes(substring_dedup._Part(table), np.array([0, 60, 30, 1]), 13), 13)
+    assert sorted(tree.depth.tolist()) == [0, 0, 13] and len(np.unique(tree.nodes(13))) == 3
+    monkeypatch.setattr(substring_dedup.Subtree, "nodes", lambda self, depth: np.arange(len(self.order)))
+    assert removed() == [0] * 6
+
+
 def test_substring_dedup_of_a_long_text_and_a_common_passage(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(i, f"u{i} {passage} v{i}") for i in range(300)] + [(1000, " ".join(f"w{i % 997}" for i in range(40_000)))]
@@ -249,7 +262,76 @@ def test_pseudonyms_keep_format_and_links():
     assert sorted(map(p.forward, range(997))) == list(range(997)) and all(p.backward(p.forward(i)) == i for i in range(997))
 
 
+def many_values(rnd):
+    """Valid values of every format, with what must hold for a pseudonym."""
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    for _ in range(1500):
+        rest = digits(18)
+        whole = "DE" + pseudonyms.iban_digits("DE", rest) + rest
+        yield rnd.choice([whole, " ".join(whole[i : i + 4] for i in range(0, 22, 4))]), "iban"
+        rest = "NWBK" + digits(14)
+        yield "GB" + pseudonyms.iban_digits("GB", rest) + rest, "iban"
+        card = rnd.choice("3456") + digits(14)
+        card += pseudonyms.luhn_digit(card)
+        yield rnd.choice([card, "-".join(card[i : i + 4] for i in range(0, 16, 4))]), "card"
+        y, m, d = rnd.randint(1900, 2099), rnd.randint(1, 12), rnd.randint(1, 28)
+        yield rnd.choice([f"{y}-{m:02d}-{d:02d}"]), "date_iso"
+        yield rnd.choice([f"{d:02d}/{m:02d}/{y}", f"{d}.{m}.{y}", f"{m}/{rnd.randint(13, 28)}/{y}"]), "date_day_first"
+        yield f"{rnd.choice('ab')}{digits(rnd.randint(1, 4))}.{digits(3)}-{digits(3)}-{digits(4)}@mail{digits(1)}.example.com", "email"
+        yield f"{digits(3)}-{digits(3)}-{digits(4)}@mail.com", "email"
+        yield ".".join(str(rnd.randint(0, 255)) for _ in range(4)), "ip"
+        yield f"({rnd.randint(2, 9)}{digits(2)}) {rnd.randint(2, 9)}{digits(2)}-{digits(4)}", "phone"
+        yield f"{rnd.randint(100, 599)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", "ssn"
+
+
+def test_pseudonyms_are_valid_linked_and_reversible():
+    names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", backward=True)
+    seen: dict[str, str] = {}
+    for value, kind in many_values(random.Random(8)):
+        text = f"see {value} and {value}, THEN"
+        new, kinds = pseudonyms.pseudonymised(text, names)
+        assert kinds == [kind, kind], text
+        own = new[4 : new.index(" and ", 4)]
+        assert new == f"see {own} and {own}, THEN" and seen.setdefault(value, own) == own
+        assert pseudonyms.pseudonymised(new, back)[0] == text
+        if kind != "ip":
+            assert [c.isdigit() for c in own] == [c.isdigit() for c in value]
+        if kind == "iban":
+            bare = own.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        if kind == "card":
+            bare = own.replace("-", "")
+            assert pseudonyms.luhn_digit(bare[:-1]) == bare[-1]
+    assert len(set(seen.values())) == len(seen)
+    with pytest.raises(ValueError):
+        pseudonyms.Pseudonyms(b"")
+
+
+def test_pseudonyms_of_spaced_ibans_end_at_their_country():
+    names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", backward=True)
+    text = "pay BE71 0961 2345 6769 SOON or XX00 4994 2260 2090 0891, 4994226020900891"
+    new, kinds = pseudonyms.pseudonymised(text, names)
+    assert kinds == ["iban", "card", "card"] and " SOON or XX00 " in new and pseudonyms.pseudonymised(new, back)[0] == text
+
+
+def test_pseudonyms_of_whole_tables_come_back(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = pseudonyms.digest(docs)
+    back = pseudonyms.pseudonymise(out, ["doc_id"], pseudonyms.QUERY_KEY, backward=True)
+    assert back.select("doc_id", "text").exceptAll(docs).count() == 0 and back.count() == docs.count()
+    for r in out.join(docs.withColumnRenamed("text", "old"), "doc_id").collect():
+        found = pseudonyms.values(r.old, pseudonyms.Pseudonyms(pseudonyms.QUERY_KEY))
+        assert r.n_replaced == len(found) == len(r.kinds) and sorted(k for _, _, k, _ in found) == r.kinds
+        plain = brute.personal_values(r.old)
+        assert plain <= {r.old[a:b] for a, b, _, _ in found}, plain
+        assert (r.text == r.old) == (not found)
+
+
 def test_pseudonyms_of_odd_rows(spark):
+    rows = {r.doc_id: r for r in pseudonyms.digest(frame(spark, [(1, None), (2, ""), (3, "x" * 500_000 + "@"), (4, "9" * 300_000)])).collect()}
+    assert rows[1].text is None and rows[1].n_replaced == 0 and rows[2].text == "" and rows[3].n_replaced == rows[4].n_replaced == 0
+    out = pseudonyms.pseudonymise(spark.createDataFrame([(1, "on 1984-02-29", "k")], "doc_id long, text string, Kinds string"), ["doc_id", "text", "Kinds"], b"k")
+    assert out.columns == ["doc_id", "text", "kinds"] and out.first().kinds == ["date_iso"]
     assert pseudonyms.digest(frame(spark, ODD)).count() == len(ODD) and pseudonyms.digest(empty(spark)).count() == 0
 
 
@@ -275,3 +357,20 @@ def test_sampled_pieces_are_lossless_and_follow_the_weights(spark):
     shares = dict(paths(b" thing"))
     total = sum(shares.values())
     assert set(got) <= set(shares) and all(abs(got[p] / 20_000 - w / total) < 0.015 for p, w in shares.items())
+
+
+def test_sampled_pieces_of_long_chunks(monkeypatch):
+    lattice, rnd = sampled_pieces.Lattice(sampled_pieces.default_model()), random.Random(2)
+    texts = ["".join(rnd.choice("aehnrstioéü中▁😀xQ9") for _ in range(n)).encode()[:62].decode("utf-8", "ignore").encode() for n in range(20, 60)]
+    keys = np.arange(len(texts)).astype(U64)
+    short = lattice.sample(texts, keys)
+    monkeypatch.setattr(sampled_pieces, "LONG", 0)
+    monkeypatch.setattr(sampled_pieces, "WINDOW", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(short, lattice.sample(texts, keys)))  # the same draws by windows
+    assert lattice.decode(*lattice.sample(texts, keys)) == texts
+
+
+def test_sampled_pieces_of_a_text_without_a_space(spark):
+    text = ("naïve中文😀" + "abcdefgh" * 40) * 1500  # half a megabyte
+    out = sampled_pieces.encode(spark.createDataFrame([(1, text), (2, "q" * 300_000)], "doc_id long, text string")).collect()
+    assert all(r.lossless and r.n_pieces > 1000 for r in out)
