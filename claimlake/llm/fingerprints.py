@@ -4,6 +4,9 @@ A fingerprint holds the k smallest hashes of a text's distinct shingles (all of
 fewer), so equal texts have equal fingerprints, the union of two texts has the k smallest of both
 (merging parts of a text or corpus), and resemblance, containment and the number of distinct
 shingles can be estimated from fingerprints alone (Broder 1997; Beyer et al. 2007).
+
+Null texts are empty, and empty texts have an empty fingerprint.  Rows are put in order by descending id, null ids last, and rows of one
+id by a hash of their texts; equal rows each have their own place.  Other columns are not used.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from .words import U64, shingle_sets, text_blocks
 
 K = 128
 SHINGLE = 5
+MOST_PARTS = 1 << 20  # ranges of ids; the driver sees two ids of each
 
 
 def sketches(texts: list, k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -114,32 +118,66 @@ def _walk(batches: Iterator[pa.RecordBatch], block: int = 256) -> Iterator[pa.Re
         yield _compare(pairs)
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], part_rows: int) -> Iterator[pa.RecordBatch]:
+    """``low, high`` of runs of about ``part_rows`` ascending ids; equal ids are never parted."""
+    low = high = None
+    n = 0
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        while len(ids):
+            if low is None:
+                low, n = int(ids[0]), 0
+            take = max(0, part_rows - n)
+            if len(ids) <= take:
+                high, n, ids = int(ids[-1]), n + len(ids), ids[:0]
+                break
+            high = int(ids[take - 1]) if take else high
+            more = int(np.searchsorted(ids, high, "right"))
+            if more == len(ids):
+                n, ids = part_rows, ids[:0]
+                break
+            out.append((low, high))
+            low, ids = None, ids[more:]
+    if low is not None:
+        out.append((low, high))
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["low", "high"])
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, part_rows: int) -> DataFrame:
     """Rows (part, id, text, halo) in which each row is followed by the next by descending id.
 
-    Parts are at most 1024 ranges of ids at quantiles, each of which is streamed, so their size is free.  Null
-    ids come last.  The first row of a part also goes to the part before it, so
-    one exchange brings texts and their successors together; the largest id follows the smallest.
+    Parts are ranges of about ``part_rows`` ids, or more where there would be over ``MOST_PARTS``, found by a range exchange of the ids
+    alone.  They are streamed, so their size is free.  The first row of a part also goes to the part before
+    it, so one exchange brings texts and their successors together; the last row of all is followed by the first.
     """
-    ids = docs.select(F.col(id_col).alias("id"))
-    parts = min(1024, max(1, -(-ids.count() // part_rows)))
-    if parts > 1:
-        splits = sorted(set(ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], F.lit(100 * parts))).first()[0]))
-    else:
-        splits = []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    below = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<bigint>")
-
-    def number(i: Column) -> Column:
-        return F.coalesce(F.size(F.filter(below, lambda s: s < i)), F.lit(-1)).cast("long")
-
-    tops = ids.withColumn("part", number(F.col("id"))).groupBy("part").agg(F.max("id").alias("top")).collect()  # one row for each part
-    order = sorted(tops, key=lambda r: r.part)
-    goes = [(order[(k + 1) % len(order)].part, r.top) for k, r in enumerate(order)]
-    known = [F.lit(x) for part, top in goes if top is not None for x in (top, part)]
-    of_null = F.lit(next((part for part, top in goes if top is None), None))
-    also = F.when(F.col("id").isNull(), of_null).otherwise(F.create_map(*known)[F.col("id")] if known else F.lit(None))
-    places = F.array(F.struct(number(F.col("id")).alias("part"), F.lit(False).alias("halo")), F.struct(also.cast("long").alias("part"), F.lit(True).alias("halo")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n = rows.select("id").count()
+    ids = rows.select("id").filter("id is not null")
+    part_rows = max(part_rows, -(-n // MOST_PARTS))
+    found = ids.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(functools.partial(_ranges, part_rows=part_rows), "low long, high long").toArrow()
+    lows, highs = (np.sort(found.column(c).to_numpy()) for c in ("low", "high"))
+    of_null = rows.filter("id is null").agg(F.min(F.xxhash64("text"))).first()[0]  # the first row without an id
+    last = 0 if of_null is None else -1
+
+    @F.arrow_udf("long")
+    def number(ids: pa.Array) -> pa.Array:
+        i = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(lows, i, "right") - 1))
+
+    @F.arrow_udf("long")
+    def before(ids: pa.Array) -> pa.Array:
+        """The part before the one that begins with this id, if one does."""
+        i = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(highs, i).clip(max=max(0, len(highs) - 1))
+        tops = ~ids.is_null().to_numpy(zero_copy_only=False) & (highs[at] == i if len(highs) else False)
+        return pa.array(np.where(at + 1 < len(highs), at + 1, last), pa.int64(), mask=~tops)
+
+    also = F.when(F.col("id").isNotNull(), before("id"))
+    if of_null is not None:
+        also = F.when(F.col("id").isNull() & (F.xxhash64("text") == of_null), F.lit(0 if len(lows) else -1)).otherwise(also)
+    rows = rows.select("id", "text", number("id").alias("own"), also.cast("long").alias("also"))
+    places = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("halo")), F.struct(F.col("also").alias("part"), F.lit(True).alias("halo")))
     rows = rows.select("id", "text", F.inline(places)).filter("part is not null")
     return rows.select("part", "id", "text", "halo").repartition("part").sortWithinPartitions("part", "halo", F.desc("id"), F.xxhash64("text"))
 

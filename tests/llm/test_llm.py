@@ -221,19 +221,47 @@ def test_fingerprints(spark):
     assert fingerprints.resemblance(*fingerprints.sketches([None, ""])) == 1
     many = fingerprints.sketches([" ".join(map(str, range(5000)))])[0]
     assert 0.7 < fingerprints.distinct(many) / 4996 < 1.3 and np.array_equal(fingerprints.decode(fingerprints.encode(many)), many)
-    docs = frame(spark, [r for r in ODD if r[0] is not None] + [(9, "é" * 50)])
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: -r[0])
-    want = {}
-    for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
-        cut = len(t) // 3
-        want[i] = hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
-    for part_rows in (2, 4096):
-        got = fingerprints.compare_with_edit(docs, part_rows=part_rows).collect()
-        assert len(got) == len(rows) and all(r.edited_sha256 == want[r.doc_id] for r in got if r.doc_id != 4)
     assert fingerprints.digest(empty(spark)).count() == 0
 
 
+def true_jaccard(a, b):
+    def shingles(t):
+        w = brute.WORD.findall(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0, len(x | y)
+
+
+@pytest.mark.parametrize("part_rows", [1, 2, 4096])
+@pytest.mark.parametrize("which", ["odd", "without null ids", "only null ids"])
+def test_fingerprint_query_matches_brute_force(spark, which, part_rows):
+    rnd = random.Random(9)
+    words = lambda n: " ".join(f"w{rnd.randrange(60)}" for _ in range(n))
+    rows = [*ODD, (9, "é😀" * 50), (-3, words(300)), (7, words(2000)), (7, words(40)), (7, None), (8, words(3))]
+    rows += [(20 + i, words(60)) for i in range(8)]
+    rows = [r for r in rows if which == "odd" or (r[0] is None) == (which == "only null ids")]
+    docs = frame(spark, rows)
+    order = docs.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).select("doc_id", "text").collect()
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)].text or ""
+        cut = len(t) // 3
+        edit = t[: len(t) - cut] + after[:cut]
+        want.append((i, len(t), hashlib.sha256(edit.encode()).hexdigest(), t, edit, after))
+    got = fingerprints.compare_with_edit(docs, part_rows=part_rows).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted((w[:3] for w in want), key=str)
+    by = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in got}
+    known = {}
+    for *key, text, edit, after in want:
+        r = by[tuple(key)]
+        assert known.setdefault(text, r.fingerprint) == r.fingerprint and known.setdefault(edit, r.edited_fingerprint) == r.edited_fingerprint
+        for near, other in ((r.near_edited, edit), (r.near_next, after)):
+            true, n = true_jaccard(text, other)
+            if near != true or n > fingerprints.K:
+                assert n > fingerprints.K and abs(near - true) < 5 * (max(true * (1 - true), 0.01) / fingerprints.K) ** 0.5
+
+
 def test_token_files_round_trip(spark):
     texts = ["", "a  b", "x  y", "tail ", "naïve café", "<|endoftext|> z", "\n\n q", "don't we'll 12345"]
     rows = list(enumerate(texts)) + [(100, None)]
