@@ -19,6 +19,13 @@ copies).  A large node with at most ``node_pairs`` pairs of different classes, a
 is compared exhaustively, block by block, on full sets; a task returns only as many links as join its classes.
 
 Documents with the same set are one from the start, so copies are never paired.
+
+A large node is dealt to as many tasks as its documents ask for, each with the node's smallest document, so a hot node is no
+one task's.  Blocks are of bounded documents and shingles; they are compared by their tokens first, and only documents with a
+partner there bring their texts.
+
+Null and empty texts have an empty set and stay alone; null ids have a null component and are kept; rows of one id share its
+component.  Other columns are not used.
 """
 
 from __future__ import annotations
@@ -120,21 +127,22 @@ _STEP = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
 
 def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int, second: float) -> Iterator[pa.RecordBatch]:
-    """Candidates (kind 0: a, b) and children (kind 1: node, id) of nodes, from rows sorted by node and id.
+    """Candidates (kind 0: a, b) and children (kind 1: node, id) of nodes, from rows sorted by node, salt, head and id.
 
-    Small nodes are compared exhaustively.  The smallest document of a large node is compared with its
-    others, which go to one or two children each, 1 + ``second`` of them on the mean.  Only the last node's rows
-    (or its smallest document) are held from batch to batch.
+    Small nodes are compared exhaustively.  Each part (salt) of a large node begins with a copy of the node's smallest
+    document (head), which is compared with the others; these go to one or two children each, 1 + ``second`` of them on the mean.
+    Only the last node's rows (or its head) are held from batch to batch.
     """
     least, held = _least_matches(num, den), None
     for batch in batches:
-        new = pa.table({**{c: batch.column(c) for c in ("node", "id", "class", "n", "size", "tokens")}, "old": pa.array(np.zeros(batch.num_rows, bool))})
+        new = pa.table({**{c: batch.column(c) for c in ("node", "salt", "id", "class", "n", "size", "tokens")}, "old": batch.column("head")})
         rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
         if not rows.num_rows:
             continue
-        node, ids, cls, n, size, old = (rows.column(c).to_numpy() for c in ("node", "id", "class", "n", "size", "old"))
+        node, salt, ids, cls, n, size = (rows.column(c).to_numpy() for c in ("node", "salt", "id", "class", "n", "size"))
+        old = rows.column("old").to_numpy(zero_copy_only=False) if isinstance(rows.column("old"), pa.Array) else rows.column("old").to_numpy()
         tokens = _tokens(rows.column("tokens"))
-        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        start = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (salt[1:] != salt[:-1])]))
         run = np.repeat(start, np.diff(np.append(start, len(node))))
         tail = start[-1]
         whole = np.ones(len(node), bool)  # rows of nodes that are complete, or large
@@ -142,7 +150,7 @@ def _node_step(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int
             whole[tail:] = False
             held = rows.slice(tail)
         elif size[tail] > small:
-            held = rows.slice(tail, 1).set_column(rows.schema.get_field_index("old"), "old", pa.array([True]))
+            held = rows.slice(tail, 1)
         else:
             held = None
         pairs = [(run, np.arange(len(node)), (size > small) & (run != np.arange(len(node))) & ~old)]
@@ -189,29 +197,40 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns
     return out.astype(np.int64)
 
 
-def _block_links(table: pa.Table, shingle: int, fold: bool, num: int, den: int) -> pa.Table:
-    """Links between two blocks of a node (or inside one), as few as join the same classes."""
-    ids, cls, n, block, lo, hi = (table.column(c).to_numpy() for c in ("id", "class", "n", "block", "lo", "hi"))
-    tokens = _tokens(table.column("tokens"))
-    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+_SIDES = pa.schema([("node", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("id", pa.int64()), ("class", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("tokens", pa.binary())])
+_SIDES_SQL = "node long, lo int, hi int, id long, class long, block int, n long, tokens binary"
+
+
+def _may_link(left: np.ndarray, right: np.ndarray, cls: np.ndarray, n: np.ndarray, tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows differ in class and are alike by size and tokens."""
     agree = np.zeros((len(left), len(right)), np.uint8)
     for k in range(COORDINATES):
         agree += tokens[left, k][:, None] == tokens[right, k][None, :]
     may = (agree >= _least_matches(num, den)) & (cls[left][:, None] != cls[right][None, :])
-    may &= den * np.minimum(n[left][:, None], n[right][None, :]) >= num * np.maximum(n[left][:, None], n[right][None, :])
-    left, right = left[may.any(axis=1)], right[may.any(axis=0)]
-    if not len(left):
-        return _LINKS.empty_table()
-    some = np.unique(np.concatenate([left, right]))
-    texts = table.column("text").take(pa.array(some)).to_pylist()
+    return may & (den * np.minimum(n[left][:, None], n[right][None, :]) >= num * np.maximum(n[left][:, None], n[right][None, :]))
+
+
+def _block_sides(table: pa.Table, num: int, den: int) -> pa.Table:
+    """The documents of two blocks (or one) that have a partner in the other one by their tokens."""
+    cls, n, block, lo, hi = (table.column(c).to_numpy() for c in ("class", "n", "block", "lo", "hi"))
+    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+    may = _may_link(left, right, cls, n, _tokens(table.column("tokens")), num, den)
+    some = np.unique(np.concatenate([left[may.any(axis=1)], right[may.any(axis=0)]]))
+    return table.take(pa.array(some)).select(_SIDES.names).cast(_SIDES)
+
+
+def _block_links(table: pa.Table, shingle: int, fold: bool, num: int, den: int) -> pa.Table:
+    """Links between two blocks of a node (or inside one), as few as join the same classes."""
+    ids, cls, n, block, lo, hi = (table.column(c).to_numpy() for c in ("id", "class", "n", "block", "lo", "hi"))
+    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
     sets: list[np.ndarray] = []
-    for _, part in text_blocks(texts, 1 << 20):
+    for _, part in text_blocks(table.column("text").to_pylist(), 1 << 20):
         hashes, offsets = shingle_sets(part, shingle, fold)
         sets += [hashes[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
-    x, y = np.searchsorted(some, left), np.searchsorted(some, right)
     size = np.array([len(v) for v in sets])
-    both = _common(sets, x, y)
-    linked = (den * both >= num * (size[x][:, None] + size[y][None, :] - both)) & (cls[left][:, None] != cls[right][None, :])
+    both = _common(sets, left, right)
+    linked = _may_link(left, right, cls, n, _tokens(table.column("tokens")), num, den)
+    linked &= den * both >= num * (size[left][:, None] + size[right][None, :] - both)
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -249,9 +268,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, fold: bool, num: int, de
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, node_pairs: int, block: int):
+    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, node_pairs: int, block: int, node_rows: int, mean_n: int):
         self.num, self.den, self.small, self.levels = num, den, small, levels
-        self.rounds, self.node_pairs, self.block = rounds, node_pairs, block
+        self.rounds, self.node_pairs, self.block, self.node_rows, self.mean_n = rounds, node_pairs, block, node_rows, mean_n
         self.trees, self.second = plan(num / den, trees, levels, rounds)
         self.shingle, self.fold = shingle, fold
         self.texts_of = docs
@@ -271,16 +290,25 @@ class _Join:
 
     def _level(self, frontier: DataFrame, second: float) -> tuple[DataFrame, DataFrame]:
         """Candidates of one level and the next level's nodes."""
-        rows = self._with_tokens(self._open(frontier)).select("node", "id", "class", "n", "size", "tokens")
-        rows = rows.repartition("node").sortWithinPartitions("node", "id")
+        nodes = self._open(frontier)
+        parts = F.when(F.col("size") > self.small, F.ceil(F.col("size") / self.node_rows)).otherwise(1).cast("long")
+        rows = self._of_nodes(frontier, nodes).select("node", "id", "class", "size", F.pmod(F.xxhash64("id"), parts).alias("salt"), F.lit(False).alias("head"))
+        heads = nodes.filter(F.col("size") > self.small).select("node", F.col("least").alias("id"), F.col("least_class").alias("class"), "size", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"), F.lit(True).alias("head"))
+        rows = self._with_tokens(rows.unionByName(heads)).select("node", "salt", "id", "class", "n", "size", "tokens", "head")
+        rows = rows.repartition("node", "salt").sortWithinPartitions("node", "salt", F.desc("head"), "id")
         step = cut(rows.mapInArrow(functools.partial(_node_step, num=self.num, den=self.den, small=self.small, second=second), "kind int, x long, y long"))
         return step.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), step.filter("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("id"))
 
     def _open(self, frontier: DataFrame) -> DataFrame:
-        """Documents of the nodes that have several classes, with the node's size."""
-        node = Window.partitionBy("node")
-        rows = self._with_class(frontier).withColumns({"size": F.count("*").over(node), "low": F.min("class").over(node), "high": F.max("class").over(node)})
-        return rows.filter("low < high").select("node", "id", "class", "size")
+        """The nodes that have several classes: ``node, size, least`` (id) and its class."""
+        rows = self._with_class(frontier)
+        least = F.min(F.struct("id", "class"))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"), least.alias("x")).filter("low < high")
+        return cut(nodes.select("node", "size", F.col("x.id").alias("least"), F.col("x.class").alias("least_class")))
+
+    def _of_nodes(self, frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The documents of these nodes: ``node, id, class, size``."""
+        return self._with_class(frontier).join(nodes.select("node", "size").hint("merge"), "node").select("node", "id", "class", "size")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -318,7 +346,7 @@ class _Join:
                 ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(frontier.select("id")).distinct()
                 self.texts = cut(self.texts_of.join(ends.hint("merge"), "id", "left_semi").distinct())  # ids grow with the corpus: never a broadcast
             self._link(pairs)
-            left = cut(self._open(frontier))
+            left = cut(self._of_nodes(frontier, self._open(frontier)))
             work = cut(self._work(left))
             done = work if turn + 1 == self.rounds else work.filter(F.col("pairs") <= self.node_pairs)
             if not done.isEmpty():
@@ -335,11 +363,13 @@ class _Join:
 
     def _rest(self, left: DataFrame) -> None:
         """Exact: all pairs of different classes in these large nodes, in blocks of documents."""
-        blocks = F.ceil(F.col("size") / self.block).cast("int")
-        rows = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = rows.select("node", "id", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("node", "id", "class", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        rows = self._with_tokens(rows).join(self.texts, "id").select("node", "lo", "hi", "id", "class", "block", "n", "tokens", "text")
+        rows = self._with_tokens(left)
+        load = rows.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / self.block, F.sum("n") / (self.block * self.mean_n))).cast("int").alias("blocks"))
+        rows = rows.join(load, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.select("node", "id", "class", "n", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "class", "block", "n", "tokens")
+        sides = functools.partial(_block_sides, num=self.num, den=self.den)
+        rows = rows.groupBy("node", "lo", "hi").applyInArrow(lambda t: sides(t), _SIDES_SQL).join(self.texts, "id").select(*_SIDES.names, "text")
         step = functools.partial(_block_links, shingle=self.shingle, fold=self.fold, num=self.num, den=self.den)
         self._merge(rows.groupBy("node", "lo", "hi").applyInArrow(lambda t: step(t), "a long, b long"))
 
@@ -352,16 +382,17 @@ class _Join:
         return rows.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, node_pairs: int = 5_000_000, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, node_pairs: int = 5_000_000, block: int = 512, node_rows: int = 1024, mean_n: int = 2000) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row.
 
     Rows are linked when ``threshold[1] * |A & B| >= threshold[0] * |A | B|`` over their sets of
     ``shingle``-word shingles (A-Z folded); a component is named by its smallest id, whose row is
     kept.  A text with fewer words is one shingle; null and empty texts have none and stay alone.  A row whose
     id is null has a null component and is kept.  Rows with one id share its component.
+    A task takes ``node_rows`` documents of a large node, or two blocks of ``block`` documents with ``mean_n`` shingles on the mean.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, node_pairs, block).run()
+    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, node_pairs, block, node_rows, mean_n).run()
 
 
 def digest(docs: DataFrame) -> DataFrame:

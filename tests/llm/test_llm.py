@@ -64,7 +64,7 @@ def test_substring_dedup_of_a_long_text_and_a_common_passage(spark):
     assert {r.id: r.n_removed for r in out} == {0: 0, 1000: 0, **{i: 20 for i in range(1, 300)}}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 4, "rounds": 2, "block": 8}])
+@pytest.mark.parametrize("options", [{}, {"small": 4, "rounds": 2, "block": 8, "node_rows": 3, "mean_n": 5}])
 def test_near_dedup_matches_brute_force(spark, options):
     rnd = random.Random(3)
     base = [[rnd.choice("abcdefgh") + str(rnd.randrange(300)) for _ in range(60)] for _ in range(6)]
@@ -113,8 +113,8 @@ def test_near_dedup_keeps_threshold_pairs_together_at_any_depth(num):
     start = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), pa.array(blobs.tolist(), pa.binary())], names=["id", "tokens"])
     node, ids = together(list(near_dedup._roots(iter([start]), trees)), (0, 1))
     for k in range(levels):
-        columns = [node, ids, ids, np.full(len(ids), 100), np.full(len(ids), 1_000_000)]
-        batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs[ids].tolist(), pa.binary())], names=["node", "id", "class", "n", "size", "tokens"])
+        columns = [node, np.zeros(len(ids), np.int64), ids, ids, np.full(len(ids), 100), np.full(len(ids), 1_000_000), np.zeros(len(ids), bool)]
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs[ids].tolist(), pa.binary())], names=["node", "salt", "id", "class", "n", "size", "head", "tokens"])
         steps = near_dedup._node_step(iter([batch]), num, 100, 24, second=chances[k // 3])
         node, ids = together([b.filter(pa.array(b.column("kind").to_numpy() == 1)) for b in steps], (1, 2))
     assert 1 - len(np.unique(ids // 2)) / pairs <= 2 * near_dedup.MISSED
