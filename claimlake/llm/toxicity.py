@@ -5,12 +5,13 @@ first bytes, so that inflected forms are known) that it holds; a document's is t
 the product of (1 - score).  Only documents have labels; the likelihood of these labels trains
 the sentence scores, which then tell the offending sentences.
 
-Training takes a bounded sample: ``per_class`` labelled rows of each class, by hash of their ids.  Its
-terms are counted by Spark, the ``n_features`` with the strongest association are kept, and
-the weights are fitted to the sample's sentences, which by then are short lists of them.  Scoring is one pass over all texts.
+Training takes a bounded sample: ``per_class`` labelled ids of each class, by hash, with one row each (the smallest text).  Its
+terms are counted by Spark in 2^21 hash buckets, the ``n_features`` with the strongest association are kept, of those whose
+shares in the classes differ by a factor of e to the ``least_log_ratio`` or more, and the weights are fitted to the sample's sentences, which by then are short lists of them.  Scoring is one pass over all texts.
 
-Nulls and empty texts have no sentence and score 0.  Labels that are null or
-of held-out ids are not used; if no class or only one is labelled, all scores are 0.
+Nulls and empty texts have no sentence and score 0; equal texts have equal scores.  Labels that are null or
+of held-out ids are not used, of different labels of one id the larger counts; if no class or only one is labelled, all scores are 0.
+A kept column that has the score's name gives way to the score.
 """
 
 from __future__ import annotations
@@ -141,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features:
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])  # at most 2 * per_class rows, hence the broadcast
-    sample = cut(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("doc_id")).select("text", "toxic"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("doc_id"))
+    sample = cut(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))  # one row for each id
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
@@ -187,11 +189,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model | None, sentences: bo
 
 def scored(docs: DataFrame, model: Model | None, keep: list[str], sentences: bool = False, name: str = "score") -> DataFrame:
     """``keep``, the score as ``name`` and, if asked for, ``offending`` (sentences of at least one half) of each row."""
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    if "text" in keep:
-        rows, at = docs.select(*keep), keep.index("text")
-    else:
-        rows, at = docs.select(*keep, "text"), len(keep)
+    keep = [c for c in keep if c.lower() != name.lower() and not (sentences and c.lower() == "offending")]
+    chosen = [F.col(f"`{c}`") for c in keep]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*chosen).schema]
+    at = keep.index("text") if "text" in keep else len(keep)
+    rows = docs.select(*chosen) if "text" in keep else docs.select(*chosen, "text")
     schema = ", ".join([*kept, f"`{name}` double", *(["offending array<struct<sentence:string,score:double>>"] if sentences else [])])
     return rows.mapInArrow(functools.partial(_score, model=model, sentences=sentences, text_at=at, n_keep=len(keep), name=name), schema)
 
