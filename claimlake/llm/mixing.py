@@ -4,6 +4,11 @@ Sizes are summed by source; each source's target is its weight's share of all wo
 held at ``most_copies`` times its own words, the excess going to the others by weight.  A
 document is emitted floor(rate) times, and once more when a number drawn from its id and
 the seed is below the fraction, so reruns agree and rows can be drawn anywhere.
+
+Targets are worked out in one task over a row for each source, and joined back by source (broadcast while they are few): fit
+for thousands of sources, not for one source per page.  Null texts have size 0, null sources are one source (the last), a source
+without words has rate 0; repeated rows and ids are drawn alike; an empty table gives an empty result.  Columns of the input called
+``mix_size``, ``mix_source_size``, ``mix_target`` or ``mix_copies`` give way in ``with_copies`` and stay in ``mixed``.
 """
 
 from __future__ import annotations
@@ -11,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut, unused
+
+NAMES = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,29 +54,35 @@ def draw(id_col: str, seed: str) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3) -> DataFrame:
-    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies``; all rows stay.
+def _drawn(docs: DataFrame, names: list[str], size: Column, id_col: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3) -> DataFrame:
+    """``docs`` with size, source's size, target and copies under these names."""
+    n, total, target, copies = names
+    (other,) = unused(docs, "mix_source")
+    sized = docs.withColumn(n, size)
+    sizes = sized.groupBy("source").agg(F.sum(n).alias("source_size"))
+    targets = source_targets(sizes, weights, most_copies).select(F.col("source").alias(other), F.col("source_size").alias(total), F.col("target").alias(target))
+    rows = sized.join(targets, F.col("source").eqNullSafe(F.col(other))).drop(other)
+    rate = F.coalesce(F.try_divide(F.col(target), F.col(total)), F.lit(0.0))
+    return rows.withColumn(copies, (F.floor(rate) + (draw(id_col, seed) < rate - F.floor(rate)).cast("long")).cast("long"))
 
-    Null texts have size 0, null sources are one source (the last), a source without words has rate 0.  Repeated rows and ids
-    are drawn alike.  An empty table gives an empty result.
-    """
-    sized = docs.withColumn("mix_size", n_words())
-    sizes = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
-    targets = source_targets(sizes, weights, most_copies).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    rate = F.coalesce(F.try_divide(F.col("mix_target"), F.col("mix_source_size")), F.lit(0.0))
-    return rows.withColumn("mix_copies", (F.floor(rate) + (draw(id_col, seed) < rate - F.floor(rate)).cast("long")).cast("long"))
+
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies``; all rows stay."""
+    return _drawn(docs.drop(*(c for c in docs.columns if c.lower() in NAMES)), list(NAMES), n_words(), **options)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Each document as many times as it is taken, with the columns of ``docs``."""
-    rows = with_copies(docs, **options).filter("mix_copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    names = unused(docs, *NAMES)
+    rows = _drawn(docs, names, n_words(), **options).filter(F.col(names[-1]) > 0)
+    (copy,) = unused(rows, "mix_copy")
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[-1]).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Contract columns of the query."""
-    rows = with_copies(docs.select("doc_id", "text", "source"))
+    """Contract columns of the query; texts are read once, their sizes kept in a table."""
+    sized = cut(docs.select("doc_id", "source", n_words().alias("n")))
+    rows = _drawn(sized, list(NAMES), F.col("n"))
     return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
