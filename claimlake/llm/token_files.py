@@ -13,7 +13,11 @@ record (8 bytes each) for reads in any order.
 
 Files hold ascending document ids; a range exchange and a sort inside each range are all the
 order needs.  Where a file's ids begin is the sum over the files before it.  Files are
-written under a name of the task attempt and renamed, so a repeated task replaces its own work.
+written under a name of the task attempt and renamed, so a repeated task replaces its own work; an attempt that fails
+removes its unfinished file, and what a lost executor leaves is in no list of files.
+
+Null and empty texts have the end id alone; null ids come first; rows of one id are in the order of a hash of their texts, each with a
+record of its own.  Other columns are not used.
 """
 
 from __future__ import annotations
@@ -199,6 +203,7 @@ def unframe(data: memoryview | bytes, at: int = 0) -> tuple[bytes, int]:
 
 
 NO_ID = -(1 << 63)
+MOST_READERS = 10_000  # tasks, each of which reads its files one by one
 
 
 class _Writer:
@@ -217,6 +222,10 @@ class _Writer:
         self.offsets.append(self.at)
         self.at += len(record)
 
+    def drop(self) -> None:
+        self.data.close()
+        self.files.delete_file(f"{self.name}.part")
+
     def close(self) -> str:
         self.data.close()
         with self.files.open_output_stream(f"{self.name}.idx") as index:
@@ -234,23 +243,31 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, width
     def closed() -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"name": writer.close(), "first_id": done[0], "last_id": done[1], "n_docs": done[2], "n_tokens": done[3]}], schema=pa.schema([("name", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    for batch in batches:
-        doc_ids = batch.column(0).to_pylist()
-        for start, block in text_blocks(batch.column(1).to_pylist(), block_bytes):
-            ids, counts = encoder.encode(block)
-            ends = np.cumsum(counts)
-            ids = ids.astype(width)
-            for i, a, b in zip(doc_ids[start : start + len(block)], ends - counts, ends):
-                if writer is None:
-                    writer, done = _Writer(folder), [i, i, 0, 0]
-                payload = struct.pack("<q", NO_ID if i is None else i) + ids[a:b].tobytes() + np.array([END_ID], width).tobytes()
-                writer.write(payload)
-                done = [done[0], i, done[2] + 1, done[3] + int(b - a) + 1]
-                if writer.at >= file_bytes:
-                    yield closed()
-                    writer = None
-    if writer is not None:
-        yield closed()
+    most = np.iinfo(width).max
+    try:
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            for start, block in text_blocks(batch.column(1).to_pylist(), block_bytes):
+                ids, counts = encoder.encode(block)
+                if len(ids) and ids.max() > most:
+                    raise ValueError(f"token id {ids.max()} does not fit into {width}")
+                ends = np.cumsum(counts)
+                ids = ids.astype(width)
+                for i, a, b in zip(doc_ids[start : start + len(block)], ends - counts, ends):
+                    if writer is None:
+                        writer, done = _Writer(folder), [i, i, 0, 0]
+                    payload = struct.pack("<q", NO_ID if i is None else i) + ids[a:b].tobytes() + np.array([END_ID], width).tobytes()
+                    writer.write(payload)
+                    done = [done[0], i, done[2] + 1, done[3] + int(b - a) + 1]
+                    if writer.at >= file_bytes:
+                        yield closed()
+                        writer = None
+        if writer is not None:
+            yield closed()
+            writer = None
+    finally:
+        if writer is not None:
+            writer.drop()
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: str = "<u2", block_bytes: int = 4 << 20, file_bytes: int = 32 << 20) -> DataFrame:
@@ -294,7 +311,7 @@ def read_token_files(files: DataFrame, folder: str, width: str = "<u2") -> DataF
     """Read the files of ``write_token_files`` back by their indexes and check every record."""
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "name").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row for each file
-    return placed.select("name", "start").repartition(max(1, min(10_000, files.count())), "name").mapInArrow(lambda b: _read(b, folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("name", "start").repartition(max(1, min(MOST_READERS, files.count())), "name").mapInArrow(lambda b: _read(b, folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
