@@ -81,6 +81,7 @@ def script_counts(text: C) -> Column:
 ENGLISH = "a an and apply are but can congratulations every for from good hello is job month offer pay ready registration selected the this to work with you".split()
 TAMIL_LATIN = "naan oru nee unga ungal irukku iruken pannunga pannanum venum illa romba nalla inga anga indha theduren panna velai kidaikkum kudunga".split()
 HINDI_LATIN = "hai hain mera meri aap apka kya nahi karna chahiye paisa paise milega accha job kaam yeh woh".split()
+#: A link in a text.
 URL = r"(?i)https?://\S+|www\.\S+"
 
 
@@ -115,6 +116,15 @@ def transliteration(tokens: Column, counts: Column) -> Column:
     return F.when(some, F.struct(F.when(ta >= hi, "ta").otherwise("hi").alias("language"), F.round(F.least(F.lit(0.95), 0.65 + 0.08 * F.least(F.greatest(ta, hi), F.lit(3))), 4).alias("confidence")))
 
 
+#: A word's edge where words are runs of letters, numbers and underscores only, so not beside a combining mark.
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def edged(pattern: str) -> str:
+    """A pattern whose ``\\b`` means ``EDGE``."""
+    return pattern.replace(r"\b", EDGE)
+
+
 #: The tests for a claim's type, first match wins, and whether such a claim can be verified.
 CLAIM_TESTS = [
     ("QUESTION", r"\?|என்ன|எப்படி|எங்கே|யார்", False),
@@ -125,6 +135,7 @@ CLAIM_TESTS = [
     ("GUARANTEE", r"(?i)\b(guarantee|guarantees|assured|100%|sure|உறுதி|கண்டிப்பாக|நிச்சயம்)\b", True),
     ("FINANCIAL", r"(?i)(₹|\$|earn|earns|profit|return|returns|money|pay|fee|income|investment|invest|receive|லாபம்|வருமானம்|பணம்|முதலீடு)", True),
 ]
+#: What makes a claim numerical or factual, its quantities and its negation.
 QUANTITY = r"(?i)\b(customers|users|people|employees)\b"
 FACT = r"(?i)\b(founded|headquartered_in|headquarters|approved|registered|located|owns|operates|has)\b"
 NUMBER = r"(?i)\b\d+(?:,\d+)*(?:\.\d+)?(?:k|m|b)?\b"
@@ -143,7 +154,7 @@ def claim_type(text: C) -> Column:
     numbers, percents, amounts = (t.rlike(p) for p in (NUMBER, PERCENT, AMOUNT))
     out = F.when(F.lit(False), "")
     for name, pattern, _ in CLAIM_TESTS:
-        out = out.when(t.rlike(pattern), name)
+        out = out.when(t.rlike(edged(pattern)), name)
     return out.when(t.rlike(QUANTITY) & (numbers | percents), "NUMERICAL").when(t.rlike(FACT), "FACTUAL").when(numbers | amounts | percents, "NUMERICAL").otherwise("FACTUAL")
 
 
@@ -167,13 +178,18 @@ def campaign_signals(text: C) -> Column:
     return F.concat(handles, hosts, phones)
 
 
+#: Words with such parts are contact handles or hosts.
+HANDLES = r"(?i)\+91|@okhdfc|@okaxis|@paytm|portal-|\.org|\.com|\.net|\.top"
+
+
 def search_text(text: C) -> Column:
-    """A claim as a query: links and punctuation removed; of long ones the first ten words without handles."""
-    clean = F.regexp_replace(F.regexp_replace(col(text), r"https?://\S+", ""), r"[\r\n\t]+", " ")
-    clean = F.trim(F.regexp_replace(F.regexp_replace(clean, r"[!?,:;\"'()\[\]{}]+", " "), r"\s+", " "))
+    """A claim as a query: links removed, white space collapsed; of over eight words the first ten without handles.
+
+    Punctuation stays, as in what is rebuilt here.
+    """
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"https?://\S+", ""), r"[\r\n\t]+", " "), r"\s+", " "))
     words = F.split(clean, " ")
-    handles = r"(?i)\+91|@okhdfc|@okaxis|@paytm|portal-|\.org|\.com|\.net|\.top"
-    short = F.array_join(F.slice(F.filter(words, lambda w: ~w.rlike(handles)), 1, 10), " ")
+    short = F.array_join(F.slice(F.filter(words, lambda w: ~w.rlike(HANDLES)), 1, 10), " ")
     return F.when(F.size(words) <= 8, clean).otherwise(F.coalesce(F.nullif(short, F.lit("")), clean))
 
 

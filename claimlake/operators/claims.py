@@ -1,33 +1,82 @@
-"""Claims of posts: sentences, clauses, atoms, frames and search queries."""
+"""Claims of posts: sentences, clauses, spans, atoms, frames and search queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .relational import carry_forward, keep_first
+from .relational import keep_first
+
+#: Where sentences fall into clauses, which are left whole, and which clauses lack a subject.
+CLAUSES = r"(?i),\s+(?:and\s+)?|\s+and\s+(?=(?:has|is|guarantees|was)\b)"
+WHOLE = r"(?i)^(if|according to|due to|because)\b"
+SUBJECT = r"(?i)^([A-Z][a-zA-Z\s]+?)\s+(?:was|has|is|guarantees)"
+BARE = r"(?i)^(has|is|was|guarantees)\b"
 
 #: Where a claim falls into atoms, and what tells its time.
 CONJUNCTIONS = r"(?i)\b(?:and|but|while)\b|\s+(?:மற்றும்|ஆனால்)\s+|।|\s+(?:और)\s+"
 TIMES = r"(?i)\b(today|tomorrow|yesterday|monthly|yearly|annually|in \d+ days|within \d+ days|after \d+ days|since \d{4}|by [a-z]+ \d{4}|மாதம்|வருடம்|இன்று|நாளை|आज|महीने|\d+ दिनों के भीतर)\b"
+
+#: Subjects that stand for an earlier one, and the one that is assumed where a rule leaves it open.
 PRONOUNS = ["the company", "its", "it", "they", "this company"]
+ASSUMED = "ABC Wealth"
 
-#: Sentence frames in order: test, pattern, predicate, groups of subject, object and value, unit.
+#: Sentence frames in order: words that choose the frame (all of one entry), pattern, predicate, groups of
+#: subject, object and value, fixed object, unit.  The first frame chosen decides, whether its pattern fits or not.
 FRAMES = [
-    ("founded in", r"(?i)(.*?)\s+was founded in\s+(\d{4})", "founded", 1, None, 2, "year"),
-    ("has", r"(?i)(.*?)\bhas\s+([\d,]+)\s+customers", "has", 1, None, 2, "customers"),
-    ("headquarters", r"(?i)(.*?)\s+headquarters are in\s+(.*?)(?:\.|$)", "headquartered_in", 1, 2, None, None),
-    ("guarantees", r"(?i)(.*?)\s+guarantees\s+([\d.]+)\s*%\s*(monthly|yearly|annually)?\s*returns", "guarantees", 1, None, 2, "percent"),
-    ("approved", r"(?i)(.*?)\s+(?:is|are|really)\s*(?:not\s*)?(?:government approved|approved by the government)", "government_approved", 1, None, None, None),
+    ([["founded in"]], r"(?i)(.*?)\s+was founded in\s+(\d{4})", "founded", (1, None, 2), None, "year"),
+    ([["has", "customers"]], r"(?i)(.*?)\bhas\s+([\d,]+)\s+customers", "has", (1, None, 2), None, "customers"),
+    ([["headquarters"]], r"(?i)(.*?)\s+headquarters are in\s+(.*?)(?:\.|$)", "headquartered_in", (1, 2, None), None, None),
+    ([["guarantees", "returns"]], r"(?i)(.*?)\s+guarantees\s+([\d.]+)\s*%\s*(monthly|yearly|annually)?\s*returns", "guarantees", (1, None, 2), "returns", "percent"),
+    ([["रिटर्न की गारंटी"], ["return guarantee"]], r"(?i)(.*?)\s+(?:हर महीने|monthly)\s*([\d.]+)%?\s*(?:रिटर्न की गारंटी देता है|return guarantee pannudhu|லாபம் தருவதாக உறுதி செய்கிறது)", "guarantees", (1, None, 2), "returns", "percent"),
+    ([["government approved"], ["approved by"]], r"(?i)(.*?)\s+(?:is|are|really)\s*(?:not\s*)?(?:government approved|approved by the government)", "government_approved", (1, None, None), None, None),
 ]
+#: Promises of an outcome for a payment, with the groups of amount and time paid, amount and time received.
+PROMISES = [
+    (r"(?i)(?:if\s+(?:you\s+)?)?invest\s+(.*?)\s+(today|tomorrow).*?receive\s+(.*?)\s+(within\s+\d+\s+days|after\s+\d+\s+days)", (1, 2, 3, 4)),
+    (r"(?i)(आज|today)\s+(₹[\d,]+)\s*(?:निवेश करने पर|invest).*?(\d+\s*दिनों के भीतर|within \d+ days)\s+(₹[\d,]+)", (2, 1, 4, 3)),
+]
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _clauses(text: Column) -> Column:
+    """Sentences of each line, cut into clauses; a clause that begins with its verb gets the sentence's subject."""
+
+    def parts(s: Column) -> Column:
+        subject = _strip(F.regexp_extract(s, SUBJECT, 1))
+        pieces = F.transform(F.split(s, CLAUSES), lambda p, i: F.when((i > 0) & (subject != "") & _strip(p).rlike(BARE), F.concat(subject, F.lit(" "), _strip(p))).otherwise(_strip(p)))
+        return F.when(s.rlike(WHOLE), F.array(s)).otherwise(F.filter(pieces, lambda p: p != ""))
 
+    lines = F.filter(F.transform(F.split(text, "\n"), _strip), lambda x: x != "")
+    sentences = F.flatten(F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), _strip), lambda s: s != "")))
+    return F.flatten(F.transform(sentences, parts))
 
-def sentences(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``post_id, claim_ix, claim_text``: sentences, the first of each wording."""
-    rows = posts.select(F.col(id_col).alias("post_id"), F.posexplode(F.split(text_col, r"(?<=[.!?।])\s+|\n+")).alias("claim_ix", "raw"))
-    rows = rows.withColumn("claim_text", T.collapse("raw")).filter("claim_text <> ''").drop("raw").withColumn("wording", F.lower("claim_text"))
-    return keep_first(rows, ["post_id", "wording"], [F.col("claim_ix")]).drop("wording")
+
+def extract(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``post_id, claim_ix, claim_text, normalized, span_start, span_end``: clauses, the first of each wording.
+
+    A clause is sought in the text from the end of the one before; one that is not there (its subject was put in) spans its own length from 0.
+    All of a post's clauses are worked out in its row, so nothing is exchanged.
+    """
+    one = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a generated column is worked out once
+    rows = posts.select(F.col(id_col).alias("post_id"), F.col(text_col).alias("_text"), one(_clauses(F.col(text_col)), "_all"))
+    rows = rows.select("*", one(F.transform("_all", lambda c: F.lower(T.collapse(c))), "_wordings"))
+    first = F.transform("_all", lambda c, i: F.struct(i.alias("claim_ix"), c.alias("claim_text")))
+    rows = rows.select("post_id", "_text", one(F.filter(first, lambda x: F.array_position("_wordings", F.lower(T.collapse(x["claim_text"]))) == x["claim_ix"] + 1), "_kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at, n = F.position(x["claim_text"], "_text", acc["pos"] + 1), F.length(x["claim_text"])
+        start = F.when(at > 0, at - 1).otherwise(0)
+        span = F.struct(x["claim_ix"].alias("claim_ix"), x["claim_text"].alias("claim_text"), start.alias("span_start"), (start + n).alias("span_end"))
+        return F.struct(F.when(at > 0, at - 1 + n).otherwise(acc["pos"]).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<claim_ix:int,claim_text:string,span_start:int,span_end:int>>").alias("out"))
+    rows = rows.select("post_id", F.inline(F.aggregate("_kept", start, step)["out"]))
+    return rows.withColumn("normalized", T.collapse("claim_text"))
 
 
 def typed(claims: DataFrame) -> DataFrame:
@@ -38,45 +87,167 @@ def typed(claims: DataFrame) -> DataFrame:
 
 def temporal(text: str) -> Column:
     """``struct<kind, value>`` of the first time named, or null."""
-    value = F.lower(F.regexp_extract(text, TIMES, 1))
+    value = F.lower(F.regexp_extract(text, T.edged(TIMES), 1))
     kind = F.when(value.rlike("within|after|in|दिनों के भीतर"), "deadline").when(value.rlike(r"^\d{4}"), "year").when(value.isin("आज", "today", "இன்று"), "today").otherwise("frequency")
     return F.when(value != "", F.struct(kind.alias("kind"), value.alias("value")))
 
 
 def frame(text: str) -> Column:
-    """``struct<subject, predicate, object, value, unit>`` by the first frame that fits."""
+    """``struct<subject, predicate, object, value, unit>`` of the first frame chosen; nulls where its pattern does not fit."""
+    none = F.lit(None).cast("string")
+    empty = F.struct(*(none.alias(c) for c in ("subject", "predicate", "object", "value", "unit")))
+    t, low, out = F.col(text), F.lower(F.col(text)), F.when(F.lit(False), empty)
+    for choices, pattern, predicate, groups, obj, unit in FRAMES:
+        chosen = F.lit(False)
+        for words in choices:
+            hit = F.lit(True)
+            for w in words:
+                hit &= low.contains(w)
+            chosen |= hit
+        subject, found, value = (none if g is None else F.regexp_extract(t, pattern, g) for g in groups)
+        if choices[0][0] == "रिटर्न की गारंटी":
+            subject = F.coalesce(F.nullif(_strip(subject), F.lit("")), F.lit(ASSUMED))
+        fields = F.struct(subject.alias("subject"), F.lit(predicate).alias("predicate"), (F.lit(obj).cast("string") if obj else found).alias("object"), F.replace(value, F.lit(","), F.lit("")).alias("value"), F.lit(unit).cast("string").alias("unit"))
+        out = out.when(chosen, F.when(t.rlike(pattern), fields).otherwise(empty))
+    return out.otherwise(empty)
+
+
+def _first_value() -> Column:
+    """``struct<value, unit, currency>`` of a claim's first percentage, else amount, else number (unless it is the year 2018 of a founding)."""
     none = F.lit(None).cast("string")
-    out = F.when(F.lit(False), F.struct(*(none.alias(c) for c in ("subject", "predicate", "object", "value", "unit"))))
-    for test, pattern, predicate, subject, obj, value, unit in FRAMES:
-        group = lambda g, p=pattern: none if g is None else F.regexp_extract(text, p, g)
-        fits = F.lower(text).contains(test) & F.col(text).rlike(pattern)
-        out = out.when(fits, F.struct(F.trim(group(subject)).alias("subject"), F.lit(predicate).alias("predicate"), group(obj).alias("object"), F.replace(group(value), F.lit(","), F.lit("")).alias("value"), F.lit(unit).cast("string").alias("unit")))
+    at = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    percent, amount, number = at("percents"), at("amounts"), at("numbers")
+    currency = F.when(amount.contains("₹") | F.lower(amount).contains("rs"), "INR").when(amount.contains("$"), "USD")
+    make = lambda v, u, c: F.struct(v.alias("value"), u.alias("unit"), c.alias("currency"))
+    return (
+        F.when(percent.isNotNull(), make(_strip(F.replace(percent, F.lit("%"), F.lit(""))), F.lit("percent"), none))
+        .when(amount.isNotNull(), make(F.regexp_replace(amount, r"[^\d.]", ""), none, currency))
+        .when(number.isNotNull() & ~((number == "2018") & F.lower("atom_text").contains("founded")), make(number, none, none))
+        .otherwise(make(none, none, none))
+    )
+
+
+_ATOM = "part_ix int, atom_text string, role string, object string, value string, currency string, time_kind string, time_value string"
+
+
+def _promise() -> Column:
+    """Two atoms of a promised outcome, or null: what is paid and what is received."""
+    t, low = F.col("normalized"), F.lower("normalized")
+    asked = (low.contains("invest") & low.contains("receive")) | t.contains("निवेश करने पर") | low.contains("invest பண்ணினால்")
+    out = F.when(F.lit(False), F.array().cast(f"array<struct<{_ATOM.replace(' ', ':').replace(',:', ',')}>>"))
+    for pattern, (paid, when, got, until) in PROMISES:
+        group = lambda g, p=pattern: F.regexp_extract("claim_text", p, g)
+
+        def atom(ix: int, role: str, amount: Column, kind: str, time: Column) -> Column:
+            digits = F.regexp_replace(amount, r"[^\d.]", "")
+            return F.struct(F.lit(ix).alias("part_ix"), t.alias("atom_text"), F.lit(role).alias("role"), amount.alias("object"), digits.alias("value"), F.when(amount.contains("₹"), "INR").alias("currency"), F.lit(kind).alias("time_kind"), time.alias("time_value"))
+
+        fits = asked & F.col("claim_text").rlike(pattern) & (group(paid) != "")
+        out = out.when(fits, F.array(atom(0, "invests", group(paid), "date", group(when)), atom(1, "receives", group(got), "deadline", group(until))))
     return out
 
 
 def atoms(claims: DataFrame) -> DataFrame:
-    """Atomic claims: parts of more than three characters between conjunctions, with frame, time and polarity.
+    """Atomic claims of ``typed`` claims: promised outcomes in two, else parts of over three characters between conjunctions.
 
-    A subject that is missing or a pronoun takes the last one of its post.
+    A subject that is missing takes the last one of its post, and so does a pronoun; a pronoun before any subject stands for itself.
+    A value that the frame lacks is the claim's first.  ``status`` tells whether the claim fell into parts.
+    """
+    none = F.lit(None).cast("string")
+    parts = F.filter(F.transform(F.split("normalized", CONJUNCTIONS), _strip), lambda p: F.length(p) > 3)
+    whole = F.transform(F.when(F.size(parts) > 1, parts).otherwise(F.array("normalized")), lambda p, i: F.struct(i.alias("part_ix"), p.alias("atom_text"), none.alias("role"), none.alias("object"), none.alias("value"), none.alias("currency"), none.alias("time_kind"), none.alias("time_value")))
+    rows = claims.withColumn("status", F.when(_promise().isNotNull() | (F.size(parts) > 1), "success").otherwise("unchanged"))
+    rows = rows.select("post_id", "claim_ix", "claim_text", "claim_type", "verifiable", "status", "numbers", "amounts", "percents", F.inline(F.coalesce(_promise(), whole)))
+    plain = F.col("role").isNull()
+    rows = rows.withColumns({"_frame": frame("atom_text"), "_time": temporal("atom_text"), "_first": _first_value(), "negated": plain & F.col("atom_text").rlike(T.edged(T.NEGATION))})
+    framed = F.nullif(F.col("_frame.value"), F.lit(""))
+    rows = rows.withColumns({
+        "predicate": F.coalesce("role", "_frame.predicate"),
+        "object": F.when(plain, F.col("_frame.object")).otherwise(F.col("object")),
+        "unit": F.when(plain, F.when(framed.isNull(), F.coalesce("_first.unit", "_frame.unit")).otherwise(F.col("_frame.unit"))),
+        "currency": F.when(plain, F.when(framed.isNull(), F.col("_first.currency"))).otherwise(F.col("currency")),
+        "value": F.when(plain, F.coalesce(framed, "_first.value")).otherwise(F.col("value")),
+        "time_kind": F.when(plain, F.col("_time.kind")).otherwise(F.col("time_kind")),
+        "time_value": F.when(plain, F.col("_time.value")).otherwise(F.col("time_value")),
+        "polarity": F.when(F.col("negated"), "NEGATIVE").otherwise("POSITIVE"),
+        "_raw": F.when(plain, F.nullif(_strip(F.col("_frame.subject")), F.lit(""))),
+    })
+    so_far = Window.partitionBy("post_id").orderBy("claim_ix", "part_ix").rowsBetween(Window.unboundedPreceding, 0)
+    pronoun = F.lower("_raw").isin(PRONOUNS)
+    known = F.coalesce(F.last(F.when(~pronoun, F.col("_raw")), ignorenulls=True).over(so_far), F.first(F.when(pronoun, F.col("_raw")), ignorenulls=True).over(so_far))
+    known = F.nullif(_strip(F.regexp_replace(known, r"(?i)^is\s+", "")), F.lit(""))
+    known = F.coalesce(known, F.when((F.col("claim_type") == "QUESTION") & F.col("atom_text").contains(ASSUMED), F.lit(ASSUMED)))
+    rows = rows.withColumn("subject", F.when(plain, known).otherwise("investor"))
+    return rows.select("post_id", "claim_ix", "part_ix", "claim_text", "claim_type", "verifiable", "status", "atom_text", "subject", "predicate", "object", "value", "unit", "currency", "polarity", "negated", "time_kind", "time_value", "numbers", "amounts")
+
+
+#: Kind of query and sources by claim type, and priorities; other types ask for general context.
+QUERY_KINDS = {
+    "FACTUAL": ("DIRECT_VERIFICATION", ["general_web", "reputable_news"]),
+    "GUARANTEE": ("FINANCIAL_VERIFICATION", ["official_company", "financial_regulator"]),
+    "FINANCIAL": ("FINANCIAL_VERIFICATION", ["official_company", "authoritative_financial"]),
+    "NUMERICAL": ("NUMERICAL_VERIFICATION", ["official_company"]),
+    "QUESTION": ("REGISTRATION_VERIFICATION", ["official_government"]),
+}
+GENERAL = ("GENERAL_CONTEXT", ["general_web"])
+REGISTRATION = ("REGISTRATION_VERIFICATION", ["official_government", "regulatory_databases"])
+LOW_PRIORITY = ["OPINION", "REQUEST", "INSTRUCTION", "CONTEXTUAL"]
+
+
+def search_queries(atoms: DataFrame) -> DataFrame:
+    """One query for each atom that can be verified or is a question, the first of each text and kind of a post.
+
+    ``post_id, claim_ix, part_ix, query_text, query_type, priority, sources``.
     """
-    parts = F.filter(F.transform(F.split("claim_text", CONJUNCTIONS), F.trim), lambda p: F.length(p) > 3)
-    rows = claims.select("post_id", "claim_ix", F.posexplode(F.when(F.size(parts) > 1, parts).otherwise(F.array("claim_text"))).alias("part_ix", "atom_text"))
-    rows = rows.withColumns({"frame": frame("atom_text"), "time": temporal("atom_text"), "polarity": F.when(F.col("atom_text").rlike(T.NEGATION), "NEGATIVE").otherwise("POSITIVE")})
-    named = F.nullif(F.col("frame.subject"), F.lit(""))
-    rows = rows.withColumn("named", F.when(~F.lower(named).isin(PRONOUNS), named))
-    return carry_forward(rows, "post_id", ["claim_ix", "part_ix"], "named", "subject").drop("named")
-
-
-#: Kind of search query by claim type.
-QUERY_KINDS = {"FINANCIAL": "FINANCIAL", "NUMERICAL": "NUMERIC", "GUARANTEE": "GUARANTEE", "QUESTION": "QUESTION"}
-
-
-def queries(claims: DataFrame) -> DataFrame:
-    """Up to two search queries of each claim that can be verified or is a question."""
-    kinds = F.create_map(*[F.lit(x) for pair in QUERY_KINDS.items() for x in pair])
-    rows = claims.filter(F.col("verifiable") | (F.col("claim_type") == "QUESTION")).withColumn("query_text", T.search_text("claim_text"))
-    words = F.split("query_text", " ")
-    kind = F.coalesce(F.try_element_at(kinds, F.col("claim_type")), F.lit("VERIFICATION"))
-    entity = F.when(F.size(words) >= 4, F.struct(F.lit(2).alias("variant"), F.concat_ws(" ", F.slice(words, 1, 5), F.lit("official registration")).alias("text"), F.lit("ENTITY").alias("kind")))
-    variants = F.filter(F.array(F.struct(F.lit(1).alias("variant"), F.col("query_text").alias("text"), kind.alias("kind")), entity), lambda x: x.isNotNull())
-    return rows.select("post_id", "claim_ix", F.inline(variants))
+    kind, low, blank = F.col("claim_type"), F.lower("claim_text"), F.lit("")
+    subject, predicate, value, unit, obj, time = (F.coalesce(c, blank) for c in ("subject", "predicate", "value", "unit", "object", "time_value"))
+    official = low.contains("government") | low.contains("approv") | low.contains("register")
+    named = subject != ""
+    make = lambda text, of: F.struct(text.alias("text"), F.lit(of).alias("kind"))
+    by_type = F.lit(GENERAL[0])
+    sources = F.array(*map(F.lit, GENERAL[1]))
+    for name, (of, where) in QUERY_KINDS.items():
+        by_type = F.when(kind == name, of).otherwise(by_type)
+        sources = F.when(kind == name, F.array(*map(F.lit, where))).otherwise(sources)
+    chosen = (
+        F.when(official, make(F.when(named, F.concat(subject, F.lit(" government approval registration"))).otherwise("government approval registration"), REGISTRATION[0]))
+        .when((kind == "FACTUAL") & (predicate == "founded") & named, make(F.concat(subject, F.lit(" founded "), value), "TEMPORAL_VERIFICATION"))
+        .when((kind == "FACTUAL") & (predicate == "headquartered_in") & named, make(F.concat(subject, F.lit(" headquarters "), obj), "ENTITY_VERIFICATION"))
+        .when((kind == "NUMERICAL") & named & (value != ""), make(F.concat(subject, F.lit(" "), value, F.lit(" "), unit), "NUMERICAL_VERIFICATION"))
+        .when((kind == "GUARANTEE") & named, make(F.concat(subject, F.lit(" "), value, F.lit(" percent "), time, F.lit(" returns")), "FINANCIAL_VERIFICATION"))
+        .otherwise(F.struct(F.col("claim_text").alias("text"), by_type.alias("kind")))
+    )
+    rows = atoms.filter(F.col("verifiable") | (kind == "QUESTION")).withColumn("_q", chosen)
+    rows = rows.select("post_id", "claim_ix", "part_ix", _strip(F.col("_q.text")).alias("query_text"), F.col("_q.kind").alias("query_type"), F.when(official | ~kind.isin(LOW_PRIORITY), "HIGH").otherwise("LOW").alias("priority"), F.when(official, F.array(*map(F.lit, REGISTRATION[1]))).otherwise(sources).alias("sources"))
+    once = keep_first(rows.withColumn("_key", F.lower("query_text")), ["post_id", "_key", "query_type"], [F.col("claim_ix"), F.col("part_ix")])
+    return once.drop("_key")
+
+
+def pipeline(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Counts of claims, atoms and queries of each post, and warnings where a step gave nothing."""
+    claims = typed(extract(posts, id_col, text_col))
+    parts = atoms(claims)
+    count = lambda df, name: df.groupBy("post_id").agg(F.count("*").alias(name))
+    out = posts.select(F.col(id_col).alias("post_id"))
+    for df, name in ((claims, "extracted_count"), (parts, "atomic_count"), (search_queries(parts), "queries_count")):
+        out = out.join(count(df, name), "post_id", "left").fillna(0, [name])
+    warnings = [(F.col("extracted_count") == 0, "No claims extracted from post."), ((F.col("queries_count") == 0) & (F.col("atomic_count") > 0), "No queries generated despite having atomic claims.")]
+    return out.withColumn("warnings", F.array_compact(F.array(*(F.when(c, F.lit(w)) for c, w in warnings))))
+
+
+def quality_gate(atoms: DataFrame) -> DataFrame:
+    """Of each post: atoms, verifiable ones without predicate or subject, claims with quantities but no value, outcomes that repeat what is paid, and whether all is ready."""
+    claim = atoms.groupBy("post_id", "claim_ix").agg(
+        F.count("*").alias("n"),
+        F.count_if("verifiable").alias("n_verifiable"),
+        F.count_if(F.col("verifiable") & F.col("predicate").isNull()).alias("no_predicate"),
+        F.count_if(F.col("verifiable") & F.col("subject").isNull()).alias("no_subject"),
+        F.bool_or(F.col("verifiable") & ((F.size("numbers") > 0) | (F.size("amounts") > 0))).alias("wants_value"),
+        F.bool_or(F.coalesce(F.col("value") != "", F.lit(False))).alias("has_value"),
+        F.max(F.when(F.col("predicate") == "invests", F.col("value"))).alias("paid"),
+        F.max(F.when(F.col("predicate") == "receives", F.col("value"))).alias("got"),
+        F.bool_or(F.col("claim_text").rlike("20000|20,000")).alias("says_more"),
+    )
+    repeats = (F.col("paid") == F.col("got")) & (F.col("paid") == "10000") & F.col("says_more")
+    out = claim.groupBy("post_id").agg(F.sum("n").alias("atoms"), F.sum("n_verifiable").alias("verifiable"), F.sum("no_predicate").alias("missing_predicates"), F.sum("no_subject").alias("missing_subjects"), F.count_if(F.col("wants_value") & ~F.col("has_value")).alias("without_value"), F.count_if(repeats).alias("repeated_values"))
+    return out.withColumn("ready", F.col("missing_predicates") + F.col("missing_subjects") + F.col("without_value") + F.col("repeated_values") == 0)

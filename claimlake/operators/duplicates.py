@@ -9,7 +9,7 @@ from ..functions.text import char_shingles, text_key
 from ..plans.lineage import cut
 
 
-def image_hash(path: str) -> Column:
+def image_hash(path: Column | str) -> Column:
     """64 bits from a path's SHA-256."""
     return F.conv(F.substring(F.sha2(path, 256), 1, 16), 16, -10).cast("bigint")
 
@@ -35,14 +35,24 @@ def near_pairs(posts: DataFrame, threshold: float = 0.85) -> DataFrame:
     return both.select("a", "b", score.alias("score")).filter(F.col("score") >= threshold)
 
 
-def image_pairs(posts: DataFrame, most: int = 5) -> DataFrame:
-    """``a, b, distance`` of image hashes at most ``most`` bits apart: they share one of ``most + 1`` slices."""
+def near_hashes(hashes: DataFrame, most: int = 5) -> DataFrame:
+    """``g, h, distance`` (g before h) of different values of ``image_hash`` at most ``most`` bits apart: they share one of ``most + 1`` slices."""
     width = -(-64 // (most + 1))
-    rows = posts.filter("image_hash is not null").select("ordinal", "image_hash")
-    sliced = rows.select("ordinal", "image_hash", F.posexplode(F.array(*(F.shiftrightunsigned("image_hash", i * width).bitwiseAND((1 << min(width, 64 - i * width)) - 1) for i in range(most + 1)))).alias("slice", "bits"))
-    x, y = (sliced.select("slice", "bits", F.col("ordinal").alias(k), F.col("image_hash").alias(f"h_{k}")) for k in "ab")
-    pairs = x.join(y, ["slice", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))))
-    return pairs.filter(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    rows = hashes.filter("image_hash is not null").select("image_hash").distinct()
+    sliced = rows.select("image_hash", F.posexplode(F.array(*(F.shiftrightunsigned("image_hash", i * width).bitwiseAND((1 << min(width, 64 - i * width)) - 1) for i in range(most + 1)))).alias("slice", "bits"))
+    x, y = (sliced.select("slice", "bits", F.col("image_hash").alias(k)) for k in "gh")
+    pairs = x.join(y, ["slice", "bits"]).filter("g < h").withColumn("distance", F.bit_count(F.col("g").bitwiseXOR(F.col("h"))))
+    return pairs.filter(F.col("distance") <= most).select("g", "h", "distance").distinct()
+
+
+def image_pairs(posts: DataFrame, most: int = 5) -> DataFrame:
+    """``a, b, distance`` (a before b) of rows whose image hashes are at most ``most`` bits apart, equal ones included."""
+    near = near_hashes(posts, most)
+    both = near.unionByName(near.select(F.col("h").alias("g"), F.col("g").alias("h"), "distance"))
+    rows = posts.filter("image_hash is not null")
+    same = rows.select(F.col("image_hash").alias("g"), F.col("image_hash").alias("h"), F.lit(0).alias("distance")).distinct()
+    x, y = (rows.select(F.col("image_hash").alias(c), F.col("ordinal").alias(k)) for c, k in (("g", "a"), ("h", "b")))
+    return both.unionByName(same).join(x, "g").join(y, "h").filter("a < b").select("a", "b", "distance")
 
 
 def canonicalise(posts: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Evidence graphs: typed nodes and edges, assembled, checked and counted."""
+"""Evidence graphs: typed nodes and edges with features and labels, assembled, checked and counted.
+
+A graph belongs to a post.  ``build`` makes all nodes and edges of all posts by one projection each and a union; a node or edge
+that a graph has more than once is kept once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import url_host
+from .quality import cluster_id
 
 
 def node_rows(df: DataFrame, kind: str, graph: str, source: str) -> DataFrame:
@@ -52,6 +57,155 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def typed_index(nodes: DataFrame) -> DataFrame:
     """Each node's place, from 0, among its type's nodes of its graph."""
-    from pyspark.sql import Window
-
     return nodes.withColumn("place", F.row_number().over(Window.partitionBy("graph_id", "node_type").orderBy("node_id")) - 1)
+
+
+#: Edge type by the relation of evidence to its claim; others count as neutral.
+RELATION_EDGES = {"SUPPORTS": "SUPPORTS", "CONTRADICTS": "CONTRADICTS", "NEUTRAL": "NEUTRAL_TO", "INSUFFICIENT": "INSUFFICIENT_FOR"}
+#: Indexes of categories in node features, and what is taken for others.
+LANGUAGES = {"en": 0, "ta": 1, "hi": 2, "ta-en": 3, "hi-en": 4}
+PLATFORMS = {"reddit": 0, "telegram": 1, "x": 2, "instagram": 3, "facebook": 4, "whatsapp": 5, "youtube": 6, "linkedin": 7, "tiktok": 8, "unknown": 9}
+CLAIM_TYPES = {"FINANCIAL": 0, "JOB": 1, "SHOPPING": 2, "GIVEAWAY": 3, "PAYMENT": 4, "CREDENTIAL": 5, "IMPERSONATION": 6, "OTHER": 7, "UNCLASSIFIED": 8}
+RELATION_INDEX = {"SUPPORTS": 0, "CONTRADICTS": 1, "NEUTRAL": 2, "INSUFFICIENT": 3}
+RISK_INDEX = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "INSUFFICIENT": 3}
+#: Parts of the hosts of official registries.
+REGISTRIES = [".gov", "gov.in", "official.gov", "sebi", "rbi", "cert-in"]
+
+ATTRIBUTES = {"text": "string", "language": "string", "platform": "string", "claim_type": "string", "check_worthiness": "double", "relation": "string", "source_type": "string", "url": "string", "verified": "boolean", "phash": "string", "image_hash": "string"}
+
+
+def short_hash(c: Column, n: int) -> Column:
+    return F.substring(F.sha2(c, 256), 1, n)
+
+
+def _nodes(df: DataFrame, kind: str, source: Column, node_id: Column, **attributes: Column) -> DataFrame:
+    rest = (attributes.get(name, F.lit(None)).cast(t).alias(name) for name, t in ATTRIBUTES.items())
+    return df.select("graph_id", node_id.alias("node_id"), F.lit(kind).alias("node_type"), source.alias("source_id"), "split", "cluster_id", *rest).filter("node_id is not null")
+
+
+def _edges(df: DataFrame, kind: Column, edge_id: Column, source: tuple[str, Column], target: tuple[str, Column], relation: Column | None = None) -> DataFrame:
+    out = df.select("graph_id", edge_id.alias("edge_id"), source[1].alias("source_node_id"), F.lit(source[0]).alias("source_node_type"), target[1].alias("target_node_id"), F.lit(target[0]).alias("target_node_type"), kind.alias("edge_type"), (F.lit(None).cast("string") if relation is None else relation).alias("relation"), "split", "cluster_id")
+    return out.filter("source_node_id is not null and target_node_id is not null")
+
+
+def build(posts: DataFrame, claims: DataFrame, evidence: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph of each post.
+
+    ``posts`` has ``post_id, text, language, platform, username, verified, image, image_hash, phash, split`` and the groups of
+    ``cluster_id``; ``claims`` ``claim_id, post_id, claim_text, claim_type, language, check_worthiness``; ``evidence`` ``evidence_id, claim_id,
+    evidence_text, relation, source_type, source_url``; ``comments`` ``comment_id, post_id, text, language``.
+    """
+    word = lambda prefix, c: F.concat(F.lit(prefix), c)
+    of_post = posts.select("*", word("graph_", F.col("post_id")).alias("graph_id"), cluster_id("campaign", "translation", "source_group", "post_id", "family").alias("cluster_id"))
+    frame = of_post.select("post_id", "graph_id", "split", "cluster_id")
+    of_claim = claims.join(frame, "post_id")
+    of_evidence = evidence.select(*(c for c in evidence.columns if c != "post_id")).join(of_claim.select("claim_id", "graph_id", "split", "cluster_id"), "claim_id").withColumn("url", F.nullif(F.trim("source_url"), F.lit("")))
+    of_comment = comments.join(frame, "post_id")
+    post, claim, found, comment, image = (word(p, F.col(c)) for p, c in (("node_post_", "post_id"), ("node_claim_", "claim_id"), ("node_ev_", "evidence_id"), ("node_cmt_", "comment_id"), ("node_img_", "image")))
+    url_id = word("url_", short_hash(F.col("url"), 12))
+    account_id = F.when(F.coalesce("username", F.lit("")) != "", F.concat(F.lit("acc_"), F.col("platform"), F.lit("_"), short_hash(F.concat_ws(":", "platform", "username"), 10)))
+    relation = F.create_map(*[F.lit(x) for pair in RELATION_EDGES.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(relation, F.col("relation")), F.lit("NEUTRAL_TO"))
+    col = F.col
+    nodes = [
+        _nodes(of_post, "POST", col("post_id"), post, text=col("text"), language=col("language"), platform=col("platform")),
+        _nodes(of_post, "ACCOUNT", account_id, word("node_", account_id), platform=col("platform"), verified=col("verified")),
+        _nodes(of_post, "IMAGE", col("image"), image, phash=col("phash"), image_hash=col("image_hash")),
+        _nodes(of_comment, "COMMENT", col("comment_id"), comment, text=col("text"), language=col("language")),
+        _nodes(of_claim, "CLAIM", col("claim_id"), claim, text=col("claim_text"), language=col("language"), claim_type=col("claim_type"), check_worthiness=col("check_worthiness")),
+        _nodes(of_evidence, "EVIDENCE", col("evidence_id"), found, text=col("evidence_text"), relation=col("relation"), source_type=col("source_type"), url=col("source_url")),
+        _nodes(of_evidence, "URL", url_id, word("node_", url_id), url=col("url")),
+    ]
+    edges = [
+        _edges(of_post, F.lit("ASSOCIATED_WITH"), F.concat(F.lit("edge_assoc_"), "post_id", F.lit("_"), account_id), ("POST", post), ("ACCOUNT", word("node_", account_id))),
+        _edges(of_post, F.lit("CONTAINS"), F.concat(F.lit("edge_contains_"), "post_id", F.lit("_"), "image"), ("POST", post), ("IMAGE", image)),
+        _edges(of_comment, F.lit("HAS_COMMENT"), F.concat(F.lit("edge_comment_"), "post_id", F.lit("_"), "comment_id"), ("POST", post), ("COMMENT", comment)),
+        _edges(of_claim, F.lit("HAS_CLAIM"), F.concat(F.lit("edge_has_claim_"), "post_id", F.lit("_"), "claim_id"), ("POST", post), ("CLAIM", claim)),
+        _edges(of_evidence, kind, F.concat(F.lit("edge_"), F.lower(kind), F.lit("_"), "claim_id", F.lit("_"), "evidence_id"), ("CLAIM", claim), ("EVIDENCE", found), col("relation")),
+        _edges(of_evidence, F.lit("SOURCED_FROM"), F.concat(F.lit("edge_sourced_from_"), "evidence_id", F.lit("_"), url_id), ("EVIDENCE", found), ("URL", word("node_", url_id))),
+    ]
+    both = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(both(parts[1:]))
+    return both(nodes).dropDuplicates(["graph_id", "node_id"]), both(edges).dropDuplicates(["graph_id", "source_node_id", "target_node_id", "edge_type"])
+
+
+def similar_edges(pairs: DataFrame) -> DataFrame:
+    """Edges between similar images, from ``a, b, distance`` of 64-bit hashes."""
+    return pairs.select(F.concat_ws("_", F.lit("edge_sim"), "a", "b").alias("edge_id"), F.concat(F.lit("node_img_"), "a").alias("source_node_id"), F.concat(F.lit("node_img_"), "b").alias("target_node_id"), F.lit("SIMILAR_TO").alias("edge_type"), (1 - F.col("distance") / 64).alias("similarity"))
+
+
+def _index(c: Column, of: dict[str, int], other: int) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), c), F.lit(other))
+
+
+def node_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with indexes of their categories, counts and flags; null where a type has no such feature.
+
+    A post's counts are those of its edges to claims, images and comments.
+    """
+    counts = edges.groupBy("graph_id").agg(*(F.count_if(F.col("edge_type") == k).alias(c) for c, k in (("claim_count", "HAS_CLAIM"), ("image_count", "CONTAINS"), ("comment_count", "HAS_COMMENT"))))
+    of = lambda *kinds: F.col("node_type").isin(*kinds)
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\s\p{Z}]+"), lambda w: w != ""))
+    host = url_host("url")
+    official = F.lit(False)
+    for part in REGISTRIES:
+        official |= host.contains(part)
+    rows = nodes.join(counts, "graph_id", "left")
+    return rows.select(
+        "graph_id", "node_id", "node_type",
+        F.when(of("POST", "CLAIM"), _index(F.lower("language"), LANGUAGES, 0)).alias("language_idx"),
+        F.when(of("POST", "ACCOUNT"), _index(F.lower("platform"), PLATFORMS, 9)).alias("platform_idx"),
+        F.when(of("CLAIM"), _index(F.upper("claim_type"), CLAIM_TYPES, 8)).alias("claim_type_idx"),
+        F.when(of("CLAIM"), F.coalesce("check_worthiness", F.lit(1.0))).alias("check_worthiness"),
+        F.when(of("EVIDENCE"), _index(F.upper("relation"), RELATION_INDEX, 2)).alias("relation_idx"),
+        F.when(of("EVIDENCE"), F.coalesce(F.trim("url") != "", F.lit(False))).alias("has_source_url"),
+        F.when(of("POST", "COMMENT"), words).alias("token_count"),
+        *(F.when(of("POST"), F.coalesce(c, F.lit(0))).alias(c) for c in ("claim_count", "image_count", "comment_count")),
+        F.when(of("URL"), host).alias("domain"), F.when(of("URL"), official).alias("is_official_registry"), F.when(of("URL"), F.length("url")).alias("url_length"),
+        F.when(of("ACCOUNT"), F.coalesce("verified", F.lit(False))).alias("is_verified"),
+        F.when(of("IMAGE"), F.col("phash").isNotNull()).alias("has_phash"), F.when(of("IMAGE"), F.col("image_hash").isNotNull()).alias("has_image_hash"),
+    )
+
+
+def labels(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``graph_id, risk_level, risk_class_idx, has_risk_label, evidence_relations`` of each post's graph; -1 without a label."""
+    relations = nodes.filter("node_type = 'EVIDENCE'").groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("source_id").alias("evidence_id"), "relation", _index(F.upper("relation"), RELATION_INDEX, -1).alias("relation_idx")))).alias("evidence_relations"))
+    rows = posts.select(F.concat(F.lit("graph_"), "post_id").alias("graph_id"), "risk").join(relations, "graph_id", "left")
+    return rows.select("graph_id", F.coalesce("risk", F.lit("UNKNOWN")).alias("risk_level"), _index(F.upper("risk"), RISK_INDEX, -1).alias("risk_class_idx"), F.col("risk").isNotNull().alias("has_risk_label"), "evidence_relations")
+
+
+def edge_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, relation, sources, targets``: places of the ends of each kind of edge, as parallel arrays; edges without both ends are left out."""
+    placed = typed_index(nodes).select("graph_id", "node_id", F.lower("node_type").alias("kind"), "place")
+    side = lambda name: placed.select("graph_id", F.col("node_id").alias(f"{name}_node_id"), F.col("kind").alias(f"{name}_kind"), F.col("place").alias(f"{name}_place"))
+    rows = edges.join(side("source"), ["graph_id", "source_node_id"]).join(side("target"), ["graph_id", "target_node_id"])
+    kind = F.concat_ws("__", "source_kind", F.lower("edge_type"), "target_kind")
+    lists = rows.groupBy("graph_id", kind.alias("relation")).agg(F.array_sort(F.collect_list(F.struct(F.col("source_place").alias("s"), F.col("target_place").alias("t")))).alias("e"))
+    return lists.select("graph_id", "relation", F.transform("e", lambda x: x["s"]).alias("sources"), F.transform("e", lambda x: x["t"]).alias("targets"))
+
+
+def audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, duplicate_edges, invalid_edges, orphan_claims`` of graphs with any.
+
+    An edge is invalid where an end is missing or of another type, or where its relation is not its evidence's.
+    """
+    end = lambda name: nodes.select("graph_id", F.col("node_id").alias(f"{name}_node_id"), F.col("node_type").alias(f"{name}_is"), F.col("relation").alias(f"{name}_relation"))
+    rows = edges.join(end("source"), ["graph_id", "source_node_id"], "left").join(end("target"), ["graph_id", "target_node_id"], "left")
+    missing = F.col("source_is").isNull() | F.col("target_is").isNull()
+    wrong = (F.col("source_is") != F.col("source_node_type")) | (F.col("target_is") != F.col("target_node_type"))
+    other = F.coalesce((F.col("target_is") == "EVIDENCE") & (F.col("relation") != F.col("target_relation")), F.lit(False))
+    bad = rows.groupBy("graph_id").agg(F.sum(F.when(missing, 1).otherwise(F.coalesce(wrong, F.lit(False)).cast("int") + other.cast("int"))).alias("invalid_edges"))
+    twice = edges.groupBy("graph_id", "source_node_id", "target_node_id", "edge_type").agg((F.count("*") - 1).alias("n")).groupBy("graph_id").agg(F.sum("n").alias("duplicate_edges"))
+    linked = edges.filter("edge_type = 'HAS_CLAIM'").select("graph_id", F.col("target_node_id").alias("node_id"))
+    orphans = nodes.filter("node_type = 'CLAIM'").join(linked, ["graph_id", "node_id"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("orphan_claims"))
+    out = twice.join(bad, "graph_id", "full").join(orphans, "graph_id", "full").fillna(0)
+    return out.filter("duplicate_edges + invalid_edges + orphan_claims > 0").select("graph_id", "duplicate_edges", "invalid_edges", "orphan_claims")
+
+
+def manifest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Counts over all graphs: one row with averages and density E / (V (V - 1))."""
+    n = nodes.agg(F.count_distinct("graph_id").alias("graphs"), F.count("*").alias("nodes"), F.count_distinct("cluster_id").alias("clusters"), *(F.count_if(F.col("node_type") == k).alias(k.lower() + "_nodes") for k in ("POST", "CLAIM", "EVIDENCE", "URL", "ACCOUNT", "IMAGE", "COMMENT")))
+    e = edges.agg(F.count("*").alias("edges"), *(F.count_if(F.col("edge_type") == k).alias(k.lower() + "_edges") for k in ("HAS_CLAIM", *RELATION_EDGES.values(), "SOURCED_FROM")))
+    part = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.greatest(F.col(b), F.lit(1))), F.lit(0.0)), 2)
+    one = n.join(F.broadcast(e))  # one row each
+    v = F.col("nodes").cast("double")
+    return one.withColumns({"avg_nodes": part("nodes", "graphs"), "avg_edges": part("edges", "graphs"), "avg_claims": part("claim_nodes", "post_nodes"), "avg_evidence": part("evidence_nodes", "claim_nodes"), "density": F.round(F.when(v > 1, F.col("edges") / (v * (v - 1))).otherwise(F.col("edges").cast("double")), 6)})

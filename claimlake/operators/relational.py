@@ -86,15 +86,25 @@ def carry_forward(df: DataFrame, group: str, order: list[str], column: str, out:
     return df.withColumn(out, F.last(column, ignorenulls=True).over(so_far))
 
 
-def ratio_split(groups: DataFrame, key: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """``key, split``: sorted keys cut at floor(n * train) and floor(n * validation).
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place, from 1, in the order of a column whose values are unique.
 
-    Ranks come from a window over groups, one row for each.
+    Rows are sorted in ranges; the rows of the ranges before are summed over one row for each range, so no task sees all.
     """
-    at = Window.orderBy(key)
-    rows = groups.select(key).distinct().withColumns({"_at": F.row_number().over(at), "_n": F.count("*").over(Window.partitionBy())})
+    from ..plans.lineage import cut
+
+    ranged = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row for each range
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
+
+
+def ratio_split(groups: DataFrame, key: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
+    """``key, split``: sorted keys cut at floor(n * train) and floor(n * validation)."""
+    rows = numbered(groups.select(key).distinct(), key, "_at")
+    total = rows.agg(F.count("*").alias("_n"))
     first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * validation)
-    return rows.select(key, F.when(F.col("_at") <= first, "train").when(F.col("_at") <= first + second, "validation").otherwise("test").alias("split"))
+    return rows.join(F.broadcast(total)).select(key, F.when(F.col("_at") <= first, "train").when(F.col("_at") <= first + second, "validation").otherwise("test").alias("split"))
 
 
 def greedy_split(sizes: DataFrame, key: str = "cluster", size: str = "size", synthetic: str = "synthetic", test: float = 0.15, validation: float = 0.15) -> DataFrame:

@@ -1,46 +1,181 @@
-"""Lexical retrieval by token joins: word overlap, hard negatives, BM25."""
+"""Lexical retrieval by token joins: positives, hard negatives, example sets, BM25."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_set
+from ..functions.text import search_text, word_set
+from ..plans.lineage import cut
+from .relational import keep_first
 
 
-def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of all pairs that share a word: Jaccard of word sets, rounded to 4.
+#: Relations of evidence to its claim, kinds of negatives and their priorities.
+POSITIVE = ["SUPPORTS", "CONTRADICTS"]
+PRIORITIES = {"HARD_ENTITY_NEGATIVE": 3, "HARD_TOPIC_NEGATIVE": 2, "CROSS_ENTITY_NEGATIVE": 1}
 
-    ``left`` and ``right`` have ``id, text``.  Sets are joined on their words through an inverted index, so pairs
-    without a common word are never made.
+
+def is_positive() -> Column:
+    """Evidence that has a text and supports or contradicts its claim."""
+    return (F.trim(F.coalesce("evidence_text", F.lit(""))) != "") & F.coalesce(F.col("relation").isin(POSITIVE), F.lit(False))
+
+
+def positives(evidence: DataFrame, order: str) -> DataFrame:
+    """The first positive evidence of each claim."""
+    return keep_first(evidence.filter(is_positive()), ["claim_id"], [F.col(order), F.col("evidence_id")])
+
+
+def pool(evidence: DataFrame, claims: DataFrame) -> DataFrame:
+    """Evidence with its claim's split; train where the claim or its split is unknown."""
+    splits = claims.select("claim_id", F.col("split").alias("_split"))
+    return evidence.join(splits, "claim_id", "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_split")
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both.cast("double"), (F.size(a) + F.size(b) - both).cast("double")), F.lit(0.0))
+
+
+def _nearest(queries: DataFrame, texts: DataFrame, k: int, probe: int = 3) -> DataFrame:
+    """``query_id, text_id, raw``: for each query all texts of its group that share a word and may be among its k most alike ones.
+
+    Words are taken by rarity.  The k-th best among the texts that hold one of the ``probe`` rarest gives a bound t; a set at least
+    that alike shares one of the n - ceil(t n) + 1 rarest of the query's n words, so only these are joined: common words
+    are left out wherever the bound allows.  Both tables have an id, ``group`` and ``words``.
     """
-    a = left.select(F.col("id").alias("a"), word_set("text").alias("w")).select("a", F.size("w").alias("n_a"), F.explode("w").alias("word"))
-    b = right.select(F.col("id").alias("b"), word_set("text").alias("w")).select("b", F.size("w").alias("n_b"), F.explode("w").alias("word"))
-    both = a.join(b, "word").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return both.select("a", "b", F.round(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 4).alias("similarity"))
+    inverted = texts.select("group", "text_id", F.explode("words").alias("word"))
+    rarity = inverted.groupBy("group", "word").agg(F.count("*").alias("df"))
+    ranked = queries.select("query_id", "group", F.size("words").alias("n"), F.explode("words").alias("word")).join(rarity, ["group", "word"])  # words that no text has are of no use
+    ranked = cut(ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))))
+
+    def alike(words: DataFrame) -> DataFrame:
+        pairs = words.join(inverted, ["group", "word"]).select("query_id", "text_id").distinct()
+        q, t = queries.select("query_id", F.col("words").alias("q")), texts.select("text_id", F.col("words").alias("t"))
+        return pairs.join(q, "query_id").join(t, "text_id").select("query_id", "text_id", _similarity(F.col("q"), F.col("t")).alias("raw"))
+
+    near = cut(alike(ranked.filter(F.col("place") <= probe)))
+    best = near.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw")))).filter(F.col("at") == k).select("query_id", (F.col("raw") - 1e-4).alias("bound"))  # similarities are compared rounded
+    longer = ranked.join(best, "query_id", "left").filter(F.col("place") <= F.col("n") - F.ceil(F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)) * F.col("n")) + 1)
+    return alike(longer.select("query_id", "group", "word"))
 
 
-def top_negatives(scored: DataFrame, k: int = 3) -> DataFrame:
-    """The k best of each query by similarity, then priority, then id (all descending), one for each text.
+def most_alike(queries: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
+    """``query_id, text_id, similarity, rank``: the k texts most alike by words, of equals the larger id; both tables have ``id, text``."""
+    q = cut(queries.select(F.col("id").alias("query_id"), F.lit(0).alias("group"), word_set("text").alias("words")))
+    t = cut(texts.select(F.col("id").alias("text_id"), F.lit(0).alias("group"), word_set("text").alias("words")))
+    found = _nearest(q, t, k).withColumn("similarity", F.round("raw", 4))
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("text_id"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("raw")
 
-    ``scored`` has ``query_id, evidence_id, text_key, similarity, priority``.
+
+def hard_negatives(queries: DataFrame, evidence: DataFrame, k: int = 3) -> DataFrame:
+    """``claim_id, evidence_id, relation, negative_type, similarity, rank``: the k best negatives of each claim in its split.
+
+    Negatives neither support nor contradict; they are ranked by word similarity to the query, then by kind, then by id (all
+    descending), one for each text.  ``queries`` has ``claim_id, split, query_text``, ``evidence`` is a ``pool``.
+    Equal texts of a split are one from the start; where under k share a word, the best of the split fill up.
     """
+    rows = evidence.filter(~F.coalesce(F.col("relation").isin(POSITIVE), F.lit(False))).select("evidence_id", F.col("claim_id").alias("own_claim"), "relation", "split", F.coalesce("evidence_text", F.lit("")).alias("evidence_text"))
+    kind = F.when(F.col("relation") == "NEUTRAL", "HARD_TOPIC_NEGATIVE").otherwise("CROSS_ENTITY_NEGATIVE")
+    priority = F.element_at(F.create_map(*[F.lit(x) for pair in PRIORITIES.items() for x in pair]), F.col("negative_type"))
+    rows = rows.withColumn("negative_type", kind).withColumn("priority", priority)
+    best = F.max(F.struct("priority", "evidence_id", "relation", "negative_type"))
+    texts = rows.groupBy("split", "evidence_text").agg(best.alias("x")).select(F.xxhash64("split", "evidence_text").alias("text_id"), F.col("split").alias("group"), "evidence_text", "x.*")
+    texts = cut(texts.withColumn("words", word_set("evidence_text")))
+    asked = cut(queries.select(F.col("claim_id").alias("query_id"), F.col("split").alias("group"), word_set("query_text").alias("words")))
+    shared = _nearest(asked, texts, k).join(texts.select("text_id", "evidence_text", "priority", "evidence_id", "relation", "negative_type"), "text_id").drop("text_id")
+    head = texts.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("priority"), F.desc("evidence_id")))).filter(F.col("at") <= 2 * k).drop("at")  # 2 k rows of each split
+    fill = asked.withColumnRenamed("words", "q").join(F.broadcast(head), "group").withColumn("raw", _similarity(F.col("q"), F.col("words")))
+    own = rows.withColumn("negative_type", F.lit("HARD_ENTITY_NEGATIVE")).withColumn("priority", priority)
+    own = asked.withColumnRenamed("words", "q").join(own, (F.col("query_id") == F.col("own_claim")) & (F.col("group") == F.col("split"))).withColumn("raw", _similarity(F.col("q"), word_set("evidence_text")))
+    columns = ["query_id", "evidence_text", "raw", "priority", "evidence_id", "relation", "negative_type"]
+    found = shared.select(columns).unionByName(fill.select(columns)).unionByName(own.select(columns)).withColumn("similarity", F.round("raw", 4))
     order = [F.desc("similarity"), F.desc("priority"), F.desc("evidence_id")]
-    once = scored.withColumn("_at", F.row_number().over(Window.partitionBy("query_id", "text_key").orderBy(*order))).filter("_at = 1")
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).drop("_at")
+    once = keep_first(found, ["query_id", "evidence_text"], order)
+    once = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+    return once.select(F.col("query_id").alias("claim_id"), "evidence_id", "evidence_text", "relation", "negative_type", "similarity", "rank")
+
+
+def query_variants(claims: DataFrame) -> DataFrame:
+    """``claim_id, variant, query_id, query_text, query_type``: the claim as a query, and its first words with a registration."""
+    text, kind = search_text("claim_text"), F.upper("claim_type")
+    words = F.filter(F.split("query_text", " "), lambda w: w != "")
+    of = F.when(kind.isin("FINANCIAL", "INVESTMENT"), "FINANCIAL").when(kind == "TEMPORAL", "TEMPORAL").otherwise("VERIFICATION")
+    rows = claims.select("claim_id", text.alias("query_text"), of.alias("query_type"))
+    entity = F.when(F.size(words) >= 4, F.struct(F.lit(2).alias("variant"), F.concat(F.array_join(F.slice(words, 1, 5), " "), F.lit(" official registration")).alias("query_text"), F.lit("ENTITY").alias("query_type")))
+    both = F.array_compact(F.array(F.struct(F.lit(1).alias("variant"), "query_text", "query_type"), entity))
+    rows = rows.select("claim_id", F.inline(both))
+    return rows.withColumn("query_id", F.format_string("q_%s_%02d", "claim_id", "variant"))
+
+
+def examples(claims: DataFrame, evidence: DataFrame, order: str, k: int = 3, review_every: int = 4) -> DataFrame:
+    """One example for each claim that has a positive and a negative, in the claims' order, with its negatives as an array.
+
+    ``claims`` has ``claim_id, claim_text, claim_type, language, split, cluster_id`` and the column ``order``.  Numbers come from a
+    count of the claims before each in ranges of ``order`` (``numbered``).
+    """
+    from .relational import numbered
+
+    known = claims.withColumn("split", F.coalesce("split", F.lit("train")))
+    first = query_variants(known).filter("variant = 1").drop("variant")
+    found = positives(evidence, "evidence_id").select("claim_id", F.col("evidence_id").alias("positive_id"), F.col("evidence_text").alias("positive_text"), F.col("relation").alias("positive_relation"), F.coalesce("language", F.lit("en")).alias("evidence_language"))
+    rows = known.join(first, "claim_id").join(found, "claim_id")
+    negatives = hard_negatives(rows.select("claim_id", "split", "query_text"), pool(evidence, claims), k)
+    lists = negatives.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "evidence_text", "relation", "negative_type", "similarity"))).alias("negatives"))
+    rows = numbered(rows.join(lists, "claim_id"), order, "at")
+    language = F.coalesce("language", F.lit("en"))
+    return rows.select(
+        F.format_string("ret_%06d", "at").alias("retrieval_id"), "claim_id", "query_id", "query_text", "query_type", "positive_id", "positive_text", "positive_relation",
+        F.col("negatives")[0]["evidence_id"].alias("negative_id"), F.col("negatives")[0]["negative_type"].alias("negative_type"), "negatives",
+        language.alias("query_language"), "evidence_language", (language != F.col("evidence_language")).alias("cross_language"), "split", "cluster_id", (F.col("at") % review_every == 0).alias("human_reviewed"),
+    )
+
+
+def pairs(examples: DataFrame) -> DataFrame:
+    """Labelled pairs: each example's positive (1) and negatives (0)."""
+    common = ["retrieval_id", "query_id", "query_text", "split", "cluster_id", "cross_language"]
+    name = lambda tail: F.concat(F.lit("pair_"), F.substring("retrieval_id", 5, 100), tail)
+    yes = examples.select(name(F.lit("_pos")).alias("pair_id"), *common, F.col("positive_id").alias("evidence_id"), F.col("positive_text").alias("document_text"), F.lit(1).alias("label"), F.col("positive_relation").alias("relation"), F.lit(None).cast("string").alias("negative_type"))
+    no = examples.select(*common, F.posexplode("negatives").alias("ix", "n"))
+    no = no.select(name(F.concat(F.lit("_neg_"), (F.col("ix") + 1).cast("string"))).alias("pair_id"), *common, "n.evidence_id", F.col("n.evidence_text").alias("document_text"), F.lit(0).alias("label"), "n.relation", "n.negative_type")
+    return yes.unionByName(no)
+
+
+def evaluation_pool(examples: DataFrame, split: str = "test") -> DataFrame:
+    """Of each example of a split: its relevant evidence and all candidates."""
+    none = F.lit(None).cast("string")
+    best = F.array(F.struct(F.col("positive_id").alias("evidence_id"), F.lit(True).alias("is_relevant"), F.col("positive_relation").alias("relation"), none.alias("negative_type"), F.lit(None).cast("double").alias("similarity")))
+    rest = F.transform("negatives", lambda n: F.struct(n["evidence_id"].alias("evidence_id"), F.lit(False).alias("is_relevant"), none.alias("relation"), n["negative_type"].alias("negative_type"), F.lit(None).cast("double").alias("similarity")))
+    return examples.filter(F.col("split") == split).select("query_id", "claim_id", F.array("positive_id").alias("relevant_ids"), F.concat(best, rest).alias("candidates"), "cluster_id")
+
+
+def manifest(examples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Counts of an example set: one row."""
+    flat = examples.withColumn("n_negatives", F.size("negatives"))
+    one = flat.agg(F.count("*").alias("records"), F.count_distinct("query_id").alias("queries"), F.count_distinct("positive_id").alias("positives"), F.count_distinct("cluster_id").alias("clusters"), F.sum("n_negatives").alias("negatives"), F.count_if("cross_language").alias("cross_language"), F.count_if("human_reviewed").alias("reviewed"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")))
+    return one.join(F.broadcast(pairs.agg(F.count("*").alias("pairs"))))  # one row each
+
+
+def duplicate_pairs(pairs: DataFrame) -> DataFrame:
+    """How many (query, evidence) pairs repeat an earlier one: one row."""
+    return pairs.groupBy("query_id", "evidence_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_pairs"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, rank, doc_id, score`` by Robertson and Zaragoza's formula; both tables have ``id, text``.
 
-    Only words of queries are kept of the documents, so the postings joined are those asked for.
+    Texts are split once; the postings of the words that queries ask for are kept in a table, from which document frequencies and
+    scores come, with each document's length.  Ids of ``docs`` are unique.
     """
     split = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    terms = docs.select(F.col("id").alias("doc_id"), split("text").alias("w")).withColumn("length", F.size("w"))
-    stats = terms.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(split("text"))).alias("word"))
-    postings = terms.select("doc_id", "length", F.explode("w").alias("word")).groupBy("doc_id", "length", "word").agg(F.count("*").alias("tf"))
-    postings = postings.join(asked.select("word").distinct(), "word", "left_semi")
+    asked = cut(queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(split("text"))).alias("word")))
+    terms = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(split("text"))).alias("w"))  # generated, so split once
+    words = terms.select("doc_id", F.size("w").alias("length"), F.explode_outer("w").alias("word"))
+    wanted = asked.select(F.col("word").alias("asked")).distinct()
+    found = words.join(wanted, F.col("word") == F.col("asked"), "left").groupBy("doc_id", "length", "asked").agg(F.count("*").alias("tf"))
+    postings = cut(found)  # one row for each document (its other words), and one for each of its words that is asked for
+    stats = postings.select("doc_id", "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    postings = postings.filter("asked is not null").withColumnRenamed("asked", "word")
     weights = postings.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats is one row
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
     hits = postings.join(weights, "word").select("doc_id", "word", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("part"))

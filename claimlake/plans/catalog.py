@@ -6,31 +6,15 @@ items for claims, pages for links, conversations for comment threads and events
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, duplicates, features, graph, metrics, quality, recognition, relational, retrieval
+from ..operators import duplicates, features, graph, metrics, quality, recognition, relational, retrieval
 from ..operators.components import connected_components
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 RISK = "CASE WHEN toxic = 1 THEN 'HIGH' WHEN quality = 1 THEN 'LOW' ELSE 'MEDIUM' END"
 BARE = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
@@ -210,10 +194,7 @@ def w4_carry_forward(t):
 
 @query("SELECT item_id, row_number() OVER (ORDER BY item_id) AS at, row_number() OVER (ORDER BY item_id) % 4 = 0 AS reviewed FROM benchmark")
 def w6_w7_numbering(t):
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.orderBy("item_id"))  # over claims of one evaluation set
-    return t("benchmark").select("item_id", at.cast("long").alias("at"), (at % 4 == 0).alias("reviewed"))
+    return relational.numbered(t("benchmark").select("item_id"), "item_id", "at").withColumn("reviewed", F.col("at") % 4 == 0)
 
 
 # Set operations
@@ -316,11 +297,6 @@ def k2_quantities(t):
 # Retrieval
 
 
-@query()
-def r1_o8_search_text(t):
-    return t("benchmark").select("item_id", T.search_text("text").alias("query_text"))
-
-
 @query(rf"""WITH a AS (SELECT item_id AS a, list_distinct(list_filter({WORDS}, lambda x: length(x) > 2)) AS w FROM benchmark),
 b AS (SELECT doc_id AS b, list_distinct(list_filter({WORDS}, lambda x: length(x) > 2)) AS w FROM documents),
 x AS (SELECT a, len(w) AS n, unnest(w) AS word FROM a), y AS (SELECT b, len(w) AS n, unnest(w) AS word FROM b),
@@ -328,9 +304,8 @@ s AS (SELECT a, b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*))
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b DESC) AS rank FROM s)
 SELECT a AS item_id, b AS doc_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def j7_r3_r5_o1_hard_negatives(t):
-    pairs = retrieval.overlaps(t("benchmark").select(F.col("item_id").alias("id"), "text"), t("documents").select(F.col("doc_id").alias("id"), "text"))
-    scored = pairs.select(F.col("a").alias("query_id"), F.col("b").alias("evidence_id"), F.col("b").alias("text_key"), "similarity", F.lit(1).alias("priority"))
-    return retrieval.top_negatives(scored).select(F.col("query_id").alias("item_id"), F.col("evidence_id").alias("doc_id"), "similarity", "rank")
+    found = retrieval.most_alike(t("benchmark").select(F.col("item_id").alias("id"), "text"), t("documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("query_id").alias("item_id"), F.col("text_id").alias("doc_id"), "similarity", "rank")
 
 
 @query(rf"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
@@ -370,11 +345,6 @@ def g7_g14_a12_x9_statistics(t):
     return graph.statistics(*graph.thread_graph(t("conversations")))
 
 
-@query(_graph_sql("SELECT graph_id, s AS source_node_id, t AS target_node_id, edge_type FROM edges WHERE false"))
-def a13_j12_dangling_edges(t):
-    return graph.dangling(*graph.page_graph(t("pages")))
-
-
 # Features and evaluation
 
 
@@ -449,17 +419,6 @@ def t4_hourly_events(t):
     return t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-@query()
-def k1_k13_x3_claim_features(t):
-    typed = claims.typed(claims.sentences(t("conversations").withColumn("post_id", F.concat_ws(":", "conv_id", "turn")), "post_id", "text"))
-    return features.claim_features(typed, claims.atoms(typed))
-
-
-@query()
-def k12_r2_queries(t):
-    return claims.queries(claims.typed(claims.sentences(t("benchmark").withColumn("post_id", F.col("item_id").cast("string")), "post_id", "text")))
-
-
 @query("SELECT l_orderkey AS post_id, count(*) AS evidence_count, count(DISTINCT l_suppkey) AS independent_source_count, count(*) FILTER (l_returnflag = 'A') AS supports_count, count(*) FILTER (l_returnflag = 'R') AS contradicts_count, round(count(*) FILTER (l_returnflag = 'A') / count(*), 4) AS supports_ratio, round(count(DISTINCT l_suppkey) / count(*), 4) AS source_diversity FROM lineitem GROUP BY l_orderkey")
 def x4_x6_relation_features(t):
     relation = F.when(F.col("l_returnflag") == "A", "SUPPORTS").when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("NEUTRAL")
@@ -553,3 +512,6 @@ def q4_q5_q6_selection(t):
     best = recognition.best_candidate(rows, "image", "text", "conf", "mode", "detections", "doc_id").withColumn("regions", F.array("conf"))
     score = recognition.reliability("text", "conf", "regions", "mode")
     return best.select("image", "doc_id", "usable", "score", score.alias("reliability"), recognition.status("text", score).alias("status"))
+
+
+from . import claim_queries, graph_queries, retrieval_queries  # noqa: E402, F401  register their queries
