@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode import word_edit_distance
+from .relational import running_totals
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -19,13 +22,51 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return out.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``truth, predicted, n`` of all pairs of classes that occur, 0 included."""
+    cells = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    classes = cells.select(F.explode(F.array("truth", "predicted")).alias("c")).distinct()
+    every = classes.select(F.col("c").alias("truth")).join(F.broadcast(classes.select(F.col("c").alias("predicted"))))  # a few classes
+    return every.join(cells, ["truth", "predicted"], "left").fillna(0, ["n"])
+
+
+def summary(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Accuracy, and precision, recall and F1 as means over classes (macro) and weighted by support: one row."""
+    rows = per_class(df, truth, predicted)
+    macro = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    return rows.agg(F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("accuracy"), *macro, *weighted)
+
+
+def _by_score(df: DataFrame, truth: Column, score: str) -> DataFrame:
+    """Distinct scores with positives and negatives, and how many of each lie below: counted in ranges of scores."""
+    counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    return running_totals(counts, "score", {"pos": "pos_below", "neg": "neg_below"})
+
+
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by midranks of distinct scores: one row."""
-    by_score = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # over distinct scores
-    ranked = by_score.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    return ranked.agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    rows = _by_score(df.filter(F.col(truth).isin(0, 1)), F.col(truth) == 1, score)
+    return rows.agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+
+
+def one_vs_rest_auc(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
+    """Mean over classes of the area under each class's curve; ``scores`` names the score column of each class."""
+    parts = None
+    for name, score in scores.items():
+        part = roc_auc(df.select((F.col(truth) == name).cast("int").alias("y"), score), "y", score)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.agg(F.avg("auc").alias("macro_auc"))
+
+
+def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Precision at each distinct score, weighted by the recall gained there: one row."""
+    rows = _by_score(df.filter(F.col(truth).isin(0, 1)), F.col(truth) == 1, score)
+    total = rows.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))  # one row
+    rows = rows.join(F.broadcast(total))
+    hits, called = F.col("p") - F.col("pos_below"), F.col("p") + F.col("q") - F.col("pos_below") - F.col("neg_below")  # scored as high or higher
+    return rows.agg(F.try_divide(F.sum(F.col("pos") * hits / called), F.max("p").cast("double")).alias("average_precision"))
 
 
 def ranking(df: DataFrame, query: str, rank: str, relevant: str, ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
@@ -69,3 +110,40 @@ def cosine(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\s\p{Z}]+"), lambda w: w != "")
+
+
+def word_error_rate(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Word error rate over all rows: summed distance over summed length."""
+    ref, hyp = _words(F.col(reference)), _words(F.col(hypothesis))
+    return df.select(word_edit_distance(ref, hyp).alias("d"), F.size(ref).alias("n")).agg(F.try_divide(F.sum("d"), F.greatest(F.sum("n"), F.lit(1)).cast("double")).alias("wer"))
+
+
+def sample_metrics(df: DataFrame, truth: str, prediction: str, keep: list[str]) -> DataFrame:
+    """``cer, wer, exact_match, annotation_status`` of each row over texts with single spaces; nulls where the truth is not known."""
+    clean = lambda c: F.array_join(_words(F.coalesce(c, F.lit(""))), " ")
+    rows = df.select(*keep, F.col(truth).isNull().alias("_none"), clean(F.col(truth)).alias("_r"), clean(F.col(prediction)).alias("_p"))
+    words = F.size(_words(F.col("_r")))
+    one = F.lit(1)
+    known = lambda c: F.when(~F.col("_none"), c)
+    return rows.select(
+        *keep, known(F.levenshtein("_r", "_p") / F.greatest(F.length("_r"), one)).alias("cer"), known(word_edit_distance(_words(F.col("_r")), _words(F.col("_p"))) / F.greatest(words, one)).alias("wer"),
+        known((F.col("_r") == F.col("_p")).cast("int")).alias("exact_match"), F.when(F.col("_none"), "MISSING").otherwise("VALID").alias("annotation_status"),
+    )
+
+
+def monotone_share(df: DataFrame, bucket: str, error: str) -> DataFrame:
+    """Share of neighbouring buckets whose mean error does not rise; null for under three buckets.  Buckets are few (ten confidences)."""
+    means = df.groupBy(bucket).agg(F.avg(error).alias("mean"))
+    rows = means.withColumn("_last", F.lag("mean").over(Window.orderBy(bucket)))
+    return rows.agg(F.when(F.count("*") >= 3, F.count_if(F.col("_last") >= F.col("mean")) / (F.count("*") - 1)).alias("monotone_fraction"))
+
+
+def majority(df: DataFrame, label: str) -> DataFrame:
+    """``class, prior, majority``: shares of the classes, and which is the most frequent (of equals the first by name)."""
+    counts = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    most = counts.agg(F.min(F.struct((-F.col("n")).alias("m"), "class"))["class"].alias("most"), F.sum("n").alias("all"))  # one row
+    return counts.join(F.broadcast(most)).select("class", (F.col("n") / F.col("all")).alias("prior"), (F.col("class") == F.col("most")).alias("majority"))

@@ -80,10 +80,46 @@ def signal_evaluation(df: DataFrame, score: str, good: str, cutoff: float) -> Da
 
 
 def character_errors(df: DataFrame, key: str, reference: str, hypothesis: str) -> DataFrame:
-    """``key, at, expected, found`` where the characters at a place differ."""
+    """``key, at, expected, found, error`` where the characters at a place differ and one is Tamil, lengths included; with the kind of error."""
     pairs = F.arrays_zip(F.split(reference, "").alias("expected"), F.split(hypothesis, "").alias("found"))
-    rows = df.select(key, F.posexplode(pairs).alias("at", "x")).select(key, "at", "x.expected", "x.found")
-    return rows.filter(~F.col("expected").eqNullSafe(F.col("found")))
+    rows = df.select(key, F.posexplode(pairs).alias("at", "x")).select(key, "at", F.nullif("x.expected", F.lit("")).alias("expected"), F.nullif("x.found", F.lit("")).alias("found"))
+    tamil = lambda c: F.coalesce(F.col(c).rlike(TAMIL), F.lit(False))
+    ascii_ = lambda c: F.coalesce(F.col(c).rlike(r"^[\x00-\x7F]$"), F.lit(False))
+    mark = F.col("expected").rlike(r"\p{Mn}") | F.col("found").rlike(r"\p{Mn}")
+    kind = (
+        F.when(F.col("found").isNull(), "deletion").when(F.col("expected").isNull(), "insertion").when(tamil("expected") & tamil("found") & mark, "vowel_modifier_error").when(tamil("expected") & tamil("found"), "tamil_substitution")
+        .when(tamil("expected") & ascii_("found"), "tamil_to_latin_confusion").when(ascii_("expected") & tamil("found"), "latin_to_tamil_confusion").otherwise("other_substitution")
+    )
+    return rows.filter(~F.col("expected").eqNullSafe(F.col("found")) & (tamil("expected") | tamil("found"))).withColumn("error", kind)
+
+
+def alphanumeric_share(text: str) -> Column:
+    return share(text, r"[\p{L}\p{N}]")
+
+
+def warnings(text: str, confidence: str, mode: str, detections: str) -> Column:
+    """Codes of what is doubtful about a candidate; for an empty text only that and its confidence."""
+    conf, t = F.coalesce(F.col(confidence), F.lit(0.0)), F.trim(F.coalesce(F.col(text), F.lit("")))
+    value = lambda name, x: F.concat(F.lit(name + ":"), F.format_number(x, 3))
+    some, alnum, valid, ta = t != "", alphanumeric_share(text), share(text, VALID), share(text, TAMIL)
+    checks = [
+        (conf < 0.60, value("confidence_below_gate", conf)), (~some, F.lit("empty_ocr_output")), (some & (alnum < 0.30), value("low_alphanumeric_ratio", alnum)), (some & (valid < 0.40), value("low_valid_char_ratio", valid)),
+        (some & (F.col(mode) == "ta") & (ta < 0.05), F.lit("tamil_ocr_no_tamil_chars")), (some & (F.col(mode) == "en") & (ta > 0.50), F.lit("english_ocr_high_tamil_ratio")),
+        (some & (F.col(detections) > 5) & (F.length(t) < 10), F.lit("suspiciously_short_text_for_detection_count")),
+    ]
+    return F.array_compact(F.array(*(F.when(c, x) for c, x in checks)))
+
+
+def fused_score(text: str, confidence: str, expected: str) -> Column:
+    """The older score: .40 confidence, .25 script, .20 valid characters, .15 length."""
+    ta = share(text, TAMIL)
+    return 0.40 * F.coalesce(F.col(confidence), F.lit(0.0)) + 0.25 * (ta if expected == "ta" else 1 - ta) + 0.20 * share(text, VALID) + 0.15 * F.least(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) / 50, F.lit(1.0))
+
+
+def fused_choice(df: DataFrame, en: tuple[str, str], ta: tuple[str, str]) -> DataFrame:
+    """``chosen, text``: Tamil only where there is a text and its score is strictly better."""
+    better = (F.coalesce(F.col(ta[0]), F.lit("")) != "") & (fused_score(*ta, "ta") > fused_score(*en, "en"))
+    return df.withColumn("chosen", F.when(better, "ta").otherwise("en")).withColumn("text", F.when(better, F.col(ta[0])).otherwise(F.col(en[0])))
 
 
 def reading_order(df: DataFrame, image: str, x: str, y: str, text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,24 @@ def duplicates(df: DataFrame, key: str, text_key: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``feature, low, high, mean, middle, spread, constant, near_constant`` for each column."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    out = long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.median("v").alias("middle"), F.stddev_pop("v").alias("spread"))
-    return out.withColumns({"constant": F.col("low") == F.col("high"), "near_constant": F.col("spread") < 1e-4})
+    """``feature, low, high, mean, middle, spread, constant, near_constant`` for each column; the middle is exact.
+
+    Moments come from one pass over all columns.  The middle comes from each column's distinct values with counts: they are sorted in
+    ranges and counted up, so no task sees a whole column.
+    """
+    one = df.agg(*(F.struct(F.lit(c).alias("feature"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("spread"), F.count(c).alias("n")).alias(c) for c in columns))
+    out = one.select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+    middles = None
+    for c in columns:
+        counts = running_totals(df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("k")), "v", {"k": "before"})
+        n = out.filter(F.col("feature") == c).select(F.col("n").alias("all"))
+        rows = counts.join(F.broadcast(n))  # one row
+        inside = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("k"))
+        low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+        middle = rows.agg(((F.max(F.when(inside(low), F.col("v"))) + F.max(F.when(inside(high), F.col("v")))) / 2).alias("middle")).withColumn("feature", F.lit(c))
+        middles = middle if middles is None else middles.unionByName(middle)
+    out = out.join(F.broadcast(middles), "feature")  # one row for each column
+    return out.select("feature", "low", "high", "mean", "middle", "spread", (F.col("low") == F.col("high")).alias("constant"), (F.col("spread") < 1e-4).alias("near_constant"))
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,6 +115,30 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
 
 
+def running_totals(df: DataFrame, order: str, columns: dict[str, str]) -> DataFrame:
+    """``df`` with sums of columns over the rows before each in the order of ``order``, whose values are unique.
+
+    Like ``numbered``: sums inside ranges, and the totals of the ranges before from one row for each range.
+    """
+    from ..plans.lineage import cut
+
+    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(totals), "_part")
+    return out.withColumns({name: F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, name in columns.items()}).drop("_part", *(f"_{c}" for c in columns))
+
+
+def upper_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, upper_median``: the element at place n // 2 (from 0) of each group's sorted values, from counts of distinct values."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(group))})
+    return rows.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(group).agg(F.min(value).alias("upper_median"))
+
+
 def ratio_split(groups: DataFrame, key: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """``key, split``: sorted keys cut at floor(n * train) and floor(n * validation)."""
     rows = numbered(groups.select(key).distinct(), key, "_at")
@@ -108,26 +148,35 @@ def ratio_split(groups: DataFrame, key: str, train: float = 0.70, validation: fl
 
 
 def greedy_split(sizes: DataFrame, key: str = "cluster", size: str = "size", synthetic: str = "synthetic", test: float = 0.15, validation: float = 0.15) -> DataFrame:
-    """``key, split``: whole clusters, largest first, fill test, then validation; the rest train.
+    """``key, split``: whole clusters, largest first and then by key, fill test, then validation; the rest train.
 
-    Test takes no synthetic cluster.  A cluster that would overfill a split is passed over, unless the
-    split is empty, so this is a fold over the sorted clusters; they are summaries, one for each cluster.
+    Test takes no synthetic cluster.  A cluster that would overfill a split is passed over, unless the split is empty.  Of clusters
+    of one size a split takes the first so many by key, so the fold is over the distinct sizes, of which a corpus of n
+    posts has at most the square root of 2 n, and each cluster is then compared with its size's share.
     """
-    packed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("neg"), F.col(key).alias("key"), F.col(synthetic).alias("synthetic")))).alias("all"), F.sum(size).alias("total"))
-
-    def fill(share: float, allowed) -> Column:  # noqa: ANN001
-        goal = F.floor(F.col("total") * share)
-
-        def step(acc: Column, x: Column) -> Column:
-            fits = allowed(x) & (acc["n"] < goal) & ((acc["n"] - x["neg"] <= goal) | (acc["n"] == 0))
-            return F.struct(F.when(fits, acc["n"] - x["neg"]).otherwise(acc["n"]).alias("n"), F.when(fits, F.concat(acc["keys"], F.array(x["key"]))).otherwise(acc["keys"]).alias("keys"))
-
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.slice(F.transform("all", lambda x: x["key"]), 1, 0).alias("keys"))
-        return F.aggregate("all", start, step)["keys"]
-
-    packed = packed.withColumn("test", fill(test, lambda x: ~x["synthetic"]))
-    packed = packed.withColumn("validation", fill(validation, lambda x: ~F.array_contains(F.col("test"), x["key"])))
-    return packed.select(F.explode("all").alias("x"), "test", "validation").select(F.col("x.key").alias(key), F.when(F.array_contains("test", F.col("x.key")), "test").when(F.array_contains("validation", F.col("x.key")), "validation").otherwise("train").alias("split"))
+    rows = sizes.select(F.col(key).alias("_key"), F.col(size).alias("_size"), F.col(synthetic).alias("_synthetic"))
+    total = rows.agg(F.sum("_size")).first()[0] or 0
+
+    def takes(share: float, of: DataFrame) -> dict[int, int]:
+        goal, filled, out = math.floor(total * share), 0, {}
+        for r in of.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect():  # one row for each distinct size
+            if filled >= goal:
+                break
+            k = min(r.n, max(0, (goal - filled) // r["_size"]) or (1 if filled == 0 else 0))
+            if k:
+                out[r["_size"]] = k
+                filled += k * r["_size"]
+        return out
+
+    def marked(of: DataFrame, counts: dict[int, int], name: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("_size").orderBy("_key"))
+        most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("_size")), F.lit(0)) if counts else F.lit(0)
+        return of.filter(F.col("_size").isin(list(counts))).withColumn("_at", at).filter(F.col("_at") <= most).select("_key", F.lit(name).alias("_split"))
+
+    first = marked(rows.filter(~F.col("_synthetic")), takes(test, rows.filter(~F.col("_synthetic"))), "test")
+    left = rows.join(first, "_key", "left_anti")
+    second = marked(left, takes(validation, left), "validation")
+    return rows.join(first.unionByName(second), "_key", "left").select(F.col("_key").alias(key), F.coalesce("_split", F.lit("train")).alias("split"))
 
 
 def agreement(submissions: DataFrame, task: str, label: str) -> DataFrame:

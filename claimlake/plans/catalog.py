@@ -162,7 +162,7 @@ def a19_agreement(t):
 
 @query("SELECT lang, list_sort(list(n_chars))[(count(*) // 2) + 1] AS upper_median FROM documents GROUP BY lang")
 def a20_upper_median(t):
-    return t("documents").groupBy("lang").agg(relational.upper_median(F.collect_list("n_chars")).alias("upper_median"))
+    return relational.upper_medians(t("documents"), "lang", "n_chars")
 
 
 @query("WITH " + SPLIT_SQL + ", posts AS (SELECT coalesce(s.split, 'train') AS split FROM documents d LEFT JOIN splits s USING (source)) SELECT split, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent FROM posts GROUP BY split")
@@ -348,14 +348,17 @@ def g7_g14_a12_x9_statistics(t):
 # Features and evaluation
 
 
-@query(r"""SELECT doc_id, length(text) AS text_length, len(regexp_extract_all(text, '[^\s\p{Z}]+')) AS word_count,
+TEXT_FEATURES_SQL = r"""length(text) AS text_length, len(regexp_extract_all(text, '[^\s\p{Z}]+')) AS word_count,
  CASE WHEN length(text) = 0 THEN 0 ELSE greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '[\s\p{Z}]+', ' ', 'g')) <> '')), 1) END::BIGINT AS sentence_count,
  CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN round(len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')), 4) ELSE 0.0 END AS uppercase_ratio,
  CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, '\p{Nd}')) / length(text), 4) ELSE 0.0 END AS digit_ratio,
  CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, '[!?,.:;\"''()\[\]{}<>\-/\\_@#$%^&*~`]')) / length(text), 4) ELSE 0.0 END AS punctuation_ratio,
  len(regexp_extract_all(text, '(?i)https?://\S+|www\.\S+')) AS url_count_in_text, len(regexp_extract_all(text, '(?:\+91[\-\s]?)?[6789]\d{9}|\b\d{10}\b')) AS phone_count,
  len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) AS email_count, len(regexp_extract_all(text, '(?i)[₹$€£]|(?:\b(?:rs|inr|usd|eur)\.?\s*\d+)')) AS currency_symbol_count,
- len(regexp_extract_all(text, '!')) AS exclamation_count, len(regexp_extract_all(text, '\?')) AS question_count FROM documents""")
+ len(regexp_extract_all(text, '!')) AS exclamation_count, len(regexp_extract_all(text, '\?')) AS question_count"""
+
+
+@query(f"SELECT doc_id, {TEXT_FEATURES_SQL} FROM documents")
 def x1_text_features(t):
     return t("documents").select("doc_id", *T.text_features("text"))
 
@@ -514,4 +517,4 @@ def q4_q5_q6_selection(t):
     return best.select("image", "doc_id", "usable", "score", score.alias("reliability"), recognition.status("text", score).alias("status"))
 
 
-from . import claim_queries, graph_queries, retrieval_queries  # noqa: E402, F401  register their queries
+from . import claim_queries, feature_queries, graph_queries, quality_queries, retrieval_queries  # noqa: E402, F401  register their queries
