@@ -46,10 +46,13 @@ def text_key(text: C) -> Column:
 
 
 def char_shingles(text: C, n: int = 3) -> Column:
-    """Distinct character n-grams of the collapsed lower-case text; a shorter text is its own only member."""
-    t = collapse(F.lower(col(text)))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, n))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    """Distinct character n-grams of the collapsed lower-case text; a shorter text is its own only member.
+
+    The text is cut into characters once, as a one-element array whose lambda sees it as a value.
+    """
+    whole = F.filter(F.array(collapse(F.lower(col(text)))), lambda t: t != "")
+    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.concat_ws("", *(F.get(c, i + k) for k in range(n))))
+    return F.array_distinct(F.flatten(F.transform(F.transform(whole, lambda t: F.split(t, "")), grams)))
 
 
 def jaccard(a: C, b: C) -> Column:
@@ -77,6 +80,15 @@ def script_counts(text: C) -> Column:
     return F.struct(*(c.alias(name) for name, c in known.items()), rest.alias("Unknown"))
 
 
+#: A word's edge where words are runs of letters, numbers and underscores only, so not beside a combining mark.
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def edged(pattern: str) -> str:
+    """A pattern whose ``\\b`` means ``EDGE``."""
+    return pattern.replace(r"\b", EDGE)
+
+
 #: Words that tell a language in Latin script.
 ENGLISH = "a an and apply are but can congratulations every for from good hello is job month offer pay ready registration selected the this to work with you".split()
 TAMIL_LATIN = "naan oru nee unga ungal irukku iruken pannunga pannanum venum illa romba nalla inga anga indha theduren panna velai kidaikkum kudunga".split()
@@ -88,7 +100,7 @@ URL = r"(?i)https?://\S+|www\.\S+"
 def language_tokens(text: C) -> Column:
     """Distinct tokens that speak for English, Tamil and Hindi: ``struct<en, ta, hi: array<string>>``."""
     bare = F.lower(F.regexp_replace(F.coalesce(col(text), F.lit("")), URL, " "))
-    tokens = F.regexp_extract_all(bare, F.lit(r"(?<![@#\w'])([\p{L}\p{M}\p{N}_']+)"), F.lit(1))
+    tokens = F.regexp_extract_all(bare, F.lit(rf"(?<![@#]){EDGE}([\p{{L}}\p{{N}}_']+){EDGE}"), F.lit(1))
     tokens = F.array_distinct(F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, "^'+|'+$", "")), lambda t: ~t.rlike(r"^\p{N}*$")))
     tamil, hindi = r"[\x{0B80}-\x{0BFF}]", r"[\x{0900}-\x{097F}]"
     among = lambda words: (lambda t: ~t.rlike(tamil) & ~t.rlike(hindi) & t.isin(words))
@@ -116,13 +128,33 @@ def transliteration(tokens: Column, counts: Column) -> Column:
     return F.when(some, F.struct(F.when(ta >= hi, "ta").otherwise("hi").alias("language"), F.round(F.least(F.lit(0.95), 0.65 + 0.08 * F.least(F.greatest(ta, hi), F.lit(3))), 4).alias("confidence")))
 
 
-#: A word's edge where words are runs of letters, numbers and underscores only, so not beside a combining mark.
-EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+def script_shares(counts: Column) -> Column:
+    """Shares of letters by script, rounded to 4; 0 without letters."""
+    names = [*SCRIPTS, "Unknown"]
+    total = sum((counts[n] for n in names), F.lit(0))
+    return F.struct(*(F.when(total > 0, F.round(counts[n] / total, 4)).otherwise(0.0).alias(n) for n in names))
 
 
-def edged(pattern: str) -> str:
-    """A pattern whose ``\\b`` means ``EDGE``."""
-    return pattern.replace(r"\b", EDGE)
+def language_decision(text: C, tokens: Column, counts: Column, detected: Column, confidence: Column) -> Column:
+    """``struct<language, confidence, secondary, mixed>``: the script decides, then Latin-script words, then the detector.
+
+    ``tokens`` and ``counts`` are of ``language_tokens`` and ``script_counts``.
+    """
+    mix, latin = code_mix(tokens, counts), transliteration(tokens, counts)
+    has = lambda s: counts[s] > 0
+    by_token = F.array_compact(F.array(*(F.when(F.size(tokens[k]) > 0, F.lit(k)) for k in ("en", "ta", "hi"))))
+    any_script = sum((has(s).cast("int") for s in SCRIPTS), F.lit(0)) >= 2
+    by_script = F.array_distinct(F.array_compact(F.array(F.when(has("Latin"), F.lit("en")), F.when(has("Tamil"), F.lit("ta")), F.when(has("Devanagari"), F.lit("hi")), F.when(has("Arabic") | has("Unknown"), F.lit("en")))))
+    languages = F.when((F.size(by_token) < 2) & any_script, by_script).otherwise(by_token)
+    primary = F.when(has("Tamil"), "ta").when(has("Devanagari"), "hi").otherwise(detected)
+    primary = F.coalesce(latin["language"], primary)
+    primary = F.when((primary == "en") & F.array_contains(languages, "ta"), "ta").otherwise(primary)
+    mixed = mix["mixed"] | (has("Latin") & (has("Tamil") | has("Devanagari")))
+    secondary = F.array_remove(languages, primary)
+    secondary = F.when(mixed & (primary != "en") & ~F.array_contains(secondary, "en") & has("Latin"), F.array_append(secondary, F.lit("en"))).otherwise(secondary)
+    decided = F.struct(primary.alias("language"), F.when(primary.isin("hi", "ta"), 0.99).otherwise(confidence).alias("confidence"), secondary.alias("secondary"), mixed.alias("mixed"))
+    none = F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("secondary"), F.lit(False).alias("mixed"))
+    return F.when(F.trim(F.coalesce(col(text), F.lit(""))) == "", none).otherwise(decided)
 
 
 #: The tests for a claim's type, first match wins, and whether such a claim can be verified.

@@ -271,13 +271,6 @@ def l1_l2_scripts(t):
     return t("documents").select("doc_id", c["Latin"].cast("long").alias("latin"), c["Tamil"].cast("long").alias("tamil"), c["Devanagari"].cast("long").alias("devanagari"))
 
 
-@query()
-def l3_l4_l5_code_mix(t):
-    rows = t("documents").select("doc_id", T.language_tokens("text").alias("tokens"), T.script_counts("text").alias("scripts"))
-    tokens, scripts = F.col("tokens"), F.col("scripts")
-    return rows.select("doc_id", F.size("tokens.en").alias("en"), F.size("tokens.ta").alias("ta"), F.size("tokens.hi").alias("hi"), T.code_mix(tokens, scripts).alias("mix"), T.transliteration(tokens, scripts).alias("latin")).select("doc_id", "en", "ta", "hi", "mix.mixed", F.col("mix.confidence").alias("mix_confidence"), F.col("latin.language").alias("latin_language"), F.col("latin.confidence").alias("latin_confidence"))
-
-
 def _claim_sql(text: str) -> str:
     cases = " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{n}'" for n, p, _ in T.CLAIM_TESTS)
     number, percent, amount = (f"regexp_matches({text}, '{p}')" for p in (T.NUMBER, T.PERCENT, T.AMOUNT))
@@ -517,4 +510,4 @@ def q4_q5_q6_selection(t):
     return best.select("image", "doc_id", "usable", "score", score.alias("reliability"), recognition.status("text", score).alias("status"))
 
 
-from . import claim_queries, feature_queries, graph_queries, quality_queries, retrieval_queries  # noqa: E402, F401  register their queries
+from . import claim_queries, feature_queries, graph_queries, language_queries, quality_queries, retrieval_queries  # noqa: E402, F401  register their queries
