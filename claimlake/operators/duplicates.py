@@ -21,7 +21,7 @@ def near_pairs(posts: DataFrame, threshold: float = 0.85) -> DataFrame:
     |x| - ceil(t |x|) + 1 members of each, so only these are joined; sizes are compared before the sets are.
     ``posts`` has ``ordinal, text``.
     """
-    sets = cut(posts.select("ordinal", char_shingles("text").alias("grams")).filter(F.size("grams") > 0))
+    sets = cut(posts.select("ordinal", F.explode(F.array(char_shingles("text"))).alias("grams")).filter(F.size("grams") > 0))
     grams = sets.select("ordinal", F.explode("grams").alias("gram"))
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = grams.join(rarity, "gram").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
@@ -55,29 +55,49 @@ def image_pairs(posts: DataFrame, most: int = 5) -> DataFrame:
     return both.unionByName(same).join(x, "g").join(y, "h").filter("a < b").select("a", "b", "distance")
 
 
-def canonicalise(posts: DataFrame, threshold: float = 0.85) -> DataFrame:
+def _nearest(state: DataFrame, key: str, near: DataFrame, measure: str) -> DataFrame:
+    """For each value of ``key``: the first canonical (``found``: ordinal, measure) and the first undecided row among near values."""
+    firsts = state.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.when(F.col("canonical"), F.col("ordinal"))).alias("c"), F.min(F.when(F.col("canonical").isNull(), F.col("ordinal"))).alias("u"))
+    met = near.join(firsts.withColumnRenamed(key, "other"), "other")
+    return met.groupBy(key).agg(F.min(F.when(F.col("c").isNotNull(), F.struct("c", measure))).alias("found"), F.min("u").alias("open"))
+
+
+def canonicalise(posts: DataFrame, threshold: float = 0.85, most: int = 5) -> DataFrame:
     """``ordinal, duplicate_of, kind, score`` of each post, as if posts were met one after the other.
 
     A post is a duplicate of the first earlier canonical one with the same text (EXACT), with a near
     text (TEXT), or with a near image (IMAGE); else it is canonical.  Whether a post is canonical follows from
     earlier ones alone, so each round decides all posts whose earlier neighbours are decided or
     of which one is canonical; rounds grow with the longest chain of undecided neighbours.
-    ``posts`` has ``ordinal, text, image_hash``.
+
+    Rows with one text and one image are one from the start, as only the first of them can be canonical.  Texts and images are
+    compared once each, and what is known of their rows passes between them as minima, so no pairs of rows are made: a group
+    of copies or a common image is a single value.  ``posts`` has ``ordinal, text, image_hash``; null texts are empty.
     """
-    keyed = posts.select("ordinal", text_key("text").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("ordinal").alias("a"))
-    exact = keyed.join(first, "key").filter("a < ordinal").select("a", F.col("ordinal").alias("b"), F.lit("EXACT").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
-    near = near_pairs(posts, threshold).select("a", "b", F.lit("TEXT").alias("kind"), F.round("score", 4).alias("score"), F.lit(2).alias("rank"))
-    image = image_pairs(posts).select("a", "b", F.lit("IMAGE").alias("kind"), (1 - F.col("distance") / 64).alias("score"), F.lit(3).alias("rank"))
-    edges = cut(exact.unionByName(near).unionByName(image))
-    state = cut(posts.select("ordinal").withColumn("canonical", F.lit(None).cast("boolean")))
-    while True:
-        sides = edges.join(state.withColumnsRenamed({"ordinal": "a", "canonical": "canonical_a"}), "a")
-        seen = sides.groupBy(F.col("b").alias("ordinal")).agg(F.bool_or(F.coalesce("canonical_a", F.lit(False))).alias("hit"), F.bool_and(F.col("canonical_a").isNotNull()).alias("known"))
-        new = F.when(F.col("hit").isNull(), True).when(F.col("hit"), False).when(F.col("known"), True)
-        state = cut(state.join(seen, "ordinal", "left").select("ordinal", F.coalesce("canonical", new).alias("canonical")))
-        if state.filter("canonical is null").isEmpty():
-            break
-    best = edges.join(state.filter("canonical").select(F.col("ordinal").alias("a")), "a").groupBy("b").agg(F.min(F.struct("rank", "a", "kind", "score")).alias("m"))
-    out = state.join(best.withColumnRenamed("b", "ordinal"), "ordinal", "left")
-    return out.select("ordinal", F.when(~F.col("canonical"), F.col("m.a")).alias("duplicate_of"), F.when(~F.col("canonical"), F.col("m.kind")).alias("kind"), F.when(~F.col("canonical"), F.col("m.score")).alias("score"))
+    rows = cut(posts.select("ordinal", F.coalesce("text", F.lit("")).alias("text"), text_key(F.coalesce("text", F.lit(""))).alias("key"), "image_hash"))
+    texts = rows.groupBy("key").agg(F.min("ordinal").alias("id"), F.min_by("text", "ordinal").alias("text"))
+    keyed = cut(rows.select("ordinal", "key", "image_hash").join(texts.select("key", "id"), "key").drop("key"))
+    pairs = cut(near_pairs(texts.select(F.col("id").alias("ordinal"), "text"), threshold).select("a", "b", F.round("score", 4).alias("score")))
+    near_texts = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
+    hashes = cut(near_hashes(keyed, most))
+    same = keyed.filter("image_hash is not null").select("image_hash", F.col("image_hash").alias("other"), F.lit(0).alias("distance")).distinct()
+    near_images = hashes.select(F.col("g").alias("image_hash"), F.col("h").alias("other"), "distance").unionByName(hashes.select(F.col("h").alias("image_hash"), F.col("g").alias("other"), "distance")).unionByName(same)
+
+    def met(state: DataFrame, of: DataFrame) -> DataFrame:
+        """``of`` with the first canonical rows of the same text, near texts and near images, and the first open row of all these."""
+        own = state.groupBy("id").agg(F.min(F.when(F.col("canonical"), F.col("ordinal"))).alias("exact"), F.min(F.when(F.col("canonical").isNull(), F.col("ordinal"))).alias("open_own"))
+        text = _nearest(state, "id", near_texts, "score").withColumnsRenamed({"found": "text", "open": "open_text"})
+        image = _nearest(state, "image_hash", near_images, "distance").withColumnsRenamed({"found": "image", "open": "open_image"})
+        return of.join(own, "id").join(text, "id", "left").join(image, "image_hash", "left").withColumn("open", F.least("open_own", "open_text", "open_image"))
+
+    before = lambda c: F.coalesce(F.col(c) < F.col("ordinal"), F.lit(False))
+    hit = before("exact") | before("text.c") | before("image.c")
+    state = cut(keyed.groupBy("id", "image_hash").agg(F.min("ordinal").alias("ordinal")).withColumn("canonical", F.lit(None).cast("boolean")))
+    while not state.filter("canonical is null").isEmpty():
+        new = F.when(hit, False).when(F.coalesce(F.col("open") >= F.col("ordinal"), F.lit(True)), True)
+        state = cut(met(state, state).select("id", "image_hash", "ordinal", F.coalesce("canonical", new).alias("canonical")))
+    out = met(state, keyed)
+    kind = F.when(before("exact"), "EXACT").when(before("text.c"), "TEXT").when(before("image.c"), "IMAGE")
+    of = F.when(kind == "EXACT", F.col("exact")).when(kind == "TEXT", F.col("text.c")).when(kind == "IMAGE", F.col("image.c"))
+    score = F.when(kind == "EXACT", 1.0).when(kind == "TEXT", F.col("text.score")).when(kind == "IMAGE", F.round(1 - F.col("image.distance") / 64, 4))
+    return out.select("ordinal", of.alias("duplicate_of"), kind.alias("kind"), score.alias("score"))

@@ -54,10 +54,14 @@ def status(text: str, score: Column) -> Column:
 
 
 def best_candidate(candidates: DataFrame, image: str, text: str, confidence: str, mode: str, detections: str, order: str) -> DataFrame:
-    """One candidate for each image: usable first, then with text, then by score; the first of equals."""
+    """One candidate for each image: usable first, then with text, then by score; the first of equals by ``order``, which is unique in an image.
+
+    Only keys and scores are compared, in partial aggregates; texts are joined to the winners.
+    """
     rows = candidates.withColumns({"usable": usable(text, confidence, mode), "score": selection_score(text, confidence, mode, detections)})
-    at = Window.partitionBy(image).orderBy(F.desc("usable"), (F.trim(F.col(text)) != "").desc(), F.desc("score"), order)
-    return rows.withColumn("_at", F.row_number().over(at)).filter("_at = 1").drop("_at")
+    some = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    best = rows.groupBy(image).agg(F.min(F.struct((~F.col("usable")).alias("u"), (~some).alias("e"), (-F.col("score")).alias("s"), F.col(order).alias("o")))["o"].alias(order))
+    return rows.join(best, [image, order], "left_semi")
 
 
 def confidence_bucket(confidence: str) -> Column:

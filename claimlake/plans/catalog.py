@@ -430,9 +430,12 @@ def x8_domain_features(t):
 
 @query()
 def d3_j8_j9_canonical(t):
-    rows = t("benchmark").select(F.col("item_id").alias("ordinal"), "text", F.lit(None).cast("long").alias("image_hash"))
-    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("ordinal"), "text", F.lit(None).cast("long").alias("image_hash"))
-    return duplicates.canonicalise(rows.unionByName(turns))
+    """Documents, and benchmark items before them; every third row has an image of one of 5,000 families, a bit of which is turned over."""
+    items = t("benchmark").select((F.col("item_id") - 1_000_000_000).alias("ordinal"), "text")
+    rows = items.unionByName(t("documents").select(F.col("doc_id").alias("ordinal"), "text"))
+    family = duplicates.image_hash(F.concat(F.lit("img"), (F.abs(F.xxhash64("text")) % 5000).cast("string")))
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(ordinal, 64) as int))")
+    return duplicates.canonicalise(rows.withColumn("image_hash", F.when(F.col("ordinal") % 3 == 0, family.bitwiseXOR(bit))))
 
 
 # Quality control and scores of recognised text
@@ -502,12 +505,4 @@ def o6_reading_order(t):
     return recognition.reading_order(rows, "conv_id", "x", "y", "text").select("conv_id", F.col("lines").isNotNull().alias("has_lines"), F.size("lines").cast("long").alias("n_lines"))
 
 
-@query()
-def q4_q5_q6_selection(t):
-    rows = t("documents").withColumns({"image": F.col("doc_id") % F.lit(97), "conf": F.least(F.col("n_chars") / 5000, F.lit(1.0)), "mode": F.lit("en"), "detections": F.lit(3)})
-    best = recognition.best_candidate(rows, "image", "text", "conf", "mode", "detections", "doc_id").withColumn("regions", F.array("conf"))
-    score = recognition.reliability("text", "conf", "regions", "mode")
-    return best.select("image", "doc_id", "usable", "score", score.alias("reliability"), recognition.status("text", score).alias("status"))
-
-
 from . import claim_queries, feature_queries, graph_queries, language_queries, quality_queries, retrieval_queries  # noqa: E402, F401  register their queries

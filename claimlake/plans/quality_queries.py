@@ -195,6 +195,19 @@ def p16_quality_level(t):
     return candidates(t).select("ordinal", recognition.quality_level("text", "confidence").alias("level"))
 
 
+DOCUMENTS_SQL = "cand AS (SELECT doc_id % 97 AS image, doc_id AS ordinal, 'en' AS mode, least(n_chars / 5000, 1.0)::DOUBLE AS confidence, 3 AS detections, text FROM documents)"
+
+
+@query(f"""WITH {SCORED.replace(CANDIDATES_SQL, DOCUMENTS_SQL)}, b AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY image ORDER BY usable DESC, (trim(text) <> '') DESC, score DESC, ordinal) = 1),
+s AS (SELECT *, {TA} AS ta, {VALID} AS valid, round(least(greatest(0.40 * confidence + 0.20 * (1 - {TA}) + 0.20 * {VALID} + 0.10 * least(length(trim(text)) / 50, 1.0) + 0.10 * (0.6 * confidence + 0.4 * 0.1), 0.0), 1.0), 4) AS reliability FROM b)
+SELECT image, ordinal AS doc_id, usable, score, reliability, CASE WHEN trim(text) = '' THEN 'OCR_FAILED' WHEN length(trim(text)) < 3 THEN 'PARTIAL' WHEN ta = 0 AND valid < 0.10 THEN 'LANGUAGE_UNCERTAIN' WHEN reliability < 0.45 THEN 'LOW_CONFIDENCE' ELSE 'SUCCESS' END AS status FROM s""")
+def q4_q5_q6_selection(t):
+    rows = t("documents").withColumns({"image": F.col("doc_id") % F.lit(97), "conf": F.least(F.col("n_chars") / 5000, F.lit(1.0)), "mode": F.lit("en"), "detections": F.lit(3)})
+    best = recognition.best_candidate(rows, "image", "text", "conf", "mode", "detections", "doc_id").withColumn("regions", F.array("conf"))
+    best = best.withColumn("reliability", recognition.reliability("text", "conf", "regions", "mode"))
+    return best.select("image", "doc_id", "usable", "score", "reliability", recognition.status("text", F.col("reliability")).alias("status"))
+
+
 @query(f"WITH {CANDIDATES_SQL}, l AS (SELECT image, round(detections * 7 / 15) AS line, ordinal % 50 AS x, text FROM cand), d AS (SELECT image, text, min((line, x, text)) AS k FROM l GROUP BY image, text) SELECT image, string_agg(text, '|' ORDER BY k) AS lines FROM d GROUP BY image")
 def o6_lines_in_order(t):
     rows = candidates(t).withColumns({"x": F.col("ordinal") % 50, "y": F.col("detections") * 7})

@@ -125,3 +125,32 @@ def kind_of(payload: str = "payload") -> Column:
 def permitted_sources(registry: DataFrame) -> DataFrame:
     """Approved sources, and whether their licence is valid."""
     return registry.filter("status = 'APPROVED'").withColumn("licence_valid", ~F.upper(F.coalesce("license", F.lit("UNSPECIFIED"))).isin("UNSPECIFIED", "UNKNOWN", "PENDING_REVIEW"))
+
+
+def text_records(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """``payload`` of texts given directly, white space collapsed; an empty one is an error."""
+    bare = [" ".join(t.split()) for t in texts]
+    if not all(bare):
+        raise ValueError("empty text")
+    return spark.createDataFrame([(t,) for t in bare], "text string").select(F.to_json(F.struct("text")).alias("payload"))
+
+
+def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines in a folder for each split; a node or edge that a split has from several graphs is written once."""
+    from ..operators.relational import keep_first
+
+    for name, df, key in (("nodes", nodes, "node_id"), ("edges", edges, "edge_id")):
+        once = keep_first(df, ["split", key], [F.col("graph_id")])
+        once.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("split").json(f"{path}/{name}")
+
+
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """The feature matrix as CSV with a header and as JSON lines in a folder for each split, and its schema as JSON."""
+    matrix.write.mode("overwrite").option("header", True).partitionBy("split").csv(f"{path}/csv")
+    matrix.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("split").json(f"{path}/jsonl")
+    matrix.sparkSession.createDataFrame([(matrix.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+
+
+def write_manifest(summary: DataFrame, path: str, version: str) -> None:
+    """A one-row summary with its version and time as one JSON line."""
+    summary.withColumns({"dataset_version": F.lit(version), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")}).coalesce(1).write.mode("overwrite").json(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -50,26 +51,84 @@ def sessions(events: DataFrame, time: str, key: str, gap: str, delay: str = "1 h
 
 
 class AnnotationStates(StatefulProcessor):
-    """PENDING, then IN_PROGRESS, then DONE after ``needed`` submissions of a task."""
+    """The states of an annotation task by its events, as of ``operators.quality.task_states``; a task left alone goes back to PENDING.
 
-    needed = 2
+    Rows of one batch are taken by their time.  With ``patience``, a task IN_PROGRESS without an event for so many milliseconds of
+    processing time is free again.
+    """
+
+    MOVES = {"assign": "IN_PROGRESS", "submit": "SUBMITTED", "accept": "ACCEPTED", "reject": "REJECTED", "flag": "NEEDS_REVIEW"}
+
+    def __init__(self, patience: int | None = None):
+        self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long")
+        self.handle = handle
+        self.state = handle.getValueState("state", "status string, submissions long, refused long")
+
+    def _known(self) -> tuple[str, int, int]:
+        return tuple(self.state.get()) if self.state.exists() else ("PENDING", 0, 0)
+
+    def _row(self, key) -> pd.DataFrame:  # noqa: ANN001
+        status, n, refused = self._known()
+        return pd.DataFrame({"task_id": [key[0]], "status": [status], "submissions": [n], "rejected_events": [refused]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        n = (self.count.get()[0] if self.count.exists() else 0) + sum(len(r) for r in rows)
-        self.count.update((n,))
-        yield pd.DataFrame({"task_id": [key[0]], "n": [n], "status": ["DONE" if n >= self.needed else "IN_PROGRESS" if n else "PENDING"]})
+        status, n, refused = self._known()
+        for kind in pd.concat(list(rows)).sort_values(["ts", "kind"])["kind"]:
+            if (kind == "assign" and status not in ("PENDING", "NEEDS_REVIEW")) or (kind == "accept" and n == 0):
+                refused += 1
+                continue
+            status, n = self.MOVES.get(kind, status), n + (kind == "submit")
+        self.state.update((status, int(n), int(refused)))
+        if self.patience is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if self.patience is not None and status == "IN_PROGRESS":
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+        yield self._row(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        status, n, refused = self._known()
+        if status == "IN_PROGRESS":
+            self.state.update(("PENDING", n, refused))
+        yield self._row(key)
 
     def close(self) -> None:
         pass
 
 
-def annotation_states(submissions: DataFrame, task: str) -> DataFrame:
-    """The state of each task after each batch that touches it."""
-    rows = submissions.withColumnRenamed(task, "task_id").groupBy("task_id")
-    return rows.transformWithStateInPandas(AnnotationStates(), outputStructType="task_id string, n long, status string", outputMode="Update", timeMode="None")
+def annotation_states(events: DataFrame, task: str, patience: int | None = None) -> DataFrame:
+    """The state of each task after each batch that touches it; ``events`` has the task, ``ts`` and ``kind``.
+
+    ``patience`` needs a query that goes on, as timers keep one that takes what is there from ending.
+    """
+    rows = events.select(F.col(task).cast("string").alias("task_id"), "ts", "kind").groupBy("task_id")
+    return rows.transformWithStateInPandas(AnnotationStates(patience), outputStructType="task_id string, status string, submissions long, rejected_events long", outputMode="Update", timeMode="None" if patience is None else "ProcessingTime")
+
+
+def merge_canonical(posts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Near dedup against what came before: each batch of ``ordinal, text, image_hash`` is canonicalised together with the canonical posts in
+    ``table`` (Parquet, a folder for each batch), and what is new and canonical is added.  A batch that is run again replaces its folder.
+    """
+    from ..operators.duplicates import canonicalise
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("ordinal", "text", "image_hash")
+        try:
+            known = spark.read.parquet(table).filter(F.col("batch") < number).select("ordinal", "text", "image_hash")
+        except AnalysisException:  # the first batch
+            known = rows.limit(0)
+        verdicts = canonicalise(known.unionByName(rows)).filter("duplicate_of is null").select("ordinal")
+        rows.join(verdicts, "ordinal", "left_semi").write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_rows(progress: list) -> int:
+    """Rows that all progress reports of a query say were dropped behind the watermark."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in progress for s in (p if isinstance(p, dict) else p.jsonValue).get("stateOperators", []))
 
 
 def into_table(counts: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -5,15 +5,24 @@ from claimlake.operators import claims, features, quality, recognition
 
 def test_claims_atoms_and_queries(spark):
     posts = spark.createDataFrame([("p1", "ABC was founded in 1999. It has 5,000 customers and it is not approved by the government! ABC was founded in 1999."), ("p2", ""), ("p3", None)], "post_id string, text string")
-    typed = claims.typed(claims.sentences(posts, "post_id", "text")).cache()
-    assert [r.claim_text for r in typed.orderBy("claim_ix").collect()] == ["ABC was founded in 1999.", "It has 5,000 customers and it is not approved by the government!"]
+    typed = claims.typed(claims.extract(posts, "post_id", "text")).cache()
+    assert [(r.claim_text, r.span_start, r.span_end) for r in typed.orderBy("claim_ix").collect()] == [("ABC was founded in 1999.", 0, 24), ("It has 5,000 customers and it is not approved by the government!", 25, 89)]
     atoms = claims.atoms(typed).orderBy("claim_ix", "part_ix").collect()
-    assert [(a.frame and a.frame.predicate, a.subject, a.polarity) for a in atoms] == [("founded", "ABC", "POSITIVE"), ("has", "ABC", "POSITIVE"), ("government_approved", "ABC", "NEGATIVE")]
-    assert atoms[1].frame.value == "5000" and atoms[1].frame.unit == "customers"
-    got = claims.queries(typed).collect()
-    assert {q.kind for q in got} >= {"ENTITY"} and all(q.text for q in got)
-    f = features.claim_features(typed, claims.atoms(typed)).first()
-    assert f.claim_count == 2 and f.atomic_claim_count == 3 and f.negated_claim_count == 1
+    assert [(a.predicate, a.subject, a.polarity) for a in atoms] == [("founded", "ABC", "POSITIVE"), ("has", "ABC", "POSITIVE"), ("government_approved", "ABC", "NEGATIVE")]
+    assert (atoms[0].value, atoms[0].unit, atoms[1].value, atoms[1].unit) == ("1999", "year", "5000", "customers")
+    got = {(q.query_text, q.query_type, q.priority) for q in claims.search_queries(claims.atoms(typed)).collect()}
+    assert got == {("ABC founded 1999", "TEMPORAL_VERIFICATION", "HIGH"), ("ABC government approval registration", "REGISTRATION_VERIFICATION", "HIGH")}
+    counts = {r.post_id: (r.extracted_count, r.atomic_count, r.queries_count, r.warnings) for r in claims.pipeline(posts, "post_id", "text").collect()}
+    assert counts["p1"] == (2, 3, 2, []) and counts["p2"][3] == counts["p3"][3] == ["No claims extracted from post."]
+
+
+def test_subjects_are_put_in_and_promises_fall_in_two(spark):
+    rows = [("a", "Fine Bank was founded in 2018, has 50,000 customers, is government approved, and guarantees 20% monthly returns."), ("b", "If you invest ₹10,000 today, you will receive ₹20,000 within 7 days."), ("c", "It has 9 customers. Due to fees, costs rise, and fall.")]
+    found = claims.atoms(claims.typed(claims.extract(spark.createDataFrame(rows, "post_id string, text string"), "post_id", "text"))).orderBy("post_id", "claim_ix", "part_ix").collect()
+    a = [(r.atom_text, r.subject, r.predicate, r.value) for r in found if r.post_id == "a"]
+    assert a == [("Fine Bank was founded in 2018", "Fine Bank", "founded", "2018"), ("Fine Bank has 50,000 customers", "Fine Bank", "has", "50000"), ("Fine Bank is government approved", "Fine Bank", "government_approved", None), ("Fine Bank guarantees 20% monthly returns.", "Fine Bank", "guarantees", "20")]
+    assert [(r.predicate, r.value, r.currency, r.time_kind, r.time_value) for r in found if r.post_id == "b"] == [("invests", "10000", "INR", "date", "today"), ("receives", "20000", "INR", "deadline", "within 7 days")]
+    assert [(r.claim_text, r.subject) for r in found if r.post_id == "c"] == [("It has 9 customers.", "It"), ("Due to fees, costs rise, and fall.", "It"), ("Due to fees, costs rise, and fall.", "It")]
 
 
 def test_relation_features_and_matrix(spark):
@@ -38,5 +47,5 @@ def test_recognition(spark):
     assert best == {1: 2, 2: 1}
     assert [r[0] for r in df.orderBy("image", "k").select(recognition.language_label("text")).collect()] == ["en", "ta", "unknown", "en"]
     assert [r[0] for r in df.orderBy("image", "k").select(recognition.status("text", F.lit(0.5))).collect()] == ["SUCCESS", "SUCCESS", "OCR_FAILED", "PARTIAL"]
-    errors = recognition.character_errors(spark.createDataFrame([(1, "abc", "axcd")], "i int, r string, h string"), "i", "r", "h").collect()
-    assert [(e["at"], e.expected, e.found) for e in errors] == [(1, "b", "x"), (3, None, "d")]
+    errors = recognition.character_errors(spark.createDataFrame([(1, "aதcகx", "xஅcdxக")], "i int, r string, h string"), "i", "r", "h").orderBy("at").collect()
+    assert [(e["at"], e.expected, e.found, e.error) for e in errors] == [(1, "த", "அ", "tamil_substitution"), (3, "க", "d", "tamil_to_latin_confusion"), (5, None, "க", "insertion")]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlake.functions.unicode import nfc, word_distance, word_edit_distance
-from claimlake.operators import duplicates
+from claimlake.operators import duplicates, quality
 from claimlake.sources import files
 from claimlake.streaming import streams
 
@@ -81,3 +81,46 @@ def test_streams(spark, tmp_path):
     assert spark.table("hourly").agg(F.sum("n")).first()[0] >= 30 and spark.table("hourly").select("start", "user").distinct().count() == want.count()
     streams.into_table(streams.first_seen(stream(), "text", "ts"), "firsts", str(tmp_path / "c3")).awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_annotation_states_in_batch_and_stream(spark, tmp_path):
+    kinds = ["accept", "assign", "assign", "submit", "accept", "assign", "flag", "assign"]
+    rows = [(f"t{k}", i, kinds[(i + k) % 8]) for k in range(4) for i in range(8)] + [("u", 0, "assign")]
+    events = spark.createDataFrame(rows, "task string, s long, kind string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    want = {tuple(r) for r in quality.task_states(events, "task", "ts", "kind").collect()}
+    assert ("u", "IN_PROGRESS", 0, 0) in want
+    events.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    streams.into_table(streams.annotation_states(stream, "task"), "states", str(tmp_path / "c"), "update").awaitTermination()
+    assert {tuple(r) for r in spark.table("states").collect()} == want
+
+
+def test_merge_canonical_by_batches(spark, tmp_path):
+    base = "the quick brown fox jumps over the lazy dog near the river bank today"
+    first = spark.createDataFrame([(1, base, None), (2, base + "!", None), (3, "other words entirely", None)], "ordinal long, text string, image_hash long")
+    second = spark.createDataFrame([(4, base + "!!", None), (5, "something new that is long enough", None)], "ordinal long, text string, image_hash long")
+    for k, part in enumerate((first, second)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
+        streams.merge_canonical(stream, str(tmp_path / "table"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(r.ordinal for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 3, 5]
+
+
+def test_late_rows_are_counted():
+    assert streams.late_rows([{"stateOperators": [{"numRowsDroppedByWatermark": 2}]}, {"stateOperators": []}]) == 2
+
+
+def test_sinks(spark, tmp_path):
+    nodes = spark.createDataFrame([("g1", "n1", "train"), ("g2", "n1", "train"), ("g2", "n2", "test")], "graph_id string, node_id string, split string")
+    edges = spark.createDataFrame([("g1", "e1", "train")], "graph_id string, edge_id string, split string")
+    files.write_graphs(nodes, edges, str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "g/nodes")).count() == 2 and spark.read.json(str(tmp_path / "g/edges/split=train")).count() == 1
+    matrix = spark.createDataFrame([("p", 1.5, True, "train")], "post_id string, x double, y boolean, split string")
+    files.write_matrix(matrix, str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m/csv")).first().x == "1.5" and "boolean" in spark.read.text(str(tmp_path / "m/schema")).first()[0]
+    files.write_manifest(matrix.select("x"), str(tmp_path / "k"), "v1")
+    assert spark.read.json(str(tmp_path / "k")).first().dataset_version == "v1"
+    assert files.text_records(spark, [" a  b "]).first().payload == '{"text":"a b"}'
+    with pytest.raises(ValueError):
+        files.text_records(spark, [" "])
