@@ -1,6 +1,11 @@
 """A training corpus from ``documents``, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+
+Null and empty texts pass through: they score 0, have no lines, are nobody's copy and have no words and no pieces; a source without words is
+not mixed in, so its rows go there.  Rows with null ids are kept by near dedup and draw as one id; null sources are one source; repeated rows are rows
+each, and copies of one id.  Extra columns come back from all stages but the last as they were, whatever their names.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -9,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.llm import line_dedup, mixing, near_dedup, sampled_pieces, toxicity
-from claimlake.llm.shared import documents, shared_path
+from claimlake.llm.shared import documents, shared_path, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under one half; the model is trained on this stage's own rows that have labels."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, docs.columns, name="toxicity_of_row").filter("toxicity_of_row < 0.5").select(*docs.columns)
+    (score,) = unused(docs, "toxicity_of_row")
+    return toxicity.scored(docs, model, docs.columns, name=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
