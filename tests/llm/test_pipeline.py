@@ -53,3 +53,23 @@ def test_line_stage_keeps_the_text_of_copies(spark):
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = lines_of(corpus_pipeline.drop_lines(spark, docs, SF))
     assert out == {r[0]: [x for x in r[1].split("\n") if x != "planted"] for r in rows}
+
+
+def test_stages_take_odd_rows(spark):
+    text = "some plain words of a clean text that goes on for a while"
+    rows = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (3, text, None, None, 57), (4, text, "en", "b", 57), (4, text, "en", "b", 57), (None, text + " x", "en", "b", 59), (5, "one", "en", "c", 3), (6, "q" * 100_000, "en", "c", 100_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity_of_row double, lines_seen int, host string, mix_copies string, id string"
+    docs = spark.createDataFrame([(*r, 9.0, 7, "h", "m", "i") for r in rows], schema)
+    for start in (docs, docs.limit(0)):
+        found = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, found, SF)
+            if name == "piece sampling":
+                assert out.filter("not lossless").count() == 0 and out.count() == found.count()
+                continue
+            assert out.columns == docs.columns
+            found = spark.createDataFrame(out.collect(), schema)
+            assert found.filter("toxicity_of_row <> 9.0 or lines_seen <> 7 or mix_copies <> 'm' or id <> 'i'").count() == 0
+            if name != "mixing" and start is docs:
+                ids = sorted(r.doc_id or 0 for r in found.collect())
+                assert ids == ([0, 1, 2, 3, 5, 6] if name == "near dedup" else [0, 1, 2, 3, 4, 4, 5, 6])
