@@ -1,3 +1,4 @@
+import functools
 import json
 
 import pytest
@@ -41,6 +42,7 @@ def test_unicode_functions(spark):
 
 
 def sequential(rows, threshold=0.85):
+    @functools.cache
     def grams(t):
         t = " ".join(t.lower().split())
         return {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set()
