@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity, vp_search
+from . import fingerprints, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity, vp_search, whitening
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": lambda spark, d: pseudonyms.digest(documents(spark, d)),
     "op9_sampled_pieces": lambda spark, d: sampled_pieces.encode(documents(spark, d)),
     "op10_near_dedup": lambda spark, d: near_dedup.digest(documents(spark, d)),
+    "op11_whitening": lambda spark, d: whitening.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
 }
 
 ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_line_dedup": line_dedup.SQL}
