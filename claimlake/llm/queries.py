@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hard_negatives, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity, vp_search, whitening
+from . import chat_format, fingerprints, hard_negatives, line_dedup, mixing, near_dedup, pseudonyms, sampled_pieces, substring_dedup, token_files, toxicity, vp_search, whitening
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": lambda spark, d: near_dedup.digest(documents(spark, d)),
     "op11_whitening": lambda spark, d: whitening.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op12_hard_negatives": lambda spark, d: hard_negatives.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
+    "op13_chat_format": lambda spark, d: chat_format.digest(spark.read.parquet(f"{d}/conversations.parquet")),
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_line_dedup": line_dedup.SQL, "op12_hard_negatives": hard_negatives.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_line_dedup": line_dedup.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_chat_format": chat_format.SQL}
