@@ -1,4 +1,4 @@
-"""Lexical retrieval by token joins: positives, hard negatives, example sets, BM25."""
+"""The retrieval set by token joins: positives, hard negatives, examples, pairs."""
 
 from __future__ import annotations
 
@@ -159,26 +159,3 @@ def manifest(examples: DataFrame, pairs: DataFrame) -> DataFrame:
 def duplicate_pairs(pairs: DataFrame) -> DataFrame:
     """How many (query, evidence) pairs repeat an earlier one: one row."""
     return pairs.groupBy("query_id", "evidence_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_pairs"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id, rank, doc_id, score`` by Robertson and Zaragoza's formula; both tables have ``id, text``.
-
-    Texts are split once; the postings of the words that queries ask for are kept in a table, from which document frequencies and
-    scores come, with each document's length.  Ids of ``docs`` are unique.
-    """
-    split = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    asked = cut(queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(split("text"))).alias("word")))
-    terms = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(split("text"))).alias("w"))  # generated, so split once
-    words = terms.select("doc_id", F.size("w").alias("length"), F.explode_outer("w").alias("word"))
-    wanted = asked.select(F.col("word").alias("asked")).distinct()
-    found = words.join(wanted, F.col("word") == F.col("asked"), "left").groupBy("doc_id", "length", "asked").agg(F.count("*").alias("tf"))
-    postings = cut(found)  # one row for each document (its other words), and one for each of its words that is asked for
-    stats = postings.select("doc_id", "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    postings = postings.filter("asked is not null").withColumnRenamed("asked", "word")
-    weights = postings.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats is one row
-    norm = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
-    hits = postings.join(weights, "word").select("doc_id", "word", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("part"))
-    scores = asked.join(hits, "word").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

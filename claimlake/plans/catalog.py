@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import duplicates, features, graph, metrics, quality, recognition, relational, retrieval
+from ..operators import duplicates, features, graph, metrics, quality, recognition, relational, retrieval, search
 from ..operators.components import connected_components
 from .registry import ORACLES, QUERIES, query
 
@@ -309,7 +309,7 @@ x AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.7
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x)
 SELECT item_id AS query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""")
 def r10_o4_o10_bm25(t):
-    return retrieval.bm25(t("documents").select(F.col("doc_id").alias("id"), "text"), t("benchmark").select(F.col("item_id").alias("id"), "text"))
+    return search.bm25(t("documents").select(F.col("doc_id").alias("id"), "text"), t("benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
 # Graph

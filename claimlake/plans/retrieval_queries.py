@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import quality, retrieval
+from ..operators import quality, retrieval, search
 from .registry import query
 from .social import TOPICS_SQL, findings, topics
 
@@ -111,3 +111,34 @@ def a8_negative_types(t):
 def a11_u1_duplicate_pairs(t):
     rows = retrieval.pairs(examples(t))
     return retrieval.duplicate_pairs(rows.unionByName(rows.filter("label = 1")))  # every positive once more
+
+
+DENSE = """nearest AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM q JOIN d ON q.id <> d.id),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nearest)"""
+
+
+@query(f"""WITH d AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT * FROM d WHERE id % 20 = 0), {DENSE}
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM dense WHERE rank <= 10""")
+def r10_dense_search(t):
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.dense(rows, rows.filter("id % 20 = 0"), own=False)
+
+
+SPLIT = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS id, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON doc_id = vec_id),
+q AS (SELECT id, v, {search_text('text')} AS asked FROM d WHERE id % 20 = 0), {DENSE},
+w AS (SELECT id, {SPLIT.format("coalesce(text, '')")} AS w FROM d), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w),
+p AS (SELECT id, len(w) AS l, unnest(w) AS word FROM w), f AS (SELECT id, l, word, count(*) AS tf FROM p GROUP BY ALL),
+i AS (SELECT word, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, n GROUP BY word),
+x AS (SELECT DISTINCT id AS query_id, unnest({SPLIT.format('asked')}) AS word FROM q),
+b AS (SELECT query_id, id AS doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM x JOIN f USING (word) JOIN i USING (word), n WHERE query_id <> id GROUP BY query_id, id),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b),
+both_ AS (SELECT query_id, doc_id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM dense WHERE rank <= 50),
+s AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM both_ GROUP BY query_id, doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s QUALIFY rank <= 10""")
+def r10_hybrid_search(t):
+    """Documents by the search text made of each twentieth and by its vector."""
+    rows = t("documents").select(F.col("doc_id").alias("id"), "text").join(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    return search.hybrid(rows, rows.filter("id % 20 = 0").withColumn("text", T.search_text("text")))
