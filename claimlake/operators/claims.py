@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +64,78 @@ def extract(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``post_id, claim_ix, claim_text, normalized, span_start, span_end``: clauses, the first of each wording.
 
     A clause is sought in the text from the end of the one before; one that is not there (its subject was put in) spans its own length from 0.
-    All of a post's clauses are worked out in its row, so nothing is exchanged.
+    All of a post's clauses are worked out in its row, so nothing is exchanged: wordings are sorted to find the first of each, and the search
+    for spans carries what is left of the text.
     """
     one = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a generated column is worked out once
     rows = posts.select(F.col(id_col).alias("post_id"), F.col(text_col).alias("_text"), one(_clauses(F.col(text_col)), "_all"))
-    rows = rows.select("*", one(F.transform("_all", lambda c: F.lower(T.collapse(c))), "_wordings"))
-    first = F.transform("_all", lambda c, i: F.struct(i.alias("claim_ix"), c.alias("claim_text")))
-    rows = rows.select("post_id", "_text", one(F.filter(first, lambda x: F.array_position("_wordings", F.lower(T.collapse(x["claim_text"]))) == x["claim_ix"] + 1), "_kept"))
+    worded = F.transform("_all", lambda c, i: F.struct(F.lower(T.collapse(c)).alias("wording"), i.alias("claim_ix"), c.alias("claim_text")))
+    rows = rows.select("post_id", "_text", one(F.array_sort(worded), "_sorted"))  # by wording, then place
+    firsts = F.filter("_sorted", lambda x, i: (i == 0) | (F.get("_sorted", i - 1)["wording"] != x["wording"]))
+    rows = rows.select("post_id", "_text", one(F.array_sort(F.transform(firsts, lambda x: F.struct(x["claim_ix"].alias("claim_ix"), x["claim_text"].alias("claim_text")))), "_kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        at, n = F.position(x["claim_text"], "_text", acc["pos"] + 1), F.length(x["claim_text"])
-        start = F.when(at > 0, at - 1).otherwise(0)
-        span = F.struct(x["claim_ix"].alias("claim_ix"), x["claim_text"].alias("claim_text"), start.alias("span_start"), (start + n).alias("span_end"))
-        return F.struct(F.when(at > 0, at - 1 + n).otherwise(acc["pos"]).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        n = F.length(x["claim_text"])
+
+        def found(at: Column) -> Column:
+            hit = at > 0
+            start = F.when(hit, acc["pos"] + at - 1).otherwise(0)
+            rest = F.when(hit, F.substring(acc["rest"], at + n, F.lit(2**31 - 1))).otherwise(acc["rest"])
+            return F.struct(F.when(hit, start + n).otherwise(acc["pos"]).alias("pos"), rest.alias("rest"), F.array_append(acc["starts"], start).alias("starts"))
+
+        return F.transform(F.array(F.position(x["claim_text"], acc["rest"])), found)[0]  # sought once
+
+    start = F.struct(F.lit(0).alias("pos"), F.col("_text").alias("rest"), F.array().cast("array<int>").alias("starts"))
+    rows = rows.select("post_id", "_kept", one(F.aggregate("_kept", start, step)["starts"], "_starts"))
+    spans = F.zip_with("_kept", "_starts", lambda x, at: F.struct(x["claim_ix"].alias("claim_ix"), x["claim_text"].alias("claim_text"), at.alias("span_start"), (at + F.length(x["claim_text"])).alias("span_end")))
+    return rows.select("post_id", F.inline(spans)).withColumn("normalized", T.collapse("claim_text"))
+
+
+class SegmentClaims:
+    """A table function of a text: the rows of ``extract``, in time that grows with the text's length.
+
+    ``spark.udtf.register("segment_claims", udtf(SegmentClaims, returnType=SegmentClaims.RETURNS))`` makes it one of SQL, to be joined laterally.
+    """
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<claim_ix:int,claim_text:string,span_start:int,span_end:int>>").alias("out"))
-    rows = rows.select("post_id", F.inline(F.aggregate("_kept", start, step)["out"]))
-    return rows.withColumn("normalized", T.collapse("claim_text"))
+    RETURNS = "claim_ix int, claim_text string, normalized string, span_start int, span_end int"
+    _ENDS, _BLANK = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+"), " \t\n\x0b\f\r"
+    _RULES = {name: re.compile(pattern, re.ASCII) for name, pattern in {"clauses": CLAUSES, "whole": WHOLE, "subject": SUBJECT, "bare": BARE}.items()}
+    _SPACES = regex.compile(r"[ \t\n\x0b\f\r\p{Z}]+")
+
+    def _sentences(self, text: str) -> Iterator[str]:
+        for line in text.split("\n"):
+            yield from filter(None, (s.strip(self._BLANK) for s in self._ENDS.split(line.strip(self._BLANK))))
+
+    def _clauses(self, text: str) -> Iterator[str]:
+        rules = self._RULES
+        for sentence in self._sentences(text):
+            if rules["whole"].match(sentence):
+                yield sentence
+                continue
+            found = rules["subject"].match(sentence)
+            subject = found[1].strip(self._BLANK) if found else ""
+            for i, piece in enumerate(rules["clauses"].split(sentence)):
+                piece = piece.strip(self._BLANK)
+                if piece:
+                    yield f"{subject} {piece}" if i and subject and rules["bare"].match(piece) else piece
+
+    def eval(self, text: str | None):  # noqa: ANN201
+        seen, end = set(), 0
+        for ix, clause in enumerate(self._clauses(text or "")):
+            normalized = self._SPACES.sub(" ", clause).strip(" ")
+            if normalized.lower() in seen:
+                continue
+            seen.add(normalized.lower())
+            at = text.find(clause, end)
+            start = max(at, 0)
+            end = at + len(clause) if at >= 0 else end
+            yield ix, clause, normalized, start, start + len(clause)
 
 
 def typed(claims: DataFrame) -> DataFrame:
     """Claims with type, whether they can be verified, quantities and attribution."""
-    kind = T.claim_type("claim_text")
-    return claims.withColumns({"claim_type": kind, "verifiable": T.verifiable(kind), "numbers": T.all_of("claim_text", T.NUMBER), "amounts": T.all_of("claim_text", T.AMOUNT), "percents": T.all_of("claim_text", T.PERCENT), "attribution": T.attribution("claim_text")})
+    claims = claims.withColumn("claim_type", T.claim_type("claim_text"))
+    return claims.withColumns({"verifiable": T.verifiable(F.col("claim_type")), "numbers": T.all_of("claim_text", T.NUMBER), "amounts": T.all_of("claim_text", T.AMOUNT), "percents": T.all_of("claim_text", T.PERCENT), "attribution": T.attribution("claim_text")})
 
 
 def temporal(text: str) -> Column:
@@ -155,9 +208,10 @@ def atoms(claims: DataFrame) -> DataFrame:
     """
     none = F.lit(None).cast("string")
     parts = F.filter(F.transform(F.split("normalized", CONJUNCTIONS), _strip), lambda p: F.length(p) > 3)
-    whole = F.transform(F.when(F.size(parts) > 1, parts).otherwise(F.array("normalized")), lambda p, i: F.struct(i.alias("part_ix"), p.alias("atom_text"), none.alias("role"), none.alias("object"), none.alias("value"), none.alias("currency"), none.alias("time_kind"), none.alias("time_value")))
-    rows = claims.withColumn("status", F.when(_promise().isNotNull() | (F.size(parts) > 1), "success").otherwise("unchanged"))
-    rows = rows.select("post_id", "claim_ix", "claim_text", "claim_type", "verifiable", "status", "numbers", "amounts", "percents", F.inline(F.coalesce(_promise(), whole)))
+    whole = F.transform(F.when(F.size("_parts") > 1, F.col("_parts")).otherwise(F.array("normalized")), lambda p, i: F.struct(i.alias("part_ix"), p.alias("atom_text"), none.alias("role"), none.alias("object"), none.alias("value"), none.alias("currency"), none.alias("time_kind"), none.alias("time_value")))
+    rows = claims.withColumns({"_promise": _promise(), "_parts": parts})
+    rows = rows.withColumn("status", F.when(F.col("_promise").isNotNull() | (F.size("_parts") > 1), "success").otherwise("unchanged"))
+    rows = rows.select("post_id", "claim_ix", "claim_text", "claim_type", "verifiable", "status", "numbers", "amounts", "percents", F.inline(F.coalesce("_promise", whole)))
     plain = F.col("role").isNull()
     rows = rows.withColumns({"_frame": frame("atom_text"), "_time": temporal("atom_text"), "_first": _first_value(), "negated": plain & F.col("atom_text").rlike(T.edged(T.NEGATION))})
     framed = F.nullif(F.col("_frame.value"), F.lit(""))
@@ -194,43 +248,57 @@ REGISTRATION = ("REGISTRATION_VERIFICATION", ["official_government", "regulatory
 LOW_PRIORITY = ["OPINION", "REQUEST", "INSTRUCTION", "CONTEXTUAL"]
 
 
-def search_queries(atoms: DataFrame) -> DataFrame:
-    """One query for each atom that can be verified or is a question, the first of each text and kind of a post.
-
-    ``post_id, claim_ix, part_ix, query_text, query_type, priority, sources``.
-    """
+def query_of() -> tuple[Column, Column, Column]:
+    """Text and kind of an atom's query, and whether the atom has one: it can be verified or is a question."""
     kind, low, blank = F.col("claim_type"), F.lower("claim_text"), F.lit("")
     subject, predicate, value, unit, obj, time = (F.coalesce(c, blank) for c in ("subject", "predicate", "value", "unit", "object", "time_value"))
-    official = low.contains("government") | low.contains("approv") | low.contains("register")
     named = subject != ""
     make = lambda text, of: F.struct(text.alias("text"), F.lit(of).alias("kind"))
     by_type = F.lit(GENERAL[0])
-    sources = F.array(*map(F.lit, GENERAL[1]))
-    for name, (of, where) in QUERY_KINDS.items():
+    for name, (of, _) in QUERY_KINDS.items():
         by_type = F.when(kind == name, of).otherwise(by_type)
-        sources = F.when(kind == name, F.array(*map(F.lit, where))).otherwise(sources)
     chosen = (
-        F.when(official, make(F.when(named, F.concat(subject, F.lit(" government approval registration"))).otherwise("government approval registration"), REGISTRATION[0]))
+        F.when(official(), make(F.when(named, F.concat(subject, F.lit(" government approval registration"))).otherwise("government approval registration"), REGISTRATION[0]))
         .when((kind == "FACTUAL") & (predicate == "founded") & named, make(F.concat(subject, F.lit(" founded "), value), "TEMPORAL_VERIFICATION"))
         .when((kind == "FACTUAL") & (predicate == "headquartered_in") & named, make(F.concat(subject, F.lit(" headquarters "), obj), "ENTITY_VERIFICATION"))
         .when((kind == "NUMERICAL") & named & (value != ""), make(F.concat(subject, F.lit(" "), value, F.lit(" "), unit), "NUMERICAL_VERIFICATION"))
         .when((kind == "GUARANTEE") & named, make(F.concat(subject, F.lit(" "), value, F.lit(" percent "), time, F.lit(" returns")), "FINANCIAL_VERIFICATION"))
         .otherwise(F.struct(F.col("claim_text").alias("text"), by_type.alias("kind")))
     )
-    rows = atoms.filter(F.col("verifiable") | (kind == "QUESTION")).withColumn("_q", chosen)
-    rows = rows.select("post_id", "claim_ix", "part_ix", _strip(F.col("_q.text")).alias("query_text"), F.col("_q.kind").alias("query_type"), F.when(official | ~kind.isin(LOW_PRIORITY), "HIGH").otherwise("LOW").alias("priority"), F.when(official, F.array(*map(F.lit, REGISTRATION[1]))).otherwise(sources).alias("sources"))
+    return _strip(chosen["text"]), chosen["kind"], F.col("verifiable") | (kind == "QUESTION")
+
+
+def official() -> Column:
+    low = F.lower("claim_text")
+    return low.contains("government") | low.contains("approv") | low.contains("register")
+
+
+def search_queries(atoms: DataFrame) -> DataFrame:
+    """One query for each atom that can be verified or is a question, the first of each text and kind of a post.
+
+    ``post_id, claim_ix, part_ix, query_text, query_type, priority, sources``.
+    """
+    kind = F.col("claim_type")
+    sources = F.array(*map(F.lit, GENERAL[1]))
+    for name, (_, where) in QUERY_KINDS.items():
+        sources = F.when(kind == name, F.array(*map(F.lit, where))).otherwise(sources)
+    text, of, asks = query_of()
+    rows = atoms.filter(asks).select("post_id", "claim_ix", "part_ix", text.alias("query_text"), of.alias("query_type"), F.when(official() | ~kind.isin(LOW_PRIORITY), "HIGH").otherwise("LOW").alias("priority"), F.when(official(), F.array(*map(F.lit, REGISTRATION[1]))).otherwise(sources).alias("sources"))
     once = keep_first(rows.withColumn("_key", F.lower("query_text")), ["post_id", "_key", "query_type"], [F.col("claim_ix"), F.col("part_ix")])
     return once.drop("_key")
 
 
 def pipeline(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts of claims, atoms and queries of each post, and warnings where a step gave nothing."""
-    claims = typed(extract(posts, id_col, text_col))
-    parts = atoms(claims)
-    count = lambda df, name: df.groupBy("post_id").agg(F.count("*").alias(name))
-    out = posts.select(F.col(id_col).alias("post_id"))
-    for df, name in ((claims, "extracted_count"), (parts, "atomic_count"), (search_queries(parts), "queries_count")):
-        out = out.join(count(df, name), "post_id", "left").fillna(0, [name])
+    """Counts of claims, atoms and queries of each post, and warnings where a step gave nothing.
+
+    Every claim has an atom, so all three are counted from one pass over the atoms.
+    """
+    parts = atoms(typed(extract(posts, id_col, text_col)))
+    text, kind, asks = query_of()
+    rows = parts.withColumn("_query", F.when(asks, F.struct(F.lower(text).alias("text"), kind.alias("kind"))))
+    counts = rows.groupBy("post_id").agg(F.count_distinct("claim_ix").alias("extracted_count"), F.count("*").alias("atomic_count"), F.size(F.collect_set("_query")).cast("long").alias("queries_count"))
+    names = counts.columns[1:]
+    out = posts.select(F.col(id_col).alias("post_id")).join(counts, "post_id", "left").fillna(0, names)
     warnings = [(F.col("extracted_count") == 0, "No claims extracted from post."), ((F.col("queries_count") == 0) & (F.col("atomic_count") > 0), "No queries generated despite having atomic claims.")]
     return out.withColumn("warnings", F.array_compact(F.array(*(F.when(c, F.lit(w)) for c, w in warnings))))
 

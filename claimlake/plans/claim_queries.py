@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..operators import claims
 from ..operators.relational import keep_first
+from .lineage import spread
 from .registry import query
 from .social import POSTS_SQL, posts
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
-CLAIMS = rf"""{POSTS_SQL},
-lines AS (SELECT post_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM posts),
+def claims_sql(posts_sql: str) -> str:
+    return f"{posts_sql},\n{FROM_POSTS}"
+
+
+FROM_POSTS = rf"""lines AS (SELECT post_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM posts),
 cut_lines AS (SELECT post_id, text, li, string_split(regexp_replace({STRIP.format('line')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM lines WHERE {STRIP.format('line')} <> ''),
 sentences AS (SELECT post_id, text, li, unnest(s) AS sent, generate_subscripts(s, 1) AS si FROM cut_lines),
 cut_sentences AS (
@@ -26,8 +31,8 @@ clauses AS (
     CASE WHEN pi > 1 AND subject <> '' AND regexp_matches(piece, '(?i)^(has|is|was|guarantees)\b') THEN subject || ' ' || piece ELSE piece END AS claim_text
   FROM pieces WHERE piece <> ''),
 firsts AS (
-  SELECT *, trim(regexp_replace(claim_text, '\s+', ' ', 'g')) AS normalized FROM clauses
-  QUALIFY row_number() OVER (PARTITION BY post_id, lower(trim(regexp_replace(claim_text, '\s+', ' ', 'g'))) ORDER BY claim_ix) = 1),
+  SELECT *, trim(regexp_replace(claim_text, '[\s\p{{Z}}]+', ' ', 'g')) AS normalized FROM clauses
+  QUALIFY row_number() OVER (PARTITION BY post_id, lower(trim(regexp_replace(claim_text, '[\s\p{{Z}}]+', ' ', 'g'))) ORDER BY claim_ix) = 1),
 quantities AS (
   SELECT *, nullif(regexp_extract(claim_text, '(?i)\b\d+(?:,\d+)*(?:\.\d+)?(?:k|m|b)?\b'), '') AS number, nullif(regexp_extract(claim_text, '\d+(?:\.\d+)?\s*%'), '') AS percent,
     nullif(regexp_extract(claim_text, '(?i)(?:₹|\$|rs\.?|rupees?|dollars?)\s*\d+(?:,\d+)*(?:\.\d+)?(?:k|m|b)?|\d+(?:,\d+)*(?:\.\d+)?(?:k|m|b)?\s*(?:₹|\$|rs\.?|rupees?|dollars?)'), '') AS amount
@@ -46,15 +51,18 @@ typed AS (
     nullif(trim(regexp_extract(claim_text, '(?i)(according to|stated by|claimed by)\s+([^,.]+)', 2)), '') AS attribution
   FROM quantities)"""
 
-SPANS = f"""WITH RECURSIVE {CLAIMS},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY claim_ix) AS k FROM typed),
+CLAIMS = claims_sql(POSTS_SQL)
+
+NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY claim_ix) AS k FROM typed),
 spans(post_id, k, pos, span_start, span_end) AS (
   SELECT DISTINCT post_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM numbered
   UNION ALL
   SELECT n.post_id, n.k, CASE WHEN instr(substr(n.text, s.pos + 1), n.claim_text) > 0 THEN s.pos + instr(substr(n.text, s.pos + 1), n.claim_text) - 1 + length(n.claim_text) ELSE s.pos END,
     CASE WHEN instr(substr(n.text, s.pos + 1), n.claim_text) > 0 THEN s.pos + instr(substr(n.text, s.pos + 1), n.claim_text) - 1 ELSE 0 END,
     CASE WHEN instr(substr(n.text, s.pos + 1), n.claim_text) > 0 THEN s.pos + instr(substr(n.text, s.pos + 1), n.claim_text) - 1 ELSE 0 END + length(n.claim_text)
-  FROM spans s JOIN numbered n ON n.post_id = s.post_id AND n.k = s.k + 1)
+  FROM spans s JOIN numbered n ON n.post_id = s.post_id AND n.k = s.k + 1)"""
+
+SPANS = f"""WITH RECURSIVE {CLAIMS}, {NUMBERED}
 SELECT post_id, claim_ix::INTEGER AS claim_ix, claim_text, span_start::INTEGER AS span_start, span_end::INTEGER AS span_end, claim_type, claim_type NOT IN ('QUESTION', 'OPINION', 'REQUEST', 'INSTRUCTION', 'CONTEXTUAL') AS verifiable,
   number AS first_number, amount AS first_amount, percent AS first_percent, attribution FROM numbered JOIN spans USING (post_id, k)"""
 
@@ -69,6 +77,26 @@ def k1_k2_k5_w5_extracted_claims(t):
     return typed(t).select("post_id", "claim_ix", "claim_text", "span_start", "span_end", "claim_type", "verifiable", first("numbers").alias("first_number"), first("amounts").alias("first_amount"), first("percents").alias("first_percent"), "attribution")
 
 
+CONVERSATIONS = "posts AS (SELECT conv_id * 1000 + turn AS post_id, text FROM conversations)"
+
+
+@query(f"""WITH RECURSIVE {claims_sql(CONVERSATIONS)}, {NUMBERED}
+SELECT post_id, claim_ix::INTEGER AS claim_ix, claim_text, normalized, span_start::INTEGER AS span_start, span_end::INTEGER AS span_end FROM numbered JOIN spans USING (post_id, k)""")
+def y5_k1_conversation_claims(t):
+    """Through the table function."""
+    rows = spread(t("conversations").selectExpr("conv_id * 1000 + turn AS post_id", "text"))
+    segment = udtf(claims.SegmentClaims, returnType=claims.SegmentClaims.RETURNS)
+    return rows.lateralJoin(segment(F.col("text").outer())).drop("text")
+
+
+@query(f"""WITH {claims_sql("posts AS (SELECT doc_id AS post_id, text FROM documents)")}
+SELECT post_id, claim_ix::INTEGER AS claim_ix, normalized, claim_type, number AS first_number, amount AS first_amount, percent AS first_percent, attribution FROM typed""")
+def k1_k2_k5_document_claims(t):
+    first = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    rows = claims.typed(claims.extract(spread(t("documents").select("doc_id", "text")), "doc_id", "text"))
+    return rows.select("post_id", "claim_ix", "normalized", "claim_type", first("numbers").alias("first_number"), first("amounts").alias("first_amount"), first("percents").alias("first_percent"), "attribution")
+
+
 ATOMS = rf"""{CLAIMS},
 split AS (
   SELECT *, list_filter(list_transform(string_split(regexp_replace(normalized, '(?i)\b(?:and|but|while)\b|।|\s+(?:और)\s+', chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: length(x) > 3) AS parts,

@@ -25,6 +25,17 @@ def until_the_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, where a table is too small to come in as many partitions; others as they are.
+
+    For steps that compute much on each row: a file of one row group is read by one task, whatever follows the scan.
+    """
+    spark = df.sparkSession
+    cores, each = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * each else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it read back; the table lasts as long as the application.
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import spread
+
 Tables = Callable[[str], DataFrame]
 
 
@@ -127,7 +129,7 @@ def _columns(of: dict[str, str]) -> list[str]:
 
 
 def posts(t: Tables) -> DataFrame:
-    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr(*_columns(POSTS))
+    return spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr(*_columns(POSTS))
 
 
 def claims(t: Tables) -> DataFrame:

@@ -49,3 +49,40 @@ def test_recognition(spark):
     assert [r[0] for r in df.orderBy("image", "k").select(recognition.status("text", F.lit(0.5))).collect()] == ["SUCCESS", "SUCCESS", "OCR_FAILED", "PARTIAL"]
     errors = recognition.character_errors(spark.createDataFrame([(1, "aதcகx", "xஅcdxக")], "i int, r string, h string"), "i", "r", "h").orderBy("at").collect()
     assert [(e["at"], e.expected, e.found, e.error) for e in errors] == [(1, "த", "அ", "tamil_substitution"), (3, "க", "d", "tamil_to_latin_confusion"), (5, None, "க", "insertion")]
+
+
+def test_table_function_gives_the_rows_of_extract(spark):
+    import random
+
+    from pyspark.sql.functions import udtf
+
+    rnd = random.Random(3)
+    bits = ["ABC Co was founded in 2018", "has 5 users", "is fine.", "and guarantees 3% returns", ", and ", " and ", "\n", "Is it?", "is it? ", " If you pay, and has more. ", "x y ", "  ", "has 5 users", "மாதம் 20% லாபம். ", "Ünï was here! "]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))) for i in range(400)] + [(900, None), (901, ""), (902, " \n ")]
+    df = spark.createDataFrame(rows, "post_id long, text string")
+    spark.udtf.register("segment_claims", udtf(claims.SegmentClaims, returnType=claims.SegmentClaims.RETURNS))
+    df.createOrReplaceTempView("some_posts")
+    names = ["post_id", "claim_ix", "claim_text", "normalized", "span_start", "span_end"]
+    got = spark.sql("SELECT post_id, s.* FROM some_posts, LATERAL segment_claims(text) s").select(names).collect()
+    want = claims.extract(df, "post_id", "text").select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 500
+
+
+def test_segmentation_takes_time_in_proportion(spark):
+    """Twice the sentences, at most about twice the time; the fastest of a few runs of each."""
+    import time
+
+    text = lambda n: " ".join(f"The company number {i} was founded in {1900 + i % 100}, has {i} users." for i in range(n))
+    segment = claims.SegmentClaims()
+
+    def fastest(n):
+        runs = []
+        for _ in range(5):
+            began = time.process_time()
+            assert len(list(segment.eval(text(n)))) == 2 * n
+            runs.append(time.process_time() - began)
+        return min(runs)
+
+    assert fastest(8000) < 3 * fastest(4000)
+    long = spark.createDataFrame([(1, text(3000))], "post_id long, text string")
+    assert claims.extract(long, "post_id", "text").count() == 6000
