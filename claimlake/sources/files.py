@@ -154,3 +154,21 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
 def write_manifest(summary: DataFrame, path: str, version: str) -> None:
     """A one-row summary with its version and time as one JSON line."""
     summary.withColumns({"dataset_version": F.lit(version), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")}).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_predictions(rows: DataFrame, path: str, version: str) -> None:
+    """``id, truth, predicted, scores`` as JSON lines under the model's version; another run of a version replaces its own rows, no others'.
+
+    One row for each id: of rows that share one, the first by prediction.
+    """
+    from ..operators.relational import keep_first
+
+    once = keep_first(rows, ["id"], [F.col("predicted"), F.to_json("scores")])
+    out = once.select(F.col("id").cast("string").alias("id"), F.col("truth").alias("true_label"), F.col("predicted").alias("predicted_label"), F.col("scores").alias("probabilities"), F.lit(version).alias("model_version"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("model_version").json(path)
+
+
+def read_predictions(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """``id, true_label, predicted_label, probabilities, model_version`` of one version, or of all."""
+    rows = spark.read.schema("id string, true_label string, predicted_label string, probabilities map<string,double>, model_version string").json(path)
+    return rows if version is None else rows.filter(F.col("model_version") == version)
