@@ -102,18 +102,19 @@ def _compare(pairs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
 
 
-def _walk(batches: Iterator[pa.RecordBatch], block: int = 256) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], block: int = 256, block_chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Rows (part, id, text, halo) by part and descending id; a part ends with its next one's first row (halo)."""
-    waiting, pairs = None, []
+    waiting, pairs, chars = None, [], 0
     for batch in batches:
         for part, i, text, halo in zip(*(batch.column(k) for k in range(4))):
             part, i, text, halo = part.as_py(), i.as_py(), text.as_py() or "", halo.as_py()
             if waiting and waiting[0] == part:
                 pairs.append((waiting[1], waiting[2], text))
+                chars += len(waiting[2])
             waiting = None if halo else (part, i, text)
-            if len(pairs) == block or sum(len(p[1]) for p in pairs[-1:]) > 1 << 20:
+            if len(pairs) == block or chars > block_chars:
                 yield _compare(pairs)
-                pairs = []
+                pairs, chars = [], 0
     if pairs:
         yield _compare(pairs)
 

@@ -6,8 +6,8 @@ other white space of a line counting as blanks, by 64 bits of hashes inside thei
 
 A host has at most (mean distinct lines per page) / ``ratio`` such lines, so its list is
 small whatever its number of pages.  The lists of all hosts are broadcast when they take under ``MOST_BROADCAST``
-bytes; else they are dealt to ``SALTS`` copies, over which the pages of a hot host are spread.
-Hot hosts and lines are summed before the exchange.
+bytes; else the pages of a host are dealt to a task for every ``HOST_PAGES`` of them, each with the host's list.
+Hot hosts and lines are summed before the exchange, and the totals of hot hosts reach their lines by a broadcast.
 
 Null texts stay null, null hosts are one host, an empty table gives an empty result.  Repeated rows count as pages, or with
 ``once`` texts with the same lines count as one page of their host, so copies alone make no line boilerplate.
@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, unused
+from .shared import cut, heavy, unused
 
 SCRIPTS = r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)"
 BLOCKS = r"(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|aside|main|table|tr|td|th|h[1-6]|br|hr|title|head|body|html|blockquote|pre)\b[^>]*>"
 TAGS = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 MOST_BROADCAST = 64 << 20  # bytes of all hosts' lists
-SALTS = 64
+HOST_PAGES = 10_000  # of a host, over which its pages and lines are dealt to several tasks
 
 
 def page_text(html: str) -> Column:
@@ -49,30 +49,39 @@ def _names(text: Column) -> Column:
     return F.transform(F.split(_plain(text), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, least_pages: int, once: bool) -> DataFrame:
-    """``host, names``: the boilerplate of each host that has any."""
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, least_pages: int, once: bool, host_pages: int = HOST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """``host, names``: the boilerplate of each host that has any; and ``host, copies`` of the hosts with over ``host_pages``.
+
+    Their totals reach the lines by a broadcast, so the lines of a hot host are never in one task.
+    """
     pages = pages.select(F.coalesce(host, F.lit("\0")).alias("host"), F.array_compact(F.array_distinct(_names(text))).alias("names"))
     if once:
         pages = pages.distinct()
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    totals = cut(pages.groupBy("host").agg(F.count("*").alias("total")))
+    many = cut(heavy(totals, "total", host_pages))
     lines = pages.select("host", F.explode_outer("names").alias("name")).filter("name is not null")  # a plain explode would have the names worked out once more in a filter
-    counts = lines.groupBy("host", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    frequent = counts.join(totals, "host").filter(F.col("n") > ratio * F.col("total"))
-    return frequent.groupBy("host").agg(F.collect_set("name").alias("names"))
+    counts = cut(lines.groupBy("host", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages))
+    counts = counts.join(F.broadcast(many.select("host", F.col("total").alias("hot"))), "host", "left")
+    of = lambda rows, total: rows.filter(F.col("n") > ratio * F.col(total)).select("host", "name")
+    frequent = of(counts.filter("hot is not null"), "hot").unionByName(of(counts.filter("hot is null").join(totals, "host"), "total"))
+    return frequent.groupBy("host").agg(F.collect_set("name").alias("names")), many.select("host", "copies")
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.3, least_pages: int = 3, once: bool = False, counts: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = 0.3, least_pages: int = 3, once: bool = False, counts: bool = True, host_pages: int = HOST_PAGES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_seen``, ``lines_dropped`` if ``counts``."""
-    lists = cut(boilerplate(pages, F.col(f"`{host_col}`"), F.col(f"`{text_col}`"), ratio, least_pages, once))
-    host, salt, names, stays, seen, dropped = unused(pages, "host", "salt", "names", "stays", "seen", "dropped")
+    lists, many = boilerplate(pages, F.col(f"`{host_col}`"), F.col(f"`{text_col}`"), ratio, least_pages, once, host_pages)
+    lists = cut(lists)
+    host, salt, names, stays, copies = unused(pages, "host", "salt", "names", "stays", "copies")
+    many = F.broadcast(many.withColumnsRenamed({"host": host, "copies": copies}))
     lists = lists.withColumnsRenamed({"host": host, "names": names})
     rows, on = pages.withColumn(host, F.coalesce(F.col(f"`{host_col}`"), F.lit("\0"))), [host]
     size = lists.agg(F.sum(8 * F.size(names) + F.octet_length(host) + 64)).first()[0] or 0
-    if size <= MOST_BROADCAST:
+    if size <= most_broadcast:
         lists = F.broadcast(lists)
-    else:
-        lists, on = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [host, salt]
-        rows = rows.withColumn(salt, F.pmod(F.xxhash64(f"`{text_col}`"), F.lit(SALTS)).cast("int"))
+    else:  # the pages of a host with many are dealt to as many tasks as hold them, its list goes to each
+        each = F.coalesce(F.col(copies), F.lit(1).cast("long"))
+        lists, on = lists.join(many, host, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), each - 1))).drop(copies), [host, salt]
+        rows = rows.join(many, host, "left").withColumn(salt, F.pmod(F.xxhash64(f"`{text_col}`"), each)).drop(copies)
     rows = rows.join(lists, on, "left")
     text, known = F.col(f"`{text_col}`"), F.col(names)
     pairs = F.arrays_zip(F.split(text, "\n").alias("line"), _names(text).alias("name"))

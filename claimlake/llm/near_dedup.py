@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import cut
+from .shared import cut, heavy
 from .words import U64, mix, pair_hash, shingle_sets, text_blocks
 
 COORDINATES = 64
@@ -268,15 +268,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, fold: bool, num: int, de
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, node_pairs: int, block: int, node_rows: int, mean_n: int):
+    def __init__(self, docs: DataFrame, shingle: int, fold: bool, num: int, den: int, small: int, trees: int, levels: int, rounds: int, node_pairs: int, block: int, node_rows: int, mean_n: int, key_rows: int):
         self.num, self.den, self.small, self.levels = num, den, small, levels
-        self.rounds, self.node_pairs, self.block, self.node_rows, self.mean_n = rounds, node_pairs, block, node_rows, mean_n
+        self.rounds, self.node_pairs, self.block, self.node_rows, self.mean_n, self.key_rows = rounds, node_pairs, block, node_rows, mean_n, key_rows
         self.trees, self.second = plan(num / den, trees, levels, rounds)
         self.shingle, self.fold = shingle, fold
         self.texts_of = docs
         self.sketches = cut(docs.mapInArrow(functools.partial(_sketch, n=shingle, fold=fold), "id long, n long, key binary, tokens binary"))
         some = self.sketches.filter("n > 0 and id is not null")
-        self.sets = cut(some.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+        self.sets = cut(some.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("rows")))
         self.classes: DataFrame | None = None
 
     def _with_tokens(self, rows: DataFrame, on: str = "id", suffix: str = "") -> DataFrame:
@@ -311,9 +311,14 @@ class _Join:
         return self._with_class(frontier).join(nodes.select("node", "size").hint("merge"), "node").select("node", "id", "class", "size")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        """Pairs that link; the pairs of an ``a`` that has many are dealt to several tasks, each with a copy of its text."""
+        many = heavy(pairs.groupBy("a").agg(F.count("*").alias("n")), "n", self.key_rows).drop("n")
+        copies = F.coalesce("copies", F.lit(1).cast("long"))
+        a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(F.broadcast(many), "a", "left")
+        a = a.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
         b = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+        rows = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("salt"))
+        rows = rows.join(b, "b").join(a, ["a", "salt"]).select("a", "b", "text_a", "text_b")
         return rows.mapInArrow(functools.partial(_confirm, n=self.shingle, fold=self.fold, num=self.num, den=self.den), "a long, b long")
 
     def _link(self, pairs: DataFrame) -> None:
@@ -321,7 +326,7 @@ class _Join:
         first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")))
         self._merge(self._confirmed(first))
         rest = self._with_class(self._with_class(pairs.join(first, ["a", "b"], "left_anti"), "a", "class_a"), "b", "class_b")
-        self._merge(self._confirmed(rest.filter("class_a <> class_b").select("a", "b")))
+        self._merge(self._confirmed(cut(rest.filter("class_a <> class_b").select("a", "b"))))
 
     def _merge(self, links: DataFrame) -> None:
         """Classes after these links: components of the classes that they join."""
@@ -374,25 +379,30 @@ class _Join:
         self._merge(rows.groupBy("node", "lo", "hi").applyInArrow(lambda t: step(t), "a long, b long"))
 
     def _result(self) -> DataFrame:
+        """Class of each row by its set; rows without a set are in no join, and a set that many rows have reaches them by a broadcast."""
+        named = cut(self._with_class(self.sets.select("key", "id", F.col("rows").alias("n")), "id", "class").select("key", "class", "n"))
+        many = heavy(named, "n", self.key_rows).select("key", F.col("class").alias("heavy_class"))
         rows = self.sketches.select("id", "n", "key")
-        rows = rows.join(self.sets.select("key", F.col("id").alias("set_id")), "key", "left")
-        rows = self._with_class(rows, "set_id", "class")
-        component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("class", "id")).otherwise(F.col("id")))
-        rows = rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-        return rows.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+        full = rows.filter("n > 0 and id is not null").join(F.broadcast(many), "key", "left")
+        common = full.filter("heavy_class is not null").select("id", "n", F.col("heavy_class").alias("component_id"))
+        single = full.filter("heavy_class is null").join(named.select("key", "class"), "key").select("id", "n", F.col("class").alias("component_id"))
+        bare = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+        out = common.unionByName(single).unionByName(bare).withColumnRenamed("n", "n_shingles")
+        return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, node_pairs: int = 5_000_000, block: int = 512, node_rows: int = 1024, mean_n: int = 2000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), fold: bool = True, small: int = 24, trees: int = 6, levels: int = 3, rounds: int = 4, node_pairs: int = 5_000_000, block: int = 512, node_rows: int = 1024, mean_n: int = 2000, key_rows: int = 2048) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row.
 
     Rows are linked when ``threshold[1] * |A & B| >= threshold[0] * |A | B|`` over their sets of
     ``shingle``-word shingles (A-Z folded); a component is named by its smallest id, whose row is
     kept.  A text with fewer words is one shingle; null and empty texts have none and stay alone.  A row whose
     id is null has a null component and is kept.  Rows with one id share its component.
-    A task takes ``node_rows`` documents of a large node, or two blocks of ``block`` documents with ``mean_n`` shingles on the mean.
+    A task takes ``node_rows`` documents of a large node, or two blocks of ``block`` documents with ``mean_n`` shingles on the mean; a document
+    with over ``key_rows`` candidates, or a set that as many rows have, goes to several tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, node_pairs, block, node_rows, mean_n).run()
+    return _Join(rows, shingle, fold, *threshold, small, trees, levels, rounds, node_pairs, block, node_rows, mean_n, key_rows).run()
 
 
 def digest(docs: DataFrame) -> DataFrame:

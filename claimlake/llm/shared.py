@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, shared_dir, shared_path
+from ..plans.lineage import cut, shared_dir, shared_path, until_the_end
 
-__all__ = ["cut", "documents", "shared_dir", "shared_path", "unused"]
+__all__ = ["cut", "documents", "heavy", "shared_dir", "shared_path", "until_the_end", "unused"]
+
+MOST_HEAVY = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,3 +24,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+def heavy(counts: DataFrame, n: str, least: int) -> DataFrame:
+    """The rows of ``counts`` whose ``n`` is over ``least`` and over a ``MOST_HEAVY``-th of all, with ``copies``: tasks that each take so many at most.
+
+    There are no more than ``MOST_HEAVY`` such rows, so they may be broadcast, whatever the input.
+    """
+    each = max(least, (counts.agg(F.sum(n)).head()[0] or 0) // MOST_HEAVY)
+    return counts.filter(F.col(n) > each).withColumn("copies", F.ceil(F.col(n) / each).cast("long"))

@@ -6,7 +6,7 @@ the product of (1 - score).  Only documents have labels; the likelihood of these
 the sentence scores, which then tell the offending sentences.
 
 Training takes a bounded sample: ``per_class`` labelled ids of each class, by hash, with one row each (the smallest text).  Its
-terms are counted by Spark in 2^21 hash buckets, the ``n_features`` with the strongest association are kept, of those whose
+terms are counted by Spark in 2^21 hash buckets, the ``n_features`` (2,048, or as many as the sample has rows) with the strongest association are kept, of those whose
 shares in the classes differ by a factor of e to the ``least_log_ratio`` or more, and the weights are fitted to the sample's sentences, which by then are short lists of them.  Scoring is one pass over all texts.
 
 Nulls and empty texts have no sentence and score 0; equal texts have equal scores.  Labels that are null or
@@ -137,7 +137,7 @@ def fit(toxic: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray], n_f
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: int = 2048, least_log_ratio: float = 1.0) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: int | None = None, least_log_ratio: float = 1.0) -> Model | None:
     """Fit to at most ``per_class`` labelled rows of each class that are not held out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
@@ -147,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features:
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
+    n_features = n_features or max(2048, sum(sizes.values()))
     counts = sample.mapInArrow(_counts, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     r1, r0 = (F.col("n1") + 0.5) / (sizes[1] + 1.0), (F.col("n0") + 0.5) / (sizes[0] + 1.0)
     strength = F.abs(F.log(r1 / r0)) * F.sqrt(F.col("n1") + F.col("n0"))

@@ -64,7 +64,7 @@ def test_substring_dedup_of_a_long_text_and_a_common_passage(spark):
     assert {r.id: r.n_removed for r in out} == {0: 0, 1000: 0, **{i: 20 for i in range(1, 300)}}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 4, "rounds": 2, "block": 8, "node_rows": 3, "mean_n": 5}])
+@pytest.mark.parametrize("options", [{}, {"small": 4, "rounds": 2, "block": 8, "node_rows": 3, "mean_n": 5, "key_rows": 2}])
 def test_near_dedup_matches_brute_force(spark, options):
     rnd = random.Random(3)
     base = [[rnd.choice("abcdefgh") + str(rnd.randrange(300)) for _ in range(60)] for _ in range(6)]
@@ -120,6 +120,17 @@ def test_near_dedup_keeps_threshold_pairs_together_at_any_depth(num):
     assert 1 - len(np.unique(ids // 2)) / pairs <= 2 * near_dedup.MISSED
 
 
+def test_near_dedup_deals_hot_sets_and_families(spark):
+    """A third of the rows are copies, a third near copies of one text, some empty; and a very long text with its near copy."""
+    rnd, words = random.Random(5), [f"w{i}" for i in range(80)]
+    near = lambda: " ".join(words[:k] + [f"x{rnd.randrange(10**6)}"] + words[k + 1 :]) if (k := rnd.randrange(80)) else ""
+    rows = [(i, " ".join(words)) for i in range(60)] + [(100 + i, near()) for i in range(60)] + [(200 + i, " ".join(rnd.sample(words, 30))) for i in range(40)] + [(300 + i, "") for i in range(20)]
+    long = [f"l{i}" for i in range(30_000)]
+    rows += [(400, " ".join(long)), (401, " ".join(long[:-50]))]
+    out = near_dedup.near_duplicates(frame(spark, rows), shingle=3, threshold=(85, 100), key_rows=8, small=4, node_rows=8, block=16)
+    assert sorted(map(tuple, out.collect()), key=str) == brute.near_dedup(rows, 3, 85)
+
+
 def test_near_dedup_of_no_rows(spark):
     assert near_dedup.digest(empty(spark)).count() == 0
 
@@ -135,6 +146,27 @@ def test_toxicity_finds_held_out_documents_and_sentences(spark):
     assert toxicity.train(docs, labels.limit(0)) is None and toxicity.digest(empty(spark), labels).count() == 0
 
 
+def test_toxicity_scores_match_a_plain_noisy_or(spark):
+    """A document's score from the fitted weights: one minus the product over its sentences of one minus their logistic scores; long and repeated rows, a column called score."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    assert model is not None
+    text = "fine words here. an idiot and a clown! more words? " * 3
+    rows = [(1, text), (1, text), (2, "plain words. " * 20_000), (3, None), *[(10 + r.doc_id, r.text) for r in docs.limit(40).collect()]]
+    out = toxicity.scored(frame(spark, rows), model, ["doc_id", "id", "score"], sentences=True).collect()
+    table = dict(zip(model.features.tolist(), model.weights.tolist()))
+    for r, (i, t) in zip(sorted(out, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0])):
+        b = toxicity.bags([(t or "").encode()])
+        held = [set() for _ in range(len(b.doc))]
+        for row in b.features:
+            for s, f in zip(b.sentence.tolist(), row.tolist()):
+                held[s].add(f)
+        miss = 1.0
+        for terms in held:
+            miss *= 1 - 1 / (1 + np.exp(-(model.bias + sum(float(np.float32(table.get(f, 0.0))) for f in terms))))
+        assert r.doc_id == i and r.id == 7 and abs(r.score - (1 - miss)) < 1e-4
+
+
 def test_mixing_targets_and_copies(spark):
     rows = [(i, "w " * (1 + i % 7), ["a", "b", "c", None][i % 4]) for i in range(2000)] + [(5000, None, "d"), (None, "x y", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -147,15 +179,14 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.with_copies(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [line_dedup.MOST_BROADCAST, 0])
-def test_line_dedup_odd_rows(spark, monkeypatch, most):
-    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
+@pytest.mark.parametrize("options", [{}, {"most_broadcast": 0}, {"most_broadcast": 0, "host_pages": 2}])
+def test_line_dedup_odd_rows(spark, options):
     rows = [(i, "h" if i < 8 else None, None if i == 3 else f"common\t x\nx{i}\n\n a ") for i in range(12)] + [(20, "z", ""), (21, "z", "only"), (21, "z", "only")]
     df = spark.createDataFrame([(*r, 1, "n", 5, "d") for r in rows], "doc_id long, host string, text string, line_host int, names string, lines_seen int, salt string")
-    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, "host", "text").collect()}
+    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, "host", "text", **options).collect()}
     assert out[0].text == "x0\n" and out[9].text == "x9\n" and out[3].text is None and out[20].text == "" and out[21].text == "only"
     assert (out[0].lines_seen, out[0].lines_dropped, out[3].lines_seen, out[0].line_host, out[0].names, out[0].salt) == (4, 2, 0, 1, "n", "d")
-    plain = line_dedup.drop_boilerplate(df, "host", "text", counts=False)
+    plain = line_dedup.drop_boilerplate(df, "host", "text", counts=False, **options)
     assert plain.columns == df.columns and plain.count() == len(rows) and plain.first().lines_seen == 5
     assert line_dedup.drop_boilerplate(df.limit(0), "host", "text").count() == 0
 
