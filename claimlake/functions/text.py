@@ -34,6 +34,22 @@ def plain_punctuation(text: C) -> Column:
     return F.translate(F.translate(F.translate(col(text), "“”", '""'), "‘’", "''"), "—–", "--")
 
 
+def minimal_clean(text: C) -> Column:
+    """Composed text without control and format characters, white space collapsed; null as empty."""
+    from .unicode import nfc
+
+    bare = F.regexp_replace(nfc(F.coalesce(col(text), F.lit(""))), r"[\p{Cc}\p{Cf}&&[^\t\n]]", "")
+    return collapse(bare)
+
+
+def recognised(text: C) -> Column:
+    """``struct<raw, text>``: recognised text as it was and after the whole cleaning chain; null as empty."""
+    from .unicode import nfc
+
+    raw = F.coalesce(col(text), F.lit(""))
+    return F.struct(raw.alias("raw"), ocr_clean(nfc(raw)).alias("text"))
+
+
 def ocr_clean(text: C) -> Column:
     """The cleaning chain of recognised text, but for Unicode composition (``functions.unicode.nfc``)."""
     return tidy_layout(plain_punctuation(without_controls(text)))

@@ -505,4 +505,4 @@ def o6_reading_order(t):
     return recognition.reading_order(rows, "conv_id", "x", "y", "text").select("conv_id", F.col("lines").isNotNull().alias("has_lines"), F.size("lines").cast("long").alias("n_lines"))
 
 
-from . import claim_queries, feature_queries, graph_queries, language_queries, model_queries, quality_queries, retrieval_queries  # noqa: E402, F401  register their queries
+from . import claim_queries, feature_queries, graph_queries, language_queries, model_queries, quality_queries, retrieval_queries, source_queries  # noqa: E402, F401  register their queries

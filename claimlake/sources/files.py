@@ -58,24 +58,57 @@ def _first(*paths: str) -> Column:
 PLATFORMS = "reddit youtube x instagram facebook linkedin tiktok telegram whatsapp generic text screenshot unknown".split()
 
 
+def _list(*paths: str) -> Column:
+    """The first of these JSON fields that is a list, as strings; else an empty one."""
+    none = F.array().cast("array<string>")
+    lists = (F.when(F.get_json_object("payload", p).startswith("["), F.from_json(F.get_json_object("payload", p), "array<string>")) for p in paths)
+    return F.coalesce(*lists, none)
+
+
 def normalise_posts(records: DataFrame) -> DataFrame:
-    """The canonical post of each record; an id that is missing comes from the payload's hash."""
-    platform = F.lower(F.coalesce(_first("$.platform"), F.lit("unknown")))
-    text = F.coalesce(_first("$.original_text", "$.text", "$.content.text", "$.body", "$.title"), F.lit(""))
-    images = F.coalesce(F.from_json(F.coalesce(_first("$.media.images", "$.images"), F.lit("[]")), "array<string>"), F.array().cast("array<string>"))
+    """The canonical post of each record; an id that is missing comes from the payload's hash.
+
+    ``not_lists`` names the fields that should be lists and are something else; ``metadata`` is the record's own, as JSON.
+    """
+    platform = F.lower(F.trim(F.coalesce(_first("$.platform"), F.lit("unknown"))))
+    raw = F.coalesce(_first("$.original_text", "$.text", "$.content.text", "$.body", "$.title"), F.lit(""))
+    text = F.trim(F.regexp_replace(raw, r"[\s\p{Z}]+", " "))
+    path = _first("$.image_path")
+    images = _list("$.images", "$.media.images")
+    is_a = lambda p, c: F.coalesce(F.get_json_object("payload", p).startswith(c), F.lit(False))
+    images = F.when(~is_a("$.images", "[") & ~is_a("$.media", "{") & path.isNotNull(), F.array(path)).otherwise(images)
+    listed = [("images", "$.images"), ("hashtags", "$.hashtags"), ("mentions", "$.mentions"), ("urls", "$.urls"), ("comments", "$.comments")]
     return records.select(
         F.coalesce(_first("$.post_id", "$.id"), F.concat(F.lit("post_"), F.substring(F.sha2("payload", 256), 1, 12))).alias("post_id"),
         F.when(platform.isin(PLATFORMS), platform).otherwise(_first("$.platform")).alias("platform"),
-        F.when((F.size(images) > 0) & (text == ""), "image").when(F.size(images) > 0, "text_image").otherwise("text").alias("post_type"),
+        F.when((F.size(images) > 0) & (text == ""), "image").when(F.size(images) > 0, "image_text").otherwise("text").alias("post_type"),
         _first("$.source_url", "$.url").alias("source_url"),
         _first("$.author.username", "$.author.display_name", "$.author").alias("author"),
-        F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " ")).alias("text"),
+        text.alias("text"),
+        raw.alias("original_text"),
+        _first("$.title", "$.content.title").alias("title"),
+        _list("$.hashtags").alias("hashtags"),
+        _list("$.mentions").alias("mentions"),
+        _list("$.urls").alias("urls"),
         images.alias("images"),
         _first("$.timestamp", "$.created_at").alias("timestamp"),
         F.coalesce(_first("$.language", "$.lang"), F.lit("en")).alias("language"),
+        F.coalesce(F.get_json_object("payload", "$.is_example").cast("boolean"), F.lit(False)).alias("is_example"),
+        _first("$.metadata").alias("metadata"),
+        F.array_compact(F.array(*(F.when(~F.get_json_object("payload", p).startswith("["), F.lit(n)) for n, p in listed))).alias("not_lists"),
     )
 
 
+_COMMENT = "struct<id:string,parent_id:string,author:string,body:string,score:double,created_utc:double>"
+
+
+def first_comments(records: DataFrame, limit: int = 10) -> DataFrame:
+    """``post_id, place, comment_id, parent_id, author, text, score``: of each record's first ``limit`` comments, those with a body, in order."""
+    listed = F.slice(F.coalesce(F.from_json(F.get_json_object("payload", "$.comments"), f"array<{_COMMENT}>"), F.array().cast(f"array<{_COMMENT}>")), 1, limit)
+    rows = records.select(_first("$.post_id", "$.id").alias("post_id"), F.posexplode(listed).alias("place", "c"))
+    return rows.filter(F.coalesce(F.col("c.body"), F.lit("")) != "").select("post_id", "place", F.col("c.id").alias("comment_id"), "c.parent_id", "c.author", F.col("c.body").alias("text"), "c.score")
+
+
 def validation_errors() -> Column:
     """What keeps a post out, as an array of texts."""
     from ..functions.text import is_reddit_post
@@ -86,7 +119,8 @@ def validation_errors() -> Column:
         (F.col("timestamp").isNotNull() & F.try_to_timestamp("timestamp").isNull(), "Invalid timestamp."),
         (F.col("source_url").isNotNull() & ~is_reddit_post("source_url"), "Invalid Reddit post URL."),
     ]
-    return F.filter(F.array(*(F.when(bad, F.lit(text)) for bad, text in checks)), lambda x: x.isNotNull())
+    found = F.filter(F.array(*(F.when(bad, F.lit(text)) for bad, text in checks)), lambda x: x.isNotNull())
+    return F.concat(found, F.transform("not_lists", lambda f: F.concat(F.initcap(f), F.lit(" must be a list."))))
 
 
 def route(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,13 +135,25 @@ def write_jsonl(df: DataFrame, path: str, split: str | None = None) -> None:
     (writer.partitionBy(split) if split else writer).json(path)
 
 
+def entity_paths(spark: SparkSession, folder: str, name: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> list[str]:
+    """The file of an entity at the root of a dataset, or where there is none those in the folders of its splits."""
+    at = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = lambda path: at(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at(path))
+    root = f"{folder}/{name}.jsonl"
+    return [root] if exists(root) else [path for split in splits if exists(path := f"{folder}/{split}/{name}.jsonl")]
+
+
 def read_entities(spark: SparkSession, paths: list[str], schema: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Records of JSONL files, the first of each key, and the lines that could not be read."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(paths).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    """Records of JSONL files, the first of each key by file and line, and the lines that could not be read: ``file, line, value``."""
     from ..operators.relational import keep_first
-
-    good = keep_first(rows.filter("_corrupt_record is null"), [key], [F.col("file"), F.col("line")])
-    return good.drop("_corrupt_record", "file", "line"), rows.filter("_corrupt_record is not null").select("file", "_corrupt_record")
+    from .numbered import parsed, read_numbered
+
+    if not paths:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, line long, value string")
+    rows = parsed(read_numbered(spark, paths), schema)
+    names = spark.createDataFrame([], schema).columns
+    good = keep_first(rows.filter("error is null").select("record.*", "file", "line"), [key], [F.col("file"), F.col("line")])
+    return good.select(*names), rows.filter("error is not null").select("file", "line", "value")
 
 
 #: The key that tells a record's kind, first match wins.
