@@ -6,22 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-
-
-def _jump(parents: DataFrame) -> DataFrame:
-    up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("up"))
-    return parents.join(up, "parent").select("id", F.col("up").alias("parent"))
+from .relational import looked_up
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """Follow ``parent`` (never larger than ``id``) to its end, four steps a round."""
-    while True:
-        near = _jump(parents)
-        far = _jump(near).select("id", F.col("parent").alias("far"))
-        jumped = cut(near.join(far, "id").select("id", F.col("far").alias("parent"), (F.col("far") < F.col("parent")).alias("moved")))
-        parents = jumped.select("id", "parent")
-        if jumped.filter("moved").isEmpty():
-            return parents
+    """Follow ``parent`` (never larger than ``id``) to its end, twice as far each round; ids that have reached a root stay out of later rounds."""
+    parents = cut(parents)
+    ended, going = parents.filter("id = parent"), parents.filter("id <> parent")
+    while not going.isEmpty():
+        up = ended.unionByName(going).select(F.col("id").alias("parent"), F.col("parent").alias("up"))
+        jumped = cut(looked_up(going, up, "parent"))
+        ended = ended.unionByName(jumped.filter("up = parent").select("id", "parent"))
+        going = jumped.filter("up < parent").select("id", F.col("up").alias("parent"))
+    return ended
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -29,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round joins every id to its smallest neighbour and contracts the trees so made, so
     the number of edges at least halves with the ids; rounds grow with the logarithm of the
-    longest path.  Null ends and self-loops are left out.
+    longest path.  Null ends and self-loops are left out.  The ids of a large star are looked up by a broadcast of its centre (``looked_up``).
     """
     edges = cut(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct())
     found = None
@@ -39,9 +36,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if found is None:
             found = roots.select("id", F.col("parent").alias("component"))
         else:
-            found = cut(found.join(roots.select(F.col("id").alias("component"), "parent"), "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
+            merged = roots.select(F.col("id").alias("component"), "parent")
+            found = cut(looked_up(found, merged, "component").select("id", F.coalesce("parent", "component").alias("component")))
         a, b = (roots.select(F.col("id").alias(c), F.col("parent").alias(f"root_{c}")) for c in "ab")
-        ends = edges.join(a, "a").join(b, "b").select("root_a", "root_b").filter("root_a <> root_b")
+        ends = looked_up(cut(looked_up(edges, a, "a")), b, "b").select("root_a", "root_b").filter("root_a <> root_b")
         edges = cut(ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

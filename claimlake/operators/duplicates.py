@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_shingles, text_key
 from ..plans.lineage import cut
+from .components import connected_components
+from .relational import looked_up
 
 
 def image_hash(path: Column | str) -> Column:
@@ -46,13 +48,31 @@ def near_hashes(hashes: DataFrame, most: int = 5) -> DataFrame:
 
 
 def image_pairs(posts: DataFrame, most: int = 5) -> DataFrame:
-    """``a, b, distance`` (a before b) of rows whose image hashes are at most ``most`` bits apart, equal ones included."""
-    near = near_hashes(posts, most)
-    both = near.unionByName(near.select(F.col("h").alias("g"), F.col("g").alias("h"), "distance"))
+    """``a, b, distance`` (a before b) of the first rows of different image hashes at most ``most`` bits apart.
+
+    Rows with equal hashes are one here, so a common picture makes no pairs; ``image_classes`` tells which rows belong together.
+    """
+    firsts = posts.filter("image_hash is not null").groupBy("image_hash").agg(F.min("ordinal").alias("first"))
+    x, y = (firsts.select(F.col("image_hash").alias(c), F.col("first").alias(k)) for c, k in (("g", "p"), ("h", "q")))
+    return near_hashes(posts, most).join(x, "g").join(y, "h").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+
+
+def image_classes(posts: DataFrame, most: int = 5) -> DataFrame:
+    """``ordinal, class, links`` of each row with an image hash: its class is named by the smallest ordinal that near hashes lead to.
+
+    ``links`` counts the other rows at most ``most`` bits away.  Classes and counts come from distinct hashes and how many rows have each, so
+    neither a common picture nor a large family is paired up by rows.
+    """
     rows = posts.filter("image_hash is not null")
-    same = rows.select(F.col("image_hash").alias("g"), F.col("image_hash").alias("h"), F.lit(0).alias("distance")).distinct()
-    x, y = (rows.select(F.col("image_hash").alias(c), F.col("ordinal").alias(k)) for c, k in (("g", "a"), ("h", "b")))
-    return both.unionByName(same).join(x, "g").join(y, "h").filter("a < b").select("a", "b", "distance")
+    counts = cut(rows.groupBy("image_hash").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")))
+    near = cut(near_hashes(posts, most))
+    both = near.select(F.col("g").alias("image_hash"), F.col("h").alias("other")).unionByName(near.select(F.col("h").alias("image_hash"), F.col("g").alias("other")))
+    met = both.join(counts.select(F.col("image_hash").alias("other"), F.col("n").alias("there")), "other").groupBy("image_hash").agg(F.sum("there").alias("there"))
+    joined = connected_components(near, "g", "h").select(F.col("id").alias("image_hash"), "component")
+    known = counts.join(joined, "image_hash", "left").join(met, "image_hash", "left").withColumn("component", F.coalesce("component", "image_hash"))
+    named = known.groupBy("component").agg(F.min("first").alias("class"))
+    out = cut(known.join(named, "component").select("image_hash", "class", (F.col("n") - 1 + F.coalesce("there", F.lit(0))).alias("links")))
+    return looked_up(cut(rows.select("ordinal", "image_hash")), out, "image_hash").select("ordinal", "class", "links")
 
 
 def _nearest(state: DataFrame, key: str, near: DataFrame, measure: str) -> DataFrame:

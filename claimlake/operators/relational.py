@@ -188,3 +188,42 @@ def agreement(submissions: DataFrame, task: str, label: str) -> DataFrame:
 def upper_median(values: Column) -> Column:
     """The element at place n // 2 of the sorted values."""
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+
+MOST_HEAVY = 100_000
+
+
+def heavy(counts: DataFrame, n: str, least: int) -> DataFrame:
+    """The rows of ``counts`` whose ``n`` is over ``least`` and over a ``MOST_HEAVY``-th of all, with ``copies``: tasks that each take so many at most.
+
+    There are no more than ``MOST_HEAVY`` such rows, so they may be broadcast, whatever the input.
+    """
+    each = max(least, (counts.agg(F.sum(n)).head()[0] or 0) // MOST_HEAVY)
+    return counts.filter(F.col(n) > each).withColumn("copies", F.ceil(F.col(n) / each).cast("long"))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str, least: int = 10_000) -> DataFrame:
+    """``rows`` with the columns of ``known``, one row for each key, nulls where there is none; ``rows`` is read three times, so it is a table.
+
+    Keys that many rows have are looked up by a broadcast of just these, so no task has all rows of a key.
+    """
+    many = F.broadcast(heavy(rows.groupBy(key).agg(F.count("*").alias("n")), "n", least).select(key))
+    hot = rows.join(many, key, "left_semi").join(F.broadcast(known.join(many, key, "left_semi")), key, "left")
+    return hot.unionByName(rows.join(many, key, "left_anti").join(known, key, "left"))
+
+
+def sketched(df: DataFrame, keys: list[str], version: str, size: int = 12) -> DataFrame:
+    """``version, key, sketch, exact`` of the distinct values of each key: a theta sketch of 2^``size`` entries to be kept beside a manifest.
+
+    A count from a sketch is exact while the values are fewer than its entries; beyond, one standard error is 2^(-``size`` / 2) of it.
+    """
+    one = df.agg(*(F.struct(F.theta_sketch_agg(F.col(k).cast("string"), size).alias("sketch"), F.count_distinct(k).alias("exact")).alias(k) for k in keys))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k)["sketch"].alias("sketch"), F.col(k)["exact"].alias("exact")) for k in keys))).alias("x")
+    return one.select(rows).select(F.lit(version).alias("version"), "x.*")
+
+
+def compared_versions(sketches: DataFrame, old: str, new: str) -> DataFrame:
+    """``key, old, new, together, added, removed``: distinct values of two versions from their stored sketches alone."""
+    a, b = (sketches.filter(F.col("version") == v).select("key", F.col("sketch").alias(k)) for v, k in ((old, "a"), (new, "b")))
+    n = F.theta_sketch_estimate
+    return a.join(b, "key").select("key", n("a").alias("old"), n("b").alias("new"), n(F.theta_union("a", "b")).alias("together"), n(F.theta_difference("b", "a")).alias("added"), n(F.theta_difference("a", "b")).alias("removed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import duplicates, graph
+from ..sources import files
+from .lineage import cut, shared_path, until_the_end
 from .registry import query
 from .social import SOCIAL_SQL, claims, evidence, posts
 
@@ -138,13 +140,40 @@ def a12_g21_manifest(t):
 HASHES = "hashes AS (SELECT c_custkey AS id, xor(('0x' || substr(sha256('img' || (c_custkey % 60)), 1, 16))::UBIGINT, 1::UBIGINT << (c_custkey % 64)::UBIGINT) AS h FROM customer)"
 
 
-@query(f"WITH {HASHES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance, 1 - bit_count(xor(a.h, b.h)) / 64 AS similarity FROM hashes a JOIN hashes b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 5")
+@query(f"""WITH {HASHES}, g AS (SELECT h, min(id) AS id FROM hashes GROUP BY h)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance, 1 - bit_count(xor(a.h, b.h)) / 64 AS similarity FROM g a JOIN g b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 5""")
 def d4_j9_g15_similar_images(t):
-    """Hashes of pictures in 60 families, each with one bit turned over."""
-    bit = F.expr("shiftleft(cast(1 as bigint), cast(c_custkey % 64 as int))")
-    base = duplicates.image_hash(F.concat(F.lit("img"), (F.col("c_custkey") % 60).cast("string")))
-    images = t("customer").select(F.col("c_custkey").alias("ordinal"), base.bitwiseXOR(bit).alias("image_hash"))
-    pairs = duplicates.image_pairs(images)
+    """Hashes of pictures in 60 families, each with one bit turned over: an edge for each pair of different hashes, between the first rows that have them."""
+    pairs = duplicates.image_pairs(pictures(t))
     edges = graph.similar_edges(pairs.withColumns({"a": F.col("a").cast("string"), "b": F.col("b").cast("string")}))
     ends = edges.select(F.substring("source_node_id", 10, 30).cast("long").alias("a"), F.substring("target_node_id", 10, 30).cast("long").alias("b"), "similarity")
     return pairs.join(ends, ["a", "b"])
+
+
+@query(f"""WITH RECURSIVE {HASHES}, near AS (SELECT a.h, b.h AS other FROM (SELECT DISTINCT h FROM hashes) a JOIN (SELECT DISTINCT h FROM hashes) b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 5),
+reach(h, other) AS (SELECT h, h FROM hashes UNION SELECT r.h, n.other FROM reach r JOIN near n ON n.h = r.other),
+c AS (SELECT r.h, min(x.id) AS class FROM reach r JOIN hashes x ON x.h = r.other GROUP BY r.h), k AS (SELECT h, count(*) AS n FROM hashes GROUP BY h),
+l AS (SELECT n.h, sum(k.n) AS there FROM near n JOIN k ON k.h = n.other GROUP BY n.h)
+SELECT id AS ordinal, class, n - 1 + coalesce(there, 0)::BIGINT AS links FROM hashes JOIN c USING (h) JOIN k USING (h) LEFT JOIN l USING (h)""")
+def d4_g15_image_classes(t):
+    return duplicates.image_classes(pictures(t))
+
+
+def pictures(t):  # noqa: ANN001, ANN201
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(c_custkey % 64 as int))")
+    base = duplicates.image_hash(F.concat(F.lit("img"), (F.col("c_custkey") % 60).cast("string")))
+    return t("customer").select(F.col("c_custkey").alias("ordinal"), base.bitwiseXOR(bit).alias("image_hash"))
+
+
+@query(f"""WITH {GRAPH}, node_counts AS (SELECT graph_id, count(*) AS n_nodes, count(text) AS n_texts, count(url) AS n_urls FROM nodes GROUP BY graph_id), edge_counts AS (SELECT graph_id, count(*) AS n_edges, count(DISTINCT edge_type) AS n_kinds FROM edges GROUP BY graph_id)
+SELECT graph_id, n_nodes, n_texts, n_urls, coalesce(n_edges, 0) AS n_edges, coalesce(n_kinds, 0) AS n_kinds FROM node_counts LEFT JOIN edge_counts USING (graph_id)""")
+def s16_whole_graphs(t):
+    """Graphs written whole, in a folder for each split, and read back."""
+    nodes, edges = (cut(x) for x in built(t))
+    path = shared_path(nodes.sparkSession, "graphs")
+    until_the_end(nodes.sparkSession, path)
+    files.write_whole_graphs(nodes, edges, path)
+    n, e = files.read_whole_graphs(nodes.sparkSession, path, nodes, edges)
+    n = n.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.count("text").alias("n_texts"), F.count("url").alias("n_urls"))
+    e = e.groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.count_distinct("edge_type").alias("n_kinds"))
+    return n.join(e, "graph_id", "left").fillna(0, ["n_edges", "n_kinds"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import quality, retrieval, search
+from ..operators import quality, relational, retrieval, search
+from .lineage import cut
 from .registry import query
 from .social import TOPICS_SQL, findings, topics
 
@@ -113,6 +114,21 @@ def a11_u1_duplicate_pairs(t):
     return retrieval.duplicate_pairs(rows.unionByName(rows.filter("label = 1")))  # every positive once more
 
 
+@query(f"""WITH {TOPICS_SQL}, v AS (SELECT 'claim_id' AS key, claim_id AS x, ordinal FROM claims UNION ALL SELECT 'source_group', source_group, ordinal FROM claims UNION ALL SELECT 'claim_text', claim_text, ordinal FROM claims),
+n AS (SELECT key, x, bool_or(ordinal % 3 <> 0) AS old, bool_or(ordinal % 5 <> 0) AS new FROM v WHERE x IS NOT NULL GROUP BY key, x)
+SELECT key, count(*) FILTER (old) AS old_exact, count(*) FILTER (new) AS new_exact, true AS old_near, true AS new_near, true AS together_near, true AS added_near FROM n GROUP BY key""")
+def a7_r9_version_sketches(t):
+    """Distinct values of two versions of a set, from sketches kept in a table: within four standard errors of the exact counts, in union and difference too."""
+    rows = claims(t)
+    keys = ["claim_id", "source_group", "claim_text"]
+    old, new = rows.filter("ordinal % 3 <> 0"), rows.filter("ordinal % 5 <> 0")
+    kept = cut(relational.sketched(old, keys, "v1").unionByName(relational.sketched(new, keys, "v2")))
+    exact = [rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.bool_or(F.expr("ordinal % 3 <> 0")).alias("o"), F.bool_or(F.expr("ordinal % 5 <> 0")).alias("n")).agg(F.count_if("o").alias("old_exact"), F.count_if("n").alias("new_exact"), F.count_if(F.col("o") | F.col("n")).alias("all"), F.count_if(F.col("n") & ~F.col("o")).alias("more")).withColumn("key", F.lit(k)) for k in keys]
+    both = relational.compared_versions(kept, "v1", "v2").join(exact[0].unionByName(exact[1]).unionByName(exact[2]), "key")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 4 / 2**6 * F.col("all")
+    return both.select("key", "old_exact", "new_exact", near("old", "old_exact").alias("old_near"), near("new", "new_exact").alias("new_near"), near("together", "all").alias("together_near"), near("added", "more").alias("added_near"))
+
+
 DENSE = """nearest AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM q JOIN d ON q.id <> d.id),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nearest)"""
 

@@ -190,6 +190,32 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         once.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("split").json(f"{path}/{name}")
 
 
+def write_whole_graphs(nodes: DataFrame, edges: DataFrame, path: str, most: int = 10_000) -> None:
+    """Each graph as one JSON object with its nodes and edges, all fields in order, in a folder for each split.
+
+    A graph of over ``most`` nodes and edges (a post with a hot number of comments) is written in parts, so no group is without bound.
+    """
+    from ..operators.relational import heavy
+
+    frame = ["graph_id", "split", "cluster_id"]
+    node = F.struct("node_id", *(c for c in nodes.columns if c not in (*frame, "node_id")))
+    edge = F.struct("edge_id", *(c for c in edges.columns if c not in (*frame, "edge_id")))
+    rows = nodes.select(*frame, F.xxhash64("node_id").alias("h"), node.alias("node")).unionByName(edges.select(*frame, F.xxhash64("edge_id").alias("h"), edge.alias("edge")), allowMissingColumns=True)
+    many = heavy(rows.groupBy("graph_id").agg(F.count("*").alias("n")), "n", most).drop("n")
+    rows = rows.join(F.broadcast(many), "graph_id", "left").withColumn("part", F.pmod("h", F.coalesce("copies", F.lit(1).cast("long"))))
+    whole = rows.groupBy(*frame, "part").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    whole.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("split").json(path)
+
+
+def read_whole_graphs(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of graphs that ``write_whole_graphs`` wrote, with the columns of the given frames."""
+    frame = ["graph_id", "split", "cluster_id"]
+    kinds = lambda df: ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema if f.name not in frame)
+    rows = spark.read.schema(f"graph_id string, cluster_id string, part long, nodes array<struct<{kinds(nodes)}>>, edges array<struct<{kinds(edges)}>>, split string").json(path)
+    back = lambda name, df: rows.select(*frame, F.explode(name).alias("x")).select(*frame, "x.*").select(*df.columns)
+    return back("nodes", nodes), back("edges", edges)
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
     """The feature matrix as CSV with a header and as JSON lines in a folder for each split, and its schema as JSON."""
     matrix.write.mode("overwrite").option("header", True).partitionBy("split").csv(f"{path}/csv")

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import text_key
@@ -131,6 +132,44 @@ def late_rows(progress: list) -> int:
     return sum(int(s["numRowsDroppedByWatermark"]) for p in progress for s in (p if isinstance(p, dict) else p.jsonValue).get("stateOperators", []))
 
 
+class ProgressTable(StreamingQueryListener):
+    """Appends a row for each batch of each query to a table: rows read, rows dropped behind the watermark, and what ``watched`` observes.
+
+    ``spark.streams.addListener(ProgressTable(spark, path))``; the table (JSON lines) has ``query, batch, rows, late, watermark, observed``.
+    """
+
+    SCHEMA = "query string, batch long, rows long, late long, watermark string, observed map<string,string>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        p = event.progress
+        observed = {f"{name}.{k}": str(v) for name, row in p.observedMetrics.items() for k, v in row.asDict().items()}
+        row = (p.name or str(p.id), p.batchId, p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators), p.eventTime.get("watermark"), observed)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+
+
+def watched(events: DataFrame, name: str, time: str) -> DataFrame:
+    """``events``, observed: how many rows each batch has, and their first and last time."""
+    return events.observe(name, F.count(F.lit(1)).alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"))
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """Of each query: batches, rows and late rows, from the table of a ``ProgressTable``."""
+    rows = spark.read.schema(ProgressTable.SCHEMA).json(path)
+    return rows.groupBy("query").agg(F.count_distinct("batch").alias("batches"), F.sum("rows").alias("rows"), F.sum("late").alias("late"))
+
+
 def into_table(counts: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """All that is there now into an in-memory table, for tests and small reports."""
     return counts.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -50,3 +50,16 @@ def test_kinds_of_records(spark):
     rows = [{"risk_level": 1, "claim_text": "x"}, {"evidence_text": "e", "post_id": 1}, {"claim_text": "c"}, {"query_text": "q"}, {"post_id": "p"}, {"other": 1}]
     df = spark.createDataFrame([(json.dumps(r),) for r in rows], "payload string")
     assert [r.k for r in df.select(files.kind_of().alias("k")).collect()] == ["risk", "evidence", "claim", "query", "post", None]
+
+
+def test_whole_graphs_come_back_and_hot_ones_in_parts(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"g{i % 3}", f"n{i}", ["train", "test"][i % 3 == 2], None, i * 0.5, i % 2 == 0) for i in range(50)], "graph_id string, node_id string, split string, cluster_id string, score double, verified boolean")
+    edges = spark.createDataFrame([("g0", f"e{i}", "train", None, f"n{3 * i}") for i in range(9)], "graph_id string, edge_id string, split string, cluster_id string, target string")
+    for most, files_of in ((10_000, 3), (5, None)):
+        path = f"file://{tmp_path}/graphs{most}"
+        files.write_whole_graphs(nodes, edges, path, most)
+        n, e = files.read_whole_graphs(spark, path, nodes, edges)
+        assert sorted(map(tuple, n.collect()), key=str) == sorted(map(tuple, nodes.collect()), key=str)
+        assert sorted(map(tuple, e.collect()), key=str) == sorted(map(tuple, edges.collect()), key=str)
+        written = spark.read.json(path)
+        assert (written.count() == 3) == (files_of == 3) and written.filter("split = 'test'").select("graph_id").distinct().count() == 1

@@ -1,7 +1,11 @@
+import functools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as T
-from claimlake.operators import metrics, relational
+from claimlake.operators import duplicates, metrics, relational
 from claimlake.operators.components import connected_components
 
 
@@ -35,3 +39,39 @@ def test_metrics_known_answers(spark):
     r = metrics.ranking(df, "q", "k", "hit").first()
     assert r.queries == 3 and abs(r.mrr - 0.5) < 1e-12 and abs(r.recall_1 - 1 / 3) < 1e-12 and abs(r.recall_5 - 2 / 3) < 1e-12
     assert metrics.error_rate(spark.createDataFrame([("abc", "abd"), ("", "x")], "r string, h string"), "r", "h").first().cer == 2 / 3
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "stars", "mixed"])
+def test_components_of_hot_parents(spark, monkeypatch, shape):
+    """With a bound of a few rows, centres of stars are looked up by broadcasts; the classes are those of a plain search."""
+    monkeypatch.setattr(relational, "heavy", functools.partial(_heavy_at, relational.heavy))
+    rnd = random.Random(1)
+    edges = {"star": [(1, i) for i in range(2, 60)], "chain": [(i, i + 1) for i in range(60)], "stars": [(c * 100, c * 100 + i) for c in range(5) for i in range(1, 20)] + [(c * 100 + 3, c * 100 + 103) for c in range(4)], "mixed": [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(5, None), (7, 7)]}[shape]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for x in list(root)}
+
+
+def _heavy_at(heavy, counts, n, least):
+    return heavy(counts, n, 3)
+
+
+def test_image_classes_of_common_pictures(spark):
+    rows = [(i, 5) for i in range(40)] + [(100 + i, 5 ^ (1 << i)) for i in range(6)] + [(200, 5 ^ 0b111111), (300, -1), (301, -1), (400, None)]
+    got = {r.ordinal: (r["class"], r.links) for r in duplicates.image_classes(spark.createDataFrame(rows, "ordinal long, image_hash long"), 5).collect()}
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 5
+    known = [(o, h) for o, h in rows if h is not None]
+    for o, h in known:
+        links = sum(near(h, g) for p, g in known if p != o)
+        assert got[o] == (300 if h == -1 else 0, links)
+    assert duplicates.image_pairs(spark.createDataFrame(rows, "ordinal long, image_hash long")).filter("a = 0").count() == 6
