@@ -17,20 +17,26 @@ def image_hash(path: Column | str) -> Column:
 
 
 def near_pairs(posts: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``a, b, score`` (a before b) of texts whose character 3-gram sets have at least this Jaccard similarity.
+    """``a, b, score`` (a before b) of texts whose character 3-gram sets have at least this Jaccard similarity; ``posts`` has ``ordinal, text``.
 
-    Prefix filter: ordered by rarity, two sets that are similar enough share one of the first
-    |x| - ceil(t |x|) + 1 members of each, so only these are joined; sizes are compared before the sets are.
-    ``posts`` has ``ordinal, text``.
+    Grams are named by 64 bits and ordered by rarity.  Two sets that are similar enough share one of the first |x| - ceil(t |x|) + 1 grams of
+    each (prefix), so only these are joined.  A shared gram at places i and j leaves at most min(i, j) grams before and the shorter rest after
+    it: pairs that cannot reach ceil(t / (1 + t) (|a| + |b|)) common grams go at once (position), and again by all that their prefixes
+    share and the rest after the last (suffix).  What is left carries no sets until then.
     """
     sets = cut(posts.select("ordinal", F.explode(F.array(char_shingles("text"))).alias("grams")).filter(F.size("grams") > 0))
-    grams = sets.select("ordinal", F.explode("grams").alias("gram"))
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(rarity, "gram").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
+    grams = sets.select("ordinal", F.explode("grams").alias("g")).select("ordinal", F.xxhash64("g").alias("gram"))
+    rarity = cut(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))  # a gram of one text joins nothing, and goes first
+    ranked = grams.join(rarity, "gram", "left").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))), lambda x: x["gram"]).alias("grams"))
     ranked = cut(ranked.withColumn("n", F.size("grams")))
-    prefix = ranked.select("ordinal", "n", F.explode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("gram"))
-    x, y = (prefix.select("gram", F.col("ordinal").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    pairs = x.join(y, "gram").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    prefix = ranked.select("ordinal", "n", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("at", "gram")).join(rarity.select("gram"), "gram", "left_semi")
+    prefix = cut(prefix)
+    x, y = (prefix.select("gram", F.col("ordinal").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
+    needed = F.ceil(F.round((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)), 9))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # the shared gram included
+    met = x.join(y, "gram").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.least("at_a", "at_b") + rest >= needed))
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    pairs = pairs.filter(F.col("shared") + rest - 1 >= needed).select("a", "b")
     x, y = (ranked.select(F.col("ordinal").alias(k), F.col("grams").alias(f"g_{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("g_a", "g_b")))
     score = F.col("common") / (F.size("g_a") + F.size("g_b") - F.col("common"))
