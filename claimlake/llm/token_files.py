@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_path
+from .shared import cut, shared_path, until_the_end
 from .words import U64, mix, text_blocks
 
 END_ID = 2
@@ -317,4 +317,5 @@ def read_token_files(files: DataFrame, folder: str, width: str = "<u2") -> DataF
 def digest(docs: DataFrame) -> DataFrame:
     """Contract columns of the query."""
     folder = shared_path(docs.sparkSession, "tokens")
+    until_the_end(docs.sparkSession, folder)
     return read_token_files(cut(write_token_files(docs, folder)), folder)

@@ -310,6 +310,35 @@ def test_token_files_round_trip(spark):
         token_files.unframe(bytes(bad))
 
 
+def encoded_plainly(rows):
+    """Contract rows of op7 from the library's own encoder, a text at a time; rows of one id in the order of their files' hashes."""
+    tokenizer = token_files.PieceEncoder(token_files.default_tokenizer()).tokenizer
+    at, out = 0, []
+    for i, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_token_files_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert sorted(map(tuple, token_files.digest(docs).collect())) == encoded_plainly(rows)
+
+
+def test_token_files_roll_over_and_keep_odd_rows(spark):
+    """Null ids first, rows of one id by the hash of their texts, a long text; a new file after every few hundred bytes."""
+    rows = [*ODD, (50, "long text with many words " * 30_000), *[(60 + i, f"text {i}") for i in range(40)]]
+    df = frame(spark, rows)
+    order = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    folder = token_files.shared_path(spark, "tokens")
+    files = token_files.cut(token_files.write_token_files(df, folder, file_bytes=300))
+    assert files.count() >= 5
+    got = sorted(map(tuple, token_files.read_token_files(files, folder).collect()), key=lambda r: r[1])
+    assert got == encoded_plainly(order)
+
+
 def test_pseudonyms_keep_format_and_links():
     names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", backward=True)
     for text in ["call +1 (743) 555-3824", "card 4994226020900891.", "at 70.23.22.57", "on 1984-02-29", "to ing.19@mail5.example.com", "DE89 3704 0044 0532 0130 00", "ssn 123-45-6789"]:
