@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.llm import line_dedup, mixing, near_dedup, sampled_pieces, toxicity
-from claimlake.llm.shared import documents, shared_path, unused
+from claimlake.llm.shared import documents, shared_path, until_the_end, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet, which lasts as long as the application, and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = shared_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
+        until_the_end(spark, path)
         docs = spark.read.parquet(path)
     return docs
