@@ -216,17 +216,25 @@ def attribution(text: C) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+#: Payment handles, hosts of links and phone numbers, and the host that does not count.
+PAYMENT_HANDLE = r"(?i)([\w.\-]+@(?:okhdfcbank|okaxis|oksbi|paytm|ybl|upi|apl))"
+LINK_HOST = r"(?i)https?://(?:www\.)?([^\s/?]+)"
+INDIAN_PHONE = r"((?:\+91|0)?[6-9]\d{9})"
+NO_HOST = "example.com"
+
+
 def campaign_signals(text: C) -> Column:
     """Payment handles, link hosts and phone numbers, in this order."""
     t = col(text)
     pick = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    handles = F.transform(pick(r"(?i)([\w.\-]+@(?:okhdfcbank|okaxis|oksbi|paytm|ybl|upi|apl))", 1), lambda x: F.concat(F.lit("upi:"), F.lower(x)))
-    hosts = F.transform(F.filter(pick(r"(?i)https?://(?:www\.)?([^\s/?]+)", 1), lambda x: ~F.lower(x).contains("example.com")), lambda x: F.concat(F.lit("domain:"), F.lower(x)))
-    phones = F.transform(pick(r"((?:\+91|0)?[6-9]\d{9})", 1), lambda x: F.concat(F.lit("phone:"), x))
+    handles = F.transform(pick(PAYMENT_HANDLE, 1), lambda x: F.concat(F.lit("upi:"), F.lower(x)))
+    hosts = F.transform(F.filter(pick(LINK_HOST, 1), lambda x: ~F.lower(x).contains(NO_HOST)), lambda x: F.concat(F.lit("domain:"), F.lower(x)))
+    phones = F.transform(pick(INDIAN_PHONE, 1), lambda x: F.concat(F.lit("phone:"), x))
     return F.concat(handles, hosts, phones)
 
 
-#: Words with such parts are contact handles or hosts.
+#: Links that leave a query, and words with parts of contact handles or hosts.
+QUERY_LINK = r"https?://\S+"
 HANDLES = r"(?i)\+91|@okhdfc|@okaxis|@paytm|portal-|\.org|\.com|\.net|\.top"
 
 
@@ -235,7 +243,7 @@ def search_text(text: C) -> Column:
 
     Punctuation stays, as in what is rebuilt here.
     """
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"https?://\S+", ""), r"[\r\n\t]+", " "), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), QUERY_LINK, ""), r"[\r\n\t]+", " "), r"\s+", " "))
     words = F.split(clean, " ")
     short = F.array_join(F.slice(F.filter(words, lambda w: ~w.rlike(HANDLES)), 1, 10), " ")
     return F.when(F.size(words) <= 8, clean).otherwise(F.coalesce(F.nullif(short, F.lit("")), clean))
@@ -264,28 +272,46 @@ def url_error(url: C) -> Column:
     return F.when(u.isNull() | (u == ""), "Invalid URL.").when(~u.rlike("(?i)^https?:"), "URL must use HTTP/HTTPS.").when(~u.rlike("(?i)^https?://[^/?#]"), "URL must contain a valid domain.")
 
 
+#: The address of a Reddit post.
+REDDIT_POST = r"^(?i:https)://(?i:(?:www\.)?reddit\.com)(?::\d+)?/r/[^/?#]+/comments/[A-Za-z0-9]+(?:/[^/?#]*)?/?(?:[?#].*)?$"
+
+
 def is_reddit_post(url: C) -> Column:
-    return F.coalesce(col(url).rlike(r"^(?i:https)://(?i:(?:www\.)?reddit\.com)(?::\d+)?/r/[^/?#]+/comments/[A-Za-z0-9]+(?:/[^/?#]*)?/?(?:[?#].*)?$"), F.lit(False))
+    return F.coalesce(col(url).rlike(REDDIT_POST), F.lit(False))
+
+
+#: What the structural features count.
+COUNTED = {
+    "word_count": r"[^\s\p{Z}]+",
+    "upper": r"\p{Lu}",
+    "letter": r"\p{L}",
+    "digit": r"\p{Nd}",
+    "punctuation": r"[!?,.:;\"'()\[\]{}<>\-/\\_@#$%^&*~`]",
+    "phone_count": r"(?:\+91[\-\s]?)?[6789]\d{9}|\b\d{10}\b",
+    "email_count": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "currency_symbol_count": r"(?i)[₹$€£]|(?:\b(?:rs|inr|usd|eur)\.?\s*\d+)",
+}
 
 
 def text_features(text: C) -> list[Column]:
     """The twelve structural features of a text."""
     t = F.coalesce(col(text), F.lit(""))
     n = F.length(t)
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
+    count = lambda name: F.regexp_count(t, F.lit(COUNTED[name])).cast("long")
+    single = lambda c: (n - F.length(F.translate(t, c, ""))).cast("long")  # noqa: E731  one pass, without a pattern
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(0.0)
     sentences = F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " ")) != "")).cast("long")
     return [
         n.cast("long").alias("text_length"),
-        count(r"[^\s\p{Z}]+").alias("word_count"),
+        count("word_count").alias("word_count"),
         F.when(n == 0, F.lit(0).cast("long")).otherwise(F.greatest(sentences, F.lit(1).cast("long"))).alias("sentence_count"),
-        ratio(count(r"\p{Lu}"), count(r"\p{L}")).alias("uppercase_ratio"),
-        ratio(count(r"\p{Nd}"), n).alias("digit_ratio"),
-        ratio(count(r"[!?,.:;\"'()\[\]{}<>\-/\\_@#$%^&*~`]"), n).alias("punctuation_ratio"),
-        count(URL).alias("url_count_in_text"),
-        count(r"(?:\+91[\-\s]?)?[6789]\d{9}|\b\d{10}\b").alias("phone_count"),
-        count(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b").alias("email_count"),
-        count(r"(?i)[₹$€£]|(?:\b(?:rs|inr|usd|eur)\.?\s*\d+)").alias("currency_symbol_count"),
-        count("!").alias("exclamation_count"),
-        count(r"\?").alias("question_count"),
+        ratio(count("upper"), count("letter")).alias("uppercase_ratio"),
+        ratio(count("digit"), n).alias("digit_ratio"),
+        ratio(count("punctuation"), n).alias("punctuation_ratio"),
+        F.regexp_count(t, F.lit(URL)).cast("long").alias("url_count_in_text"),
+        count("phone_count").alias("phone_count"),
+        count("email_count").alias("email_count"),
+        count("currency_symbol_count").alias("currency_symbol_count"),
+        single("!").alias("exclamation_count"),
+        single("?").alias("question_count"),
     ]

@@ -96,6 +96,7 @@ def build(posts: DataFrame, claims: DataFrame, evidence: DataFrame, comments: Da
     evidence_text, relation, source_type, source_url``; ``comments`` ``comment_id, post_id, text, language``.
     """
     word = lambda prefix, c: F.concat(F.lit(prefix), c)
+    # All prefixes of ids of nodes and edges below.
     of_post = posts.select("*", word("graph_", F.col("post_id")).alias("graph_id"), cluster_id("campaign", "translation", "source_group", "post_id", "family").alias("cluster_id"))
     frame = of_post.select("post_id", "graph_id", "split", "cluster_id")
     of_claim = claims.join(frame, "post_id")

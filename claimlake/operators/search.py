@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, spread
 
 MOST_BROADCAST = 500_000  # words or pairs of word and query; tables with more go another way
 _PLACES = 6  # to which scores are rounded, so that sums in another order rank alike
@@ -31,7 +31,7 @@ def postings(docs: DataFrame, words: DataFrame | None) -> DataFrame:
     Each document also has one row with a null word, as its length counts.  Texts are split once, and a document's words are counted in
     its own task before they are exchanged.
     """
-    terms = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(_words(F.coalesce("text", F.lit(""))))).alias("w"))  # generated, so split once
+    terms = spread(docs.select("id", "text")).select(F.col("id").alias("doc_id"), F.explode(F.array(_words(F.coalesce("text", F.lit(""))))).alias("w"))  # generated, so split once
     rows = terms.select("doc_id", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("word"))
     if words is not None:
         few = F.broadcast(words.select(F.col("word").alias("asked")))  # checked by the caller

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import duplicates, features, graph, metrics, quality, recognition, relational, retrieval, search
 from ..operators.components import connected_components
+from .lineage import spread
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -297,7 +298,7 @@ s AS (SELECT a, b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*))
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b DESC) AS rank FROM s)
 SELECT a AS item_id, b AS doc_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def j7_r3_r5_o1_hard_negatives(t):
-    found = retrieval.most_alike(t("benchmark").select(F.col("item_id").alias("id"), "text"), t("documents").select(F.col("doc_id").alias("id"), "text"))
+    found = retrieval.most_alike(t("benchmark").select(F.col("item_id").alias("id"), "text"), spread(t("documents").select(F.col("doc_id").alias("id"), "text")))
     return found.select(F.col("query_id").alias("item_id"), F.col("text_id").alias("doc_id"), "similarity", "rank")
 
 
@@ -353,7 +354,7 @@ TEXT_FEATURES_SQL = r"""length(text) AS text_length, len(regexp_extract_all(text
 
 @query(f"SELECT doc_id, {TEXT_FEATURES_SQL} FROM documents")
 def x1_text_features(t):
-    return t("documents").select("doc_id", *T.text_features("text"))
+    return spread(t("documents").select("doc_id", "text")).select("doc_id", *T.text_features("text"))
 
 
 GUESS = "CASE WHEN n_chars > 3000 THEN 'HIGH' WHEN n_chars > 800 THEN 'LOW' ELSE 'MEDIUM' END"

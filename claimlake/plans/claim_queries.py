@@ -11,6 +11,8 @@ from .lineage import spread
 from .registry import query
 from .social import POSTS_SQL, posts
 
+#: The patterns of this file's SQL (where texts fall apart, types, quantities, frames, times, promises, kinds of queries) are
+#: those of ``operators.claims`` and ``functions.text``, written out again so that the SQL stands on its own.
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 def claims_sql(posts_sql: str) -> str:

@@ -81,3 +81,17 @@ def s8_s9_numbered_records(t):
     good = read.filter("error is null").select("record.conv_id", "record.turn", F.lit(0).cast("long").alias("errors"))
     named = F.col("error").contains(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of ")))
     return good.unionByName(read.agg(F.lit(-1).cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.count_if(named).alias("errors")))
+
+
+LINKS = ["'https://www.Reddit.com/r/a/comments/b1/title?x=1'", "'https://youtu.be/v'", "'http://instagram.com/p'", "'https://m.facebook.com:8080/p'", "'https://twitter.com/a'", "'https://www.linkedin.com/in/x'", "'https://TikTok.com/@a'", "'mailto:x@y.z'", "''", "CAST(NULL AS STRING)", "'https:///nohost'", "'ftp://reddit.com/r/a/comments/b1'", "'https://reddit.com/r/a/'", "'HTTPS://Shop.example.org/a?b#c'"]
+_N = len(LINKS)
+LINK = f"CASE {K} % {_N} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(LINKS)) + " END"
+
+
+@query(f"""SELECT {K} AS id, ['reddit', 'youtube', 'instagram', 'facebook', 'x', 'linkedin', 'tiktok', 'unknown', 'unknown', NULL, 'unknown', 'reddit', 'reddit', 'unknown'][{K} % {_N} + 1] AS platform,
+ {K} % {_N} = 0 AS reddit_post, [NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'URL must use HTTP/HTTPS.', 'Invalid URL.', 'Invalid URL.', 'URL must contain a valid domain.', 'URL must use HTTP/HTTPS.', NULL, NULL][{K} % {_N} + 1] AS error,
+ ['www.reddit.com', 'youtu.be', 'instagram.com', 'm.facebook.com:8080', 'twitter.com', 'www.linkedin.com', 'tiktok.com', 'unknown_domain', 'unknown_domain', 'unknown_domain', 'unknown_domain', 'reddit.com', 'reddit.com', 'shop.example.org'][{K} % {_N} + 1] AS host FROM orders""")
+def s13_p13_p14_g8_links(t):
+    """Links of every platform and of none, with every fault."""
+    rows = t("orders").selectExpr(f"{K} AS id", f"{LINK} AS url")
+    return rows.select("id", F.when(F.col("url").isNotNull(), T.platform("url")).alias("platform"), T.is_reddit_post("url").alias("reddit_post"), T.url_error("url").alias("error"), T.url_host("url").alias("host"))
