@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -60,3 +61,38 @@ def personal_values(text):
         if re.fullmatch(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", w) and any(c.isalnum() for c in w.split("@")[0]):
             out.add(w)
     return out
+
+
+def noisy_or(text, bags, model):
+    """One minus the product over a text's sentences of one minus their logistic scores; ``bags`` tells the terms of each sentence."""
+    table, b = dict(zip(model.features.tolist(), model.weights.tolist())), bags([(text or "").encode()])
+    held = [set() for _ in range(len(b.doc))]
+    for row in b.features:
+        for s, f in zip(b.sentence.tolist(), row.tolist()):
+            held[s].add(f)
+    miss = 1.0
+    for terms in held:
+        miss *= 1 - 1 / (1 + math.exp(-(model.bias + sum(table.get(f, 0.0) for f in terms))))
+    return 1 - miss
+
+
+def mixing(rows, weights=(1, 2, 3), most=3):
+    """Copies of each (id, text, source): shares are poured out again until no source is above its cap."""
+    size = lambda t: len(WORD.findall(t or ""))
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(size(t) for _, t, o in rows if o == s) for s in order}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, open_ = {}, float(sum(total.values())), set(order)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * share > most * total[s]}
+        for s in full or open_:
+            target[s] = float(most * total[s]) if full else weight[s] * share
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    out = []
+    for i, t, s in rows:
+        rate = target[s] / total[s] if total[s] else 0.0
+        draw = int(hashlib.sha256(f"mix:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
+        out.append((i, size(t), int(rate) + (draw < rate - int(rate))))
+    return target, out

@@ -154,17 +154,19 @@ def test_toxicity_scores_match_a_plain_noisy_or(spark):
     text = "fine words here. an idiot and a clown! more words? " * 3
     rows = [(1, text), (1, text), (2, "plain words. " * 20_000), (3, None), *[(10 + r.doc_id, r.text) for r in docs.limit(40).collect()]]
     out = toxicity.scored(frame(spark, rows), model, ["doc_id", "id", "score"], sentences=True).collect()
-    table = dict(zip(model.features.tolist(), model.weights.tolist()))
     for r, (i, t) in zip(sorted(out, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0])):
-        b = toxicity.bags([(t or "").encode()])
-        held = [set() for _ in range(len(b.doc))]
-        for row in b.features:
-            for s, f in zip(b.sentence.tolist(), row.tolist()):
-                held[s].add(f)
-        miss = 1.0
-        for terms in held:
-            miss *= 1 - 1 / (1 + np.exp(-(model.bias + sum(float(np.float32(table.get(f, 0.0))) for f in terms))))
-        assert r.doc_id == i and r.id == 7 and abs(r.score - (1 - miss)) < 1e-4
+        assert r.doc_id == i and r.id == 7 and abs(r.score - brute.noisy_or(t, toxicity.bags, model)) < 1e-4
+
+
+def test_mixing_matches_a_plain_version(spark):
+    """Sources that reach three times their size, a null one, one without words; repeated rows, a very long text."""
+    rows = [(i, "w " * (1 + i % 9), ["a", "b", "c", "d", None][min(i % 11, 4)]) for i in range(600)]
+    rows += rows[:9] + [(900, None, "e"), (901, "", "e"), (902, "x" * 400_000, "f"), (903, "long " * 90_000, "g"), (None, "p q", "a")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, mix_copies int")
+    target, want = brute.mixing(rows)
+    got = mixing.digest(df).collect()
+    assert sorted(((r.doc_id, r.size, r.taken) for r in got), key=str) == sorted(((i, n, n * k) for i, n, k in want), key=str)
+    assert all(abs(r.target - target[s]) <= 1e-9 * max(1.0, target[s]) for r in got for s in [next(o for i, _, o in rows if i == r.doc_id)])
 
 
 def test_mixing_targets_and_copies(spark):

@@ -1,7 +1,6 @@
 import corpus_pipeline
-from pyspark.sql import functions as F
 
-from claimlake.llm import line_dedup, mixing, toxicity
+from claimlake.llm import line_dedup, toxicity
 
 from . import brute
 
@@ -20,11 +19,15 @@ def test_pipeline_matches_plain_versions(spark):
     toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()}
     gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()}
     assert gone and len(gone & toxic) >= 0.5 * len(gone)
+    model = toxicity.train(before, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {r.doc_id: brute.noisy_or(r.text, toxicity.bags, model) for r in before.collect()}
+    assert all((scores[i] >= 0.5) == (i in gone) for i in scores if abs(scores[i] - 0.5) > 1e-4)
     before, after = seen["near dedup"]
     want = {r[0] for r in brute.near_dedup([(r.doc_id, r.text) for r in before.collect()], 5, 80) if r[3]}
     assert sorted(r.doc_id for r in after.collect()) == sorted(want)
     before, after = seen["mixing"]
-    assert after.count() == mixing.with_copies(before).agg(F.sum("mix_copies")).first()[0]
+    _, copies = brute.mixing([(r.doc_id, r.text, r.source) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, _, n in copies for _ in range(n))
     before, after = seen["piece sampling"]
     assert after.count() == before.count() and after.filter("not lossless").count() == 0
 
