@@ -22,19 +22,22 @@ def near_pairs(posts: DataFrame, threshold: float = 0.85) -> DataFrame:
     Grams are named by 64 bits and ordered by rarity.  Two sets that are similar enough share one of the first |x| - ceil(t |x|) + 1 grams of
     each (prefix), so only these are joined.  A shared gram at places i and j leaves at most min(i, j) grams before and the shorter rest after
     it: pairs that cannot reach ceil(t / (1 + t) (|a| + |b|)) common grams go at once (position), and again by all that their prefixes
-    share and the rest after the last (suffix).  What is left carries no sets until then.
+    share and the rest after the last (suffix).  What is left carries no sets until then.  Where ``posts`` has a column ``fresh``, only
+    pairs with a fresh text are met.
     """
-    sets = cut(posts.select("ordinal", F.explode(F.array(char_shingles("text"))).alias("grams")).filter(F.size("grams") > 0))
+    fresh = F.col("fresh") if "fresh" in posts.columns else F.lit(True)
+    sets = cut(posts.select("ordinal", fresh.alias("fresh"), F.explode(F.array(char_shingles("text"))).alias("grams")).filter(F.size("grams") > 0))
     grams = sets.select("ordinal", F.explode("grams").alias("g")).select("ordinal", F.xxhash64("g").alias("gram"))
     rarity = cut(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))  # a gram of one text joins nothing, and goes first
     ranked = grams.join(rarity, "gram", "left").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))), lambda x: x["gram"]).alias("grams"))
-    ranked = cut(ranked.withColumn("n", F.size("grams")))
-    prefix = ranked.select("ordinal", "n", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("at", "gram")).join(rarity.select("gram"), "gram", "left_semi")
+    ranked = cut(ranked.withColumn("n", F.size("grams")).join(sets.select("ordinal", "fresh"), "ordinal"))
+    prefix = ranked.select("ordinal", "fresh", "n", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("at", "gram")).join(rarity.select("gram"), "gram", "left_semi")
     prefix = cut(prefix)
-    x, y = (prefix.select("gram", F.col("ordinal").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
+    x, y = (prefix.select("gram", F.col("ordinal").alias(k), F.col("fresh").alias(f"fresh_{k}"), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
     needed = F.ceil(F.round((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)), 9))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # the shared gram included
-    met = x.join(y, "gram").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.least("at_a", "at_b") + rest >= needed))
+    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.least("at_a", "at_b") + rest >= needed)
+    met = x.filter("fresh_a").join(y, "gram").unionByName(x.filter("not fresh_a").join(y.filter("fresh_b"), "gram")).filter(fits) if "fresh" in posts.columns else x.join(y, "gram").filter(fits)
     pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     pairs = pairs.filter(F.col("shared") + rest - 1 >= needed).select("a", "b")
     x, y = (ranked.select(F.col("ordinal").alias(k), F.col("grams").alias(f"g_{k}")) for k in "ab")
@@ -98,12 +101,14 @@ def canonicalise(posts: DataFrame, threshold: float = 0.85, most: int = 5) -> Da
 
     Rows with one text and one image are one from the start, as only the first of them can be canonical.  Texts and images are
     compared once each, and what is known of their rows passes between them as minima, so no pairs of rows are made: a group
-    of copies or a common image is a single value.  ``posts`` has ``ordinal, text, image_hash``; null texts are empty.
+    of copies or a common image is a single value.  ``posts`` has ``ordinal, text, image_hash``; null texts are empty.  A column ``fresh``
+    tells rows that are known to be canonical, all before the others, from those that are not yet met; known texts are not compared again.
     """
-    rows = cut(posts.select("ordinal", F.coalesce("text", F.lit("")).alias("text"), text_key(F.coalesce("text", F.lit(""))).alias("key"), "image_hash"))
-    texts = rows.groupBy("key").agg(F.min("ordinal").alias("id"), F.min_by("text", "ordinal").alias("text"))
+    has = "fresh" in posts.columns
+    rows = cut(posts.select("ordinal", F.coalesce("text", F.lit("")).alias("text"), text_key(F.coalesce("text", F.lit(""))).alias("key"), "image_hash", *(["fresh"] if has else [])))
+    texts = rows.groupBy("key").agg(F.min("ordinal").alias("id"), F.min_by("text", "ordinal").alias("text"), *([F.bool_and("fresh").alias("fresh")] if has else []))
     keyed = cut(rows.select("ordinal", "key", "image_hash").join(texts.select("key", "id"), "key").drop("key"))
-    pairs = cut(near_pairs(texts.select(F.col("id").alias("ordinal"), "text"), threshold).select("a", "b", F.round("score", 4).alias("score")))
+    pairs = cut(near_pairs(texts.select(F.col("id").alias("ordinal"), "text", *(["fresh"] if has else [])), threshold).select("a", "b", F.round("score", 4).alias("score")))
     near_texts = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
     hashes = cut(near_hashes(keyed, most))
     same = keyed.filter("image_hash is not null").select("image_hash", F.col("image_hash").alias("other"), F.lit(0).alias("distance")).distinct()

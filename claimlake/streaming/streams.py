@@ -109,20 +109,23 @@ def annotation_states(events: DataFrame, task: str, patience: int | None = None)
 
 
 def merge_canonical(posts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Near dedup against what came before: each batch of ``ordinal, text, image_hash`` is canonicalised together with the canonical posts in
-    ``table`` (Parquet, a folder for each batch), and what is new and canonical is added.  A batch that is run again replaces its folder.
+    """Near dedup against what came before: each batch of ``ordinal, text, image_hash`` meets the canonical posts in ``table`` (Parquet, a folder
+    for each batch), and what is new and canonical is added.  What is in the table came first, whatever its ordinals, and is not compared
+    with itself again, so a batch costs its own texts against all.  A batch that is run again replaces its folder.
     """
     from ..operators.duplicates import canonicalise
 
+    before = 1 << 62  # known posts are put before all ordinals of a batch
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("ordinal", "text", "image_hash")
+        rows = batch.select("ordinal", "text", "image_hash", F.lit(True).alias("fresh"))
         try:
-            known = spark.read.parquet(table).filter(F.col("batch") < number).select("ordinal", "text", "image_hash")
+            known = spark.read.parquet(table).filter(F.col("batch") < number).select((F.col("ordinal") - before).alias("ordinal"), "text", "image_hash", F.lit(False).alias("fresh"))
         except AnalysisException:  # the first batch
             known = rows.limit(0)
         verdicts = canonicalise(known.unionByName(rows)).filter("duplicate_of is null").select("ordinal")
-        rows.join(verdicts, "ordinal", "left_semi").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rows.drop("fresh").join(verdicts, "ordinal", "left_semi").write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -102,11 +102,12 @@ def test_merge_canonical_by_batches(spark, tmp_path):
     base = "the quick brown fox jumps over the lazy dog near the river bank today"
     first = spark.createDataFrame([(1, base, None), (2, base + "!", None), (3, "other words entirely", None)], "ordinal long, text string, image_hash long")
     second = spark.createDataFrame([(4, base + "!!", None), (5, "something new that is long enough", None)], "ordinal long, text string, image_hash long")
-    for k, part in enumerate((first, second)):
+    third = spark.createDataFrame([(0, base + "!!!", None), (-5, "something new that is long enough.", None), (9, "the last of all the texts here", None)], "ordinal long, text string, image_hash long")
+    for k, part in enumerate((first, second, third)):  # the third has smaller ordinals than the near copies that are known
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
         streams.merge_canonical(stream, str(tmp_path / "table"), str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.ordinal for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 3, 5]
+    assert sorted(r.ordinal for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 3, 5, 9]
 
 
 def test_late_rows_are_counted():
