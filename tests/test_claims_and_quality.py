@@ -86,3 +86,20 @@ def test_segmentation_takes_time_in_proportion(spark):
     assert fastest(8000) < 3 * fastest(4000)
     long = spark.createDataFrame([(1, text(3000))], "post_id long, text string")
     assert claims.extract(long, "post_id", "text").count() == 6000
+
+
+def test_words_end_at_other_letters_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from claimlake.plans import catalog
+
+    from .duck import assert_same
+
+    texts = ["Nuñez. Noñasció en sóar", "noñ", "sureño é5 x", "peopleñ 7", "hasé", "The Shop was here and isñ open", "no", "not", "é5", "ifé a, b", "", None]
+    spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, x or "") for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("k3_k4_k10_claims", "k2_quantities", "k1_k2_k5_document_claims"):
+        assert_same(catalog.QUERIES[name](spark, str(tmp_path)), catalog.ORACLES[name], con)
