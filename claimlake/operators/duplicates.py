@@ -59,13 +59,24 @@ def near_hashes(hashes: DataFrame, most: int = 5) -> DataFrame:
 def image_pairs(posts: DataFrame, most: int = 5) -> DataFrame:
     """``a, b, distance`` (a before b) of the first rows of different image hashes at most ``most`` bits apart.
 
-    Rows with equal hashes are one here, so a common picture makes no pairs; ``image_classes`` tells which rows belong together.
+    Rows with equal hashes are one here, so a common picture makes no pairs; ``image_copies`` tells which rows a first row stands for,
+    ``image_classes`` which rows belong together.
     """
     firsts = posts.filter("image_hash is not null").groupBy("image_hash").agg(F.min("ordinal").alias("first"))
     x, y = (firsts.select(F.col("image_hash").alias(c), F.col("first").alias(k)) for c, k in (("g", "p"), ("h", "q")))
     return near_hashes(posts, most).join(x, "g").join(y, "h").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
+def image_copies(posts: DataFrame) -> DataFrame:
+    """``a, b, distance`` of the first row of each image hash (a) and each other row that has it (b), at distance 0.
+
+    With ``image_pairs`` these tell all pairs of rows: those with one first row, and those whose first rows are a pair.
+    """
+    rows = cut(posts.filter("image_hash is not null").select(F.col("ordinal").alias("b"), "image_hash"))
+    firsts = cut(rows.groupBy("image_hash").agg(F.min("b").alias("a")))
+    return looked_up(rows, firsts, "image_hash").filter("a <> b").select("a", "b", F.lit(0).alias("distance"))
+
+
 def image_classes(posts: DataFrame, most: int = 5) -> DataFrame:
     """``ordinal, class, links`` of each row with an image hash: its class is named by the smallest ordinal that near hashes lead to.
 

@@ -1,4 +1,5 @@
 import functools
+import hashlib
 import random
 
 import pytest
@@ -75,3 +76,19 @@ def test_image_classes_of_common_pictures(spark):
         links = sum(near(h, g) for p, g in known if p != o)
         assert got[o] == (300 if h == -1 else 0, links)
     assert duplicates.image_pairs(spark.createDataFrame(rows, "ordinal long, image_hash long")).filter("a = 0").count() == 6
+
+
+def test_similar_images_tell_all_pairs_of_rows(spark, tmp_path):
+    from claimlake.plans import catalog
+
+    known = {i: int.from_bytes(hashlib.sha256(b"img%d" % (i % 60)).digest()[:8]) ^ (1 << i % 64) for i in range(1, 2001)}
+    spark.range(1, 2001).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = [(r.a, r.b, r.distance, r.similarity) for r in catalog.QUERIES["d4_j9_g15_similar_images"](spark, str(tmp_path)).collect()]
+    first = {i: i for i in known} | {b: a for a, b, d, _ in found if d == 0}
+    edges = {(a, b): d for a, b, d, _ in found if d}
+    assert len(found) == len({x[:2] for x in found}) and all(s == 1 - d / 64 for *_, d, s in found)
+    for i in known:
+        for j in range(1, i):
+            d = (known[i] ^ known[j]).bit_count()
+            p, q = sorted((first[i], first[j]))
+            assert (0 if p == q else edges.get((p, q))) == (d if d <= 5 else None)
