@@ -31,68 +31,97 @@ def pool(evidence: DataFrame, claims: DataFrame) -> DataFrame:
     return evidence.join(splits, "claim_id", "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_split")
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both.cast("double"), (F.size(a) + F.size(b) - both).cast("double")), F.lit(0.0))
+def _similarity(both: Column, n: Column, m: Column) -> Column:
+    """Jaccard similarity of two sets from their common words and their sizes; 0 of empty ones."""
+    return F.coalesce(F.try_divide(both.cast("double"), (n + m - both).cast("double")), F.lit(0.0))
 
 
 def _nearest(queries: DataFrame, texts: DataFrame, k: int, probe: int = 3) -> DataFrame:
     """``query_id, text_id, raw``: for each query all texts of its group that share a word and may be among its k most alike ones.
 
-    Words are taken by rarity.  The k-th best among the texts that hold one of the ``probe`` rarest gives a bound t; a set at least
-    that alike shares one of the n - ceil(t n) + 1 rarest of the query's n words, so only these are joined: common words
-    are left out wherever the bound allows.  Both tables have an id, ``group`` and ``words``.
+    Words are taken by rarity.  The k-th best among the texts that hold one of the ``probe`` rarest gives a bound t.  A set of m words at least
+    that alike to a query of n shares t / (1 + t) (n + m) words with it, so it holds one of the query's rarest, all but that many less one of
+    those that texts have, and only these are joined: common words are left out wherever the bound allows.  Both tables have an id,
+    ``group``, ``n`` (words of the set) and ``words``, of which those that the other table has none of may be missing.
     """
     inverted = texts.select("group", "text_id", F.explode("words").alias("word"))
-    rarity = inverted.groupBy("group", "word").agg(F.count("*").alias("df"))
-    ranked = queries.select("query_id", "group", F.size("words").alias("n"), F.explode("words").alias("word")).join(rarity, ["group", "word"])  # words that no text has are of no use
-    ranked = cut(ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))))
+    rarity = cut(inverted.groupBy("group", "word").agg(F.count("*").alias("df")))
+    least = texts.filter(F.size("words") > 0).groupBy("group").agg(F.min("n").alias("least"))
+    ranked = queries.select("query_id", "group", "n", F.explode("words").alias("word")).join(rarity, ["group", "word"]).join(least, "group")  # words that no text has are of no use
+    of_query = Window.partitionBy("query_id")
+    ranked = cut(ranked.withColumns({"place": F.row_number().over(of_query.orderBy("df", "word")), "held": F.count("*").over(of_query)}))
 
     def alike(words: DataFrame) -> DataFrame:
         pairs = words.join(inverted, ["group", "word"]).select("query_id", "text_id").distinct()
-        q, t = queries.select("query_id", F.col("words").alias("q")), texts.select("text_id", F.col("words").alias("t"))
-        return pairs.join(q, "query_id").join(t, "text_id").select("query_id", "text_id", _similarity(F.col("q"), F.col("t")).alias("raw"))
+        q, t = queries.select("query_id", F.col("words").alias("q"), F.col("n").alias("n_q")), texts.select("text_id", F.col("words").alias("t"), F.col("n").alias("n_t"))
+        both = F.size(F.array_intersect("q", "t"))
+        return pairs.join(q, "query_id").join(t, "text_id").select("query_id", "text_id", _similarity(both, F.col("n_q"), F.col("n_t")).alias("raw"))
 
     near = cut(alike(ranked.filter(F.col("place") <= probe)))
-    best = near.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw")))).filter(F.col("at") == k).select("query_id", (F.col("raw") - 1e-4).alias("bound"))  # similarities are compared rounded
-    longer = ranked.join(best, "query_id", "left").filter(F.col("place") <= F.col("n") - F.ceil(F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)) * F.col("n")) + 1)
+    best = near.withColumn("at", F.row_number().over(of_query.orderBy(F.desc("raw")))).filter(F.col("at") == k).select("query_id", F.greatest(F.col("raw") - 1e-4, F.lit(0.0)).alias("bound"))  # similarities are compared rounded
+    bound = F.coalesce("bound", F.lit(0.0))
+    shared = F.greatest(F.ceil(bound / (1 + bound) * (F.col("n") + F.col("least")) - 1e-9), F.lit(1))
+    longer = ranked.join(best, "query_id", "left").filter(F.col("place") <= F.col("held") - shared + 1)
     return alike(longer.select("query_id", "group", "word"))
 
 
 def most_alike(queries: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
     """``query_id, text_id, similarity, rank``: the k texts most alike by words, of equals the larger id; both tables have ``id, text``."""
-    q = cut(queries.select(F.col("id").alias("query_id"), F.lit(0).alias("group"), word_set("text").alias("words")))
-    t = cut(texts.select(F.col("id").alias("text_id"), F.lit(0).alias("group"), word_set("text").alias("words")))
+    q = cut(queries.select(F.col("id").alias("query_id"), F.lit(0).alias("group"), word_set("text").alias("words")).withColumn("n", F.size("words")))
+    t = cut(texts.select(F.col("id").alias("text_id"), F.lit(0).alias("group"), word_set("text").alias("words")).withColumn("n", F.size("words")))
     found = _nearest(q, t, k).withColumn("similarity", F.round("raw", 4))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("text_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("raw")
 
 
+def _classed(rows: DataFrame, key: str, shared: DataFrame) -> DataFrame:
+    """``rows`` (``key, group, words``) with ``n``, their number of words, ``words``, those of ``shared`` only, and ``class``, one for equals in group, n and words."""
+    kept = rows.select(key, "group", F.explode("words").alias("word")).join(shared, ["group", "word"]).groupBy(key).agg(F.array_sort(F.collect_list("word")).alias("kept"))
+    out = rows.join(kept, key, "left").withColumns({"n": F.size("words"), "words": F.coalesce("kept", F.array().cast("array<string>"))}).drop("kept")
+    return cut(out.withColumn("class", F.xxhash64("group", "n", F.to_json("words"))))
+
+
 def hard_negatives(queries: DataFrame, evidence: DataFrame, k: int = 3) -> DataFrame:
     """``claim_id, evidence_id, relation, negative_type, similarity, rank``: the k best negatives of each claim in its split.
 
     Negatives neither support nor contradict; they are ranked by word similarity to the query, then by kind, then by id (all
     descending), one for each text.  ``queries`` has ``claim_id, split, query_text``, ``evidence`` is a ``pool``.
     Equal texts of a split are one from the start; where under k share a word, the best of the split fill up.
+
+    Only words that queries and texts of a split share count, besides the number of all: texts with the same ones and as many words are equally alike to every
+    query, so only the k best of such a class can be found, and queries of a class find the same texts.  So classes are compared, and
+    each query's own evidence, which ranks higher for it alone, is put beside what its class found.
     """
     rows = evidence.filter(~F.coalesce(F.col("relation").isin(POSITIVE), F.lit(False))).select("evidence_id", F.col("claim_id").alias("own_claim"), "relation", "split", F.coalesce("evidence_text", F.lit("")).alias("evidence_text"))
     kind = F.when(F.col("relation") == "NEUTRAL", "HARD_TOPIC_NEGATIVE").otherwise("CROSS_ENTITY_NEGATIVE")
     priority = F.element_at(F.create_map(*[F.lit(x) for pair in PRIORITIES.items() for x in pair]), F.col("negative_type"))
-    rows = rows.withColumn("negative_type", kind).withColumn("priority", priority)
+    rows = cut(rows.withColumn("negative_type", kind).withColumn("priority", priority))
     best = F.max(F.struct("priority", "evidence_id", "relation", "negative_type"))
     texts = rows.groupBy("split", "evidence_text").agg(best.alias("x")).select(F.xxhash64("split", "evidence_text").alias("text_id"), F.col("split").alias("group"), "evidence_text", "x.*")
     texts = cut(texts.withColumn("words", word_set("evidence_text")))
     asked = cut(queries.select(F.col("claim_id").alias("query_id"), F.col("split").alias("group"), word_set("query_text").alias("words")))
-    shared = _nearest(asked, texts, k).join(texts.select("text_id", "evidence_text", "priority", "evidence_id", "relation", "negative_type"), "text_id").drop("text_id")
-    head = texts.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("priority"), F.desc("evidence_id")))).filter(F.col("at") <= 2 * k).drop("at")  # 2 k rows of each split
-    fill = asked.withColumnRenamed("words", "q").join(F.broadcast(head), "group").withColumn("raw", _similarity(F.col("q"), F.col("words")))
-    own = rows.withColumn("negative_type", F.lit("HARD_ENTITY_NEGATIVE")).withColumn("priority", priority)
-    own = asked.withColumnRenamed("words", "q").join(own, (F.col("query_id") == F.col("own_claim")) & (F.col("group") == F.col("split"))).withColumn("raw", _similarity(F.col("q"), word_set("evidence_text")))
-    columns = ["query_id", "evidence_text", "raw", "priority", "evidence_id", "relation", "negative_type"]
-    found = shared.select(columns).unionByName(fill.select(columns)).unionByName(own.select(columns)).withColumn("similarity", F.round("raw", 4))
-    order = [F.desc("similarity"), F.desc("priority"), F.desc("evidence_id")]
+    of = lambda df: df.select("group", F.explode("words").alias("word")).distinct()
+    shared = cut(of(asked).join(of(texts), ["group", "word"]))
+    texts, asked = _classed(texts, "text_id", shared), _classed(asked, "query_id", shared)
+    rank = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    order = [F.desc("priority"), F.desc("evidence_id")]
+    found_by_text = ["evidence_text", "priority", "evidence_id", "relation", "negative_type"]
+    first = texts.withColumn("at", rank("class", *order)).filter(F.col("at") <= k).select("class", *found_by_text)
+    kinds = cut(asked.select(F.col("class").alias("query_id"), "group", "words", "n").dropDuplicates(["query_id"]))
+    of_texts = cut(texts.select(F.col("class").alias("text_id"), "group", "words", "n").dropDuplicates(["text_id"]))
+    near = _nearest(kinds, of_texts, k).join(first.withColumnRenamed("class", "text_id"), "text_id").drop("text_id")
+    head = texts.withColumn("at", rank("group", *order)).filter(F.col("at") <= 2 * k).select("group", F.col("words").alias("w"), F.col("n").alias("m"), *found_by_text)  # 2 k rows of each split
+    fill = kinds.join(F.broadcast(head), "group").withColumn("raw", _similarity(F.size(F.array_intersect("words", "w")), F.col("n"), F.col("m")))
+    order = [F.desc("similarity"), *order]
+    columns = ["query_id", "similarity", *found_by_text]
+    of_class = near.withColumn("similarity", F.round("raw", 4)).select(columns).unionByName(fill.withColumn("similarity", F.round("raw", 4)).select(columns)).distinct()
+    of_class = cut(of_class.withColumn("at", rank("query_id", *order)).filter(F.col("at") <= k).drop("at").withColumnRenamed("query_id", "class"))
+    own = rows.withColumn("negative_type", F.lit("HARD_ENTITY_NEGATIVE")).withColumn("priority", priority).withColumn("w", word_set("evidence_text"))
+    own = queries.select(F.col("claim_id").alias("query_id"), F.col("split").alias("group"), word_set("query_text").alias("q")).join(own, (F.col("query_id") == F.col("own_claim")) & (F.col("group") == F.col("split")))
+    own = own.withColumn("similarity", F.round(_similarity(F.size(F.array_intersect("q", "w")), F.size("q"), F.size("w")), 4))
+    found = asked.select("query_id", "class").join(of_class, "class").select(columns).unionByName(own.select(columns))
     once = keep_first(found, ["query_id", "evidence_text"], order)
-    once = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+    once = once.withColumn("rank", rank("query_id", *order)).filter(F.col("rank") <= k)
     return once.select(F.col("query_id").alias("claim_id"), "evidence_id", "evidence_text", "relation", "negative_type", "similarity", "rank")
 
 
