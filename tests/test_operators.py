@@ -92,3 +92,13 @@ def test_similar_images_tell_all_pairs_of_rows(spark, tmp_path):
             d = (known[i] ^ known[j]).bit_count()
             p, q = sorted((first[i], first[j]))
             assert (0 if p == q else edges.get((p, q))) == (d if d <= 5 else None)
+
+
+def test_a_graph_reads_evidence_once_for_nodes_and_once_for_edges(spark):
+    from claimlake.operators import graph
+
+    text = lambda names, **more: spark.createDataFrame([], ", ".join([f"{n} string" for n in names.split()] + [f"{n} {t}" for n, t in more.items()]))
+    posts = text("post_id text language platform username image image_hash phash split campaign translation source_group family", verified="boolean")
+    claims, evidence = text("claim_id post_id claim_text claim_type language", check_worthiness="double"), text("evidence_id claim_id evidence_text relation source_type source_url")
+    for found in graph.build(posts, claims, evidence, text("comment_id post_id text language")):
+        assert found._jdf.queryExecution().analyzed().collectLeaves().size() == 8  # of posts 4 times, claims 2, evidence 1, comments 1
