@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_shingles, text_key
-from ..plans.lineage import cut
+from ..functions.text import collapse, text_key
+from ..plans.lineage import cut, spread
 from .components import connected_components
 from .relational import looked_up
 
@@ -16,34 +22,108 @@ def image_hash(path: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(path, 256), 1, 16), 16, -10).cast("bigint")
 
 
-def near_pairs(posts: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``a, b, score`` (a before b) of texts whose character 3-gram sets have at least this Jaccard similarity; ``posts`` has ``ordinal, text``.
-
-    Grams are named by 64 bits and ordered by rarity.  Two sets that are similar enough share one of the first |x| - ceil(t |x|) + 1 grams of
-    each (prefix), so only these are joined.  A shared gram at places i and j leaves at most min(i, j) grams before and the shorter rest after
-    it: pairs that cannot reach ceil(t / (1 + t) (|a| + |b|)) common grams go at once (position), and again by all that their prefixes
-    share and the rest after the last (suffix).  What is left carries no sets until then.  Where ``posts`` has a column ``fresh``, only
-    pairs with a fresh text are met.
+def _gram_sets(batches: Iterator[pa.RecordBatch], n: int = 3) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct character n-grams as sorted numbers, 21 bits for a character; a shorter text is its own only member."""
+    for batch in batches:
+        sizes, sets = [], []
+        for text in batch.column("text").to_pylist():
+            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            c = c if len(c) >= n else np.concatenate([c, np.full(n - len(c), (1 << 21) - 1)])  # no character has this number
+            grams = np.unique(sum(c[k : len(c) - n + 1 + k] << 21 * k for k in range(n)))
+            sizes.append(len(grams))
+            sets.append(grams.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("ordinal"), batch.column("fresh"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["ordinal", "fresh", "n", "grams"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sets of one part in blocks of about ``most`` grams, with the part's number and what its sizes span."""
+    part = TaskContext.get().partitionId()
+
+    def block(rows: list[tuple[int, bool, int, bytes]]) -> pa.RecordBatch:
+        ordinals, fresh, sizes, grams = zip(*rows, strict=True)
+        values = [[part], [any(fresh)], [min(sizes)], [max(sizes)], [np.array(ordinals, np.int64).tobytes()], [np.array(sizes, np.int64).tobytes()], [b"".join(grams)]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "fresh", "low", "high", "ordinals", "sizes", "grams"])
+
+    rows, held = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("ordinal", "fresh", "n", "grams")), strict=True):
+            if rows and (held + row[2] > most or len(rows) == 1024 or row[1] != rows[0][1]):
+                yield block(rows)
+                rows, held = [], 0
+            rows.append(row)
+            held += row[2]
+    if rows:
+        yield block(rows)
+
+
+def _common(x: tuple, y: tuple, width: int = 8192) -> np.ndarray:
+    """How many grams each set of one block shares with each of another: products over the grams that both blocks hold, ``width`` at a time."""
+    both, at_x, at_y = np.intersect1d(x[2], y[2], assume_unique=True, return_indices=True)
+    out = np.zeros((len(x[0]), len(y[0])))
+    sides = []
+    for (ordinals, sizes, known, place, _), at in ((x, at_x), (y, at_y)):
+        column = np.full(len(known), -1)
+        column[at] = np.arange(len(both))
+        row, col = np.repeat(np.arange(len(ordinals)), sizes), column[place]
+        order = np.argsort(col, kind="stable")
+        sides.append((len(ordinals), row[order], col[order]))
+    for first in range(0, len(both), width):
+        dense = []
+        for rows, row, col in sides:
+            a, b = np.searchsorted(col, (first, first + width))
+            part = np.zeros((rows, min(width, len(both) - first)), np.float32)
+            part[row[a:b], col[a:b] - first] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T  # counts of at most ``width``, so exact
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Blocks of one part come first, then the other's; those of a part that meets itself come once and meet what came before."""
+    held = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            turn, fresh, ordinals, sizes, grams = (batch.column(c)[i].as_py() for c in ("turn", "fresh", "ordinals", "sizes", "grams"))
+            known, place = np.unique(np.frombuffer(grams, np.int64), return_inverse=True)
+            new = (np.frombuffer(ordinals, np.int64), np.frombuffer(sizes, np.int64), known, place, fresh)
+            if turn != 1:
+                held.append(new)
+            for old in held if turn else ():
+                (p, n, *_), (q, m, *_) = old, new
+                if not (fresh or old[4]) or min(n.max(), m.max()) < threshold * max(n.min(), m.min()):
+                    continue
+                common = _common(old, new)
+                score = common / (n[:, None] + m[None, :] - common)
+                x, y = np.nonzero((score >= threshold) & ((p[:, None] < q[None, :]) if old is new else True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[x], q[y])), pa.array(np.maximum(p[x], q[y])), pa.array(score[x, y])], names=["a", "b", "score"])
+
+
+def near_pairs(posts: DataFrame, threshold: float = 0.85, part_rows: int = 16_384, part_grams: int = 8_000_000, block_grams: int = 1_000_000) -> DataFrame:
+    """``a, b, score`` (a before b) of texts whose character 3-gram sets have at least this Jaccard similarity; ``posts`` has ``ordinal, text``, ordinals are unique.
+
+    Long texts of one language share most of their 3-grams, so no gram is rare enough to tell texts apart and a join on grams meets nearly all pairs
+    one by one.  So sets are ordered by size and dealt in that order to parts, and parts whose sizes let sets be similar enough meet as
+    pairs of parts, one in a task, block by block: the numbers of common grams come from products of matrices.  Scores are exact.  A
+    task holds one part (about ``part_rows`` texts or ``part_grams`` grams); the work is that of all pairs of like size.  Where ``posts`` has a column
+    ``fresh``, only pairs with a fresh text are met.
     """
     fresh = F.col("fresh") if "fresh" in posts.columns else F.lit(True)
-    sets = cut(posts.select("ordinal", fresh.alias("fresh"), F.explode(F.array(char_shingles("text"))).alias("grams")).filter(F.size("grams") > 0))
-    grams = sets.select("ordinal", F.explode("grams").alias("g")).select("ordinal", F.xxhash64("g").alias("gram"))
-    rarity = cut(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))  # a gram of one text joins nothing, and goes first
-    ranked = grams.join(rarity, "gram", "left").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))), lambda x: x["gram"]).alias("grams"))
-    ranked = cut(ranked.withColumn("n", F.size("grams")).join(sets.select("ordinal", "fresh"), "ordinal"))
-    prefix = ranked.select("ordinal", "fresh", "n", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("at", "gram")).join(rarity.select("gram"), "gram", "left_semi")
-    prefix = cut(prefix)
-    x, y = (prefix.select("gram", F.col("ordinal").alias(k), F.col("fresh").alias(f"fresh_{k}"), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
-    needed = F.ceil(F.round((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)), 9))
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # the shared gram included
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.least("at_a", "at_b") + rest >= needed)
-    met = x.filter("fresh_a").join(y, "gram").unionByName(x.filter("not fresh_a").join(y.filter("fresh_b"), "gram")).filter(fits) if "fresh" in posts.columns else x.join(y, "gram").filter(fits)
-    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    pairs = pairs.filter(F.col("shared") + rest - 1 >= needed).select("a", "b")
-    x, y = (ranked.select(F.col("ordinal").alias(k), F.col("grams").alias(f"g_{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("g_a", "g_b")))
-    score = F.col("common") / (F.size("g_a") + F.size("g_b") - F.col("common"))
-    return both.select("a", "b", score.alias("score")).filter(F.col("score") >= threshold)
+    bare = spread(posts.select(F.col("ordinal").cast("long").alias("ordinal"), fresh.alias("fresh"), collapse(F.lower("text")).alias("text")).filter("text <> ''"))
+    sets = cut(bare.mapInArrow(_gram_sets, "ordinal long, fresh boolean, n long, grams binary"))
+    rows, grams = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    least = min(int((4 * posts.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1, -(-rows // 256))  # several pairs of parts for each core
+    parts = max(least, -(-rows // part_rows), -(-grams // part_grams), 1)
+    dealt = sets.repartitionByRange(parts, "fresh", "n", "ordinal").sortWithinPartitions("fresh", "n", "ordinal")
+    blocks = cut(dealt.mapInArrow(functools.partial(_blocks, most=block_grams), "part int, fresh boolean, low long, high long, ordinals binary, sizes binary, grams binary"))
+    spans = blocks.groupBy("part").agg(F.max("fresh").alias("fresh"), F.min("low").alias("low"), F.max("high").alias("high"))
+    x, y = (spans.select(*(F.col(c).alias(f"{c}_{k}") for c in spans.columns)) for k in "xy")
+    fits = (F.col("part_x") <= F.col("part_y")) & (F.col("fresh_x") | F.col("fresh_y")) & (F.least("high_x", "high_y") >= threshold * F.greatest("low_x", "low_y"))
+    meetings = cut(x.join(y, fits).select("part_x", "part_y", (F.row_number().over(Window.orderBy("part_x", "part_y")) - 1).alias("place")))  # rows for parts, not for texts
+    turns = meetings.select(F.col("part_x").alias("part"), "place", F.when(F.col("part_x") == F.col("part_y"), 2).otherwise(0).alias("turn"))
+    turns = turns.unionByName(meetings.filter("part_x < part_y").select(F.col("part_y").alias("part"), "place", F.lit(1).alias("turn")))
+    sent = blocks.select("part", "fresh", "ordinals", "sizes", "grams").join(F.broadcast(turns), "part")
+    met = sent.repartitionById(max(meetings.count(), 1), F.col("place")).sortWithinPartitions("turn").select("turn", "fresh", "ordinals", "sizes", "grams")
+    return met.mapInArrow(functools.partial(_meet, threshold=threshold), "a long, b long, score double")
 
 
 def near_hashes(hashes: DataFrame, most: int = 5) -> DataFrame:

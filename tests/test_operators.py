@@ -102,3 +102,28 @@ def test_a_graph_reads_evidence_once_for_nodes_and_once_for_edges(spark):
     claims, evidence = text("claim_id post_id claim_text claim_type language", check_worthiness="double"), text("evidence_id claim_id evidence_text relation source_type source_url")
     for found in graph.build(posts, claims, evidence, text("comment_id post_id text language")):
         assert found._jdf.queryExecution().analyzed().collectLeaves().size() == 8  # of posts 4 times, claims 2, evidence 1, comments 1
+
+
+def test_near_pairs_by_parts_and_blocks_match_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    texts = ["", "a", "ab", "A", "\U0001d11eab", "ab\U0001d11e"]
+    for _ in range(12):  # families of near texts of one alphabet, most of whose grams all texts share
+        base = [draw.choice("abcd ") for _ in range(draw.choice((30, 200, 600)))]
+        for _ in range(8):
+            at = draw.randrange(len(base))
+            texts.append("".join([*base[:at], draw.choice("efgh"), *base[at + 1 :]]))
+
+    def grams(t):
+        t = " ".join(t.lower().split())
+        return {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set()
+
+    sets = {i * 7 % 1009: grams(t) for i, t in enumerate(texts)}
+    expected = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i * 7 % 1009, t, i % 3 > 0) for i, t in enumerate(texts)], "ordinal long, text string, fresh boolean")
+    for known in (df.drop("fresh"), df):
+        kept = {i * 7 % 1009 for i in range(len(texts)) if i % 3 > 0 or "fresh" not in known.columns}
+        got = {(r.a, r.b): r.score for r in duplicates.near_pairs(known, part_rows=20, block_grams=400).collect()}
+        assert len(got) > 100 and got == {k: v for k, v in expected.items() if kept & set(k)}
+    assert duplicates.near_pairs(df.filter("text = ''")).count() == 0
