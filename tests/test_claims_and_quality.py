@@ -103,3 +103,17 @@ def test_words_end_at_other_letters_as_in_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     for name in ("k3_k4_k10_claims", "k2_quantities", "k1_k2_k5_document_claims"):
         assert_same(catalog.QUERIES[name](spark, str(tmp_path)), catalog.ORACLES[name], con)
+
+
+def test_rules_are_tried_once_for_each_text(spark):
+    rows = [(f"p{i}", text) for i, text in enumerate(["Acme was founded in 1999, has 3 shops", "", None, "It pays $5. It pays $5."] * 5)]
+    posts = spark.createDataFrame([*rows, ("q0", "It pays $5. It pays $5.")], "post_id string, text string")
+    worked = []
+
+    def work(texts):
+        worked.append(texts.count())
+        return claims.atoms(claims.typed(claims.extract(texts, "post_id", "text")))
+
+    plain = lambda df: sorted(map(str, df.collect()))
+    got = claims.by_text(posts, "post_id", "text", work)
+    assert worked == [4] and plain(got) == plain(claims.atoms(claims.typed(claims.extract(posts, "post_id", "text"))))
