@@ -17,10 +17,20 @@ def share(text: str, pattern: str) -> Column:
 
 def language_label(text: str) -> Column:
     """ta, mixed, en or unknown by the shares of Tamil and Latin letters."""
-    ta, la = share(text, TAMIL), share(text, LATIN)
+    return script_label(share(text, TAMIL), share(text, LATIN))
+
+
+def script_label(ta: Column, la: Column) -> Column:
     return F.when(ta >= 0.5, "ta").when((ta > 0) & (la > 0), "mixed").when(la >= 0.5, "en").when(ta > 0, "ta").when(la > 0, "en").otherwise("unknown")
 
 
+def labelled_shares(text: str) -> Column:
+    """Rows of one array: ``ta, la``, the shares of ``language_label``; to be generated, so that the text is read once for each script."""
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s\p{Z}]+", "")
+    part = lambda bare, pattern: F.when(F.length(bare) > 0, F.regexp_count(bare, F.lit(pattern)) / F.length(bare)).otherwise(0.0)
+    return F.transform(F.array(t), lambda bare: F.struct(part(bare, TAMIL).alias("ta"), part(bare, LATIN).alias("la")))
+
+
 def quality_level(text: str, confidence: str) -> Column:
     return F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "failed").when(F.col(confidence) >= 0.85, "high").when(F.col(confidence) >= 0.60, "medium").otherwise("low")
 
