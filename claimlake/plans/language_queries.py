@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import languages
+from .lineage import spread
 from .registry import query
 
 TEXT = "CASE o_orderkey % 12 WHEN 0 THEN 'naan oru velai theduren, pay 500' WHEN 1 THEN 'hai mera kya @naan #oru job' WHEN 2 THEN 'तुम work नहीं' WHEN 3 THEN 'தமிழ் job offer' WHEN 4 THEN '@naan #oru http://naan.oru/nee hello world' WHEN 5 THEN '12 34 ५' WHEN 6 THEN '' WHEN 7 THEN 'apply for the job, ready to pay' WHEN 8 THEN 'مرحبا hello' WHEN 9 THEN 'Ünïcode wörter ñ' WHEN 10 THEN 'naan romba happy hello you' ELSE 'привет the job' END"
@@ -38,7 +39,8 @@ def l3_l4_l5_mixed_texts(t):
 
 @query(rf"WITH {TOKENS.replace(TEXTS, 'x AS (SELECT doc_id AS id, text FROM documents)')} SELECT id AS doc_id, en::INTEGER AS en, ta::INTEGER AS ta, hi::INTEGER AS hi, mixed, CASE WHEN mixed THEN round(least(0.95, 0.6 + 0.1 * least(en + ta + hi, 3)), 4) ELSE 0.0 END::DOUBLE AS mix_confidence, latin_language, CASE WHEN latin_language IS NOT NULL THEN round(least(0.95, 0.65 + 0.08 * least(greatest(ta, hi), 3)), 4) END::DOUBLE AS latin_confidence FROM m")
 def l3_l4_l5_code_mix(t):
-    rows = t("documents").select("doc_id", T.language_tokens("text").alias("tokens"), T.script_counts("text").alias("scripts"))
+    found = F.struct(T.language_tokens("text").alias("tokens"), T.script_counts("text").alias("scripts"))
+    rows = spread(t("documents").select("doc_id", "text")).select("doc_id", F.inline(F.array(found)))  # generated, so worked out once
     tokens, scripts = F.col("tokens"), F.col("scripts")
     rows = rows.select("doc_id", *(F.size(tokens[k]).alias(k) for k in ("en", "ta", "hi")), T.code_mix(tokens, scripts).alias("mix"), T.transliteration(tokens, scripts).alias("latin"))
     return rows.select("doc_id", "en", "ta", "hi", "mix.mixed", F.col("mix.confidence").alias("mix_confidence"), F.col("latin.language").alias("latin_language"), F.col("latin.confidence").alias("latin_confidence"))

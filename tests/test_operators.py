@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as T
-from claimlake.operators import duplicates, metrics, relational
+from claimlake.operators import duplicates, metrics, recognition, relational
 from claimlake.operators.components import connected_components
 
 
@@ -127,3 +127,15 @@ def test_near_pairs_by_parts_and_blocks_match_brute_force(spark):
         got = {(r.a, r.b): r.score for r in duplicates.near_pairs(known, part_rows=20, block_grams=400).collect()}
         assert len(got) > 100 and got == {k: v for k, v in expected.items() if kept & set(k)}
     assert duplicates.near_pairs(df.filter("text = ''")).count() == 0
+
+
+def test_shingles_by_pieces_and_shares_read_once(spark):
+    texts = ["", " ", "a", "aB", "abc", "Abcab cabca", "\U0001d11ea\U0001d11eb \U0001d11ea\U0001d11eb", "a\nb\n\nc d", "தமிழ் job", "Ünï 12", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.char_shingles("t").alias("g"))
+    for r in got.collect():
+        t = " ".join((r.t or "").lower().split())
+        assert (set(r.g), len(r.g)) == ((s := {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set()), len(s))
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()  # no lambda for each character
+    both = df.select(recognition.language_label("t").alias("a"), recognition.share("t", recognition.LATIN).alias("b"), F.inline(recognition.labelled_shares("t")))
+    assert both.filter(~(F.col("a").eqNullSafe(recognition.script_label(F.col("ta"), F.col("la"))) & (F.col("b") == F.col("la")))).count() == 0 and both.count() == len(texts)
