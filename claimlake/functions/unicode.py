@@ -6,14 +6,22 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 
 @F.arrow_udf(StringType())
-def nfc(texts: pa.Array) -> pa.Array:
-    """Unicode composition."""
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+def _composed(texts: pa.Array) -> pa.Array:
+    """Unicode composition, some rows at a time, so that only these are Python's strings."""
+    some = (pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts[a : a + 64].to_pylist()], pa.string()) for a in range(0, len(texts), 64))
+    return pa.concat_arrays([pa.array([], pa.string()), *some])
+
+
+def nfc(text: Column | str) -> Column:
+    """Unicode composition; texts of characters below U+0300 alone are composed and do not go to Python."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_composed(F.when(t.rlike(r"[^\x{0000}-\x{02FF}]"), t)), t)
 
 
 def word_distance(a: list[str], b: list[str]) -> int:

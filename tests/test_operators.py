@@ -139,3 +139,15 @@ def test_shingles_by_pieces_and_shares_read_once(spark):
     assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()  # no lambda for each character
     both = df.select(recognition.language_label("t").alias("a"), recognition.share("t", recognition.LATIN).alias("b"), F.inline(recognition.labelled_shares("t")))
     assert both.filter(~(F.col("a").eqNullSafe(recognition.script_label(F.col("ta"), F.col("la"))) & (F.col("b") == F.col("la")))).count() == 0 and both.count() == len(texts)
+
+
+def test_only_texts_that_composition_can_change_go_to_python(spark):
+    import unicodedata
+
+    from claimlake.functions import unicode as U
+
+    texts = ["", None, "plain", "caf\u00e9", "cafe\u0301", "\u1100\u1161\u11a8", "\u212b", "\u0958", "a\u0316\u0301", "\u0ba8\u0bbf x", "\u02ff"] * 20
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = rows.select("t", U.nfc("t").alias("n"))
+    assert [r.n for r in got.collect()] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert "RLIKE" in got._jdf.queryExecution().optimizedPlan().toString()
