@@ -156,5 +156,5 @@ s AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM bo
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s QUALIFY rank <= 10""")
 def r10_hybrid_search(t):
     """Documents by the search text made of each twentieth and by its vector."""
-    rows = t("documents").select(F.col("doc_id").alias("id"), "text").join(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    rows = cut(t("documents").select(F.col("doc_id").alias("id"), "text").join(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id"))  # read several times
     return search.hybrid(rows, rows.filter("id % 20 = 0").withColumn("text", T.search_text("text")))
