@@ -117,3 +117,18 @@ def test_rules_are_tried_once_for_each_text(spark):
     plain = lambda df: sorted(map(str, df.collect()))
     got = claims.by_text(posts, "post_id", "text", work)
     assert worked == [4] and plain(got) == plain(claims.atoms(claims.typed(claims.extract(posts, "post_id", "text"))))
+
+
+def test_claims_without_spans_are_those_with_them_and_words_are_sought_before_their_edges(spark):
+    """A text of many clauses, whose spans were sought one after the other; words at edges, inside others and in capitals."""
+    text = " ".join(f"Acme has {i} shops, is number {i}!" for i in range(300)) + " GIVE it. Forgiven. I THINK so. 100% sure. Users pay 5%. அனுப்பு"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    with_spans, without = claims.extract(df, "id", "text"), claims.extract(df, "id", "text", spans=False)
+    assert "span_start" not in without.columns and sorted(without.collect()) == sorted(with_spans.select(*without.columns).collect())
+    from claimlake.functions import text as T
+
+    rows = claims.typed(without).select("*", *(F.col("claim_text").rlike(T.edged(p)).alias(name) for name, p, _ in T.CLAIM_TESTS)).collect()
+    assert {r.claim_type for r in rows} >= {"REQUEST", "OPINION", "FACTUAL"}
+    for r in rows:
+        first = next((name for name, _, _ in T.CLAIM_TESTS if r[name]), None)
+        assert first in (None, r.claim_type)
