@@ -104,6 +104,41 @@ def test_a_graph_reads_evidence_once_for_nodes_and_once_for_edges(spark):
         assert found._jdf.queryExecution().analyzed().collectLeaves().size() == 8  # of posts 4 times, claims 2, evidence 1, comments 1
 
 
+def exchanged_by(df):
+    """The keys of each exchange by keys of a plan, as it is before it adapts."""
+    import re
+
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_labels_exchange_lines_by_post_only_and_build_only_evidence(spark):
+    from claimlake.plans import catalog
+
+    keys = exchanged_by(catalog.QUERIES["g18_j2_j3_labels"](spark, "/root/testdata/sf0.001"))
+    assert keys and not any("node_id" in k or "claim_id" in k or "graph_id" in k for k in keys)
+
+
+@pytest.mark.parametrize("of_claims", [False, True])
+def test_graphs_keep_one_of_each_node_and_edge(spark, of_claims):
+    from claimlake.operators import graph
+
+    post = "post_id string, text string, language string, platform string, username string, verified boolean, image string, image_hash string, phash string, split string, campaign string, translation string, source_group string, family string"
+    posts = spark.createDataFrame([("p1", "a", "en", "x", "u", True, "i", None, None, "train", None, None, None, None), ("p2", "b", "en", "x", None, None, None, None, None, "test", "k", None, None, None)], post)
+    claims = spark.createDataFrame([("c1", "p1", "t", "JOB", "en", 0.5), ("c2", "p2", "t", "JOB", "en", 0.5), ("c3", "p9", "t", "JOB", "en", 0.5)], "claim_id string, post_id string, claim_text string, claim_type string, language string, check_worthiness double")
+    found = [("e1", "c1", "p1", "s", "SUPPORTS", "WEB", "https://a.b"), ("e2", "c1", "p1", "s", "NEUTRAL", "WEB", "https://a.b"), ("e3", "c2", "p2", "s", "X", "WEB", " "), ("e4", "c3", "p9", "s", "X", "WEB", None)]
+    evidence = spark.createDataFrame(found + found[:2], "evidence_id string, claim_id string, post_id string, evidence_text string, relation string, source_type string, source_url string")
+    comments = spark.createDataFrame([("m1", "p1", "t", "en"), ("m1", "p1", "t", "en")], "comment_id string, post_id string, text string, language string")
+    nodes, edges = graph.build(posts, claims, evidence, comments, of_claims)
+    kinds = lambda df, c: sorted((r["graph_id"], r[c]) for r in df.collect())
+    assert kinds(nodes, "node_type") == [*(("graph_p1", k) for k in ("ACCOUNT", "CLAIM", "COMMENT", "EVIDENCE", "EVIDENCE", "IMAGE", "POST", "URL")), *(("graph_p2", k) for k in ("CLAIM", "EVIDENCE", "POST"))]
+    assert kinds(edges, "edge_type") == [*(("graph_p1", k) for k in ("ASSOCIATED_WITH", "CONTAINS", "HAS_CLAIM", "HAS_COMMENT", "NEUTRAL_TO", "SOURCED_FROM", "SOURCED_FROM", "SUPPORTS")), *(("graph_p2", k) for k in ("HAS_CLAIM", "NEUTRAL_TO"))]
+    for dealt in (lambda df: df, lambda df: df.drop("post_id")):  # a manifest's input need not come from ``build``
+        one = graph.manifest(dealt(nodes), dealt(edges)).head()
+        assert (one.graphs, one.nodes, one.clusters, one.post_nodes, one.url_nodes, one.edges, one.sourced_from_edges) == (2, 11, 2, 2, 1, 10, 2)
+    none = graph.manifest(nodes.limit(0), edges.limit(0)).head()
+    assert (none.graphs, none.nodes, none.clusters, none.claim_nodes, none.edges, none.density) == (0, 0, 0, 0, 0, 0.0)
+
+
 def test_near_pairs_by_parts_and_blocks_match_brute_force(spark):
     import random
 
