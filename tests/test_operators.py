@@ -146,6 +146,17 @@ def test_graphs_keep_one_of_each_node_and_edge(spark, of_claims):
     assert (none.graphs, none.nodes, none.clusters, none.claim_nodes, none.edges, none.density) == (0, 0, 0, 0, 0, 0.0)
 
 
+def test_first_splits_join_only_the_groups_they_need(spark):
+    from claimlake.plans import model_queries
+    from claimlake.plans.feature_queries import matrix
+
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    part, whole = matrix(t, model_queries.SPLIT_ON), matrix(t)
+    reads = lambda df: df._jdf.queryExecution().analyzed().collectLeaves().size()
+    assert reads(part) < reads(whole)
+    assert sorted(part.collect()) == sorted(whole.select(part.columns).collect())
+
+
 def test_near_pairs_by_parts_and_blocks_match_brute_force(spark):
     import random
 
