@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys under which a JSON object may hold its list of records, first found wins.
@@ -190,26 +190,57 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         once.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("split").json(f"{path}/{name}")
 
 
+_FRAME = ["graph_id", "split", "cluster_id"]
+
+
+def _members(nodes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """A row for each node and each edge, with its fields in order and a hash of its id."""
+    node, edge = (F.struct(c, *(x for x in df.columns if x not in (*_FRAME, *more, c))) for df, c in ((nodes, "node_id"), (edges, "edge_id")))
+    return nodes.select(*more, *_FRAME, F.xxhash64("node_id").alias("h"), node.alias("node")).unionByName(edges.select(*more, *_FRAME, F.xxhash64("edge_id").alias("h"), edge.alias("edge")), allowMissingColumns=True)
+
+
+def _listed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, *_FRAME, "part").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.array_sort(F.collect_list("edge")).alias("edges")).drop(*keys)
+
+
+def _write_graphs(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip").partitionBy("split").json(path)
+
+
 def write_whole_graphs(nodes: DataFrame, edges: DataFrame, path: str, most: int = 10_000) -> None:
-    """Each graph as one JSON object with its nodes and edges, all fields in order, in a folder for each split.
+    """Each graph as one JSON object with its nodes and edges, all fields in order, in a folder of compressed lines for each split.
 
     A graph of over ``most`` nodes and edges (a post with a hot number of comments) is written in parts, so no group is without bound.
     """
     from ..operators.relational import heavy
 
-    frame = ["graph_id", "split", "cluster_id"]
-    node = F.struct("node_id", *(c for c in nodes.columns if c not in (*frame, "node_id")))
-    edge = F.struct("edge_id", *(c for c in edges.columns if c not in (*frame, "edge_id")))
-    rows = nodes.select(*frame, F.xxhash64("node_id").alias("h"), node.alias("node")).unionByName(edges.select(*frame, F.xxhash64("edge_id").alias("h"), edge.alias("edge")), allowMissingColumns=True)
+    rows = _members(nodes, edges)
     many = heavy(rows.groupBy("graph_id").agg(F.count("*").alias("n")), "n", most).drop("n")
     rows = rows.join(F.broadcast(many), "graph_id", "left").withColumn("part", F.pmod("h", F.coalesce("copies", F.lit(1).cast("long"))))
-    whole = rows.groupBy(*frame, "part").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.array_sort(F.collect_list("edge")).alias("edges"))
-    whole.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("split").json(path)
+    _write_graphs(_listed(rows), path)
+
+
+def write_graphs_of_posts(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
+    """As ``write_whole_graphs``, of ``graph.parts``: rows are listed where they lie, and only comments are exchanged.
+
+    Comments of posts with over ``most`` of them are dealt to several tasks, as parts of their own.
+    """
+    from ..operators.graph import whole
+    from ..operators.relational import heavy
+
+    said = _members(nodes["comment"], edges["comment"], "post_id")
+    many = heavy(said.groupBy("post_id").agg(F.count("*").alias("n")), "n", most).drop("n")
+    said = said.join(F.broadcast(many), "post_id", "left")
+    rows = _members(whole(nodes, "comment"), whole(edges, "comment"), "post_id").unionByName(said.filter("copies is null").drop("copies").repartition("post_id"))
+    place = F.row_number().over(Window.partitionBy("post_id").orderBy("h")) - 1
+    few = rows.withColumn("part", F.floor(place / most).cast("long"))
+    hot = said.filter("copies is not null").withColumn("part", -1 - F.pmod("h", "copies")).drop("copies")
+    _write_graphs(_listed(few, "post_id").unionByName(_listed(hot, "post_id")), path)
 
 
 def read_whole_graphs(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of graphs that ``write_whole_graphs`` wrote, with the columns of the given frames."""
-    frame = ["graph_id", "split", "cluster_id"]
+    frame = _FRAME
     kinds = lambda df: ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema if f.name not in frame)
     rows = spark.read.schema(f"graph_id string, cluster_id string, part long, nodes array<struct<{kinds(nodes)}>>, edges array<struct<{kinds(edges)}>>, split string").json(path)
     back = lambda name, df: rows.select(*frame, F.explode(name).alias("x")).select(*frame, "x.*").select(*df.columns)

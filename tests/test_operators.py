@@ -146,6 +146,35 @@ def test_graphs_keep_one_of_each_node_and_edge(spark, of_claims):
     assert (none.graphs, none.nodes, none.clusters, none.claim_nodes, none.edges, none.density) == (0, 0, 0, 0, 0, 0.0)
 
 
+def small_parts(spark, comments=3):
+    """Parts of two graphs, one of which has comments."""
+    from claimlake.operators import graph
+
+    post = "post_id string, text string, language string, platform string, username string, verified boolean, image string, image_hash string, phash string, split string, campaign string, translation string, source_group string, family string"
+    posts = spark.createDataFrame([("p1", "a", "en", "x", "u", True, "i", None, None, "train", None, None, None, None), ("p2", "b", "en", "x", None, None, None, None, None, "test", "k", None, None, None)], post)
+    claims = spark.createDataFrame([("c1", "p1", "t", "JOB", "en", 0.5), ("c2", "p2", "t", "JOB", "en", 0.5), ("c3", "p1", "t", "JOB", "en", 0.5)], "claim_id string, post_id string, claim_text string, claim_type string, language string, check_worthiness double")
+    found = [("e1", "c1", "p1", "s", "SUPPORTS", "WEB", "https://a.b"), ("e2", "c1", "p1", "s", "NEUTRAL", "WEB", "https://a.b"), ("e3", "c2", "p2", "s", "X", "WEB", " ")]
+    evidence = spark.createDataFrame(found, "evidence_id string, claim_id string, post_id string, evidence_text string, relation string, source_type string, source_url string")
+    said = spark.createDataFrame([(f"m{i}", "p1", "t", "en") for i in range(comments)], "comment_id string, post_id string, text string, language string")
+    return graph.parts(posts, claims, evidence, said, of_claims=True)
+
+
+@pytest.mark.parametrize("most", [4, 10_000])
+def test_graphs_of_posts_are_written_where_they_lie_and_hot_comments_apart(spark, tmp_path, most):
+    from claimlake.operators import graph
+    from claimlake.sources import files
+
+    nodes, edges = small_parts(spark, 30)
+    path = f"file://{tmp_path}/graphs"
+    files.write_graphs_of_posts(nodes, edges, path, most)
+    back = files.read_whole_graphs(spark, path, *(graph.whole(x).drop("post_id") for x in (nodes, edges)))
+    for got, want in zip(back, (nodes, edges)):
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, graph.whole(want).drop("post_id").collect()), key=str)
+    written = spark.read.json(path)
+    assert written.filter("graph_id = 'graph_p1'").count() == 1 if most > 100 else written.agg(F.max(F.greatest(F.size("nodes"), F.size("edges")))).head()[0] < 60
+    assert all(f.name.endswith(".gz") for f in tmp_path.rglob("part-*"))  # texts repeat from graph to graph, so they are written compressed
+
+
 def test_first_splits_join_only_the_groups_they_need(spark):
     from claimlake.plans import model_queries
     from claimlake.plans.feature_queries import matrix
