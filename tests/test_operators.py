@@ -175,6 +175,20 @@ def test_graphs_of_posts_are_written_where_they_lie_and_hot_comments_apart(spark
     assert all(f.name.endswith(".gz") for f in tmp_path.rglob("part-*"))  # texts repeat from graph to graph, so they are written compressed
 
 
+def test_an_edge_index_meets_its_nodes_where_they_lie(spark):
+    from claimlake.operators import graph
+
+    nodes, edges = small_parts(spark)
+    want = graph.edge_index(graph.whole(nodes), graph.whole(edges))
+    assert sorted(map(tuple, graph.edge_index_by_post(nodes, edges).collect())) == sorted(map(tuple, want.collect()))
+    keys = exchanged_by(graph.edge_index_by_post(*without_comments(nodes, edges)))
+    assert keys and not any("node_id" in k or "graph_id" in k for k in keys)
+
+
+def without_comments(*parts):
+    return [{k: df.limit(0) if k == "comment" else df for k, df in of.items()} for of in parts]
+
+
 def test_first_splits_join_only_the_groups_they_need(spark):
     from claimlake.plans import model_queries
     from claimlake.plans.feature_queries import matrix
