@@ -189,6 +189,21 @@ def without_comments(*parts):
     return [{k: df.limit(0) if k == "comment" else df for k, df in of.items()} for of in parts]
 
 
+def test_an_audit_meets_edges_with_nodes_where_they_lie(spark, monkeypatch):
+    from claimlake.operators import graph
+
+    nodes, edges = small_parts(spark)
+    bad = dict(edges)
+    bad["claim"] = edges["claim"].filter("target_node_id <> 'node_claim_c3'")
+    bad["evidence"] = edges["evidence"].unionByName(edges["evidence"].filter("edge_type = 'SUPPORTS'")).withColumn("relation", F.when(F.col("relation") == "NEUTRAL", "X").otherwise(F.col("relation")))
+    bad["comment"] = edges["comment"].withColumn("target_node_id", F.when(F.col("target_node_id").endswith("1"), "none").otherwise(F.col("target_node_id")))
+    got, want = graph.audit_by_post(nodes, bad).collect(), graph.audit(graph.whole(nodes), graph.whole(bad))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) == [("graph_p1", 1, 2, 1)]
+    monkeypatch.setattr(graph, "_faults", lambda nodes, edges: want.limit(0))  # for comments
+    keys = exchanged_by(graph.audit_by_post(*without_comments(nodes, bad)))
+    assert keys and not any("node_id" in k or "graph_id" in k for k in keys)
+
+
 def test_first_splits_join_only_the_groups_they_need(spark):
     from claimlake.plans import model_queries
     from claimlake.plans.feature_queries import matrix
