@@ -204,6 +204,35 @@ def test_an_audit_meets_edges_with_nodes_where_they_lie(spark, monkeypatch):
     assert keys and not any("node_id" in k or "graph_id" in k for k in keys)
 
 
+def test_a_feature_matrix_exchanges_no_texts_and_lines_only_by_post(spark):
+    from claimlake.plans import catalog
+
+    df = catalog.QUERIES["x1_x11_feature_matrix"](spark, "/root/testdata/sf0.001")
+    keys = exchanged_by(df)
+    assert keys and not any("claim_id" in k or "graph_id" in k for k in keys) and sum("node_id" in k for k in keys) == 2  # comments
+    assert len({k for k in keys if "l_orderkey" not in k and "o_orderkey" not in k}) <= 8
+
+
+def test_features_of_claims_meet_evidence_by_post(spark):
+    from claimlake.operators import features
+
+    claims = spark.createDataFrame([("p1", "c1", 1), ("p1", "c2", 2), ("p2", "c3", 1), ("p3", None, 1), ("p4", "c4", None)], "post_id string, claim_id string, claim_no int")
+    evidence = spark.createDataFrame([("p1", "c2", "WEB", "https://a.b/1"), ("p1", "c2", "", "https://a.b/2"), ("p2", "c3", None, None), ("p3", None, "X", "y"), ("p4", "c4", "Z", "https://c.d"), ("p5", "c5", "Z", None)], "post_id string, claim_id string, source_type string, source_url string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(features.evidence_features(claims, evidence, of_claims=True)) == rows(features.evidence_features(claims, evidence))
+    items = evidence.filter("claim_id is not null").groupBy("post_id", "claim_id").agg(F.count("*").alias("n"))
+    assert rows(features.first_items(claims.filter("claim_no is not null"), items, "claim_no")) == rows(features.first_items(claims.filter("claim_no is not null"), items.drop("post_id"), "claim_no")) == [("p1", "c2", 2), ("p2", "c3", 1)]
+
+
+def test_graph_features_by_post_count_comments(spark):
+    from claimlake.operators import features, graph
+
+    nodes, edges = small_parts(spark)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(features.graph_features_by_post(nodes, edges)) == rows(features.graph_features(graph.whole(nodes), graph.whole(edges)))
+    assert rows(features.edge_features_by_post(edges)) == rows(features.edge_features(graph.whole(edges)))
+
+
 def test_first_splits_join_only_the_groups_they_need(spark):
     from claimlake.plans import model_queries
     from claimlake.plans.feature_queries import matrix
