@@ -233,6 +233,16 @@ def test_graph_features_by_post_count_comments(spark):
     assert rows(features.edge_features_by_post(edges)) == rows(features.edge_features(graph.whole(edges)))
 
 
+def test_matrix_queries_keep_only_what_they_read(spark, monkeypatch):
+    from claimlake.plans import catalog, feature_queries
+
+    kept = []
+    monkeypatch.setattr(feature_queries, "cut", lambda df: kept.append(df.columns) or df)
+    kept.clear()
+    catalog.QUERIES["x13_a10_p25_u5_matrix_checks"](spark, "/root/testdata/sf0.001")
+    assert len(kept) == 1  # the whole matrix, once
+
+
 def test_first_splits_join_only_the_groups_they_need(spark):
     from claimlake.plans import model_queries
     from claimlake.plans.feature_queries import matrix
