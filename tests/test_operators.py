@@ -238,6 +238,10 @@ def test_matrix_queries_keep_only_what_they_read(spark, monkeypatch):
 
     kept = []
     monkeypatch.setattr(feature_queries, "cut", lambda df: kept.append(df.columns) or df)
+    for name, most in (("x12_training_matrix", 6),):
+        kept.clear()
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sum(map(len, kept)) <= most
     kept.clear()
     catalog.QUERIES["x13_a10_p25_u5_matrix_checks"](spark, "/root/testdata/sf0.001")
     assert len(kept) == 1  # the whole matrix, once
