@@ -78,24 +78,74 @@ def _common(x: tuple, y: tuple, width: int = 8192) -> np.ndarray:
     return out
 
 
+def _parities(sizes: np.ndarray, grams: np.ndarray, bits: int) -> np.ndarray:
+    """For each set, by a hash of its grams: 1 where an even number of them falls, -1 where an odd number does.
+
+    Two sets' parities differ at no more places than there are grams that only one of them has.
+    """
+    place = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)) * bits, sizes) + place, minlength=len(sizes) * bits) & 1
+    return (1 - 2 * odd).astype(np.float32).reshape(len(sizes), bits)
+
+
+def _folded(parities: np.ndarray, bits: int) -> np.ndarray:
+    """The parities at fewer bits, a power of two: places that a shorter hash does not tell apart are one."""
+    while parities.shape[1] > bits:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] * parities[:, half:]
+    return parities
+
+
+def _could_meet(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of sets whose sizes and parities let their similarity be at the threshold; exact in that none is left out that is.
+
+    At a similarity of J, sets of n and m grams have (n + m) (1 - J) / (1 + J) grams that only one has.
+    """
+    bits = min(x.shape[1], y.shape[1])
+    apart = (bits - _folded(x, bits) @ _folded(y, bits).T) / 2  # whole numbers of at most ``bits``, so exact
+    both = (n[:, None] + m[None, :]).astype(np.float64)
+    fits = np.minimum(n[:, None], m[None, :]) >= threshold * np.maximum(n[:, None], m[None, :]) - 1e-6
+    return fits & (apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
+
+
 def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Blocks of one part come first, then the other's; those of a part that meets itself come once and meet what came before."""
     held = []
     for batch in batches:
         for i in range(batch.num_rows):
             turn, fresh, ordinals, sizes, grams = (batch.column(c)[i].as_py() for c in ("turn", "fresh", "ordinals", "sizes", "grams"))
-            known, place = np.unique(np.frombuffer(grams, np.int64), return_inverse=True)
-            new = (np.frombuffer(ordinals, np.int64), np.frombuffer(sizes, np.int64), known, place, fresh)
+            ordinals, sizes, grams = (np.frombuffer(b, np.int64) for b in (ordinals, sizes, grams))
+            bits = 1 << min(max(int(sizes.mean()), 512).bit_length() - 1, 13)  # over half as many as grams, so that different sets' parities differ; at most 32 KB a set
+            new = (ordinals, sizes, grams, np.concatenate([[0], np.cumsum(sizes)]), _parities(sizes, grams, bits), fresh)
             if turn != 1:
                 held.append(new)
             for old in held if turn else ():
-                (p, n, *_), (q, m, *_) = old, new
-                if not (fresh or old[4]) or min(n.max(), m.max()) < threshold * max(n.min(), m.min()):
+                p, n, q, m = old[0], old[1], new[0], new[1]
+                if not (fresh or old[5]) or min(n.max(), m.max()) < threshold * max(n.min(), m.min()):
+                    continue
+                could = _could_meet(old[4], n, new[4], m, threshold)
+                could &= (p[:, None] < q[None, :]) if old is new else True
+                x, y = np.nonzero(could)
+                if not len(x):
                     continue
-                common = _common(old, new)
-                score = common / (n[:, None] + m[None, :] - common)
-                x, y = np.nonzero((score >= threshold) & ((p[:, None] < q[None, :]) if old is new else True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[x], q[y])), pa.array(np.maximum(p[x], q[y])), pa.array(score[x, y])], names=["a", "b", "score"])
+                score = _scores(old, new, x, y)
+                some = score >= threshold
+                x, y, score = x[some], y[some], score[some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[x], q[y])), pa.array(np.maximum(p[x], q[y])), pa.array(score)], names=["a", "b", "score"])
+
+
+def _scores(old: tuple, new: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of pairs of sets of two blocks: one by one where they are few, by products of the rows concerned where they are many."""
+    (_, n, grams, at, *_), (_, m, others, to, *_) = old, new
+    if len(x) <= 4 * (len(np.unique(x)) + len(np.unique(y))):
+        common = np.array([len(np.intersect1d(grams[at[i] : at[i + 1]], others[to[j] : to[j + 1]], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())], np.float64)
+    else:
+        sides = []
+        for sizes, g, starts, rows in ((n, grams, at, np.unique(x)), (m, others, to, np.unique(y))):
+            known, place = np.unique(np.concatenate([g[starts[i] : starts[i + 1]] for i in rows]), return_inverse=True)
+            sides.append((rows, sizes[rows], known, place, None))
+        common = _common(*sides)[np.searchsorted(sides[0][0], x), np.searchsorted(sides[1][0], y)]
+    return common / (n[x] + m[y] - common)
 
 
 def near_pairs(posts: DataFrame, threshold: float = 0.85, part_rows: int = 16_384, part_grams: int = 8_000_000, block_grams: int = 1_000_000) -> DataFrame:
@@ -103,8 +153,9 @@ def near_pairs(posts: DataFrame, threshold: float = 0.85, part_rows: int = 16_38
 
     Long texts of one language share most of their 3-grams, so no gram is rare enough to tell texts apart and a join on grams meets nearly all pairs
     one by one.  So sets are ordered by size and dealt in that order to parts, and parts whose sizes let sets be similar enough meet as
-    pairs of parts, one in a task, block by block: the numbers of common grams come from products of matrices.  Scores are exact.  A
-    task holds one part (about ``part_rows`` texts or ``part_grams`` grams); the work is that of all pairs of like size.  Where ``posts`` has a column
+    pairs of parts, one in a task, block by block.  Products of short rows of parities tell which pairs cannot be similar enough; the numbers of
+    common grams of the others are counted, so scores are exact and none is missed.  A task holds one part (about ``part_rows`` texts or
+    ``part_grams`` grams) with its parities; the work is that of all pairs of like size, a few hundred or thousand products each.  Where ``posts`` has a column
     ``fresh``, only pairs with a fresh text are met.
     """
     fresh = F.col("fresh") if "fresh" in posts.columns else F.lit(True)

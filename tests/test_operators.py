@@ -283,6 +283,22 @@ def test_near_pairs_by_parts_and_blocks_match_brute_force(spark):
     assert duplicates.near_pairs(df.filter("text = ''")).count() == 0
 
 
+def test_parities_pass_over_unlike_sets_and_over_no_like_ones():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    common, sets = draw.integers(0, 1 << 62, 900), []
+    for _ in range(30):  # families of two that share half of their grams with all others
+        own = np.unique(np.concatenate([draw.choice(common, 450, replace=False), draw.integers(0, 1 << 62, 450)]))
+        sets += [own, np.unique(np.concatenate([own[draw.integers(0, 40) :], draw.integers(0, 1 << 62, draw.integers(0, 40))]))]
+    sizes, bits = np.array([len(x) for x in sets]), 512
+    x = duplicates._parities(sizes, np.concatenate(sets), 2 * bits)
+    assert (duplicates._folded(x, bits) == duplicates._parities(sizes, np.concatenate(sets), bits)).all()
+    could = duplicates._could_meet(x, sizes, duplicates._folded(x, bits), sizes, 0.85)
+    like = np.array([[len(np.intersect1d(a, b)) >= 0.85 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert like.sum() > 100 and (could | ~like).all() and could.sum() < 150
+
+
 def test_shingles_by_pieces_and_shares_read_once(spark):
     texts = ["", " ", "a", "aB", "abc", "Abcab cabca", "\U0001d11ea\U0001d11eb \U0001d11ea\U0001d11eb", "a\nb\n\nc d", "தமிழ் job", "Ünï 12", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
